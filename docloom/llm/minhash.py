@@ -252,3 +252,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = groups.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("comp"))
     out = feats.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest id, with all its columns.
+
+    Of rows that repeat an id and a text, one stays; rows without an id cannot be named and all stay.
+    """
+    marked = near_duplicates(docs.where("doc_id is not null")).where("kept").select("doc_id").distinct()
+    hashed = docs.where("doc_id is not null").withColumn("_minhash_text", F.xxhash64("text"))
+    kept = hashed.join(marked, "doc_id", "left_semi").dropDuplicates(["doc_id", "_minhash_text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.union(docs.where("doc_id is null"))
