@@ -1,0 +1,450 @@
+"""Packing, media, quality, secrets, licenses and HTML: exact round trips, brute force and edge cases."""
+
+import hashlib
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from docloom.llm import html, licenses, packing, quality, secrets, webp
+from docloom.llm.queries import tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, score string, size string"
+LONG = "Wörter and words, " * 9000
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z") for i, t in rows], DOCS)
+
+
+EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, LONG), (6, "same text here"), (7, "same text here"), (7, "same text here"), (None, "no id"), (8, "it's A.B <|endoftext|> x’s ÄÖ é 1234!?")]
+
+
+@pytest.mark.parametrize("windows", [2, 64])
+def test_packing_holds_every_id_once(spark, windows):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    frame = docs(spark, EDGE).repartition(3)
+    rows = packing.pack(frame, tokenizer_path(), size=512, open_windows=windows, merged=2).collect()
+    want = {}
+    for i, t in EDGE:
+        want[i] = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+    times = {7: 2}
+    for i, ids in want.items():
+        got = np.zeros(len(ids), int)
+        for r in rows:
+            if r.doc_id == i:
+                assert r.doc_tokens == len(ids)
+                assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+                got[r.start : r.start + r.length] += 1
+        assert (got == times.get(i, 1)).all()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 512
+
+
+def test_packing_pads_little(spark, sf):
+    rows = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer_path()).groupBy("sequence_id").sum("length").collect()
+    assert sum(r[1] for r in rows) > 0.97 * 4096 * len(rows)
+
+
+def test_empty_tables(spark):
+    none = docs(spark, EDGE).where("false")
+    assert packing.pack(none, tokenizer_path()).count() == 0
+    assert webp.examine(webp.store_texts(none)).count() == 0
+    assert secrets.find(none).count() == 0 and secrets.redact(none).count() == 0
+    assert licenses.scan(none).count() == 0
+    assert quality.score(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_media_round_trip(spark):
+    rows = webp.examine(webp.store_texts(docs(spark, EDGE))).collect()
+    assert len(rows) == len(EDGE)
+    seen = {}
+    for (i, t), r in zip(EDGE, rows, strict=True):
+        raw = (t or "").encode()
+        padded = webp.payload(raw)
+        assert r.doc_id == i and r.n_bytes == len(raw) and r.payload_bytes == len(padded) and len(padded) % 192 == 0
+        assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-16:])
+        assert seen.setdefault(t or "", (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+
+
+def test_store_wide_payload():
+    data = bytes(np.random.default_rng(1).integers(0, 256, 192 * 16500, np.uint8))
+    pixels = webp.decode(webp.store(data))
+    assert np.ascontiguousarray(pixels[:, :, :3]).tobytes()[: len(data)] == data
+
+
+# A small general writer: prefix codes of any lengths, so that the reader is tried on every feature of the format.
+
+
+class Out:
+    def __init__(self):
+        self.v, self.n = 0, 0
+
+    def put(self, value, n):
+        self.v |= value << self.n
+        self.n += n
+
+
+def lengths_of(count):
+    """Code lengths by repeated pairing of the rarest."""
+    heap = sorted((n, [s]) for s, n in count.items())
+    depth = dict.fromkeys(count, 0)
+    while len(heap) > 1:
+        (a, x), (b, y) = heap[:2]
+        for s in x + y:
+            depth[s] += 1
+        heap = sorted(heap[2:] + [(a + b, x + y)])
+    return depth
+
+
+def codes(lengths):
+    out, code, last = {}, 0, 0
+    for s, n in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
+        code <<= n - last
+        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        code, last = code + 1, n
+    return out
+
+
+def put_code(w, count, size):
+    """A normal code with run lengths for zeros and repeats, or a simple one."""
+    if len(count) <= 1:
+        s = next(iter(count), 0)
+        if s < 256:
+            w.put(0b001 | (s > 1) << 2, 3)
+            w.put(s, 8 if s > 1 else 1)
+            return {s: (0, 0)}
+        count = {s: 1, s - 1 if s else 1: 1}
+    if len(count) == 2 and max(count) < 256:
+        a, b = sorted(count)
+        w.put(0b111, 3)
+        w.put(a, 8)
+        w.put(b, 8)
+        return {a: (0, 1), b: (1, 1)}
+    lengths = lengths_of(count)
+    assert max(lengths.values()) <= 15
+    tokens, at, last = [], 0, 8
+    row = [lengths.get(s, 0) for s in range(size)]
+    while at < size:
+        run = 1
+        while at + run < size and row[at + run] == row[at]:
+            run += 1
+        if row[at] == 0 and run >= 11:
+            run = min(run, 138)
+            tokens.append((18, run - 11, 7))
+        elif row[at] == 0 and run >= 3:
+            tokens.append((17, run - 3, 3))
+        elif row[at] == last and row[at] and run >= 3:
+            run = min(run, 6)
+            tokens.append((16, run - 3, 2))
+        else:
+            run = 1
+            tokens.append((row[at], 0, 0))
+            last = row[at] or last
+        at += run
+    each = {}
+    for t in tokens:
+        each[t[0]] = each.get(t[0], 0) + 1
+    if len(each) == 1:
+        each[next(iter(each)) ^ 1] = 1
+    small = lengths_of(each)
+    if max(small.values()) > 7:
+        small = dict.fromkeys(range(16), 5) | {16: 5, 17: 5, 18: 5} | {}
+        small = {s: 4 if s < 13 else 5 for s in range(19)}
+    w.put(0, 1)
+    w.put(15, 4)
+    for s in webp._LENGTH_ORDER:
+        w.put(small.get(s, 0), 3)
+    w.put(0, 1)
+    book = codes(small)
+    for s, extra, n in tokens:
+        w.put(*book[s])
+        w.put(extra, n)
+    return codes(lengths)
+
+
+def prefix(value):
+    if value <= 4:
+        return value - 1, 0, 0
+    v = value - 1
+    n = v.bit_length() - 2
+    return 2 * n + 2 + ((v >> n) & 1), v & ((1 << n) - 1), n
+
+
+def put_pixels(w, argb, width, top, cache_bits=0, tiles=None):
+    """Entropy-coded pixels with back-references and a colour cache; tiles: bits and the code group of each tile."""
+    w.put(1 if cache_bits else 0, 1)
+    if cache_bits:
+        w.put(cache_bits, 4)
+    groups = 1
+    if top:
+        w.put(1 if tiles else 0, 1)
+        if tiles:
+            w.put(tiles[0] - 2, 3)
+            put_pixels(w, [0xFF000000 | g << 8 for g in tiles[1]], -(-width >> tiles[0]), False)
+            groups = max(tiles[1]) + 1
+    ops, at, cache = [], 0, [0] * (1 << cache_bits)
+
+    def see(p):
+        if cache_bits:
+            cache[(webp._CACHE_HASH * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
+
+    while at < len(argb):
+        best = (0, 0)
+        for far in {1, 2, width, width + 1, 130, 3 * width} if not cache_bits or at % 3 else ():
+            n = 0
+            while 0 < far <= at and at + n < len(argb) and n < 300 and argb[at + n] == argb[at + n - far]:
+                n += 1
+            best = max(best, (n, far))
+        p = argb[at]
+        if best[0] >= 3:
+            ops.append((at, "copy", *best))
+            for k in range(best[0]):
+                see(argb[at + k])
+            at += best[0]
+            continue
+        if cache_bits and cache[k := (webp._CACHE_HASH * p & 0xFFFFFFFF) >> (32 - cache_bits)] == p:
+            ops.append((at, "cache", k))
+        else:
+            ops.append((at, "pixel", p))
+        see(p)
+        at += 1
+    near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(webp._NEAR)))}
+    across = -(-width >> tiles[0]) if tiles else 1
+    of = lambda at: tiles[1][(at // width >> tiles[0]) * across + (at % width >> tiles[0])] if tiles else 0
+    counts = [[{} for _ in range(5)] for _ in range(groups)]
+    stream = []
+    for at, kind, *v in ops:
+        if kind == "pixel":
+            items = [(k, v[0] >> s & 255, 0, 0) for k, s in enumerate((8, 16, 0, 24))]
+        elif kind == "cache":
+            items = [(0, 280 + v[0], 0, 0)]
+        else:
+            s, e, n = prefix(v[0])
+            d, f, m = prefix(near.get(v[1], v[1] + 120))
+            items = [(0, 256 + s, e, n), (4, d, f, m)]
+        for k, s, _, _ in items:
+            counts[of(at)][k][s] = counts[of(at)][k].get(s, 0) + 1
+        stream.append((of(at), items))
+    books = [[put_code(w, c, size) for c, size in zip(group, (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40), strict=True)] for group in counts]
+    for g, items in stream:
+        for k, s, e, n in items:
+            w.put(*books[g][k][s])
+            w.put(e, n)
+
+
+def finish(w):
+    data = w.v.to_bytes((w.n + 7) // 8, "little")
+    return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
+
+
+def begin(width, height, alpha):
+    w = Out()
+    for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (alpha, 1), (0, 3)):
+        w.put(v, n)
+    return w
+
+
+def packed(rgba):
+    x = rgba.reshape(-1, 4).astype(int)
+    return (x[:, 3] << 24 | x[:, 0] << 16 | x[:, 1] << 8 | x[:, 2]).tolist()
+
+
+def picture(width, height, seed):
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[:height, :width]
+    base = np.stack([x * 7 + y * 3, x * 5, y * 11, 255 - x], 2) + rng.integers(0, 3, (height, width, 4))
+    base[height // 2 :] = base[: height - height // 2]
+    return (base & 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("cache_bits", [0, 4, 10])
+def test_decode_back_references_and_cache(cache_bits):
+    image = picture(37, 40, cache_bits)
+    w = begin(37, 40, 1)
+    w.put(0, 1)
+    put_pixels(w, packed(image), 37, True, cache_bits)
+    assert (webp.decode(finish(w)) == image).all()
+
+
+def test_decode_code_groups():
+    image = picture(33, 20, 3)
+    w = begin(33, 20, 1)
+    w.put(0, 1)
+    put_pixels(w, packed(image), 33, True, 5, (3, [k % 3 for k in range(5 * 3)]))
+    assert (webp.decode(finish(w)) == image).all()
+
+
+def predict(p, x, y, width, mode):
+    """The guess for a pixel as the format defines it, on plain integers."""
+    at = lambda dx, dy: [int(v) for v in p[(y + dy) * width + x + dx]]
+    if x == y == 0:
+        return [0, 0, 0, 255]
+    if y == 0:
+        return at(-1, 0)
+    if x == 0:
+        return at(0, -1)
+    left, up, corner, right = at(-1, 0), at(0, -1), at(-1, -1), at(1, -1)
+    avg = lambda a, b: [(i + j) // 2 for i, j in zip(a, b, strict=True)]
+    clamp = lambda v: max(0, min(255, v))
+    if mode == 0:
+        return [0, 0, 0, 255]
+    if mode == 11:
+        to_left = sum(abs(u - c) for u, c in zip(up, corner, strict=True))
+        to_up = sum(abs(a - c) for a, c in zip(left, corner, strict=True))
+        return left if to_left < to_up else up
+    if mode == 12:
+        return [clamp(a + b - c) for a, b, c in zip(left, up, corner, strict=True)]
+    if mode == 13:
+        return [clamp(m + int((m - c) / 2)) for m, c in zip(avg(left, up), corner, strict=True)]
+    return {1: left, 2: up, 3: right, 4: corner, 5: avg(avg(left, right), up), 6: avg(left, corner), 7: avg(left, up), 8: avg(corner, up), 9: avg(up, right), 10: avg(avg(left, corner), avg(up, right))}[mode]
+
+
+def test_decode_transforms():
+    width, height = 29, 23
+    image = picture(width, height, 9)
+    across, down = -(-width >> 2), -(-height >> 2)
+    # predictor in every mode, then subtract green, then cross-colour: undone in the opposite order
+    p = image.reshape(-1, 4).astype(int)
+    modes = [k % 14 for k in range(across * down)]
+    rest = np.array([[(int(v) - g) & 255 for v, g in zip(p[y * width + x], predict(p, x, y, width, modes[(y >> 2) * across + (x >> 2)]), strict=True)] for y in range(height) for x in range(width)])
+    rest[:, 0] = (rest[:, 0] - rest[:, 1]) & 255
+    rest[:, 2] = (rest[:, 2] - rest[:, 1]) & 255
+    signed = lambda v: (v & 255) - 256 * ((v & 255) > 127)
+    cells = [(k * 37 % 256, k * 91 % 256, k * 53 % 256) for k in range(across * down)]  # red to blue, green to blue, green to red
+    for i in range(len(rest)):
+        rb, gb, gr = (signed(v) for v in cells[(i // width >> 2) * across + (i % width >> 2)])
+        r, g, b = (int(v) for v in rest[i, :3])
+        rest[i, 2] = (b - (gb * signed(g) >> 5) - (rb * signed(r) >> 5)) & 255
+        rest[i, 0] = (r - (gr * signed(g) >> 5)) & 255
+    w = begin(width, height, 1)
+    w.put(0b001, 3)
+    w.put(0, 3)
+    put_pixels(w, [0xFF000000 | m << 8 for m in modes], across, False)
+    w.put(0b101, 3)
+    w.put(0b011, 3)
+    w.put(0, 3)
+    put_pixels(w, [0xFF000000 | rb << 16 | gb << 8 | gr for rb, gb, gr in cells], across, False)
+    w.put(0, 1)
+    put_pixels(w, packed(rest), width, True, 3)
+    assert (webp.decode(finish(w)) == image).all()
+
+
+@pytest.mark.parametrize("colours", [2, 3, 13, 100])
+def test_decode_palette(colours):
+    width, height = 21, 9
+    rng = np.random.default_rng(colours)
+    palette = rng.integers(0, 256, (colours, 4))
+    index = rng.integers(0, colours, (height, width))
+    bits = 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+    w = begin(width, height, 1)
+    w.put(0b111, 3)
+    w.put(colours - 1, 8)
+    put_pixels(w, packed(np.diff(palette, axis=0, prepend=np.zeros((1, 4), int)) & 255), colours, False)
+    w.put(0, 1)
+    narrow = -(-width >> bits)
+    green = np.zeros((height, narrow), int)
+    for x in range(width):
+        green[:, x >> bits] |= index[:, x] << (x & ((1 << bits) - 1)) * (8 >> bits)
+    put_pixels(w, [0xFF000000 | int(g) << 8 for g in green.ravel()], narrow, True)
+    assert (webp.decode(finish(w)) == palette[index]).all()
+
+
+def test_decode_refuses_broken_files():
+    good = webp.store(webp.payload(b"abc"))
+    for bad in (b"", b"RIFF", good[:40], good[:20] + b"\0" + good[21:]):
+        with pytest.raises((ValueError, struct.error)):
+            webp.decode(bad)
+
+
+def test_quality_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    scored = quality.score(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    rows = scored.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert len(rows) > 50 and sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
+    assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+
+
+def test_quality_edge_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(40)] + [(None, 1, None), (3, None, None)], "doc_id long, quality int, toxic int")
+    rows = [(i, "plain words in a row of text." if i % 2 else "$$$ ### $$$ ### $$$") for i in range(40)] + EDGE
+    out = quality.score(docs(spark, rows), labels).collect()
+    assert len(out) == len(rows)
+    assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) for r in out)
+    kept = quality.accepted(docs(spark, rows), labels)
+    assert kept.columns == docs(spark, rows).columns and kept.count() == sum(r.predicted for r in out)
+
+
+def test_gradients_of_the_attention_model():
+    rng = np.random.default_rng(0)
+    x, bag, y = rng.normal(size=(9, 4)), np.array([0, 2, 5, 9]), np.array([0.0, 1.0, 1.0])
+    loss = lambda m: float(-(y * np.log(m.forward(x, bag)["s"]) + (1 - y) * np.log(1 - m.forward(x, bag)["s"])).mean())
+    m = quality.Model(np.zeros(4), np.ones(4))
+    before = loss(m)
+    m.fit(x, bag, y)
+    assert loss(m) < 0.2 * before
+
+
+def test_secrets_forest_and_redaction(spark):
+    held = secrets.labelled_findings(600, seed=99)
+    x = np.array([secrets.features(*f[:4]) for f in held])
+    right = (secrets.shipped().predict(x) >= secrets.CUT) == np.array([bool(f[4]) for f in held])
+    assert right.mean() > 0.97
+    key = "0123456789abcdef0a1b2c3d4e5f60718293a4b5"
+    rows = [(1, f'x token = "{key}" y'), (2, f"commit {key} fixes it"), (3, None), (4, "card 4363361756619572 mail a.26@mail6.example.com"), (5, f'é api_key="{key}" é api_key="{key}"')]
+    found = secrets.find(docs(spark, rows)).where("is_secret").collect()
+    assert sorted((r.doc_id, r.start, r.length) for r in found) == [(1, 11, 40), (5, 11, 40), (5, 64, 40)]
+    out = {r.doc_id: r for r in secrets.redact(docs(spark, rows)).collect()}
+    assert out[1].text == 'x token = "[SECRET]" y' and out[1].n_chars == len(out[1].text) and out[3].text is None
+    assert out[2].text == rows[1][1] and out[4].text == rows[3][1] and key not in out[5].text
+    assert secrets.find(docs(spark, EDGE)).where("is_secret").count() == 0
+
+
+def test_every_template_is_found(spark):
+    for name, text in licenses.TEMPLATES:
+        assert [m[0] for m in licenses.matches(f"some words before {text} and after")] == [name]
+    rows = EDGE + [(20, "Licensed under CC BY 4.0. " * 2 + "Released under the MIT Licence"), (21, "x " * 50000 + "Released under the MIT License. " + "y " * 50000)]
+    out = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert out[20].n_found == 3 or out[20].n_found == 2
+    assert out[21].license == "MIT" and out[21].start_word == 50000 and out[21].coverage == 1
+    assert out[1].license is None and out[1].coverage == 0 and out[5].n_found == 0
+
+
+def test_patience_is_an_alignment():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = ([str(v) for v in rng.integers(0, 9, rng.integers(0, 14))] for _ in range(2))
+        pairs = licenses.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        seq = [int(v) for v in rng.integers(0, 50, 12)]
+        up = [seq[i] for i in licenses.longest_increasing(seq)]
+        best = [1] * len(seq)
+        for i in range(len(seq)):
+            best[i] = 1 + max([best[j] for j in range(i) if seq[j] < seq[i]], default=0)
+        assert up == sorted(set(up)) and len(up) == max(best)
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body><header>Site, name, of, all, things</header><nav><ul><li><a href=/>A</a></li></ul></nav>
+<div class="ad">Buy, buy, buy, now</div><article><h1>Title &amp; more</h1><p><b>First,<br>line<p>Second &lt;x&gt; with  spaces
+and lines, more, of, it.</p><ul><li>One</li><li>Two &am</ul></article><div id="comments"><p>Nice post, thank you, friend, so much, really</p></div><aside>Side</aside><footer>&copy; foot</footer></body></html>"""
+
+
+def test_html(spark):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>just, text"), (4, "u", "<div>" * 3000 + "deep, text"), (5, "u", "plain words only"), (6, "u", "<table><tr><td>a, b<td>c</table>")]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {r.page_id: r.text for r in out}
+    assert text[1] == "Title & more\nFirst, line\nSecond <x> with spaces and lines, more, of, it.\nOne\nTwo &am"
+    assert text[2] == text[3] == "" and text[None] == "just, text" and text[4] == "deep, text" and text[5] == "plain words only" and text[6] == "a, b\nc"
+    assert all(r.n_chars == len(r.text) for r in out) and len(out) == len(rows)
