@@ -1 +1,4 @@
-"""Plans of docloom."""
+"""Queries by name, each with its SQL where SQL can express it."""
+
+from docloom.plans import retrieval_queries  # noqa: F401
+from docloom.plans.registry import QUERIES, SQL  # noqa: F401
