@@ -44,7 +44,7 @@ def html_to_text(c: Column) -> Column:
     c = F.regexp_replace(c, "<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return normalize_text(c)
+    return normalize_text(F.regexp_replace(c, r"\t+(?=\n|$)", ""))
 
 
 def drop_adjacent_repeats(values: Column) -> Column:
