@@ -6,7 +6,7 @@ equi-join on the document (and page), with the geometry as what remains of the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
@@ -59,7 +59,7 @@ def marker_targets(elements: DataFrame) -> DataFrame:
     return met.groupBy("footnote_id", "marker").agg(F.max_by("target_id", "reading_order").alias("target_id"))
 
 
-def footnote_score(parser: F.Column, marker: F.Column, same_page: F.Column, gap: F.Column, reading: F.Column, prefix: F.Column, y1: F.Column) -> F.Column:
+def footnote_score(parser: Column, marker: Column, same_page: Column, gap: Column, reading: Column, prefix: Column, y1: Column) -> Column:
     points = F.when(parser, 0.35).otherwise(0.0) + F.when(marker, 0.45).otherwise(0.0) + F.when(same_page, 0.15).otherwise(0.0)
     points = points + F.when(gap <= 0.08, 0.15).when(gap <= 0.18, 0.08).otherwise(0.0) + F.when(reading <= 2, 0.10).when(reading <= 5, 0.05).otherwise(0.0)
     return F.least(F.lit(0.98), points + F.when(prefix, 0.10).otherwise(0.0) + F.when(y1 >= 0.70, 0.05).otherwise(0.0))

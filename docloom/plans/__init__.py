@@ -1,4 +1,4 @@
 """Queries by name, each with its SQL where SQL can express it."""
 
-from docloom.plans import evidence_queries, relational_queries, retrieval_queries, structure_queries  # noqa: F401
+from docloom.plans import audit_queries, evidence_queries, relational_queries, retrieval_queries, structure_queries  # noqa: F401
 from docloom.plans.registry import QUERIES, SQL  # noqa: F401

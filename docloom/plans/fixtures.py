@@ -61,6 +61,31 @@ TABLES: dict[str, tuple[list[tuple[str, str]], list[tuple]]] = {
         [("doc", "string"), ("pos", "bigint"), ("level", "bigint"), ("title", "string")],
         [("d1", 0, 1, "One"), ("d1", 3, 2, "One A"), ("d1", 5, 3, "One A i"), ("d1", 8, 2, "One B"), ("d1", 9, 1, "Two"), ("d1", 12, 3, "Two i"), ("d2", 1, 2, "Alone"), ("d2", 4, 2, "Next")],
     ),
+    "fx_references": (
+        [("target_id", "string"), ("section_id", "string"), ("confidence", "double"), ("pages", "bigint"), ("side", "string")],
+        [("f1", "s1", 0.95, 0, "before"), ("f1", "s2", 0.95, 1, "before"), ("f2", "s1", 0.9, 1, "before"), ("f2", "s2", 0.9, 1, "before"), ("f3", "s3", 0.9, 3, "before"), ("f4", "s3", 0.9, 1, "after"), ("f4", "s4", 0.8, 2, "before"), ("f5", "s5", 0.7, 2, "after")],
+    ),
+    "fx_calls": (
+        [("example_id", "string"), ("session", "string"), ("step", "bigint"), ("action", "string"), ("target", "string"), ("valid", "boolean"), ("accepted", "boolean")],
+        [
+            ("x1", "a", 1, "SEARCH", "growth", True, True), ("x2", "a", 2, "SEARCH", "growth", True, False), ("x3", "a", 3, "READ_SOURCE", "e02", True, True), ("x4", "b", 1, "SEARCH", "cost", False, None), ("x4", "b", 2, "READ_SOURCE", "e11", True, True),
+            ("x5", "b", 3, "STOP", None, True, True), ("x6", "c", 1, "SEARCH", "growth", True, True),
+        ],
+    ),
+    "fx_firings": (
+        [("rule_id", "string"), ("document_id", "string"), ("element_id", "string"), ("status", "string")],
+        [("heading.style", "d1", "e1", "confirmed"), ("heading.style", "d1", "e2", "candidate"), ("heading.style", "d2", "e9", "confirmed"), ("caption.nearest", "d2", "e3", "confirmed"), ("caption.nearest", "d2", "e3", "confirmed")],
+    ),
+    "fx_scopes": (
+        [("question_id", "string"), ("scope", "string")],
+        [("g1", "first 3 pages"), ("g2", "last 2 pages"), ("g3", "pages 2-4"), ("g4", "pages 1, 3 and 5"), ("g5", "page 7"), ("g6", "whole document"), ("g7", "the appendix")],
+    ),
+    "fx_deltas": (
+        [("session", "string"), ("step", "bigint"), ("op", "string"), ("evidence_id", "string"), ("observation_id", "string")],
+        [
+            ("a", 1, "add", "v1", "o1"), ("a", 2, "add", "v2", "o2"), ("a", 3, "replace", "v1", "o3"), ("a", 4, "remove", "v2", None), ("a", 5, "add", "v3", "o9"), ("b", 1, "remove", "v1", None), ("b", 2, "add", "v1", "o1"), ("b", 3, "add", "v1", "o2"),
+        ],
+    ),
     "fx_cells": (
         [("table_id", "string"), ("r", "bigint"), ("c", "bigint"), ("rowspan", "bigint"), ("colspan", "bigint"), ("text", "string")],
         [("t1", 0, 0, 1, 2, "Head"), ("t1", 0, 2, 2, 1, "Tall"), ("t1", 1, 0, 1, 1, "a"), ("t1", 1, 1, 1, 1, "b"), ("t1", 2, 0, 1, 3, "wide"), ("t2", 0, 0, 1, 1, "x"), ("t2", 0, 0, 2, 1, "y")],

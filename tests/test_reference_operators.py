@@ -180,3 +180,25 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     EV.grow_index(documents, str(tmp_path / "index"), str(tmp_path / "c3"))
     want = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(T.base_tokens(F.col("text")))).count()
     assert spark.read.parquet(str(tmp_path / "index")).agg(F.sum("tf")).first()[0] == want
+
+
+def test_sections_and_state(spark):
+    from docloom.operators import audit as A
+    from docloom.operators import sections as SE
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("e", "d"), ("x", "y")], "a string, b string")
+    known = spark.createDataFrame([("a", "s1"), ("e", "s2")], "element_id string, section_id string")
+    got = {r.element_id: r.section_id for r in SE.inherit_along(edges, known).collect()}
+    assert got == {"a": "s1", "e": "s2", "b": "s1", "d": "s2"}  # c is reached from both sides at once
+    heads = [("d", p, 0, t, f, False) for p, t, f in ((0, "Local label", False), (1, "Local label", False), (2, "Local label", False), (0, "", False), (0, "see www.x.com", False), (0, "Top", True), (0, "12%", False), (0, "This is a whole sentence.", False), (0, "Fine Title", False))]
+    out = SE.eligibility(spark.createDataFrame(heads, "doc string, page int, pos int, text string, is_furniture boolean, after_table boolean")).collect()
+    assert sorted(r.reason or "-" for r in out) == sorted(["repeated_local_label"] * 3 + ["empty", "contact_or_url", "running_header_footer", "local_statistic", "functional_sentence", "-"])
+    caps = spark.createDataFrame([("d", "c1", "Market share by year"), ("d", "c2", "Other")], "doc string, element_id string, text string")
+    titles = spark.createDataFrame([("d", "s1", "Market"), ("d", "s2", "Market share"), ("d", "s3", "By")], "doc string, section_id string, title string")
+    assert [(r.element_id, r.section_id) for r in SE.title_anchors(caps, titles).collect()] == [("c1", "s2")]
+    fold = {(r.session, r.evidence_id): (r.observation_id, r.rejected) for r in A.evidence_fold(frame(spark, "fx_deltas")).collect()}
+    assert fold == {("a", "v1"): ("o3", 0), ("a", "v3"): ("o9", 0), ("b", "v1"): ("o1", 2)}
+    assert A.balanced_pick({"a": {"x": 1}, "b": {"x": 2}, "c": {"x": 5}}, 2, {"x": 3}) == ["b", "a"]
+    assert A.literal_pages("[3, 5]") == [3, 5] and A.literal_pages("3") == []
+    ranges = spark.createDataFrame([([(5, 8)],), ([(0, 2)],), ([(0, 2), (6, 7)],), ([],)], "r array<struct<start:int,stop:int>>")
+    assert [x[0] for x in ranges.select(A.match_scope(F.col("r"), F.lit(4), F.lit(9))).collect()] == ["content", "metadata", "mixed", "unknown"]
