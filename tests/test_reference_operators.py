@@ -202,3 +202,42 @@ def test_sections_and_state(spark):
     assert A.literal_pages("[3, 5]") == [3, 5] and A.literal_pages("3") == []
     ranges = spark.createDataFrame([([(5, 8)],), ([(0, 2)],), ([(0, 2), (6, 7)],), ([],)], "r array<struct<start:int,stop:int>>")
     assert [x[0] for x in ranges.select(A.match_scope(F.col("r"), F.lit(4), F.lit(9))).collect()] == ["content", "metadata", "mixed", "unknown"]
+
+
+BLOCK = "element_id string, page_index long, reading_order long, element_type string, text string, x1 double, y1 double, x2 double, y2 double, section_id string"
+
+
+def test_layout_continuations(spark):
+    from docloom.operators import continuation as CO
+
+    rows = [
+        ("l1", 0, 5, "list", "[1] A. Author, Title, 2001;", 0.1, 0.5, 0.9, 0.95, "s"), ("l2", 1, 0, "list", "[2] b. Other, Title, 2003", 0.1, 0.05, 0.9, 0.4, "s"), ("c1", 1, 5, "code", "def f(x):\n    y = x", 0.1, 0.6, 0.9, 0.9, "s"),
+        ("c2", 2, 0, "code", "    return y", 0.1, 0.05, 0.9, 0.2, "s"), ("c3", 3, 0, "code", "import os", 0.1, 0.5, 0.9, 0.6, "s"), ("c4", 3, 1, "code", "import os", 0.1, 0.5, 0.9, 0.62, "s"), ("n1", 3, 7, "footnote", "* one", 0.1, 0.90, 0.9, 0.92, "s"), ("n2", 3, 8, "footnote", "goes on", 0.1, 0.93, 0.9, 0.95, "s"),
+        ("v1", 4, 0, "figure", None, 0.1, 0.1, 0.45, 0.4, "s"), ("v2", 4, 1, "figure", None, 0.55, 0.1, 0.9, 0.4, "s"), ("k1", 4, 2, "caption", "Figure 1: both", 0.1, 0.42, 0.9, 0.45, "s"),
+    ]
+    e = spark.createDataFrame(rows, BLOCK)
+    pairs = lambda d: [tuple(r)[:2] for r in d.collect()]
+    assert pairs(CO.list_continuations(e)) == [("l1", "l2")] and pairs(CO.code_continuations(e)) == [("c1", "c2")]
+    assert pairs(CO.duplicate_code(e)) == [("c4", "c3")]
+    assert pairs(CO.markerless_notes(e, spark.createDataFrame([("n1", "t9")], "footnote_id string, target_id string"))) == [("n2", "t9")]
+    assert pairs(CO.panel_members(e, spark.createDataFrame([("k1", "v1")], "caption_id string, target_id string"))) == [("k1", "v2")]
+    heads = spark.createDataFrame([("g", 0, ["A"]), ("g", 1, None)], "group_id string, fragment_index int, headers array<string>")
+    assert [r.headers for r in CO.inherited_headers(heads).collect()] == [["A"], ["A"]]
+    found = {(r.group_id, r.fragment_index): (r.row_start, r.row_end, r.header_rows) for r in QUERIES["table_fragments_fx"](spark, "").collect()}
+    assert found == {("g", 0): (0, 3, 0), ("g", 1): (3, 5, 1), ("k", 0): (0, 2, 0), ("k", 1): (None, None, None)}
+
+
+def test_normalisation(spark):
+    from docloom.operators import normalize as N
+
+    code = spark.createDataFrame([("Algorithm 3 Sort",), ("for (i = 0; i < n; i++) {\n  f(i);\n}",), ("Click the button in the menu",), ("user: tell me",), ("A plain sentence about things.",)], "t string")
+    assert [r[0] for r in code.select(N.code_kind(F.col("t"), F.lit(None).cast("string"))).collect()] == ["algorithm", "code", "figure", "code", "paragraph"]
+    rows = [("t", 0, 0, "table", "x"), ("a", 0, 1, "paragraph", "a) first"), ("b", 0, 2, "paragraph", "b) second"), ("q1", 1, 0, "paragraph", "1. Why?"), ("q2", 1, 1, "list", "2. How?"), ("z", 1, 2, "paragraph", "end")]
+    e = spark.createDataFrame(rows, "element_id string, page_index long, reading_order long, element_type string, text string")
+    assert [(r.table_id, r.element_id) for r in N.lettered_notes(e).orderBy("element_id").collect()] == [("t", "a"), ("t", "b")]
+    assert [(r.page_index, r.blocks) for r in N.question_runs(e).collect()] == [(1, 2)]
+    units = N.numbered_units(spark.createDataFrame([("i", "1. One\n2. Two\nstill two")], "element_id string, text string")).collect()
+    assert [(r.unit, r.number) for r in units] == [(0, "1"), (1, "2")]
+    notes = spark.createDataFrame([("Source: X", "report", False), ("1 Note", "report", True), ("Call us", "report", False), ("plain note", "report", False)], "t string, p string, h boolean")
+    kinds = notes.select(N.footnote_kind(F.col("t"), F.col("p"), F.array(F.lit("paragraph")), F.lit(0.0), F.col("h")).alias("x")).select("x.*").collect()
+    assert [(r.kind, r.confidence, r.resolved) for r in kinds] == [("footnote", 0.97, True), ("footnote", 0.98, True), ("paragraph", 0.94, True), ("footnote", 0.70, False)]
