@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -24,6 +25,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+    # Shuffle files and checkpoints of earlier steps go when the driver's garbage does, which by itself is seldom.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return df.checkpoint()
 
 
