@@ -14,6 +14,7 @@ ignored. Sequence ids depend on how the input is split; the pieces and their ids
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -35,6 +36,7 @@ MERGED = 16
 REMEMBERED = 1_500_000
 END_ID = 2
 _TAIL = b".,!?%$#*&|;:"
+_PLAIN = re.compile(b"[a-z]+").fullmatch
 
 _encoders: dict[str, Encoder] = {}
 
@@ -49,12 +51,19 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         if one("It was\n\tso, as (it's) said 42 x") != [i for w in "It was so, as (it's) said 42 x".split() for i in one(w)]:
             raise ValueError("this tokenizer's ids depend on white space")
+        # Words of a-z are one unit whatever normaliser and pre-tokenizer do: the model alone gives their ids.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        tried = ["a", "the", "thtionings", "zzxqjkv", "internationalisation", "ouwheandble" * 3]
+        if any(one(w) != self.bare.encode(w, add_special_tokens=False).ids for w in tried):
+            self.bare = self.tokenizer
         self.folds = one("Ab") == one("ab") and all(one("ab1" + chr(c) * k + chr(d)) == one("ab1") + one(chr(c) * k + chr(d)) for c in _TAIL for d in _TAIL for k in (1, 2))
 
     def _stem(self, word: bytes) -> tuple[bytes, bytes]:
@@ -69,8 +78,11 @@ class Encoder:
             self.known.clear()
         parts = {w: self._stem(w) if self.folds else (w, b"") for w in fresh}
         units = [u for u in {u for p in parts.values() for u in p if u} if u not in self.known]
-        for u, e in zip(units, self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False), strict=True):
-            self.known[u] = np.array(e.ids, "<u4").tobytes()
+        plain = [u for u in units if _PLAIN(u)]
+        other = [u for u in units if not _PLAIN(u)]
+        for tokenizer, own in ((self.bare, plain), (self.tokenizer, other)):
+            for u, e in zip(own, tokenizer.encode_batch_fast([u.decode() for u in own], add_special_tokens=False), strict=True):
+                self.known[u] = np.array(e.ids, "<u4").tobytes()
         for w, (stem, tail) in parts.items():
             self.known[w] = self.known[stem] + (self.known[tail] if tail else b"")
 
