@@ -32,7 +32,7 @@ WINDOW = 4096
 OPEN = 64
 #: Partitions whose leftovers are merged together.
 MERGED = 16
-#: Words whose ids a worker remembers, at most.
+#: Words whose ids a worker remembers, at most, besides those of the texts at hand.
 REMEMBERED = 1_500_000
 END_ID = 2
 _TAIL = b".,!?%$#*&|;:"
@@ -74,8 +74,6 @@ class Encoder:
         return word, b""
 
     def _learn(self, fresh: set[bytes]) -> None:
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
         parts = {w: self._stem(w) if self.folds else (w, b"") for w in fresh}
         units = [u for u in {u for p in parts.values() for u in p if u} if u not in self.known]
         plain = [u for u in units if _PLAIN(u)]
@@ -88,14 +86,22 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        wanted = {w for t in split for w in t}
-        if fresh := wanted - self.known.keys():
+        rows = []
+        fresh: set[bytes] = set()
+        for t in texts:
+            found = list(map(self.known.get, words := t.split()))
+            try:
+                rows.append((b"".join(found), None))
+            except TypeError:  # a word that isn't known is None
+                fresh.update(w for w, ids in zip(words, found, strict=True) if ids is None)
+                rows.append((None, words))
+        if fresh and len(self.known) + len(fresh) > REMEMBERED:  # forget, and learn what these texts hold
+            self.known.clear()
+            fresh = {w for _, words in rows if words for w in words}
+        if fresh:
             self._learn(fresh)
-            if not wanted <= self.known.keys():  # it forgot some to make room
-                self._learn(wanted - self.known.keys())
-        for t in split:
-            yield b"".join(map(self.known.__getitem__, t))
+        for ids, words in rows:
+            yield ids if words is None else b"".join(map(self.known.__getitem__, words))
 
 
 def encoder(path: str) -> Encoder:
