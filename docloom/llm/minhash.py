@@ -120,7 +120,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: dict[str, list] = {k: [] for k in ("n_shingles", "digest", "c1", "s1", "c2", "s2")}
         for grams in shingle_sets(batch.column("text")):
-            own = classes(len(grams)) if len(grams) * 100 >= 100 + PERCENT * len(grams) else []
+            # no other set is similar enough to one that falls short even with a single shingle more
+            own = classes(len(grams)) if len(grams) * 100 >= PERCENT * (len(grams) + 1) else []
             own = [(c, registers(grams, c).tobytes()) for c in own[:2]] + [(None, None)] * 2
             rows["n_shingles"].append(len(grams))
             rows["digest"].append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)

@@ -76,6 +76,13 @@ def test_near_duplicates_small_tiles(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()} == comp
 
 
+def test_near_duplicates_smallest_sets_that_link(spark):
+    rows = [(1, "a b c d e f g h", "s"), (2, "a b c d e f g h i", "s"), (3, "k l m n o p q r", "s"), (4, "k l m n o p q", "s")]
+    _, comp = brute(rows)
+    assert comp == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()} == comp
+
+
 def test_near_duplicates_edge_rows(spark):
     assert minhash.near_duplicates(docs(spark, [(1, "a", "s")]).where("false")).count() == 0
     rows = [(5, "a b c d e f g", "s"), (5, "a b c d e f g", "s"), (None, "a b c d e f g", "s"), (None, "other text of its own", "s"), (7, None, "s")]
