@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of key characters with a digit, what a naming word is assigned, or a private-key block. The
+A candidate is a run of key characters with a digit, what a name with a naming word is assigned, a known shape of keys, or
+a private-key block. The
 forest sees its length, character classes and transitions, entropy, how much of it a dictionary covers, whether it
 looks like a path, URL, UUID or placeholder, and the words next to it. It is trained from labelled findings; the ones
 shipped are generated by labelled_findings() from a fixed seed, others may be given.
@@ -17,6 +18,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +38,15 @@ NEAR = 48
 
 _KEY = r"A-Za-z0-9+/=_.~\-"
 _RUN = re.compile(rf"(?<![{_KEY}])(?=[A-Za-z+/=_.~\-]*[0-9])[{_KEY}]{{12,}}")
-_NAMED = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|bearer|credentials?)\b[\"']?\s*(?:[:=]|=>)\s*[\"']?([^\s\"'<>,;]{6,})")
+# A name may have words before the naming word, and after it more words behind an underscore, hyphen, digit or capital.
+_NAMED = re.compile(
+    r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|bearer|credentials?)(?:s|[_A-Z0-9-][\w-]*)?[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"'<>,;]{6,})"
+)
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*=(?!=)")
+_SHAPE = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{8,}|"
+    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{8,})"
+)
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[\s\S]*?-----END \1-----")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HOLD = re.compile(r"(?i)(?:x{4,}|\*{3,}|example|sample|dummy|placeholder|change.?me|your[_-]|<.*>|\.\.\.|test.?(?:key|token)|redacted)")
@@ -60,22 +70,52 @@ NAMES = (
 )
 
 
+def _gaps(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that no taken one covers; taken is sorted and free of overlaps."""
+    for s, e in taken[max(0, bisect_left(taken, (start, start)) - 1) :]:
+        if s >= end:
+            break
+        if e > start:
+            if s > start:
+                yield start, s
+            start = e
+    if start < end:
+        yield start, end
+
+
+def _is_run(text: str, start: int, end: int) -> bool:
+    return end - start >= 12 and any(c in string.digits for c in text[start:end])
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of non-overlapping candidates in order; key blocks and named values come first."""
-    found: list[tuple[int, int, str]] = []
-    if "PRIVATE KEY-----" in text:
-        found += [(*m.span(), "private_key") for m in _PEM.finditer(text)]
+    """(start, end, kind) of non-overlapping candidates in order; key blocks, named values and known shapes come before runs."""
+    out = [(*m.span(), "private_key") for m in _PEM.finditer(text)] if "PRIVATE KEY-----" in text else []
+    taken = [c[:2] for c in out]
     if "=" in text or ":" in text:
-        found += [(*m.span(1), "assigned") for m in _NAMED.finditer(text)]
-    found += [(m.start(), m.start() + len(m.group().rstrip(".=-") or m.group()), "run") for m in _RUN.finditer(text)]
-    out: list[tuple[int, int, str]] = []
-    rank = {"private_key": 0, "assigned": 1, "run": 2}
-    taken: list[tuple[int, int]] = []
-    for s, e, kind in sorted(found, key=lambda x: (x[0], rank[x[2]], -x[1])):
-        if not taken or s >= taken[-1][1]:
-            taken.append((s, e))
-            out.append((s, e, kind))
-    return out
+        blocks, at = list(taken), 0
+        for m in _NAMED.finditer(text):
+            s, e = m.span(1)
+            while inner := _NAMED.match(text, s, e):
+                s, e = inner.span(1)
+            if list(_gaps(s, e, blocks)) == [(s, e)]:
+                name = m.start()
+                while name > at and (text[name - 1].isalnum() or text[name - 1] in "_.-"):
+                    name -= 1
+                out.append((s, e, "assigned"))
+                taken += _gaps(name, e, blocks)
+                at = e
+        taken.sort()
+    shapes = [m.span() for m in _SHAPE.finditer(text)]
+    shapes = [c for c in shapes if list(_gaps(*c, taken)) == [c]]
+    out += [(*c, "run") for c in shapes]
+    taken = sorted(taken + shapes)
+    for m in _RUN.finditer(text):
+        for s, e in _gaps(*m.span(), taken):
+            if _is_run(text, s, e):
+                while (name := _NAME.match(text, s, e)) and _is_run(text, name.end(), e):
+                    s = name.end()
+                out.append((s, s + len(text[s:e].rstrip(".=-") or text[s:e]), "run"))
+    return sorted(out)
 
 
 def _dictionary(value: str) -> float:
