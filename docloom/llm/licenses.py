@@ -3,8 +3,9 @@
 Words (letters and digits, lower case) of a text are aligned with those of each template: words that are unique in
 both are anchors, the longest increasing subsequence of them is kept, and the gaps between are aligned
 in the same way; equal words at the ends of a gap are matched first. Coverage is the share of a template's
-words that are matched. The alignment looks at the text around each cue word, as far as the template can reach from it,
-so a text that states a license twice has unique words in each place; all cues of a whole text are looked at.
+words that are matched. The alignment looks at the text around anchor words, as far as the template can reach from them,
+so a text that states a license twice has unique words in each place. Anchors are all places of the template's words that
+are rarest in the text, so many of these words that coverage cannot be reached without one of them.
 
 Defined results: null text is empty; a text without a license has license null, coverage 0 and n_found 0; of matches that
 overlap the one with more matched words stays; each input row gives one output row; null ids stay null; an empty
@@ -45,9 +46,10 @@ _BSD_TAIL = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
 )
 _GNU = (
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This program is "
-    "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This {what} is "
+    "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} License for more details."
 )
+_GPL = {"what": "program", "kind": "General Public"}
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT_GRANT),
     ("MIT", "Released under the MIT License."),
@@ -59,10 +61,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
      "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("GPL-2.0", _GNU.format(v=2)),
+    ("GPL-2.0", _GNU.format(v=2, **_GPL)),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", _GNU.format(v=3)),
+    ("GPL-3.0", _GNU.format(v=3, **_GPL)),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1", _GNU.format(v="2.1", what="library", kind="Lesser General Public")),
+    ("LGPL-3.0", _GNU.format(v=3, what="library", kind="Lesser General Public")),
+    ("LGPL-3.0", _GNU.format(v=3, what="program", kind="Lesser General Public")),
+    ("AGPL-3.0", _GNU.format(v=3, what="program", kind="Affero General Public")),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -73,8 +79,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
       (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"))),
     *((k, f"SPDX-License-Identifier: {k}") for k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0")),
 )
-_CUES = ("licens", "redistribut", "hereby granted", "spdx", "public domain")
-_CUE_WORDS = re.compile(r"licens|redistribut|^granted$|^spdx$|^unencumbered$")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -124,29 +128,42 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-_SPLIT = [(name, [w.lower() for w in _WORD.findall(text)]) for name, text in TEMPLATES]
+def _spots(template: list[str]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for k, w in enumerate(template):
+        out.setdefault(w, []).append(k)
+    return out
+
+
+_SPLIT = [(name, t, _spots(t)) for name, t in ((name, [w.lower() for w in _WORD.findall(text)]) for name, text in TEMPLATES)]
 
 
 def matches(text: str) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, first word, end word, matched words) of what a text states, in order, without overlaps."""
-    low = text.lower()
-    if not any(c in low for c in _CUES):
-        return []
-    words = _WORD.findall(low)
-    cues = [k for k, w in enumerate(words) if _CUE_WORDS.search(w)]
+    words = _WORD.findall(text.lower())
     known = set(words)
+    at: dict[str, list[int]] | None = None
     found: dict[tuple[str, int, int], tuple[float, int]] = {}
-    for name, template in _SPLIT:
+    for name, template, spots in _SPLIT:
         if sum(w in known for w in template) < COVERAGE * len(template):
             continue
-        spots = [k for k, w in enumerate(template) if _CUE_WORDS.search(w)]
-        before, after = max(spots) + 2, len(template) - min(spots) + 2
+        at = at or _spots(words)
+        # the words that are rarest in the text, so many that a match has one of them: the others fall short of COVERAGE
+        anchors: list[tuple[int, str]] = []
+        left = len(template)
+        for w in sorted(spots, key=lambda w: (len(at.get(w, ())), len(spots[w]), w)):
+            if left < COVERAGE * len(template):
+                break
+            anchors += ((k, w) for k in at.get(w, ()))
+            left -= len(spots[w])
         slack = len(template) // 4
         done = -1
-        for c in cues:
+        for c, w in sorted(anchors):
             if c < done:  # inside what the last alignment matched
                 continue
-            lo, hi = max(0, c - before - slack), min(len(words), c + after + slack)
+            lo, hi = max(0, c - spots[w][-1] - 2 - slack), min(len(words), c + len(template) - spots[w][0] + 2 + slack)
+            if sum(x in spots for x in words[lo:hi]) < COVERAGE * len(template):
+                continue
             pairs = patience(words[lo:hi], template)
             # outlying words that stand far from the rest are no part of the statement
             while pairs and len(pairs) < DENSITY * (pairs[-1][0] - pairs[0][0] + 1):

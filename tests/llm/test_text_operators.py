@@ -444,6 +444,36 @@ def test_every_template_is_found(spark):
     assert out[1].license is None and out[1].coverage == 0 and out[5].n_found == 0
 
 
+def test_licenses_without_cue_words():
+    """Wrapped, edited and misspelt statements, and statements whose cue words are gone."""
+    isc = next(t for k, t in licenses.TEMPLATES if k == "ISC")
+    free = next(t for k, t in licenses.TEMPLATES if k == "Unlicense")
+    gpl = next(t for k, t in licenses.TEMPLATES if k == "GPL-3.0")
+    lines = lambda t, n: "\n * ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    stated = lambda t: [(m[0], m[1]) for m in licenses.matches(f"some words before {t} and after")]
+    for n in range(1, 20):
+        assert stated(lines(isc, n)) == [("ISC", 1.0)] and stated(lines(free, n)) == [("Unlicense", 1.0)]
+    assert stated("Released under the MIT Licence.") == [("MIT", 0.8)]
+    for old, new in (("granted", "grantd"), ("hereby granted", "given"), ("Permission", "Permision")):
+        assert [k for k, _ in stated(isc.replace(old, new))] == ["ISC"]
+    assert [k for k, _ in stated(free.replace("unencumbered", "unencumberd"))] == ["Unlicense"]
+    assert [k for k, _ in stated(gpl.replace("License", "Licence").replace("redistribute", "redistribut"))] == ["GPL-3.0"]
+    assert stated("free of charge to any person, and to permit persons to do so, is what the authors provided in general") == []
+
+
+def test_licenses_gnu_headers():
+    head = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} License for more details."
+    )
+    library = lambda k, v: head.format(k, v).replace("program", "library")
+    for want, text in (
+        ("AGPL-3.0", head.format("Affero General Public", 3)), ("LGPL-3.0", head.format("Lesser General Public", 3)), ("LGPL-3.0", library("Lesser General Public", 3)),
+        ("LGPL-2.1", library("Lesser General Public", "2.1")), ("GPL-3.0", head.format("General Public", 3)), ("GPL-2.0", head.format("General Public", 2)),
+    ):
+        assert [m[:2] for m in licenses.matches(text)] == [(want, 1.0)]
+
+
 def test_patience_is_an_alignment():
     rng = np.random.default_rng(2)
     for _ in range(200):
