@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import clean_answer, is_not_answerable, recall_terms
+from docloom.lineage import cut_lineage
 
 #: Actions that the environment takes by itself; they cost no budget.
 FREE_ACTIONS = ("initialize", "recheck", "finalize")
@@ -17,16 +18,19 @@ def dependencies(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(needs).alias("needs"))
 
 
-def graph_errors(spark: SparkSession, questions: DataFrame, depth: int = 16) -> DataFrame:
-    """(question_id, error): unknown or own dependencies, and members of cycles up to a depth."""
+def graph_errors(questions: DataFrame) -> DataFrame:
+    """(question_id, error): unknown or own dependencies, and members of cycles of any length."""
     edges = dependencies(questions)
     unknown = edges.join(questions.select(F.col("question_id").alias("needs")), "needs", "left_anti").select("question_id", F.lit("unknown_dependency").alias("error"))
     own = edges.where("question_id = needs").select("question_id", F.lit("self_dependency").alias("error"))
-    edges.where("question_id <> needs").createOrReplaceTempView("_question_edges")
-    reach = spark.sql(
-        f"with recursive reach as (select question_id, needs, 1 as hops from _question_edges union all select r.question_id, e.needs, r.hops + 1 from reach r join _question_edges e on e.question_id = r.needs where r.hops < {int(depth)} and r.needs <> r.question_id) "
-        "select distinct question_id from reach where question_id = needs")
-    return unknown.union(own).union(reach.select("question_id", F.lit("cycle").alias("error"))).distinct()
+    reach = cut_lineage(edges.where("question_id <> needs").distinct())
+    before, now = 0, reach.count()
+    while now > before:  # each round doubles the length of the paths
+        further = reach.select("question_id", F.col("needs").alias("via")).join(reach.select(F.col("question_id").alias("via"), "needs"), "via").select("question_id", "needs")
+        reach = cut_lineage(reach.union(further).distinct())
+        before, now = now, reach.count()
+    cycles = reach.where("question_id = needs").select("question_id", F.lit("cycle").alias("error"))
+    return unknown.union(own).union(cycles).distinct()
 
 
 def runnable(questions: DataFrame) -> DataFrame:

@@ -6,11 +6,14 @@ equi-join on the document (and page), with the geometry as what remains of the c
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
 from docloom.functions.text import LABELS, lower_start, open_ended
+from docloom.lineage import cut_lineage
 
 BOX = ("x1", "y1", "x2", "y2")
 COMPATIBLE = {"figure": ("figure", "chart"), "table": ("table",)}
@@ -122,3 +125,16 @@ def referential_errors(relations: DataFrame, elements: DataFrame) -> DataFrame:
     ends = [relations.select("relation_id", F.col(f"{k}_id").alias("id"), F.lit(f"unknown_{k}").alias("error")).join(known, "id", "left_anti") for k in ("source", "target")]
     own = relations.where("source_id = target_id").select("relation_id", F.lit("self_relation").alias("error"))
     return ends[0].select("relation_id", "error").union(ends[1].select("relation_id", "error")).union(own)
+
+
+def continuation_closure(relations: DataFrame, least: float = 0.6) -> DataFrame:
+    """relations(source_id, target_id, kind, confidence) -> (source_id, target_id, hops): all that a chain of continuations reaches, by its shortest path."""
+    edges = cut_lineage(relations.where((F.col("kind") == "continues") & (F.col("confidence") >= least)).select("source_id", "target_id").distinct())
+    fresh = now = edges.withColumn("hops", F.lit(1))
+    for hops in count(2):
+        step = fresh.select("source_id", F.col("target_id").alias("via")).join(edges.select(F.col("source_id").alias("via"), "target_id"), "via").select("source_id", "target_id").distinct()
+        seen = now.select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
+        fresh = cut_lineage(step.join(seen, F.col("source_id").eqNullSafe(F.col("s")) & F.col("target_id").eqNullSafe(F.col("t")), "left_anti").withColumn("hops", F.lit(hops)))
+        if fresh.isEmpty():
+            return now
+        now = cut_lineage(now.unionByName(fresh))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +31,19 @@ def inherit(relations: DataFrame, resolved: DataFrame, kinds: tuple[str, ...] =
     return relations.where(F.col("kind").isin(*kinds)).join(resolved.select(F.col("target_id"), "section_id"), "target_id").select(F.col("source_id").alias("element_id"), "section_id")
 
 
-def inherit_along(edges: DataFrame, known: DataFrame, rounds: int = 8) -> DataFrame:
+def inherit_along(edges: DataFrame, known: DataFrame) -> DataFrame:
     """edges(a, b) undirected, known(element_id, section_id): what a chain of confirmed continuations hands on.
 
-    Each round reaches one edge further; an element that two sections reach at once gets none.
+    Each round reaches one edge further, until a round reaches nothing new; an element that two sections reach at once gets none.
     """
     both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = known.select("element_id", "section_id", F.lit(0).alias("round"))
-    for i in range(1, rounds + 1):
+    for i in count(1):
         reached = both.join(now.select(F.col("element_id").alias("a"), "section_id"), "a").select(F.col("b").alias("element_id"), "section_id").join(now, "element_id", "left_anti")
         fresh = cut_lineage(reached.groupBy("element_id").agg(F.min("section_id").alias("section_id"), F.max("section_id").alias("other")).where("section_id = other").select("element_id", "section_id", F.lit(i).alias("round")))
         if fresh.isEmpty():
-            break
+            return now
         now = cut_lineage(now.unionByName(fresh))
-    return now
 
 
 def title_anchors(captions: DataFrame, sections: DataFrame, least: int = 6) -> DataFrame:

@@ -18,7 +18,7 @@ _EDGES = f"{cte('fx_questions')}, e as (select question_id, unnest(list_filter(s
 @query(f"""with recursive {_EDGES}, reach as (select question_id, needs, 1 as hops from e where question_id <> needs union all select r.question_id, e.needs, r.hops + 1 from reach r join e on e.question_id = r.needs and e.question_id <> e.needs where r.hops < 16 and r.needs <> r.question_id)
     select distinct question_id, 'unknown_dependency' as error from e where needs not in (select question_id from fx_questions) union all select question_id, 'self_dependency' from e where question_id = needs union all select distinct question_id, 'cycle' from reach where question_id = needs""")
 def question_graph_errors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.graph_errors(spark, frame(spark, "fx_questions"))
+    return V.graph_errors(frame(spark, "fx_questions"))
 
 
 @query(f"with {_EDGES}, b as (select e.question_id from e left join fx_questions q on e.needs = q.question_id where q.status is null or q.status <> 'done') select question_id, row_number() over (order by position) as turn from fx_questions where status <> 'done' and question_id not in (select question_id from b)")

@@ -157,12 +157,8 @@ _REACH = "with recursive {cte}, reach as (select source_id, target_id, 1 as hops
 
 @query(_REACH.format(cte=cte("fx_relations")))
 def continuation_closure_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a continuation reaches, by a recursive query with bounded depth."""
-    frame(spark, "fx_relations").createOrReplaceTempView("fx_relations")
-    found = spark.sql(
-        "with recursive reach as (select source_id, target_id, 1 as hops from fx_relations where kind = 'continues' and confidence >= 0.6 union all select r.source_id, f.target_id, r.hops + 1 from reach r join fx_relations f on f.source_id = r.target_id "
-        "and f.kind = 'continues' and f.confidence >= 0.6 where r.hops < 8) select source_id, target_id, min(hops) as hops from reach group by source_id, target_id")
-    return found
+    """What a continuation reaches, over any number of edges."""
+    return X.continuation_closure(frame(spark, "fx_relations"))
 
 
 @query(f"""with {cte('fx_cells')} select table_id, r + i as row, c + j as col, count(*) as anchors, min(text) as text from fx_cells, range(0, 10) a(i), range(0, 10) b(j) where i < rowspan and j < colspan group by all""")

@@ -182,6 +182,23 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "index")).agg(F.sum("tf")).first()[0] == want
 
 
+def test_long_chains_and_cycles(spark):
+    from docloom.operators import evidence as V
+    from docloom.operators import relations as R
+    from docloom.operators import sections as SE
+
+    chain = [(f"e{i:02}", f"e{i + 1:02}") for i in range(20)]
+    known = spark.createDataFrame([("e00", "s1")], "element_id string, section_id string")
+    got = {r.element_id: (r.section_id, r.round) for r in SE.inherit_along(spark.createDataFrame(chain, "a string, b string"), known).collect()}
+    assert got == {f"e{i:02}": ("s1", i) for i in range(21)}
+    rows = [(a, b, "continues", 0.9) for a, b in chain] + [("e20", "e00", "continues", 0.9), ("e05", "x", "continues", 0.5), ("e05", "y", "caption_of", 0.9)]
+    reach = {(r.source_id, r.target_id): r.hops for r in R.continuation_closure(spark.createDataFrame(rows, "source_id string, target_id string, kind string, confidence double")).collect()}
+    assert reach == {(f"e{i:02}", f"e{j:02}"): (j - i) % 21 or 21 for i in range(21) for j in range(21)}
+    asked = [(f"q{i}", f"q{(i + 1) % 20}") for i in range(20)] + [("p", "q0"), ("r", "r"), ("t", "gone"), ("u", "")]
+    errors = {(r.question_id, r.error) for r in V.graph_errors(spark.createDataFrame(asked, "question_id string, depends_on string")).collect()}
+    assert errors == {(f"q{i}", "cycle") for i in range(20)} | {("r", "self_dependency"), ("t", "unknown_dependency")}
+
+
 def test_sections_and_state(spark):
     from docloom.operators import audit as A
     from docloom.operators import sections as SE
