@@ -1,15 +1,63 @@
-"""Cutting lineage between rounds of an iteration, in a folder that all executors share."""
+"""Cutting lineage between the steps of a job, by tables in a folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_left: dict[str, SparkSession] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only where none is set and Spark is one local process, an own temporary one; a cluster without a setting is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="docloom-")
+    spark.sparkContext.setCheckpointDir(own)
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def cut_lineage(rows: DataFrame) -> DataFrame:
-    """Checkpoint into the folder of spark.checkpoint.dir; only where none is set, as in tests, into an own one."""
+    """The rows, written as a table to the shared folder and read back; the shuffle files of the job that made them go at its end.
+
+    A lost executor costs nothing of what was written. release() removes the table; what is left goes when the driver ends.
+    """
     spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-    return rows.checkpoint()
+    path = f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out._cut_path = path
+    _left[path] = spark
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of tables that cut_lineage() wrote. Nothing that is still to be computed may read them."""
+    for rows in tables:
+        _delete(_left.pop(rows._cut_path), rows._cut_path)
+
+
+@atexit.register
+def _end() -> None:
+    for path, spark in _left.items():
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
