@@ -1,15 +1,15 @@
-"""Helpers that several operators share: shared-folder checkpoints, word hashing on Arrow buffers."""
+"""Helpers that several operators share: tables, lineage, word hashing on Arrow buffers."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.lineage import cut_lineage, release  # noqa: F401
+
 #: Bytes of text that one vectorised step holds at a time; a longer text is one step of its own.
 STEP_BYTES = 4 << 20
 
@@ -20,17 +20,6 @@ _LOWER[65:91] += 32
 _U = np.uint64
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder that the cluster names in spark.checkpoint.dir; only where none is set, into an own one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-    # Shuffle files and checkpoints of earlier steps go when the driver's garbage does, which by itself is seldom.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut_lineage
+from docloom.llm.common import cut_lineage, release
 
-#: Steps halve the distance to the smallest id; so many would do for 2**60 nodes in a row.
+#: Steps halve the distance to the smallest id; so many would do for 2**60 nodes in a row. More is an error.
 MAX_STEPS = 64
 
 
@@ -33,11 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = cut_lineage(small)
+        before, now = now, cut_lineage(small)
+        release(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components have not settled after {MAX_STEPS} steps")
     # every node now points at its root; the roots point at themselves
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -69,9 +69,8 @@ class Encoder:
     def _stem(self, word: bytes) -> tuple[bytes, bytes]:
         word = word.lower()
         stem = word.rstrip(_TAIL)
-        if stem and (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode()[-1].isalnum()):
-            return stem, word[len(stem) :]
-        return word, b""
+        # other letters may fold to a letter and a mark, which the tokenizer joins with what follows
+        return (stem, word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
 
     def _learn(self, fresh: set[bytes]) -> None:
         parts = {w: self._stem(w) if self.folds else (w, b"") for w in fresh}

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from docloom.llm import chat, components, embeddings, minhash, mixing
 from docloom.llm.queries import op9_chat_formatting
@@ -30,14 +31,14 @@ def roots(nodes, links):
     return {v: find(v) for v in nodes}
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
-    sets = {i: shingles(t) for i, t, _ in rows}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+def brute(rows, width=3, percent=85):
+    sets = {i: shingles(t, width) for i, t, _ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     return sets, roots(sets, links)
 
 
@@ -58,10 +59,11 @@ def near_rows(seed, groups=6, each=30):
     return out
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("rule", [minhash.THREE_85, minhash.FIVE_80])
+def test_near_duplicates_match_brute_force(spark, rule):
     rows = near_rows(1)
-    sets, comp = brute(rows)
-    out = minhash.near_duplicates(docs(spark, rows)).collect()
+    sets, comp = brute(rows, rule.width, rule.percent)
+    out = minhash.near_duplicates(docs(spark, rows), rule).collect()
     assert len(out) == len(rows)
     for r in out:
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), comp[r.doc_id], r.doc_id == comp[r.doc_id])
@@ -83,6 +85,28 @@ def test_near_duplicates_smallest_sets_that_link(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()} == comp
 
 
+@pytest.mark.parametrize("rule", [minhash.THREE_85, minhash.FIVE_80])
+def test_near_duplicates_insertions_and_deletions_around_the_smallest_sets(spark, rule):
+    """Bases of 1 to 14 shingles, with words added or taken away at the ends and inside."""
+    rows, n = [], 0
+    for size in range(1, 15):
+        base = [f"{size}b{k}" for k in range(size + rule.width - 1)]
+        for w in (base, [*base, "new"], ["new", *base], base[1:], base[:-1], base[: size // 2] + base[size // 2 + 1 :], [*base, "one", "two"], [*base[: size // 2], "new", *base[size // 2 :]]):
+            rows.append((n, " ".join(w), "s"))
+            n += 1
+    sets, comp = brute(rows, rule.width, rule.percent)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), rule).collect()} == comp
+    assert len({len(sets[i]) for i, c in comp.items() if i != c}) > 8
+
+
+def test_near_duplicates_tiles_hold_bounded_bytes(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i : i + 150]), "s") for i in range(0, 120, 2)]
+    monkeypatch.setattr(minhash, "TILE_BYTES", 8 * 150 * 8)
+    _, comp = brute(rows)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()} == comp
+
+
 def test_near_duplicates_edge_rows(spark):
     assert minhash.near_duplicates(docs(spark, [(1, "a", "s")]).where("false")).count() == 0
     rows = [(5, "a b c d e f g", "s"), (5, "a b c d e f g", "s"), (None, "a b c d e f g", "s"), (None, "other text of its own", "s"), (7, None, "s")]
@@ -92,17 +116,18 @@ def test_near_duplicates_edge_rows(spark):
     assert kept.columns == docs(spark, rows).columns and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id = 7").count() == 1
 
 
-def test_sketch_estimates_and_classes():
+@pytest.mark.parametrize("rule", [minhash.THREE_85, minhash.FIVE_80])
+def test_sketch_estimates_and_classes(rule):
     rng = np.random.default_rng(4)
     for n in (6, 40, 300, 3000, 40000):
         pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
         a, b = np.unique(pool[: int(1.1 * n)]), np.unique(pool[int(0.1 * n) : int(1.2 * n)])
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        both = set(minhash.classes(len(a))) & set(minhash.classes(len(b)))
-        assert both and int(minhash.own_class(np.array([max(len(a), len(b))]))[0]) in both
+        both = set(minhash.classes(len(a), rule)) & set(minhash.classes(len(b), rule))
         c = min(both)
-        equal = (minhash.registers(a, c) == minhash.registers(b, c)).sum()
+        equal = (minhash.registers(a, c, rule) == minhash.registers(b, c, rule)).mean()
         assert abs(float(minhash.estimate(np.array([equal]), np.array([len(a)]), np.array([len(b)]))[0]) - true) < 0.16
+    assert (1 - (rule.percent / 100) ** rule.rows) ** rule.bands < 6e-8
 
 
 def test_components(spark):
@@ -225,7 +250,7 @@ def test_pipeline(spark, sf):
     a = stages["quality"](spark, given, sf)
     first = a.collect()
     assert a.columns == given.columns and {r.doc_id for r in first} == {i for i, p in scores.items() if p}
-    _, comp = brute([(r.doc_id, r.text, "") for r in first])
+    _, comp = brute([(r.doc_id, r.text, "") for r in first], 5, 80)
     a = spark.createDataFrame(first, given.schema)
     b = stages["near_dedup"](spark, a, sf).collect()
     assert {r.doc_id for r in b} == set(comp.values()) and len(b) == len(set(comp.values()))

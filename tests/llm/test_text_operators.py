@@ -52,6 +52,21 @@ def test_packing_holds_every_id_once(spark, windows):
         assert at <= 512
 
 
+def test_packing_ids_are_the_tokenizers():
+    """Random texts of letters that fold, marks, punctuation, white space and control strings."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    tokenizer, ids_of = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    r = random.Random(6)
+    chars = list("abzAZ019.,!?%$#*&|;:'\"-_()/\\ \n\t") + list("İıſßÄéñΣς\u0301\u00a0\u2019…—中文あ👍𝒜ǅŉ") + [" ", "'s ", "<s>", "it's", "</s>"]
+    texts = ["".join(r.choice(chars) for _ in range(r.randint(1, 14))) for _ in range(20000)] + ["İ?", "Straße!", "OLÉ!!", "x İ. y"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = list(ids_of.encode([t.encode() for t in texts]))
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_packing_pads_little(spark, sf):
     rows = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer_path()).groupBy("sequence_id").sum("length").collect()
     assert sum(r[1] for r in rows) > 0.97 * 4096 * len(rows)
