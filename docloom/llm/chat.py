@@ -9,8 +9,14 @@ stands if no replacing event that follows it names its turn or an earlier one. r
 where inside roles and texts every backslash is doubled and "<|" becomes "<\\|", so that no control
 string can stand there and read() gets back what was written. The loss mask covers assistant texts.
 
+event_log() gives the log by which stored conversations come about: assistant turns are streamed in deltas of DELTA
+characters, and of each conversation one turn is first written otherwise and then edited (users) or regenerated
+(assistants), before what follows it is said again.
+
 Defined results: null roles and texts are empty; turns of a conversation are ordered by turn, nulls first,
-then by role and text; a null conv_id is one conversation; repeated rows are turns of their own; an empty
+then by role and text; a null conv_id is one conversation, a null turn is one turn, the first; events of equal seq are
+folded as message, edit, regenerate, delta, then by turn, text and role; other kinds are ignored; a turn's role is the first that is
+not null; repeated rows of messages are turns of their own, repeated events are folded each; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -21,6 +27,8 @@ from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 MASKED_ROLE = "assistant"
+DELTA = 64
+_KINDS = ("message", "edit", "regenerate", "delta")
 
 
 def escape(text: Column) -> Column:
@@ -31,21 +39,48 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def event_log(messages: DataFrame) -> DataFrame:
+    """messages(conv_id, turn, role, text) -> events(conv_id, seq, turn, kind, role, text) that fold to the same turns, numbered from 1."""
+    place = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = messages.select(
+        "conv_id", F.row_number().over(place).alias("turn"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"), "role", F.coalesce("text", F.lit("")).alias("text"),
+    ).withColumn("redone", F.pmod(F.xxhash64("conv_id"), "n") + 1)
+    event = lambda kind, text, role=None: F.struct(F.lit(kind).alias("kind"), (F.col("role") if role is None else role).alias("role"), text.alias("text"))
+    nobody = F.lit(None).cast("string")
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / DELTA).cast("int"))
+    deltas = F.transform(starts, lambda k: event("delta", F.substring("text", k * DELTA + 1, F.lit(DELTA)), nobody))
+    streamed = F.concat(F.array(event("message", F.lit(""))), deltas)
+    said = F.when(F.col("role").eqNullSafe(MASKED_ROLE), streamed).otherwise(F.array(event("message", F.col("text"))))
+    # a draft, and once more what it was meant to be; the turn after it is begun too early and must go
+    early = F.array(event("message", F.concat(F.lit("draft of "), F.col("text"))), event("delta", F.lit(", cut short"), nobody))
+    again = F.when(F.col("role").eqNullSafe(MASKED_ROLE), F.concat(F.array(event("regenerate", nobody)), deltas)).otherwise(F.array(event("edit", F.col("text"))))
+    whole = F.when(F.col("turn") == F.col("redone"), early).otherwise(F.when(F.col("turn") == F.col("redone") + 1, F.array(event("message", F.lit("too early")))))
+    # first pass: turns up to the draft and one beyond; second pass: the correction and what follows
+    once = F.when(F.col("turn") < F.col("redone"), said).otherwise(F.coalesce(whole, F.array().cast("array<struct<kind:string,role:string,text:string>>")))
+    twice = F.when(F.col("turn") == F.col("redone"), again).when(F.col("turn") > F.col("redone"), said)
+    passes = F.array(F.struct(F.lit(0).alias("pass"), once.alias("events")), F.struct(F.lit(1).alias("pass"), twice.alias("events")))
+    parts = rows.select("conv_id", "turn", F.inline(passes)).select("conv_id", "turn", "pass", F.posexplode("events").alias("k", "e"))
+    # a log's order: pass, turn, place inside the turn
+    seq = F.col("pass") * F.lit(1 << 60) + F.col("turn").cast("long") * F.lit(1 << 28) + F.col("k")
+    return parts.select("conv_id", seq.alias("seq"), F.col("turn").cast("long").alias("turn"), "e.kind", "e.role", "e.text")
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """events(conv_id, seq, turn, kind, role, text) -> messages(conv_id, turn, role, text).
 
     kind: message and delta add text to their turn; edit and regenerate replace it and drop later turns, an
-    edit with its own text, a regeneration with what its own text and later deltas give. Other kinds are ignored.
+    edit with its own text, a regeneration with what its own text and later deltas give.
     """
-    known = events.where(F.col("kind").isin("message", "delta", "edit", "regenerate"))
-    replaces = F.when(F.col("kind").isin("edit", "regenerate"), F.col("turn"))
-    order = (F.col("seq"), F.col("turn"), F.col("kind"), F.col("text"))
-    later = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    standing = known.withColumn("_cut", F.min(replaces).over(later)).where("_cut is null or turn < _cut")
-    parts = F.sort_array(F.collect_list(F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"), "role")))
+    kind = F.array_position(F.array(*map(F.lit, _KINDS)), F.col("kind"))
+    # a null turn stands before all others
+    known = events.where(F.col("kind").isin(*_KINDS)).select("conv_id", "seq", "turn", F.coalesce("turn", F.lit(-(1 << 63))).alias("_turn"), kind.alias("_kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    replaces = F.when(F.col("_kind").between(2, 3), F.col("_turn"))
+    later = Window.partitionBy("conv_id").orderBy("seq", "_kind", "_turn", "text", "role").rowsBetween(1, Window.unboundedFollowing)
+    standing = known.withColumn("_cut", F.min(replaces).over(later)).where("_cut is null or _turn < _cut")
+    parts = F.sort_array(F.collect_list(F.struct("seq", "_kind", "text", "role")))
     return (
         standing.groupBy("conv_id", "turn").agg(parts.alias("p"))
-        .select("conv_id", "turn", F.expr("filter(p, x -> x.role is not null)[0].role").alias("role"), F.array_join(F.col("p.text"), "").alias("text"))
+        .select("conv_id", "turn", F.coalesce(F.get(F.filter(F.col("p.role"), lambda x: x.isNotNull()), F.lit(0)), F.lit("")).alias("role"), F.array_join(F.col("p.text"), "").alias("text"))
     )
 
 

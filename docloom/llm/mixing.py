@@ -1,15 +1,15 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-The documents of each source are shuffled by a hash and queued up to REPEATS times over. A document's
-virtual finish time is the number of its source's words up to and with it, divided by the source's weight.
-Served in the order of these times, every source gets words by weight until it has no more; the queue is
-truncated at the time at which the whole budget is served. That time is the level at which the targets
-min(REPEATS * words, level * weight) add up to the budget, so sources that run out hand their share to the others by
-weight. Then each source takes, FILLS times, the one further document that brings it nearest to its target, if
-one does.
+The documents of each source are shuffled by a hash and queued REPEATS times over. The virtual finish time of a copy of a
+document is the number of its source's words up to and with it, divided by the source's weight. All copies are range-sorted
+by finish time; the words of the range partitions, summed up in order, show in which of them the budget ends, and a running
+total inside that one gives the copy at which the queue is truncated. A document is taken as often as its copies come up
+to there. So every source gets words by weight until it has no more, and those that run out leave their share to the others.
+Then each source takes, FILLS times, the one further document that brings it nearest to its target, if one does.
 
-Cumulative words come from two levels of sums: SLICES slices of a source by hash, then the documents
-inside a slice; so a source with a third of all rows is spread over as many tasks.
+A source's target is min(REPEATS * words, level * weight), where the targets add up to the budget; the level rises until no
+further source is above its cap. Cumulative words come from two levels of sums: SLICES slices of a source by hash, then the
+documents inside a slice; joins are by source and slice. So a source with a third of all rows is spread over as many tasks.
 
 Defined results: null text has size 0; documents of size 0 are taken 0 times; a null source is one source,
 the last; repeated rows count each, ties in the shuffle go by doc_id and size; an empty table gives an
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut_lineage
+from docloom.llm.common import cut_lineage, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -30,93 +30,133 @@ SLICES = 1024
 #: Rounds in which a source takes one more document.
 FILLS = 3
 _P = "_mix_"
-
-
-def _targets(slices: DataFrame, weights: tuple[int, ...], repeats: int, share: float) -> DataFrame:
-    """One row a source: its words, weight and target. Sources are few rows, with sums made beforehand."""
-    w = {k: f"{_P}{k}" for k in ("source", "words", "weight", "full", "before", "after", "level", "total", "cap")}
-    per = slices.groupBy(w["source"]).agg(F.sum(f"{_P}slice_words").alias(w["words"]))
-    place = F.row_number().over(Window.orderBy(F.col(w["source"]).asc_nulls_last())) - 1
-    per = per.withColumn(w["weight"], F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (place % len(weights) + 1).cast("int")))
-    per = per.withColumn(w["cap"], F.col(w["words"]).cast("double") * repeats)
-    order = Window.orderBy(F.col(w["cap"]) / F.col(w["weight"]), F.col(w["source"]).asc_nulls_first())
-    everything = Window.partitionBy(F.lit(0))
-    per = (
-        per.withColumn(w["total"], F.sum(w["words"]).over(everything) * F.lit(share))
-        .withColumn(w["before"], F.coalesce(F.sum(w["cap"]).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn(w["after"], F.sum(w["weight"]).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    )
-    # the first source, by room for its weight, that is not filled at the level of all from it on
-    level = F.when((F.col(w["total"]) - F.col(w["before"])) / F.col(w["after"]) <= F.col(w["cap"]) / F.col(w["weight"]), (F.col(w["total"]) - F.col(w["before"])) / F.col(w["after"]))
-    per = per.withColumn(w["level"], F.first(level, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    target = F.least(F.col(w["cap"]), F.coalesce(w["level"], F.lit(float("inf"))) * F.col(w["weight"]))
-    return per.select(w["source"], w["words"], w["weight"], F.coalesce(w["level"], F.max(F.col(w["cap"]) / F.col(w["weight"])).over(everything)).alias(w["level"]), target.alias(f"{_P}target"))
-
-
-def _copies(words_before: Column, size: Column) -> Column:
-    """How often a document's virtual finish time falls before the truncation."""
-    room = F.col(f"{_P}target") - words_before - size
-    rounds = F.floor((room + 1e-6) / F.greatest(F.col(f"{_P}words"), F.lit(1))) + 1
-    return F.when(size > 0, F.greatest(F.lit(0), F.least(rounds, F.lit(REPEATS)))).otherwise(0).cast("long")
+_SOURCE, _SLICE, _BEFORE, _COPIES, _WORDS, _WEIGHT, _TARGET, _PART = (f"{_P}{k}" for k in ("source", "slice", "before", "copies", "words", "weight", "target", "part"))
+
+
+def _parts(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows range-sorted over partitions, written with the number of each row's partition."""
+    return cut_lineage(rows.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id()))
+
+
+def _sums(parts: DataFrame, value: str) -> DataFrame:
+    """For each range partition, one row: the total of those before it, and the total with it."""
+    sums = parts.groupBy(_PART).agg(F.sum(value).alias(f"{_P}sum"))
+    upto = F.sum(f"{_P}sum").over(Window.orderBy(_PART))
+    return sums.select(_PART, (upto - F.col(f"{_P}sum")).alias(f"{_P}lo"), upto.alias(f"{_P}hi"))
+
+
+def _weighted(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """Weights in turn, in the order of the sources."""
+    parts = _parts(sources.withColumn(f"{_P}one", F.lit(1)), _SOURCE)
+    place = F.col(f"{_P}lo") + F.row_number().over(Window.partitionBy(_PART).orderBy(_SOURCE)) - 1
+    # _sums has one row a partition
+    placed = parts.join(F.broadcast(_sums(parts, f"{_P}one")), _PART)
+    return placed.select(_SOURCE, _WORDS, F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (place % len(weights) + 1).cast("int")).alias(_WEIGHT))
+
+
+def _targets(sources: DataFrame, share: float) -> DataFrame:
+    """Adds the target; one aggregate a rise of the level."""
+    cap = F.col(_WORDS).cast("double") * REPEATS
+    first = sources.agg(F.sum(_WORDS).alias("words"), F.sum(_WEIGHT).alias("weight")).first()
+    total = (first.words or 0) * share
+    level, before = total / first.weight if first.weight else 0.0, None
+    while level != before:
+        full = cap <= level * F.col(_WEIGHT)
+        now = sources.agg(F.sum(F.when(full, cap).otherwise(0)).alias("full"), F.sum(F.when(full, 0).otherwise(F.col(_WEIGHT))).alias("free")).first()
+        before, level = level, (total - now.full) / now.free if now.free else level
+    return sources.withColumn(_TARGET, F.least(cap, F.lit(level) * F.col(_WEIGHT)))
+
+
+def _finish(copy: Column) -> Column:
+    """The virtual finish time of a copy, counted from 0."""
+    return (copy * F.col(_WORDS) + F.col(_BEFORE) + F.col("size")) / F.col(_WEIGHT)
+
+
+def _truncation(placed: DataFrame, budget: float) -> tuple[float, str] | None:
+    """Finish time and source of the last copy that the budget holds, by a global range sort of all copies."""
+    copies = placed.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias(f"{_P}copy"))
+    queue = _parts(copies.select(_finish(F.col(f"{_P}copy")).alias(f"{_P}finish"), _SOURCE, "size"), f"{_P}finish", _SOURCE)
+    sums = _sums(queue, "size")
+    served = sums.where(F.col(f"{_P}lo") <= budget).agg(F.max_by(_PART, f"{_P}lo").alias("part"), F.max(f"{_P}lo").alias("lo")).first()
+    last = None
+    if served.part is not None:
+        # inside the one range partition in which the budget ends
+        running = F.sum("size").over(Window.orderBy(f"{_P}finish", _SOURCE)) + F.lit(served.lo)
+        ends = queue.where(F.col(_PART) == served.part).withColumn(f"{_P}upto", running).where(F.col(f"{_P}upto") <= budget)
+        last = ends.agg(F.max(F.struct(f"{_P}finish", _SOURCE)).alias("x")).first().x
+        if last is None:  # the budget ends with the partition before
+            last = queue.where(F.col(_PART) < served.part).agg(F.max(F.struct(f"{_P}finish", _SOURCE)).alias("x")).first().x
+    release(queue)
+    return last and (last[0], last[1])
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, seed: int = 17, more: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text, source) -> a row for each: doc_id, size, source_size, target, taken, times and finish, with the columns named in more."""
-    size, key, slice_ = F.col("size"), F.col(f"{_P}source"), F.col(f"{_P}slice")
-    light = (
+    """docs(doc_id, text, source) -> a row for each: doc_id, size, source_size, target, taken, times, finish (of the first copy) and lap, with the columns named in more."""
+    size, hash_ = F.col("size"), f"{_P}hash"
+    light = cut_lineage(
         docs.select(
             "doc_id", *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             # "=" stands before ">", so this orders as the source does, null last
-            F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(">")).alias(f"{_P}source"),
-            F.xxhash64("doc_id", F.lit(seed)).alias(f"{_P}hash"),
-        ).withColumn(f"{_P}slice", F.shiftrightunsigned(f"{_P}hash", 64 - SLICES.bit_length() + 1).cast("int"))
-    )
-    slices = light.groupBy(key, slice_).agg(F.sum(size).alias(f"{_P}slice_words"))
-    along = Window.partitionBy(key).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.join(_targets(slices, weights, REPEATS, share), f"{_P}source").withColumn(f"{_P}base", F.coalesce(F.sum(f"{_P}slice_words").over(along), F.lit(0)))
-    inside = Window.partitionBy(key, slice_).orderBy(F.shiftleft(f"{_P}hash", SLICES.bit_length() - 1), "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        light.withColumn(f"{_P}cum", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-        .join(slices.drop(f"{_P}slice_words"), [f"{_P}source", f"{_P}slice"])
-        .withColumn(f"{_P}before", F.col(f"{_P}base") + F.col(f"{_P}cum"))
-        .withColumn(f"{_P}copies", _copies(F.col(f"{_P}before"), size))
+            F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(">")).alias(_SOURCE),
+            F.xxhash64("doc_id", F.lit(seed)).alias(hash_),
+        ).withColumn(_SLICE, F.shiftrightunsigned(hash_, 64 - SLICES.bit_length() + 1).cast("int"))
     )
-    placed = cut_lineage(placed.drop(f"{_P}hash", f"{_P}cum", f"{_P}base", f"{_P}level"))
+    sums = cut_lineage(light.groupBy(_SOURCE, _SLICE).agg(F.sum(size).alias(f"{_P}slice_words")))
+    sources = cut_lineage(_weighted(sums.groupBy(_SOURCE).agg(F.sum(f"{_P}slice_words").alias(_WORDS)), weights))
+    along = Window.partitionBy(_SOURCE).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    slices = cut_lineage(sums.join(_targets(sources, share), _SOURCE).withColumn(f"{_P}base", F.coalesce(F.sum(f"{_P}slice_words").over(along), F.lit(0))).drop(f"{_P}slice_words"))
+    release(sums)
+    inside = Window.partitionBy(_SOURCE, _SLICE).orderBy(F.shiftleft(hash_, SLICES.bit_length() - 1), "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    placed = light.withColumn(f"{_P}cum", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(slices, [_SOURCE, _SLICE])
+    placed = cut_lineage(placed.withColumn(_BEFORE, F.col(f"{_P}base") + F.col(f"{_P}cum")).drop(hash_, f"{_P}cum", f"{_P}base"))
+    release(light)
+
+    budget = (sources.agg(F.sum(_WORDS)).first()[0] or 0) * share
+    held, last = placed, _truncation(placed, budget)
+    if last is None:
+        served = F.lit(0)
+    else:
+        up_to = lambda c: (_finish(F.lit(c)) < last[0]) | ((_finish(F.lit(c)) == last[0]) & (F.col(_SOURCE) <= last[1]))
+        served = F.when(size > 0, sum((up_to(c).cast("int") for c in range(1, REPEATS)), up_to(0).cast("int"))).otherwise(0)
+    placed = placed.withColumn(_COPIES, served.cast("long"))
 
     # what the truncation leaves of a target is filled by the documents that fit it best, one each round
     for _ in range(FILLS):
-        gap = placed.groupBy(key).agg((F.first(f"{_P}target") - F.sum(F.col(f"{_P}copies") * size)).alias("gap"))
-        fit = F.abs(size - F.col("gap"))
+        taken = placed.groupBy(_SOURCE).agg(F.sum(F.col(_COPIES) * size).alias(f"{_P}taken"))
+        gaps = slices.join(taken, _SOURCE).select(_SOURCE, _SLICE, (F.col(_TARGET) - F.col(f"{_P}taken")).alias(f"{_P}gap"))
+        fit = F.abs(size - F.col(f"{_P}gap"))
         extra = (
-            placed.select(key, size, f"{_P}before", f"{_P}copies").where((F.col(f"{_P}copies") < REPEATS) & (size > 0))
-            .join(gap, f"{_P}source").where(fit < F.abs("gap")).groupBy(key)
-            .agg(F.min(F.struct(fit.alias("fit"), F.col(f"{_P}before").alias("at"))).alias("x")).select(key, F.col("x.at").alias(f"{_P}at"))
+            placed.where((F.col(_COPIES) < REPEATS) & (size > 0)).select(_SOURCE, _SLICE, size, _BEFORE)
+            .join(gaps, [_SOURCE, _SLICE]).where(fit < F.abs(f"{_P}gap")).groupBy(_SOURCE)
+            .agg(F.min(F.struct(fit.alias("fit"), F.col(_BEFORE).alias("at"), F.col(_SLICE).alias("slice"))).alias("x"))
+            .select(_SOURCE, F.col("x.slice").alias(_SLICE), F.col("x.at").alias(_BEFORE), F.lit(1).alias(f"{_P}more"))
         )
-        placed = placed.join(extra, f"{_P}source", "left")
-        one = (F.col(f"{_P}before") == F.col(f"{_P}at")) & (size > 0) & (F.col(f"{_P}copies") < REPEATS)
-        placed = cut_lineage(placed.withColumn(f"{_P}copies", F.col(f"{_P}copies") + F.when(one, 1).otherwise(0)).drop(f"{_P}at"))
-    times = F.col(f"{_P}copies")
-    finish = ((times - 1) * F.col(f"{_P}words") + F.col(f"{_P}before") + size) / F.col(f"{_P}weight")
+        one = F.when((size > 0) & (F.col(_COPIES) < REPEATS), F.coalesce(f"{_P}more", F.lit(0))).otherwise(0)
+        placed = cut_lineage(placed.join(extra, [_SOURCE, _SLICE, _BEFORE], "left").withColumn(_COPIES, F.col(_COPIES) + one).drop(f"{_P}more"))
+        release(held)
+        held = placed
+    times = F.col(_COPIES)
     return placed.select(
-        "doc_id", *more, "size", F.col(f"{_P}words").alias("source_size"), F.col(f"{_P}target").alias("target"),
-        (times * size).alias("taken"), times.alias("times"), F.when(times > 0, finish).alias("finish"),
+        "doc_id", *more, "size", F.col(_WORDS).alias("source_size"), F.col(_TARGET).alias("target"), (times * size).alias("taken"), times.alias("times"),
+        F.when(size > 0, _finish(F.lit(0))).alias("finish"), (F.col(_WORDS) / F.col(_WEIGHT)).alias("lap"),
     )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, in the shuffled order of their virtual finish times.
+    """The documents of the mix, each as often as it is taken, range-sorted by the virtual finish times of its copies.
 
-    Equal rows share what they are taken together; the text is shuffled to its decision once and to its place once.
+    Of rows that are equal in all columns one stands for all, as often as they are taken together.
     """
     names = docs.columns
     keyed = docs.withColumn(f"{_P}row", F.xxhash64(*(F.col(f"`{c}`") for c in names)))
-    plan = (
+    plan = cut_lineage(
         mix(keyed, weights, more=(f"{_P}row",)).groupBy("doc_id", f"{_P}row")
-        .agg(F.sum("times").alias(f"{_P}times"), F.count("*").alias(f"{_P}rows"), F.min("finish").alias(f"{_P}finish")).where(f"{_P}times > 0")
-        .withColumnRenamed("doc_id", f"{_P}id")
+        .agg(F.sum("times").alias(f"{_P}times"), F.count("*").alias(f"{_P}rows"), F.min("finish").alias(f"{_P}finish"), F.min("lap").alias(f"{_P}lap")).where(f"{_P}times > 0")
+        .select(F.col("doc_id").alias(f"{_P}id"), F.col(f"{_P}row").alias(f"{_P}r"), f"{_P}times", f"{_P}rows", f"{_P}finish", f"{_P}lap")
     )
-    met = keyed.join(plan.withColumnRenamed(f"{_P}row", f"{_P}r"), (F.col("doc_id").eqNullSafe(F.col(f"{_P}id"))) & (F.col(f"{_P}row") == F.col(f"{_P}r")))
-    nth = F.when(F.col(f"{_P}rows") > 1, F.row_number().over(Window.partitionBy(f"{_P}id", f"{_P}row").orderBy(f"{_P}row"))).otherwise(1)
-    own = F.floor((F.col(f"{_P}times") + F.col(f"{_P}rows") - nth) / F.col(f"{_P}rows")).cast("int")
-    out = met.withColumn(f"{_P}own", own).where(f"{_P}own > 0").withColumn(f"{_P}copy", F.explode(F.sequence(F.lit(1), F.col(f"{_P}own"))))
-    return out.repartitionByRange(f"{_P}finish", F.xxhash64("doc_id", f"{_P}copy")).sortWithinPartitions(f"{_P}finish").select(*(F.col(f"`{c}`") for c in names))
+    met = lambda own: keyed.join(own, F.col("doc_id").eqNullSafe(F.col(f"{_P}id")) & (F.col(f"{_P}row") == F.col(f"{_P}r")))
+    single = met(plan.where(f"{_P}rows = 1"))
+    repeated = met(plan.where(f"{_P}rows > 1")).dropDuplicates([f"{_P}id", f"{_P}r"])
+    copies = single.union(repeated).withColumn(f"{_P}copy", F.explode(F.sequence(F.lit(0), (F.col(f"{_P}times") - 1).cast("int"))))
+    placed = copies.withColumn(f"{_P}at", F.col(f"{_P}finish") + F.col(f"{_P}copy") * F.col(f"{_P}lap") / F.col(f"{_P}rows"))
+    return placed.repartitionByRange(f"{_P}at", F.xxhash64("doc_id")).sortWithinPartitions(f"{_P}at").select(*(F.col(f"`{c}`") for c in names))

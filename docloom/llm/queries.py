@@ -51,12 +51,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of a conversation is a message event of its own, in the order of its turns; conversation -7 is added."""
-    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    """The conversations and conversation -7 as an event log with deltas, an edit or a regeneration each; the log is folded, rendered and read back."""
+    own = spark.sql("select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    order = F.row_number().over(chat.Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = rows.withColumn("seq", order).select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("message").alias("kind"), "role", "text")
-    return chat.digests(chat.render(chat.reconstruct(events)))
+    return chat.digests(chat.render(chat.reconstruct(chat.event_log(rows))))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

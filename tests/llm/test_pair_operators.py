@@ -211,6 +211,44 @@ def test_mixing(spark):
     assert mixing.mix(frame.where("false")).count() == 0 and mixing.mixed_documents(frame.where("false")).count() == 0
 
 
+def test_mixing_is_the_truncated_queue_of_finish_times(spark, monkeypatch):
+    """Without fills, what is taken is the longest prefix of all copies by finish time that the budget holds."""
+    monkeypatch.setattr(mixing, "FILLS", 0)
+    r = random.Random(3)
+    rows = [(i, "w " * r.choice([0, 1, 5, 40, 300]), r.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(900, "long " * 60000, "d"), (901, None, "d")]
+    for share in (1.0, 0.3):
+        out = mixing.mix(docs(spark, rows).repartition(3), share=share).collect()
+        source = {i: s for i, _, s in rows}
+        copies = sorted((x.finish + c * x.lap, "=" + source[x.doc_id] if source[x.doc_id] else ">", x.doc_id, x.size) for x in out if x.size for c in range(3))
+        budget, times = share * sum(x.size for x in out), {}
+        for _, _, i, n in copies:
+            budget -= n
+            if budget < 0:
+                break
+            times[i] = times.get(i, 0) + 1
+        assert {x.doc_id: x.times for x in out} == {x.doc_id: times.get(x.doc_id, 0) for x in out}
+        first = {}
+        for x in sorted((x for x in out if x.size), key=lambda x: x.finish):
+            first.setdefault(source[x.doc_id], []).append(x)
+        for s, own in first.items():  # cumulative words over weight
+            at = 0
+            for x in own:
+                at += x.size
+                assert abs(x.finish - at * x.lap / x.source_size) < 1e-6 * at
+
+
+def test_mixed_documents_holds_each_as_often_as_taken(spark):
+    rows = [(i, f"text {i} " + "w " * (i % 17), "ab"[i % 3 == 0]) for i in range(120)] + [(500, "equal rows", "a")] * 5 + [(None, "no id", None)]
+    frame = docs(spark, rows).repartition(3)
+    times = {}
+    for x in mixing.mix(frame).collect():
+        times[x.doc_id] = times.get(x.doc_id, 0) + x.times
+    got = {}
+    for x in mixing.mixed_documents(frame).collect():
+        got[x.doc_id] = got.get(x.doc_id, 0) + 1
+    assert got == {i: n for i, n in times.items() if n}
+
+
 def test_chat_round_trip(spark, sf):
     texts = ["", "plain", "</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "a\\b <\\| <| \\<| <\\\\| é\n", "<|" * 3, "\\"]
     rows = [(1, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(texts * 2)] + [(2, None, None, None), (2, 0, "assistant", None), (None, 0, "<|end|>\n", "x")]
@@ -227,6 +265,25 @@ def test_chat_round_trip(spark, sf):
     assert len(seven) == 1 and seven[0].loss_chars == 21
 
 
+EVENTS = "conv_id long, seq long, turn long, kind string, role string, text string, turns string, _turn string"
+
+
+def fold(log):
+    """The fold on plain Python: events in order, each applied to the turns so far."""
+    order = {"message": 1, "edit": 2, "regenerate": 3, "delta": 4}
+    low = lambda v: (v is not None, v)
+    convs = {}
+    for c, _, turn, kind, role, text, *_ in sorted((e for e in log if e[3] in order), key=lambda e: (low(e[1]), order[e[3]], low(e[2]), e[5] or "", low(e[4]))):
+        turns = convs.setdefault(c, {})
+        if kind in ("edit", "regenerate"):
+            for t in [t for t in turns if low(t) >= low(turn)]:
+                del turns[t]
+        was = turns.setdefault(turn, [None, ""])
+        was[0] = role if was[0] is None else was[0]
+        was[1] += text or ""
+    return sorted(((c, t, r or "", x) for c, turns in convs.items() for t, (r, x) in turns.items()), key=str)
+
+
 def test_events_fold(spark):
     log = [
         (1, 1, 0, "message", "user", "Hi"), (1, 2, 1, "delta", "assistant", "Hel"), (1, 3, 1, "delta", None, "lo"), (1, 4, 2, "message", "user", "No"), (1, 5, 3, "delta", "assistant", "bad"),
@@ -234,8 +291,39 @@ def test_events_fold(spark):
         (2, 1, 0, "message", "user", "edit me"), (2, 3, 0, "edit", "user", "edited"), (2, 2, 1, "message", "assistant", "gone"),
     ]
     random.Random(1).shuffle(log)
-    out = chat.reconstruct(spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string")).collect()
+    out = chat.reconstruct(spark.createDataFrame([(*e, "x", "y") for e in log], EVENTS)).collect()
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in out) == [(1, 0, "user", "Hi"), (1, 1, "assistant", "Good day"), (1, 2, "user", "Okay"), (2, 0, "user", "edited")]
+    none = spark.createDataFrame([], EVENTS)
+    assert chat.reconstruct(none).count() == 0
+
+
+def test_events_fold_edge_rows(spark):
+    """Equal sequence numbers, null roles, texts, turns and conversations, repeated events, unknown kinds."""
+    log = [
+        (1, 1, 0, "delta", None, "D"), (1, 1, 0, "message", None, "M"), (2, 1, None, "message", "user", "first"), (2, 2, 3, "edit", "user", "e"), (3, 1, 4, "message", "user", "x"), (3, 2, None, "edit", None, "all"),
+        (4, 1, 1, "message", "user", "same"), (4, 1, 1, "message", "user", "same"), (None, None, 0, "message", None, None), (5, 1, 0, "like", "user", "x"), (6, 1, 0, "delta", None, "a" * 100000),
+    ]
+    r = random.Random(5)
+    log += [(r.randint(10, 14), r.randint(0, 9), r.choice([None, 0, 1, 2, 3]), r.choice(["message", "delta", "edit", "regenerate", "delta", "none"]), r.choice([None, "user", "assistant"]), r.choice([None, "", "p", "q", "rs"])) for _ in range(150)]
+    out = chat.reconstruct(spark.createDataFrame([(*e, "x", "y") for e in log], EVENTS).repartition(3)).collect()
+    assert sorted(((r.conv_id, r.turn, r.role, r.text) for r in out), key=str) == fold(log)
+    assert ("DM" not in {r.text for r in out}) and ("MD" in {r.text for r in out})
+
+
+def test_event_log_holds_each_kind_and_folds_to_the_messages(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} {t} é👍 " * (7 * t)) for c in range(12) for t in range(c % 5 + 1)] + [(90, None, None, None), (90, 0, "assistant", None), (None, 3, "user", "z")]
+    log = chat.event_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    events = [tuple(e) for e in log.collect()]
+    assert {e[3] for e in events} == {"message", "delta", "edit", "regenerate"}
+    want, count = [], {}
+    for c, t, role, text in sorted(rows, key=lambda x: (str(x[0]), x[1] is not None, x[1])):
+        count[c] = count.get(c, 0) + 1
+        want.append((c, count[c], role or "", text or ""))
+    assert fold(events) == sorted(want, key=str)
+    out = chat.reconstruct(log).collect()
+    assert sorted(((r.conv_id, r.turn, r.role, r.text) for r in out), key=str) == sorted(want, key=str)
+    # without the fold of edits and regenerations the drafts would be left
+    assert any("draft of" in (e[5] or "") for e in events) and not any("draft of" in r.text or "too early" in r.text for r in out)
 
 
 def test_pipeline(spark, sf):
