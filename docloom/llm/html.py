@@ -1,13 +1,15 @@
 """Main text of web pages by tree scoring.
 
-A page is parsed into a tree; scripts, styles, forms, menus and the like are left out by tag, role, class
-and id. Every paragraph (a block with text of its own) has points for its length and its commas and passes them to its
+A page is parsed into a tree. Scripts, styles, forms, menus and the like are left out by tag, role and hiding attributes. Names of
+classes and ids that speak of menus, adverts, comments and so on leave a block out too, unless it holds an article of the page
+or most of its plain text. Every paragraph (a block with text of its own) has points for its length and its commas and passes them to its
 parent in full, to its grandparent by half and to those above by a third less each step. A container's
-points are discounted by the share of its text that stands in links. The best container is kept, and those of its siblings
-that score alike or are paragraphs of mostly plain text.
+points are discounted by the share of its text that stands in links. The best container is kept, or the article or main element
+around it, and with it those of its siblings that score alike or are blocks of mostly plain text. Sums go up the tree and
+decisions down it once, so the time of a page grows with its length, however deep it is nested.
 
 Defined results: null html is empty and gives an empty text; broken markup is repaired as far as blocks go; each
-input row gives one output row; null page_id and url stay null; an empty table gives an empty result; other columns are ignored.
+input row gives one output row, repeated rows too; null page_id and url stay null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,83 +26,131 @@ from docloom.llm.common import texts_of
 
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OUT = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea input label dialog menu audio video map search math title".split())
+_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
+_OUT = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea input label dialog menu audio video map search title".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
-_OUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion|tions)?|banner|sidebar|side-bar|widget|nav(?:bar|igation)?|menu|breadcrumbs?|footer|header|masthead|topbar|"
-    r"comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|pagination|pager|toolbar|skip)(?:$|[\s_-])"
+_COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+_OUT_WORDS = _COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner sidebar widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login pagination pager toolbar notice recommended recommendations".split()
 )
-_BODY_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])")
+#: Words that speak of such things only alone or with one of the words beside them.
+_WITH = {
+    "related": frozenset("posts post articles article stories links content news items entries topics reading pages".split()), "share": frozenset("buttons button bar links icons this tools".split()),
+    "sharing": frozenset("buttons button bar links icons tools".split()), "social": frozenset("buttons button bar links icons media share sharing".split()), "skip": frozenset("link links nav to content".split()),
+}
+_NOT = frozenset("has with no not without".split())
+_BODY_WORDS = frozenset("article content main post entry story body text".split())
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_PLAIN_BLOCKS = frozenset([*_HEADINGS, *"p blockquote pre ul ol dl table figure section details".split()])
+#: Blocks whose container is the parent.
+_TEXT_BLOCKS = frozenset([*_HEADINGS, *"p li pre td th dt dd blockquote figcaption caption summary".split()])
+_SCOPE = ("table", "td", "th", "div", "section", "article", "li", "blockquote", "button", "object")
 #: What a start tag ends, if it's open: the tags, and where to stop looking.
 _ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
 }
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-class Node:
-    __slots__ = ("tag", "parent", "children", "out", "points", "cue")
+def named(names: str, inside: bool) -> tuple[bool, bool]:
+    """Whether names of classes and ids speak of something beside the article, and of comments."""
+    out = comments = False
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if not parts or parts[0] in _NOT:
+            continue
+        own = set(parts)
+        if "header" in own and (inside or own & _BODY_WORDS):
+            own.discard("header")
+        if (own & _OUT_WORDS) or any(k in own and (own == {k} or own & more) for k, more in _WITH.items()):
+            out = True
+        comments = comments or bool(own & _COMMENTS)
+    return out, comments
 
-    def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str | None]):
-        self.tag, self.parent, self.children, self.points = tag, parent, [], 0.0
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        inside = parent is not None and any(x.tag in ("article", "main") for x in _up(parent))
-        self.out = (
-            tag in _OUT or (tag == "header" and not inside) or "hidden" in attrs or (attrs.get("role") or "").lower() in _OUT_ROLES
-            or (attrs.get("aria-hidden") or "").lower() == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style") or ""))
-            or (tag not in ("html", "body", "article", "main") and bool(_OUT_WORDS.search(names)))
-        )
-        self.cue = 1 if tag in ("article", "main") or _BODY_WORDS.search(names) else 0
 
+class Node:
+    __slots__ = ("tag", "parent", "children", "depth", "inside", "within", "out", "soft", "comments", "cue", "chars", "linked", "own", "passed", "article", "kept", "menu", "gone", "block")
 
-def _up(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+    def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str | None]):
+        self.tag, self.parent, self.children = tag, parent, []
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}" if attrs else ""
+        self.out = tag in _OUT or (tag == "header" and not self.inside)
+        self.soft = self.comments = False
+        self.cue = int(tag in ("article", "main"))
+        if attrs:
+            self.out = (
+                self.out or "hidden" in attrs or (attrs.get("role") or "").lower() in _OUT_ROLES
+                or (attrs.get("aria-hidden") or "").lower() == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style") or ""))
+            )
+            if names.strip():
+                if (tag in _BLOCKS or "-" in tag) and tag not in ("html", "body", "main"):
+                    self.soft, self.comments = named(names, self.inside)
+                if not self.cue and set(re.split(r"[\s_-]+", names.lower())) & _BODY_WORDS:
+                    self.cue = 1
+        self.within = parent is not None and (parent.within or (parent.cue > 0 and parent.tag not in ("html", "body")))
+        self.chars = self.linked = 0
+        self.own = self.passed = 0.0
+        self.article = tag == "main" or (tag == "article" and not self.comments)
+        self.kept = self.menu = self.gone = False
+        #: Depth of the block that holds the node, or is it.
+        self.block = self.depth if tag in _BLOCKS or parent is None else parent.block
 
 
 class _Tree(HTMLParser):
-    """CDATA elements (script, style) and comments give no text; unclosed paragraphs, items and cells end at the next one."""
+    """CDATA elements (script, style) and comments give no text; unclosed paragraphs, items, cells and heads end at what cannot stand in them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", None, {})
         self.now = self.root
+        self.nodes = [self.root]  # parents before children
+        self.open: dict[str, list[Node]] = {}
+
+    def _close(self, node: Node) -> None:
+        while self.now is not node.parent:
+            self.open[self.now.tag].pop()
+            self.now = self.now.parent
+
+    def _deepest(self, tags: tuple[str, ...]) -> Node | None:
+        return max((o[-1] for t in tags if (o := self.open.get(t))), key=lambda n: n.depth, default=None)
+
+    def _end(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        node = self._deepest(tags)
+        if node is not None and ((limit := self._deepest(stop)) is None or limit.depth < node.depth):
+            self._close(node)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.now.tag == "head" and tag not in _HEAD:
+            self._close(self.now)
         if tag in _BLOCKS:
-            self._end({"p"}, {"table", "td", "th", "div", "section", "article", "li", "blockquote", "button", "object"})
+            self._end(("p",), _SCOPE)
         if tag in _ENDS:
             self._end(*_ENDS[tag])
-        if tag == "body" and self.now.tag == "head":
-            self._end({"head"}, {"html"})
         node = Node(tag, self.now, dict(attrs))
         self.now.children.append(node)
+        self.nodes.append(node)
         if tag not in _VOID:
+            self.open.setdefault(tag, []).append(node)
             self.now = node
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.now.tag == tag and tag in ("svg", "path", "g", "circle", "rect", "use"):
-            self.now = self.now.parent
-
-    def _end(self, tags: set[str], stop: set[str]) -> None:
-        for node in _up(self.now):
-            if node.tag in tags:
-                self.now = node.parent
-                return
-            if node.tag in stop:
-                return
+        if self.now.tag == tag and tag in ("svg", "path", "g", "circle", "rect", "use", "script", "iframe"):
+            self._close(self.now)
 
     def handle_endtag(self, tag: str) -> None:
-        for node in _up(self.now):
-            if node.tag == tag:
-                self.now = node.parent
-                return
-            if tag not in _BLOCKS and node.tag in _BLOCKS:
-                return
+        node = self._deepest((tag,))
+        # an inline end tag ends nothing beyond its block
+        if node is not None and (tag in _BLOCKS or node.depth >= self.now.block):
+            self._close(node)
 
     def handle_data(self, data: str) -> None:
+        if self.now.tag == "head" and data.strip():
+            self._close(self.now)
         self.now.children.append(data)
 
     def unknown_decl(self, data: str) -> None:
@@ -144,45 +194,88 @@ def _blocks(top: Node) -> list[tuple[Node, str, int]]:
     return found
 
 
+def _sum(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Characters, characters in links and points of every subtree."""
+    for node in nodes:
+        node.chars = node.linked = 0
+        node.own = node.passed = 0.0
+    for block, text, linked in blocks:
+        block.chars += len(text)
+        block.linked += linked
+        # a paragraph's container is its parent; text straight in a container is its own
+        holder = block.parent if block.tag in _TEXT_BLOCKS and block.parent is not None else block
+        holder.own += (1 - linked / len(text)) * (1 + text.count(",") + min(len(text) / 100, 3))
+    for node in reversed(nodes):
+        if (up := node.parent) is not None:
+            up.chars += node.chars
+            up.linked += node.linked
+            up.passed += node.own / 2 + node.passed * 2 / 3
+
+
+def _cut(nodes: list[Node]) -> bool:
+    """Leaves out what is named as something beside the article; whether there is any."""
+    for node in reversed(nodes):
+        if node.article and not node.out and node.parent is not None:
+            node.parent.article = True
+    plain = nodes[0].chars - nodes[0].linked
+    some = False
+    # comments go where there is anything else; of the others, what holds most of the rest stays
+    for comments in (True, False):
+        gone = 0
+        for node in nodes:
+            if node.soft and node.comments is comments and not node.out:
+                own = node.chars - node.linked
+                node.out = not (node.article or (own == plain if comments else 2 * own > plain))
+                some |= node.out
+                gone += own * node.out * (node.parent is None or not node.parent.gone)
+            node.gone = node.out or (node.parent is not None and node.parent.gone)
+        plain -= gone
+    return some
+
+
 def main_text(page: str) -> str:
     tree = _Tree()
     tree.feed(page)
     tree.close()
+    nodes = tree.nodes
     blocks = _blocks(tree.root)
+    _sum(nodes, blocks)
+    if _cut(nodes):
+        blocks = _blocks(tree.root)
+        _sum(nodes, blocks)
     if not blocks:
         return ""
-    chars: dict[int, int] = {}
-    linked: dict[int, int] = {}
-    nodes: dict[int, Node] = {}
-    for block, text, in_links in blocks:
-        plain = 1 - in_links / len(text)
-        points = plain * (1 + text.count(",") + min(len(text) / 100, 3))
-        # a paragraph's container is its parent; text straight in a container is its own
-        parent = block if block.tag not in ("p", "li", "pre", "td", "th", "dt", "dd", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption") and block.parent is not None else block.parent
-        share = 1.0
-        for step, node in enumerate(_up(parent)):
-            node.points += points * share
-            share = 1 / 2 if step == 0 else share * 2 / 3
-        for node in _up(block):
-            nodes[id(node)] = node
-            chars[id(node)] = chars.get(id(node), 0) + len(text)
-            linked[id(node)] = linked.get(id(node), 0) + in_links
-    plainness = lambda n: 1 - linked[id(n)] / chars[id(n)]
-    score = lambda n: (n.points + 5 * n.cue) * plainness(n)
-    best = max((n for n in nodes.values() if n.tag not in ("#root", "html")), key=lambda n: (score(n), n.cue), default=tree.root)
-    # parts of one article: climb while the parent is an article or main that holds the best container
-    for node in _up(best.parent):
-        if node.tag in ("article", "main") and id(node) in nodes:
-            best = node
-    kept = {id(best)}
+    plainness = lambda n: 1 - n.linked / n.chars if n.chars else 0.0
+    score = lambda n: (n.own + n.passed + 5 * n.cue) * plainness(n)
+    best = max((n for n in nodes[1:] if n.chars and not n.out and n.tag != "html" and n.tag not in _TEXT_BLOCKS), key=lambda n: (score(n), n.cue), default=tree.root)
+    # parts of one article: climb to the article around the best container, or else to the main element
+    around, article, main = best, None, None
+    while around is not None:
+        article = around if around.tag == "article" else article
+        main = around if around.tag == "main" else main
+        around = around.parent
+    best = article or main or best
+    best.kept = True
+    titles = False
+    for node in nodes:
+        node.kept = node.kept or (node.parent is not None and node.parent.kept and not node.out)
+        titles |= node.kept and node.tag == "h1"
     for sibling in best.parent.children if best.parent and best.tag not in ("body", "main") else []:
-        if isinstance(sibling, str) or sibling is best or sibling.out or id(sibling) not in nodes:
+        if isinstance(sibling, str) or sibling is best or sibling.out or not sibling.chars:
             continue
-        alike = score(sibling) >= max(5.0, 0.2 * score(best)) and plainness(sibling) > 0.5
-        if alike or (sibling.tag == "p" and plainness(sibling) > 0.75 and chars[id(sibling)] > 80) or (sibling.tag in ("h1", "h2") and best.tag not in ("article",)):
-            kept.add(id(sibling))
-    lists = {k for k, n in nodes.items() if n.tag in ("ul", "ol") and len(n.children) >= 3 and plainness(n) < 0.2}  # menus by their links
-    return "\n".join(text for block, text, _ in blocks if any(id(n) in kept for n in _up(block)) and not any(id(n) in lists for n in _up(block)))
+        plain = plainness(sibling) > 0.5
+        if sibling.tag in _HEADINGS:
+            keep = plain and not (article and titles)
+        elif article:
+            keep = sibling.tag == "article" and plain and score(sibling) >= 0.2 * score(best)
+        else:
+            keep = plain and (sibling.tag in _PLAIN_BLOCKS or sibling.chars > 80 or score(sibling) >= max(5.0, 0.2 * score(best)))
+        sibling.kept = sibling.kept or keep
+    for node in nodes[1:]:
+        # lists of nothing but links are menus, but where a tag or name says that this is the article
+        node.menu = node.parent.menu or (node.tag in ("ul", "ol") and not node.within and plainness(node) < 0.2 and sum(not isinstance(c, str) for c in node.children) >= 3)
+        node.kept = (node.kept or node.parent.kept) and not node.menu
+    return "\n".join(text for block, text, _ in blocks if block.kept)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -515,3 +515,94 @@ def test_html(spark):
     assert text[1] == "Title & more\nFirst, line\nSecond <x> with spaces and lines, more, of, it.\nOne\nTwo &am"
     assert text[2] == text[3] == "" and text[None] == "just, text" and text[4] == "deep, text" and text[5] == "plain words only" and text[6] == "a, b\nc"
     assert all(r.n_chars == len(r.text) for r in out) and len(out) == len(rows)
+
+
+def made_page(r):
+    """A page with and without article tags, in random chrome, and the text of its article."""
+    import html as h
+
+    word = lambda: r.choice(["tree", "stone", "é", "a&b", "x<y", "river", "of", "the", "und", "run,", "so,", "end."])
+    words = lambda n: " ".join(word() for _ in range(n))
+    link = lambda: f'<a href="/x?{r.random()}">{h.escape(words(2))}</a>'
+    body, text = [], []
+
+    def add(tag, content, inner=None):
+        shown = h.escape(content)
+        if inner == "wrap":
+            shown = shown.replace(" ", r.choice([" ", "\n  ", " <b>", " <i class=header>"]), 1)
+        body.append(f"<{tag}>{shown}" + (f"</{tag}>" if tag not in ("p", "li") or r.random() < 0.7 else ""))
+        text.append(" ".join(content.split()))
+
+    add("h1", words(4))
+    add("p", words(20), "wrap")
+    for _ in range(r.randint(3, 9)):
+        kind = r.random()
+        if kind < 0.6:
+            add("p", words(r.randint(8, 60)), "wrap")
+        elif kind < 0.7:
+            add("h2", words(3))
+        elif kind < 0.8:
+            body.append("<ul>")
+            for _ in range(r.randint(1, 4)):
+                add("li", words(5))
+            body.append("</ul>")
+        elif kind < 0.9:
+            items = [words(2) for _ in range(4)]
+            body.append('<section class="related-work"><ul>' + "".join(f'<li><a href="/">{h.escape(x)}</a></li>' for x in items) + "</ul></section>")
+            text.extend(items)
+        else:
+            body.append(f'<table><tr><td>{h.escape(a := words(3))}<td>{h.escape(b := words(2))}</table>')
+            text.extend([a, b])
+    inside = r.sample(['<aside>Aside, words</aside>', '<div class="ad-banner">Buy, now</div>', '<form><label>Name</label><input></form>', "<script>var a = '<p>no</p>';</script>", '<footer>By line</footer>'], r.randint(0, 3))
+    for x in inside:
+        body.insert(r.randint(1, len(body)) if not any(b in ("<ul>", "</ul>") for b in body) else len(body), x)
+    chrome = [
+        f"<nav><ul>{''.join(f'<li>{link()}</li>' for _ in range(5))}</ul></nav>", "<header>Site, name, of, all, things</header>", '<div id="cookie-notice">We use cookies, yes, we do</div>', f'<div class="site-sidebar">{link()} {words(9)}</div>',
+        f'<ul class="menu">{"".join(f"<li>{link()}" for _ in range(4))}</ul>', f'<div class="comments"><article class="comment"><p>{h.escape(words(40))}</p></article></div>', '<form action="/q"><p>Search, all, here</p></form>', '<p hidden>Hidden, text</p>',
+    ]
+    shell = r.choice(['<article>{}</article>', '<main><article class="post">{}</article></main>', '<div class="layout has-sidebar"><article>{}</article></div>', '<div id="content">{}</div>', '<div class="page no-header"><main>{}</main></div>'])
+    before, after = r.sample(chrome, 3), r.sample(chrome, 3)
+    head = r.choice(["<!DOCTYPE html><html><head><title>T, t</title></head><body>", "<head><meta charset=utf-8><title>T, t</title>", "<html><body>", ""])
+    return head + "".join(before) + shell.format("\n".join(body)) + "".join(after) + r.choice(["<footer>&copy; foot, note</footer>", ""]) + r.choice(["</body></html>", ""]), "\n".join(text)
+
+
+def test_html_of_made_pages():
+    import random
+
+    r = random.Random(12)
+    for _ in range(1500):
+        page, text = made_page(r)
+        assert html.main_text(page) == text, page
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="layout no-sidebar"><article><p>One, two</p></article></div>', "One, two"), ('<div class="sidebar-layout"><p>One, two, three, and so on</p><div class="sidebar">Side</div></div>', "One, two, three, and so on"),
+        ('<head><title>T</title><p>One, two</p>', "One, two"), ('<title>T</title>One, two', "One, two"), ('<article><p>By <math><mi>x</mi></math>, so</p></article>', "By x, so"),
+        ('<article><p>One</p><ul><li><a href=1>A</a><li><a href=2>B</a><li><a href=3>C</a></ul></article>', "One\nA\nB\nC"), ('<article><section class="related-work"><p>Two</p></section><div class="related-posts"><p>Three</p></div></article>', "Two"),
+        ('<div><p>Short.</p></div><div id=main><p>A longer one, with commas, for points.</p><p>Brief.</p><section><p>Last.</p></section></div>', "A longer one, with commas, for points.\nBrief.\nLast."),
+        ('<article><header><h1>H</h1></header><p>P&nbsp;&nbsp;q &#233; &lt;i&gt; &bogus;</p></article>', "H\nP q é <i> &bogus;"), ('<body class="modal-open"><p>One, two</p></body>', "One, two"),
+        ('<article><p>Text, of it</p></article><section id="comments"><article class="comment"><p>' + "Nice, nice, nice. " * 60 + "</p></article></section>", "Text, of it"),
+    ],
+)
+def test_html_keeps_what_belongs(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_time_is_linear():
+    import time
+
+    for make in (lambda n: "<div>" * n + "a, b", lambda n: "<p>" + "<b>" * n + "<hr>" * n, lambda n: "<article>" + "<div><p>a b</p>" * n, lambda n: "<b>" * n + "</i>" * n + "<p>x", lambda n: "<li>" * n + "x", lambda n: "<ul><li>" * n + "x", lambda n: "<" * n, lambda n: "&#" * n):
+        html.main_text(make(100))
+        began = time.perf_counter()
+        html.main_text(make(2000))
+        short = time.perf_counter() - began
+        html.main_text(make(16000))
+        assert time.perf_counter() - began < 40 * short + 1
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", "<p>same, text", "x", 1), (1, "u", "<p>same, text", "x", 1), (2, "u", "<p>" + "long, text " * 100000, "y", 2), (None, None, None, None, None)]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 0), (1, 10), (1, 10), (2, 1099999)]
