@@ -156,12 +156,13 @@ def matches(text: str) -> list[tuple[str, float, int, int, int]]:
                 break
             anchors += ((k, w) for k in at.get(w, ()))
             left -= len(spots[w])
-        slack = len(template) // 4
+        # no match spans more of the text than this
+        reach = int(len(template) / DENSITY) + 1
         done = -1
         for c, w in sorted(anchors):
             if c < done:  # inside what the last alignment matched
                 continue
-            lo, hi = max(0, c - spots[w][-1] - 2 - slack), min(len(words), c + len(template) - spots[w][0] + 2 + slack)
+            lo, hi = max(0, c - reach), min(len(words), c + reach)
             if sum(x in spots for x in words[lo:hi]) < COVERAGE * len(template):
                 continue
             pairs = patience(words[lo:hi], template)
@@ -172,11 +173,12 @@ def matches(text: str) -> list[tuple[str, float, int, int, int]]:
                 span = (lo + pairs[0][0], lo + pairs[-1][0] + 1)
                 found[(name, *span)] = max(found.get((name, *span), (0.0, 0)), (len(pairs) / len(template), len(pairs)))
                 done = span[1]
-    out: list[tuple[str, float, int, int, int]] = []
+    out: list[tuple[int, int, str, float, int]] = []  # by place, without overlaps
     for (name, s, e), (coverage, n) in sorted(found.items(), key=lambda x: (-x[1][1] * x[1][0], -x[1][0], x[0])):
-        if all(e <= o[2] or s >= o[3] for o in out):
-            out.append((name, coverage, s, e, n))
-    return sorted(out, key=lambda o: o[2])
+        k = bisect_left(out, (s,))
+        if (k == 0 or out[k - 1][1] <= s) and (k == len(out) or out[k][0] >= e):
+            out.insert(k, (s, e, name, coverage, n))
+    return [(name, coverage, s, e, n) for s, e, name, coverage, n in out]
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of key characters with a digit, what a name with a naming word is assigned, a known shape of keys, or
-a private-key block. The
+A candidate is a run of key characters with a digit, what a name with a naming word is assigned, what follows "bearer", a known shape
+of keys, or a private-key block (to its end line, or where that is missing as far as lines of key characters go). The
 forest sees its length, character classes and transitions, entropy, how much of it a dictionary covers, whether it
 looks like a path, URL, UUID or placeholder, and the words next to it. It is trained from labelled findings; the ones
 shipped are generated by labelled_findings() from a fixed seed, others may be given.
@@ -34,20 +34,24 @@ MASK = "[SECRET]"
 CUT = 0.5
 TREES, DEPTH, LEAF = 40, 9, 2
 FINDINGS = 3000
+#: Characters of the line before a candidate, and half as many after it, in which neighbouring words are looked up.
 NEAR = 48
 
 _KEY = r"A-Za-z0-9+/=_.~\-"
 _RUN = re.compile(rf"(?<![{_KEY}])(?=[A-Za-z+/=_.~\-]*[0-9])[{_KEY}]{{12,}}")
+_ASSIGN = re.compile(r"(?<![\w.\-])([\w.\-]+)[\"']?\s*(?:=>|[:=])\s*[\"']?")
+_VALUE = re.compile(r"[^\s\"'<>,;]{6,}")
+_BEGUN = re.compile(r"[^\s\"'<>,;]{6}")
 # A name may have words before the naming word, and after it more words behind an underscore, hyphen, digit or capital.
-_NAMED = re.compile(
-    r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|bearer|credentials?)(?:s|[_A-Z0-9-][\w-]*)?[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"'<>,;]{6,})"
-)
+_NAMING = re.compile(r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|bearer|credentials?)(?:s|[_A-Z0-9-][\w-]*)?$")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*=(?!=)")
 _SHAPE = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{8,}|"
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{8,})"
 )
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[\s\S]*?-----END \1-----")
+_BEARER = re.compile(r"(?i:(?<![A-Za-z])bearer)[ \t]+([A-Za-z0-9._~+/=\-]{12,})")
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]*PRIVATE KEY)-----")
+_PEM_LINES = re.compile(r"(?:(?:\s|\\[nr]){0,4}[A-Za-z0-9+/]{16,}={0,2})*")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HOLD = re.compile(r"(?i)(?:x{4,}|\*{3,}|example|sample|dummy|placeholder|change.?me|your[_-]|<.*>|\.\.\.|test.?(?:key|token)|redacted)")
 _FOR = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|credential|auth|bearer|login)")
@@ -83,38 +87,66 @@ def _gaps(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[
         yield start, end
 
 
-def _is_run(text: str, start: int, end: int) -> bool:
-    return end - start >= 12 and any(c in string.digits for c in text[start:end])
+def _naming(m: re.Match | None) -> bool:
+    return m is not None and _NAMING.search(m[1].rsplit(".", 1)[-1]) is not None
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start of the name, start, end) of what naming names are assigned; where that is itself an assignment by such a name, its own."""
+    done = 0
+    for m in _ASSIGN.finditer(text):
+        if m.start() < done or not _naming(m):
+            continue
+        inner = _ASSIGN.match(text, m.end())
+        if _naming(inner) and _BEGUN.match(text, inner.end()):
+            continue
+        if value := _VALUE.match(text, m.end()):
+            done = value.end()
+            yield m.start(), value.start(), done
+
+
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Private-key blocks: an end line belongs to the last begin line before it, if that is of the same kind."""
+    out: list[tuple[int, int]] = []
+    begun = None
+    for m in _PEM.finditer(text):
+        if m[1] == "END":
+            if begun and begun[2] == m[2]:
+                out.append((begun.start(), m.end()))
+                begun = None
+            continue
+        if begun:
+            out.append((begun.start(), _PEM_LINES.match(text, begun.end(), m.start()).end()))
+        begun = m
+    if begun:
+        out.append((begun.start(), _PEM_LINES.match(text, begun.end()).end()))
+    return out
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of non-overlapping candidates in order; key blocks, named values and known shapes come before runs."""
-    out = [(*m.span(), "private_key") for m in _PEM.finditer(text)] if "PRIVATE KEY-----" in text else []
+    out = [(*span, "private_key") for span in _blocks(text)] if "PRIVATE KEY-----" in text else []
     taken = [c[:2] for c in out]
     if "=" in text or ":" in text:
-        blocks, at = list(taken), 0
-        for m in _NAMED.finditer(text):
-            s, e = m.span(1)
-            while inner := _NAMED.match(text, s, e):
-                s, e = inner.span(1)
+        blocks = list(taken)
+        for name, s, e in _assigned(text):
             if list(_gaps(s, e, blocks)) == [(s, e)]:
-                name = m.start()
-                while name > at and (text[name - 1].isalnum() or text[name - 1] in "_.-"):
-                    name -= 1
                 out.append((s, e, "assigned"))
                 taken += _gaps(name, e, blocks)
-                at = e
         taken.sort()
-    shapes = [m.span() for m in _SHAPE.finditer(text)]
+    shapes = sorted([m.span() for m in _SHAPE.finditer(text)] + [m.span(1) for m in _BEARER.finditer(text)])
+    shapes = [c for k, c in enumerate(shapes) if not k or c[0] >= max(x[1] for x in shapes[k - 1 : k])]
     shapes = [c for c in shapes if list(_gaps(*c, taken)) == [c]]
     out += [(*c, "run") for c in shapes]
     taken = sorted(taken + shapes)
     for m in _RUN.finditer(text):
         for s, e in _gaps(*m.span(), taken):
-            if _is_run(text, s, e):
-                while (name := _NAME.match(text, s, e)) and _is_run(text, name.end(), e):
-                    s = name.end()
-                out.append((s, s + len(text[s:e].rstrip(".=-") or text[s:e]), "run"))
+            last = next((k for k in range(e - 1, s - 1, -1) if text[k] in string.digits), -1)
+            if e - s < 12 or last < 0:
+                continue
+            while (name := _NAME.match(text, s, e)) and e - name.end() >= 12 and last >= name.end():
+                s = name.end()
+            out.append((s, s + len(text[s:e].rstrip(".=-") or text[s:e]), "run"))
     return sorted(out)
 
 
@@ -132,24 +164,23 @@ def _dictionary(value: str) -> float:
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     value = text[start:end]
-    probe = value if len(value) <= 512 else value[:256] + value[-256:]
-    n = len(probe)
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in probe]
+    n = len(value)
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
     count = Counter(kinds)
     before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR // 2]
     near = before.rsplit("\n", 1)[-1]
     run = longest = 1
     steps_ = 0
-    for a, b in zip(probe, probe[1:], strict=False):
+    for a, b in zip(value, value[1:], strict=False):
         run = run + 1 if a == b else 1
         longest = max(longest, run)
         steps_ += ord(b) - ord(a) == 1
     return [
         float(min(len(value), 200)), count["d"] / n, count["u"] / n, count["l"] / n, count["s"] / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        -sum(c / n * math.log2(c / n) for c in Counter(probe).values()), float(all(c in string.hexdigits for c in probe)), _dictionary(probe),
-        probe.count("/") / n * 10, probe.count(".") / n * 10, float(bool(_UUID.fullmatch(probe))), float(bool(_HOLD.search(probe))), float(bool(_MADE.search(probe))) + 2 * (kind == "private_key"),
+        -sum(c / n * math.log2(c / n) for c in Counter(value).values()), float(all(c in string.hexdigits for c in value)), _dictionary(value),
+        value.count("/") / n * 10, value.count(".") / n * 10, float(bool(_UUID.fullmatch(value))), float(bool(_HOLD.search(value))), float(bool(_MADE.search(value))) + 2 * (kind == "private_key"),
         float(bool(_FOR.search(near))), float(bool(_AGAINST.search(near)) or bool(re.match(r"(?i)\W*(?:commit|checksum|revision)", after))), float(bool(re.search(r"[:=]\s*[\"']?$", near))),
-        float(near[-1:] in "\"'" and near != ""), float(probe.isdigit()), longest / n, steps_ / n, float(kind == "assigned"), float(bool(re.search(r"(?i)(?:https?:/|www\.|@)\S*$", near)) or "://" in probe),
+        float(near[-1:] in "\"'" and near != ""), float(value.isdigit()), longest / n, steps_ / n, float(kind == "assigned"), float(bool(re.search(r"(?i)(?:https?:/|www\.|@)\S*$", near)) or "://" in value),
     ]
 
 
@@ -183,10 +214,13 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, int,
             value, kind, secret = r.choice(secrets)(), "assigned" if lead.endswith(("=", " ", ":")) and lead not in ("", "use ", "with key ") else "run", 1
             if kind == "run" and not _MADE.search(value):
                 value = pick(b64, 40)
+            if r.random() < 0.08:
+                lead, q, kind = r.choice(("Bearer ", "Authorization: Bearer ", "bearer ")), "", "run"
+                value = r.choice((lambda: pick(string.ascii_letters, r.randint(16, 48)), lambda: pick(b64[:-2] + "-_", r.randint(20, 60))))()
             head, tail = prose(r.randint(0, 8)) + " " + lead + q, q + " " + prose(r.randint(0, 8))
         else:
             lead, value = r.choice(others)()
-            kind, secret = "assigned" if _NAMED.search(lead + value) else "run", 0
+            kind, secret = "assigned" if any(_assigned(lead + value)) else "run", 0
             head, tail = prose(r.randint(0, 8)) + " " + lead, " " + prose(r.randint(0, 8))
         out.append((head + value + tail, len(head), len(head) + len(value), kind, secret))
     return out
