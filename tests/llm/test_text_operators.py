@@ -94,6 +94,55 @@ def test_media_round_trip(spark):
         assert seen.setdefault(t or "", (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
 
 
+def test_media_of_many_kinds_in_step():
+    """Round trips of files read in step and one by one: repeats, caches, palettes, gradients, noise; each kind of writing occurs."""
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9), np.uint8)) for _ in range(300)]
+    text = lambda n: b" ".join(words[k] for k in rng.integers(0, 300, n))
+    made = [text(int(n)) for n in rng.integers(0, 900, 120)] + [text(60) * 9 for _ in range(10)] + [bytes(rng.integers(0, 256, 900, np.uint8)) for _ in range(4)]
+    made += [bytes(((np.arange(4000) // 3 + k) % 256).astype(np.uint8)) for k in range(4)] + [bytes([k, k + 1, k + 2]) * 400 for k in range(4)] + [text(9000), b"ab" * 30000, b"x" * 12288 * 3]
+    made += [b"".join(bytes([c, c, c]) for c in rng.integers(0, 3, 800)) for _ in range(3)] + [b"".join(bytes([c, c + 1, c ^ 9]) for c in rng.integers(0, 200, 3000)) for _ in range(3)]
+    padded = [webp.payload(t) for t in made]
+    files = webp.store_many(padded)
+    assert files == [webp.store(p) if k % 20 == 0 else f for k, (p, f) in enumerate(zip(padded, files, strict=True))]
+    seen = set()
+    for p, f, pixels in zip(padded, files, webp.decode_many(files), strict=True):
+        assert np.ascontiguousarray(pixels[:, :, :3]).tobytes()[: len(p)] == p and (pixels[:, :, 3] == 255).all()
+        opened = webp._open(f)
+        seen |= {("transform", t[0]) for t in opened.transforms} | {("cache", opened.image.cache_bits > 0)}
+        seen |= {("copies", len(opened.image.groups[0][4].symbols) > 1)}
+    assert seen >= {("transform", 0), ("transform", 2), ("transform", 3), ("cache", True), ("copies", True)}
+    assert sum(map(len, files)) < 0.5 * sum(map(len, padded))
+    for k in (0, 60, 125):
+        assert (webp.decode(files[k]) == webp.decode_many(files)[k]).all()
+
+
+def test_media_query_reads_what_the_writer_makes(spark, monkeypatch):
+    """Files of the query hold caches, references and transforms, so without their decoding it fails."""
+    rows = [(1, "one two three four five six seven, " * 40), (2, "lorem " * 300 + "ipsum " * 300), (3, ""), (4, "x")]
+    frame = docs(spark, rows)
+    kinds = [webp._open(bytes(r.media)) for r in webp.store_texts(frame).collect()]
+    assert any(k.transforms for k in kinds) and any(len(k.image.groups[0][4].symbols) > 1 or k.image.groups[0][0].symbols[-1] >= 256 for k in kinds)
+
+
+def test_huffman_lengths_are_optimal_and_limited():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 50, (40, 30)) * rng.integers(0, 2, (40, 30))
+    counts[0], counts[1], counts[2, :] = 0, 0, 1
+    counts[1, 7] = 5
+    counts[3, :24] = [int(1.9**k) + 1 for k in range(24)]
+    n = webp._lengths(counts, 15)
+    for c, row in zip(counts.tolist(), n.tolist(), strict=True):
+        used = {s: v for s, v in enumerate(c) if v}
+        assert {s for s, v in enumerate(row) if v} == set(used)
+        if len(used) > 1:
+            assert sum(2.0**-v for v in row if v) == 1
+            plain = lengths_of(used)
+            if max(plain.values()) <= 15:
+                assert sum(used[s] * row[s] for s in used) == sum(used[s] * plain[s] for s in used)
+    assert n.max() <= 15 and webp._lengths(counts, 7).max() <= 7
+
+
 def test_store_wide_payload():
     data = bytes(np.random.default_rng(1).integers(0, 256, 192 * 16500, np.uint8))
     pixels = webp.decode(webp.store(data))
