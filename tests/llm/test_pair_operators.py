@@ -152,6 +152,7 @@ def vectors(seed):
 
 def test_embeddings_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "BLOCK", 5)
     rows = vectors(2)
     good = {i: (np.array(v, float), la) for i, v, la in rows if la is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     unit = {i: (v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()), la) for i, (v, la) in good.items()}
@@ -165,6 +166,16 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_edge_rows(spark, monkeypatch):
+    """Null and repeated ids, text labels, extra columns, components that only doubles hold, and axes that are ordered instead of turned."""
+    monkeypatch.setattr(embeddings, "TURNED", 2)
+    a, b = [1.0, 0.1, 0.0], [1.0, 0.1 + 1e-12, 0.0]
+    rows = [(1, a, "x"), (2, b, "x"), (2, b, "x"), (None, a, "x"), (4, a, "y"), (5, [0.0, 1.0, 0.0], "x"), (6, [1.0, 0.0], "x"), (7, [2.0, 0.0], "x"), (None, None, None)]
+    frame = spark.createDataFrame([(*r, 1, "q") for r in rows], "vec_id long, embedding array<double>, label string, node int, kept string")
+    out = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(frame).collect()), key=str)
+    assert out == sorted([(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (None, 0, None, False), (4, 0, 4, True), (5, 0, 5, True), (6, 1, 6, True), (7, 1, 6, False), (None, 0, None, False)], key=str)
+
+
 def test_reachable_loses_nothing():
     rng = np.random.default_rng(1)
     a = embeddings.unit(rng.normal(size=(60, 40)))
