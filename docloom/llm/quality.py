@@ -3,10 +3,10 @@
 A document is a bag of passages of PASSAGE words. A passage is described by character classes, repetition and word
 shapes, in no language's terms; an encoder turns that into a vector, gated attention
 a = softmax(w . (tanh(V h) * sigmoid(U h))) weighs the passages, and the weighted vector gives the score. Encoder, attention and
-score are learned together from document labels, by full-batch gradient descent with a fixed seed.
+score are learned together from document labels, by gradient descent on batches of documents in an order of a fixed seed.
 
-The model is fitted on at most SAMPLE labelled rows (the first by a hash of their id) with at most BAG evenly spaced
-passages each; scoring reads every passage of every document.
+The model is fitted on all passages of at most SAMPLE labelled rows (the first by a hash of their id), which take about a fifth of
+their texts' bytes on the driver; scoring reads every passage of every document.
 
 Defined results: null text is empty; an empty text is one passage of zeros and is scored as such; a label
 is the mean of an id's labels, null labels are left out; rows whose crc32 of the id as text is a multiple of 5 are held
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from docloom.llm.common import lower, mix, steps, text_bytes, texts_of, word_hashes, words
 
 PASSAGE = 64
+#: Labelled rows that the model is fitted on, at most.
 SAMPLE = 5000
-BAG = 128
 THRESHOLD = 0.3
 HIDDEN, GATE = 16, 8
-ROUNDS, RATE, DECAY = 200, 0.03, 1e-4
+#: Documents a batch, passes over all batches, and batches in all, at least.
+BATCH, EPOCHS, LEAST_STEPS = 256, 30, 200
+RATE, DECAY = 0.02, 1e-4
 _U = np.uint64
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[c for c in range(33, 127) if not chr(c).isalnum() and c not in (44, 46)]] = True
@@ -120,22 +122,34 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, bag[:-1])
         return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "n": n, "s": 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))}
 
-    def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> Model:
+    def gradient(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy, by parameter."""
+        p, f = self.p, self.forward(x, bag)
+        ds = (f["s"] - y) / len(y)
+        dz = np.repeat(ds[:, None] * p["c"], f["n"], 0)
+        da = (dz * f["h"]).sum(1)
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, bag[:-1]), f["n"]))
+        dt, dg = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = (f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": de @ (f["t"] * f["g"]), "c": f["z"].T @ ds, "d": np.array([ds.sum()])}
+
+    def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, seed: int = 12) -> Model:
         p, m, v = self.p, {}, {}
-        for step in range(1, ROUNDS + 1):
-            f = self.forward(x, bag)
-            ds = (f["s"] - y) / len(y)
-            dz = np.repeat(ds[:, None] * p["c"], f["n"], 0)
-            da = (dz * f["h"]).sum(1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, bag[:-1]), f["n"]))
-            dt, dg = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": de @ (f["t"] * f["g"]), "c": f["z"].T @ ds, "d": np.array([ds.sum()])}
-            for k, g in grad.items():
+        rng, n = np.random.default_rng(seed), np.diff(bag)
+        batches = -(-len(y) // BATCH)
+        steps = max(LEAST_STEPS, EPOCHS * batches)
+        for step in range(1, steps + 1):
+            if (step - 1) % batches == 0:
+                order = rng.permutation(len(y))
+            own = order[(step - 1) % batches :: batches]
+            begin = np.concatenate([[0], np.cumsum(n[own])])
+            rows = np.repeat(bag[:-1][own] - begin[:-1], n[own]) + np.arange(begin[-1])
+            rate = RATE * min(1.0, 2 * (steps - step + 1) / steps)
+            for k, g in self.gradient(x[rows], begin, y[own]).items():
                 g = g + DECAY * p[k]
                 m[k] = 0.9 * m.get(k, 0) + 0.1 * g
                 v[k] = 0.999 * v.get(k, 0) + 0.001 * g * g
-                p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
 
@@ -147,9 +161,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags, y = [], batch.column("y")
         for x, bag in passages(batch.column("text")):
-            for f, t in zip(bag[:-1], bag[1:], strict=True):
-                own = np.arange(f, t) if t - f <= BAG else f + (np.arange(BAG) * (t - f)) // BAG
-                bags.append(x[own].astype("<f4").tobytes())
+            bags += [x[f:t].astype("<f4").tobytes() for f, t in zip(bag[:-1], bag[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), y], ["bag", "y"])
 
 

@@ -451,11 +451,46 @@ def test_quality_edge_rows(spark):
     assert kept.columns == docs(spark, rows).columns and kept.count() == sum(r.predicted for r in out)
 
 
+def test_quality_of_single_class_labels_and_all_passages(spark):
+    rows = [(i, "plain words in a row of text.") for i in range(20)]
+    same = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    assert {r.score for r in quality.score(docs(spark, rows), same).collect()} == {1.0}
+    long = docs(spark, [(1, "word " * 64 * 300), (4, "word")])
+    bags = long.selectExpr("text", "1D as y").mapInArrow(quality._bags, "bag binary, y double").collect()
+    assert [len(r.bag) // 4 // quality.N_FEATURES for r in bags] == [300, 1]
+
+
+def test_quality_matches_plain_passages():
+    """Scores of the vectorised features against features counted word by word."""
+    import random
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["a", "Word", "UPPER", "end.", "so,", "42", "$$", "éa"]) for _ in range(n)) for n in (0, 1, 63, 64, 65, 200)]
+    for t, (x, bag) in zip(texts, [next(quality.passages(pa.array([t]))) for t in texts], strict=True):
+        w = t.split()
+        assert len(x) == max(1, -(-len(w) // 64)) and list(bag) == [0, len(x)]
+        for k in range(len(x)):
+            own = [v.encode() for v in w[64 * k : 64 * (k + 1)]]
+            if own:
+                assert abs(x[k][0] - np.mean([len(v) / 8 for v in own])) < 1e-5 and abs(x[k][2] - np.mean([sum(65 <= c <= 90 for c in v) / len(v) for v in own])) < 1e-5
+                assert abs(x[k][12] - np.mean([v.endswith(b".") for v in own])) < 1e-5 and abs(x[k][15] - len(set(own)) / len(own)) < 1e-5
+            else:
+                assert not x[k].any()
+
+
 def test_gradients_of_the_attention_model():
     rng = np.random.default_rng(0)
     x, bag, y = rng.normal(size=(9, 4)), np.array([0, 2, 5, 9]), np.array([0.0, 1.0, 1.0])
     loss = lambda m: float(-(y * np.log(m.forward(x, bag)["s"]) + (1 - y) * np.log(1 - m.forward(x, bag)["s"])).mean())
     m = quality.Model(np.zeros(4), np.ones(4))
+    for k, g in m.gradient(x, bag, y).items():
+        for at in np.ndindex(*g.shape):
+            was, ends = m.p[k][at], []
+            for far in (1e-6, -1e-6):
+                m.p[k][at] = was + far
+                ends.append(loss(m))
+            m.p[k][at] = was
+            assert abs((ends[0] - ends[1]) / 2e-6 - g[at]) < 1e-6
     before = loss(m)
     m.fit(x, bag, y)
     assert loss(m) < 0.2 * before
