@@ -40,25 +40,28 @@ def batch_health(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count_if(status == "ready").alias("succeeded"), F.count_if(status.isin("stopped_incomplete", "budget_exhausted")).alias("degraded"), F.count_if(~status.isin("ready", "stopped_incomplete", "budget_exhausted")).alias("failed"))
 
 
-def scope_pages(scopes: DataFrame, pages: int) -> DataFrame:
-    """scopes(question_id, scope text) -> page numbers 1..pages that are meant; a text without a scope gives none."""
+def scope_pages(scopes: DataFrame, most: int | None = None) -> DataFrame:
+    """scopes(question_id, scope text, pages: how many the document has, if not `most`) -> page numbers 1..pages that are meant; a text without a scope gives none."""
     s = F.lower("scope")
     number = lambda pattern: F.regexp_extract(s, pattern, 1).try_cast("int")
     first, last = number(r"first ([0-9]+)"), number(r"last ([0-9]+)")
     lo, hi = number(r"pages? ([0-9]+)\s*(?:-|to)\s*[0-9]+"), number(r"pages? [0-9]+\s*(?:-|to)\s*([0-9]+)")
     listed = F.transform(F.regexp_extract_all(F.regexp_extract(s, r"(pages? [0-9]+(?:(?:\s*,\s*|\s+and\s+)[0-9]+)*)", 1), F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
+    pages = F.lit(most) if most is not None else F.col("pages").cast("int")
     found = (
-        F.when(s.contains("whole document"), F.sequence(F.lit(1), F.lit(pages))).when(first.isNotNull(), F.sequence(F.lit(1), F.least(first, F.lit(pages)))).when(last.isNotNull(), F.sequence(F.greatest(F.lit(1), pages - last + 1), F.lit(pages)))
+        F.when(s.contains("whole document"), F.sequence(F.lit(1), pages)).when(first.isNotNull(), F.sequence(F.lit(1), F.least(first, pages))).when(last.isNotNull(), F.sequence(F.greatest(F.lit(1), pages - last + 1), pages))
         .when(lo.isNotNull() & (lo <= hi), F.sequence(lo, hi)).otherwise(listed)
     )
     return scopes.select("question_id", F.explode(F.array_distinct(F.filter(found, lambda p: (p >= 1) & (p <= pages)))).alias("page_number"))
 
 
 def page_of_label(mentions: DataFrame, pages: DataFrame) -> DataFrame:
-    """mentions(label), pages(page_id, page_index, label): the page that prints the label; its place in order only where no page prints it."""
-    printed = mentions.join(pages.select("label", F.col("page_id").alias("printed_id")), "label", "left")
-    counted = printed.join(pages.select((F.col("page_index") + 1).cast("string").alias("label"), F.col("page_id").alias("counted_id")), "label", "left")
-    return counted.groupBy("label").agg(F.min(F.coalesce("printed_id", "counted_id")).alias("page_id"), F.when(F.max("printed_id").isNotNull(), "printed").when(F.max("counted_id").isNotNull(), "physical").otherwise("unresolved").alias("by"), F.countDistinct("printed_id").alias("printed"))
+    """mentions(document_id, label), pages(document_id, page_id, page_index, label): the page that prints the label; its place in order only where no page prints it."""
+    doc = "document_id"
+    printed = mentions.join(pages.select(doc, "label", F.col("page_id").alias("printed_id")), [doc, "label"], "left")
+    counted = printed.join(pages.select(doc, (F.col("page_index") + 1).cast("string").alias("label"), F.col("page_id").alias("counted_id")), [doc, "label"], "left")
+    by = F.when(F.max("printed_id").isNotNull(), "printed").when(F.max("counted_id").isNotNull(), "physical").otherwise("unresolved")
+    return counted.groupBy(doc, "label").agg(F.coalesce(F.min("printed_id"), F.min("counted_id")).alias("page_id"), by.alias("by"), F.countDistinct("printed_id").alias("printed"))
 
 
 def match_scope(ranges: Column, content_start: Column, content_end: Column) -> Column:

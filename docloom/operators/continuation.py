@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
-from docloom.operators.relations import same_page_pairs, sides
+from docloom.operators.relations import DOC, same_page_pairs, sides
 
 
 def _points(*rules: tuple[Column, float]) -> Column:
@@ -20,13 +20,13 @@ def _points(*rules: tuple[Column, float]) -> Column:
 
 def _next_page(last: DataFrame, first: DataFrame) -> DataFrame:
     a, b = sides(last)[0], sides(first)[1]
-    return a.join(b, F.col("a_page_index") + 1 == F.col("b_page_index"))
+    return a.join(b, (F.col("a_document_id") == F.col("b_document_id")) & (F.col("a_page_index") + 1 == F.col("b_page_index")))
 
 
 def _edges(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """The last and the first block of a kind on each page."""
     own = rows.where(F.col("element_type") == kind)
-    nth = lambda order: own.withColumn("rn", F.row_number().over(Window.partitionBy("page_index").orderBy(order))).where("rn = 1").drop("rn")
+    nth = lambda order: own.withColumn("rn", F.row_number().over(Window.partitionBy(DOC, "page_index").orderBy(order))).where("rn = 1").drop("rn")
     return nth(F.desc("reading_order")), nth(F.col("reading_order"))
 
 
@@ -37,7 +37,7 @@ def list_continuations(elements: DataFrame, least: float = 0.65) -> DataFrame:
         ((F.col("a_y2") >= 0.72) & (F.col("b_y1") <= 0.30), 0.25), (F.col("a_section_id") == F.col("b_section_id"), 0.15), (F.rlike("a_text", F.lit(r"[,;:]\s*$")), 0.20), (F.rlike("b_text", F.lit(r"^\s*\p{Ll}")), 0.15),
         (reference(F.col("a_text")) & reference(F.col("b_text")), 0.15),
     )
-    return met.withColumn("score", score).where(F.col("score") >= least).select(F.col("a_element_id").alias("source_id"), F.col("b_element_id").alias("target_id"), "score")
+    return met.withColumn("score", score).where(F.col("score") >= least).select(F.col("a_document_id").alias(DOC), F.col("a_element_id").alias("source_id"), F.col("b_element_id").alias("target_id"), "score")
 
 
 def code_continuations(elements: DataFrame, least: float = 0.60) -> DataFrame:
@@ -48,39 +48,54 @@ def code_continuations(elements: DataFrame, least: float = 0.60) -> DataFrame:
     score = _points(
         (F.lit(True), 0.15), (F.col("a_y2") >= 0.80, 0.15), (F.col("b_y1") <= 0.25, 0.15), (F.col("a_section_id") == F.col("b_section_id"), 0.05), (alike, 0.15), (open_block, 0.10), (F.lower("b_text").contains("continued"), 0.15), (fresh, -0.10),
     )
-    return met.withColumn("score", score).where(F.col("score") >= least).select(F.col("a_element_id").alias("source_id"), F.col("b_element_id").alias("target_id"), "score")
+    return met.withColumn("score", score).where(F.col("score") >= least).select(F.col("a_document_id").alias(DOC), F.col("a_element_id").alias("source_id"), F.col("b_element_id").alias("target_id"), "score")
 
 
 def markerless_notes(elements: DataFrame, anchored: DataFrame) -> DataFrame:
-    """Footnotes without a marker right below one that has a target: it becomes theirs. anchored(footnote_id, target_id)."""
+    """Footnotes without a target right below one that has a target: it becomes theirs. anchored(document_id, footnote_id, target_id)."""
     notes = elements.where("element_type = 'footnote'")
-    pairs = same_page_pairs(notes).where((F.col("b_y2") <= F.col("a_y1") + 1e-9) & (G.v_gap("a_", "b_") <= 0.035) & (G.h_overlap("a_", "b_") >= 0.60))
-    free = pairs.join(anchored.select(F.col("footnote_id").alias("a_element_id")), "a_element_id", "left_anti")
-    met = free.join(anchored.withColumnRenamed("footnote_id", "b_element_id"), "b_element_id")
-    return met.groupBy(F.col("a_element_id").alias("footnote_id")).agg(F.max_by("target_id", F.struct("b_y2", "b_element_id")).alias("target_id"))
+    pairs = same_page_pairs(notes).where((F.col("b_y2") <= F.col("a_y1") + 1e-9) & (G.v_gap("a_", "b_") <= 0.035) & (G.h_overlap("a_", "b_") >= 0.60)).withColumnRenamed("a_document_id", DOC)
+    free = pairs.join(anchored.select(DOC, F.col("footnote_id").alias("a_element_id")), [DOC, "a_element_id"], "left_anti")
+    met = free.join(anchored.withColumnRenamed("footnote_id", "b_element_id"), [DOC, "b_element_id"])
+    return met.groupBy(DOC, F.col("a_element_id").alias("footnote_id")).agg(F.max_by("target_id", F.struct("b_y2", "b_element_id")).alias("target_id"))
 
 
 def caption_groups(elements: DataFrame) -> DataFrame:
     """Captions with at least two visuals on their page within .10 that share a fifth of their width."""
     pairs = same_page_pairs(elements).where("a_element_type = 'caption' and b_element_type in ('figure', 'chart', 'table')").where((G.v_gap("a_", "b_") <= 0.10) & (G.h_overlap("a_", "b_") >= 0.20))
-    return pairs.groupBy(F.col("a_element_id").alias("caption_id")).agg(F.sort_array(F.collect_list("b_element_id")).alias("members")).where(F.size("members") >= 2)
+    return pairs.groupBy(F.col("a_document_id").alias(DOC), F.col("a_element_id").alias("caption_id")).agg(F.sort_array(F.collect_list("b_element_id")).alias("members")).where(F.size("members") >= 2)
+
+
+def shared_note_members(elements: DataFrame, anchored: DataFrame) -> DataFrame:
+    """Visuals that a note below several of them belongs to as well as its target: a row with the target (shared height .70, widths within 1.8), which together the note spans (.80).
+
+    anchored(document_id, footnote_id, target_id) -> (document_id, footnote_id, member_id), two members at least.
+    """
+    visual = elements.where("element_type in ('figure', 'chart', 'table')")
+    rows = same_page_pairs(visual).where((G.v_overlap("a_", "b_") >= 0.70) & (G.width_ratio("a_", "b_") <= 1.8))
+    rows = rows.select(F.col("a_document_id").alias(DOC), F.col("a_element_id").alias("target_id"), F.col("b_element_id").alias("member_id"), "b_x1", "b_x2")
+    own = visual.select(DOC, F.col("element_id").alias("target_id"), F.col("element_id").alias("member_id"), F.col("x1").alias("b_x1"), F.col("x2").alias("b_x2"))
+    met = anchored.join(rows.unionByName(own), [DOC, "target_id"]).join(elements.select(DOC, F.col("element_id").alias("footnote_id"), F.col("x1").alias("n_x1"), F.col("x2").alias("n_x2")), [DOC, "footnote_id"])
+    span = met.groupBy(DOC, "footnote_id").agg(F.collect_set("member_id").alias("members"), F.min("b_x1").alias("lo"), F.max("b_x2").alias("hi"), F.first("n_x1").alias("n_x1"), F.first("n_x2").alias("n_x2"))
+    covered = (F.least("hi", "n_x2") - F.greatest("lo", "n_x1")) / (F.col("hi") - F.col("lo"))
+    return span.where((F.size("members") >= 2) & (covered >= 0.80)).select(DOC, "footnote_id", F.explode("members").alias("member_id"))
 
 
 def panel_members(elements: DataFrame, primary: DataFrame) -> DataFrame:
-    """Visuals of a row with the primary target of a caption: gap <= .08 to the caption, width shared >= .25, row shared >= .65. primary(caption_id, target_id)."""
+    """Visuals of a row with the primary target of a caption: gap <= .08 to the caption, width shared >= .25, row shared >= .65. primary(document_id, caption_id, target_id)."""
     visual = elements.where("element_type in ('figure', 'chart')")
-    rows = same_page_pairs(visual).where(G.v_overlap("a_", "b_") >= 0.65).select(F.col("a_element_id").alias("target_id"), F.col("b_element_id").alias("member_id"))
-    near = same_page_pairs(elements).where("a_element_type = 'caption'").where((G.v_gap("a_", "b_") <= 0.08) & (G.h_overlap("a_", "b_") >= 0.25)).select(F.col("a_element_id").alias("caption_id"), F.col("b_element_id").alias("member_id"))
-    return primary.join(rows, "target_id").join(near, ["caption_id", "member_id"]).select("caption_id", "member_id")
+    rows = same_page_pairs(visual).where(G.v_overlap("a_", "b_") >= 0.65).select(F.col("a_document_id").alias(DOC), F.col("a_element_id").alias("target_id"), F.col("b_element_id").alias("member_id"))
+    near = same_page_pairs(elements).where("a_element_type = 'caption'").where((G.v_gap("a_", "b_") <= 0.08) & (G.h_overlap("a_", "b_") >= 0.25)).select(F.col("a_document_id").alias(DOC), F.col("a_element_id").alias("caption_id"), F.col("b_element_id").alias("member_id"))
+    return primary.join(rows, [DOC, "target_id"]).join(near, [DOC, "caption_id", "member_id"]).select(DOC, "caption_id", "member_id")
 
 
 def composite_fallback(mentions: DataFrame, elements: DataFrame, resolved: DataFrame) -> DataFrame:
     """For mentions without a target: the one tall visual that stands later on the page, if there is exactly one."""
-    open_ = mentions.join(resolved.where("target_id is not null").select("source_id", "kind", "number"), ["source_id", "kind", "number"], "left_anti")
-    source = elements.select(F.col("element_id").alias("source_id"), F.col("reading_order").alias("s_order"))
-    tall = elements.where("element_type in ('figure', 'chart') and y2 - y1 >= 0.25").select("page_index", F.col("element_id").alias("target_id"), "reading_order")
-    met = open_.join(source, "source_id").join(tall, "page_index").where("reading_order > s_order")
-    return met.groupBy("source_id", "kind", "number").agg(F.count("*").alias("n"), F.min("target_id").alias("target_id")).where("n = 1").drop("n")
+    open_ = mentions.join(resolved.where("target_id is not null").select(DOC, "source_id", "kind", "number"), [DOC, "source_id", "kind", "number"], "left_anti")
+    source = elements.select(DOC, F.col("element_id").alias("source_id"), F.col("reading_order").alias("s_order"))
+    tall = elements.where("element_type in ('figure', 'chart') and y2 - y1 >= 0.25").select(DOC, "page_index", F.col("element_id").alias("target_id"), "reading_order")
+    met = open_.join(source, [DOC, "source_id"]).join(tall, [DOC, "page_index"]).where("reading_order > s_order")
+    return met.groupBy(DOC, "source_id", "kind", "number").agg(F.count("*").alias("n"), F.min("target_id").alias("target_id")).where("n = 1").drop("n")
 
 
 def duplicate_code(elements: DataFrame, ratio: float = 0.72) -> DataFrame:
@@ -88,7 +103,7 @@ def duplicate_code(elements: DataFrame, ratio: float = 0.72) -> DataFrame:
     pairs = same_page_pairs(elements.where("element_type = 'code'")).where("a_reading_order < b_reading_order").where(G.iou("a_", "b_") >= 0.45)
     words = lambda c: F.array_distinct(F.split(F.lower(c), r"\W+"))
     alike = 2 * F.size(F.array_intersect(words("a_text"), words("b_text"))) / (F.size(words("a_text")) + F.size(words("b_text")))
-    return pairs.where(alike >= ratio).select(F.col("b_element_id").alias("element_id"), F.col("a_element_id").alias("same_as")).distinct()
+    return pairs.where(alike >= ratio).select(F.col("b_document_id").alias(DOC), F.col("b_element_id").alias("element_id"), F.col("a_element_id").alias("same_as")).distinct()
 
 
 def fragment_positions(fragments: DataFrame) -> DataFrame:

@@ -35,20 +35,20 @@ def numbered_units(items: DataFrame) -> DataFrame:
 def question_runs(elements: DataFrame) -> DataFrame:
     """Runs of blocks on a page that are all numbered questions, of two blocks at least: gaps and islands."""
     is_question = F.rlike("text", F.lit(r"^\s*(?:Q?[0-9]{1,3}[.)])\s+.*\?\s*$"))
-    w = Window.partitionBy("page_index").orderBy("reading_order")
+    w = Window.partitionBy("document_id", "page_index").orderBy("reading_order")
     marked = elements.withColumn("q", F.coalesce(is_question, F.lit(False))).withColumn("rn", F.row_number().over(w))
     runs = marked.where("q").withColumn("island", F.col("rn") - F.row_number().over(w))
-    return runs.groupBy("page_index", "island").agg(F.count("*").alias("blocks"), F.min("reading_order").alias("first"), F.max("reading_order").alias("last")).where("blocks >= 2").drop("island")
+    return runs.groupBy("document_id", "page_index", "island").agg(F.count("*").alias("blocks"), F.min("reading_order").alias("first"), F.max("reading_order").alias("last")).where("blocks >= 2").drop("island")
 
 
 def lettered_notes(elements: DataFrame) -> DataFrame:
     """Paragraphs right after a table that are lettered a, b, c in order, two at least: (table_id, element_id, letter)."""
-    w = Window.partitionBy("page_index").orderBy("reading_order")
+    w = Window.partitionBy("document_id", "page_index").orderBy("reading_order")
     letter = F.regexp_extract("text", r"^\s*\(?([a-z])[).]\s", 1)
     rows = elements.withColumn("letter", F.when(F.col("element_type") == "paragraph", letter)).withColumn("table_id", F.last(F.when(F.col("element_type") == "table", F.col("element_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("since", F.row_number().over(Window.partitionBy("page_index", "table_id").orderBy("reading_order")) - 2).where("table_id is not null and element_type <> 'table'")
+    rows = rows.withColumn("since", F.row_number().over(Window.partitionBy("document_id", "page_index", "table_id").orderBy("reading_order")) - 2).where("table_id is not null and element_type <> 'table'")
     fit = rows.where(F.coalesce(F.ascii("letter"), F.lit(0)) == F.ascii(F.lit("a")) + F.col("since"))
-    return fit.withColumn("n", F.count("*").over(Window.partitionBy("table_id"))).where("n >= 2").select("table_id", "element_id", "letter")
+    return fit.withColumn("n", F.count("*").over(Window.partitionBy("document_id", "table_id"))).where("n >= 2").select("document_id", "table_id", "element_id", "letter")
 
 
 def footnote_kind(text: Column, profile: Column, next_types: Column, overlap: Column, has_target: Column) -> Column:

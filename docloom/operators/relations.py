@@ -1,7 +1,10 @@
 """Relations between elements: spatial neighbours, captions, footnotes, references, continuations, closures.
 
-elements have element_id, page_index, reading_order, element_type, text, x1, y1, x2, y2 and section_id; every pair join is an
+elements have document_id, element_id, page_index, reading_order, element_type, text, x1, y1, x2, y2 and section_id; every pair join is an
 equi-join on the document (and page), with the geometry as what remains of the condition.
+
+Null boxes fail every geometric test, null texts every textual one; equal candidates are told apart by their ids; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
-from docloom.functions.text import LABELS, lower_start, open_ended
+from docloom.functions import paragraphs as P
+from docloom.functions.text import LABELS, open_ended
 from docloom.lineage import cut_lineage
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -24,7 +28,10 @@ def sides(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(elements.select(*(F.col(c).alias(f"{p}{c}") for c in elements.columns)) for p in ("a_", "b_"))
 
 
-def same_page_pairs(elements: DataFrame, keys: tuple[str, ...] = ("page_index",)) -> DataFrame:
+DOC = "document_id"
+
+
+def same_page_pairs(elements: DataFrame, keys: tuple[str, ...] = (DOC, "page_index")) -> DataFrame:
     a, b = sides(elements)
     on = F.col("a_element_id") != F.col("b_element_id")
     for k in keys:
@@ -36,7 +43,7 @@ def neighbours(elements: DataFrame, most: float = 0.1) -> DataFrame:
     """For pairs on a page: distance, and whether b is near, above, below, in the same column or overlapping."""
     pairs = same_page_pairs(elements)
     return pairs.select(
-        "a_element_id", "b_element_id", G.distance("a_", "b_").alias("distance"), (G.distance("a_", "b_") <= most).alias("nearby"), (F.col("b_y2") <= F.col("a_y1")).alias("above"), (F.col("b_y1") >= F.col("a_y2")).alias("below"),
+        F.col("a_document_id").alias(DOC), "a_element_id", "b_element_id", G.distance("a_", "b_").alias("distance"), (G.distance("a_", "b_") <= most).alias("nearby"), (F.col("b_y2") <= F.col("a_y1")).alias("above"), (F.col("b_y1") >= F.col("a_y2")).alias("below"),
         (G.h_overlap("a_", "b_") >= 0.5).alias("same_column"), (G.iou("a_", "b_") > 0).alias("overlapping"),
     )
 
@@ -47,19 +54,19 @@ def nearest_target(captions: DataFrame, targets: DataFrame, radius: int = 1) ->
     Pages are matched by equality: a target is offered to each page of its radius.
     """
     kind = F.when(F.lower("text").rlike("^(table|tab)"), "table").otherwise("figure")
-    c = captions.withColumn("kind", kind).select(F.col("element_id").alias("caption_id"), F.col("page_index").alias("at"), F.col("reading_order").alias("c_order"), "kind")
-    t = targets.withColumn("kind", F.when(F.col("element_type") == "table", "table").otherwise("figure")).select(F.col("element_id").alias("target_id"), "page_index", F.col("reading_order").alias("t_order"), "kind", F.explode(F.sequence(F.col("page_index") - radius, F.col("page_index") + radius)).alias("at"))
+    c = captions.withColumn("kind", kind).select(DOC, F.col("element_id").alias("caption_id"), F.col("page_index").alias("at"), F.col("reading_order").alias("c_order"), "kind")
+    t = targets.withColumn("kind", F.when(F.col("element_type") == "table", "table").otherwise("figure")).select(DOC, F.col("element_id").alias("target_id"), "page_index", F.col("reading_order").alias("t_order"), "kind", F.explode(F.sequence(F.col("page_index") - radius, F.col("page_index") + radius)).alias("at"))
     key = F.struct((F.col("page_index") != F.col("at")).cast("int"), (F.col("t_order") > F.col("c_order")).cast("int"), F.abs(F.col("t_order") - F.col("c_order")), F.col("target_id"))
-    return c.join(t, ["at", "kind"]).groupBy("caption_id").agg(F.min_by(F.struct("target_id", (F.col("page_index") == F.col("at")).alias("same_page")), key).alias("x")).select(
-        "caption_id", "x.target_id", F.when(F.col("x.same_page"), 0.95).otherwise(0.78).alias("confidence"))
+    return c.join(t, [DOC, "at", "kind"]).groupBy(DOC, "caption_id").agg(F.min_by(F.struct("target_id", (F.col("page_index") == F.col("at")).alias("same_page")), key).alias("x")).select(
+        DOC, "caption_id", "x.target_id", F.when(F.col("x.same_page"), 0.95).otherwise(0.78).alias("confidence"))
 
 
 def marker_targets(elements: DataFrame) -> DataFrame:
     """Footnotes with their marker and the nearest element before them on the page that holds it."""
-    notes = elements.where("element_type = 'footnote'").select(F.col("element_id").alias("footnote_id"), "page_index", F.col("reading_order").alias("n_order"), F.regexp_extract("text", r"^\s*(\*+|[0-9]{1,2}|[a-z]\))", 1).alias("marker")).where("marker <> ''")
-    others = elements.where("element_type <> 'footnote'").select(F.col("element_id").alias("target_id"), "page_index", "reading_order", "text")
-    met = notes.join(others, "page_index").where("reading_order < n_order and contains(text, marker)")
-    return met.groupBy("footnote_id", "marker").agg(F.max_by("target_id", "reading_order").alias("target_id"))
+    notes = elements.where("element_type = 'footnote'").select(DOC, F.col("element_id").alias("footnote_id"), "page_index", F.col("reading_order").alias("n_order"), F.regexp_extract("text", r"^\s*(\*+|[0-9]{1,2}|[a-z]\))", 1).alias("marker")).where("marker <> ''")
+    others = elements.where("element_type <> 'footnote'").select(DOC, F.col("element_id").alias("target_id"), "page_index", "reading_order", "text")
+    met = notes.join(others, [DOC, "page_index"]).where("reading_order < n_order and contains(text, marker)")
+    return met.groupBy(DOC, "footnote_id", "marker").agg(F.max_by("target_id", "reading_order").alias("target_id"))
 
 
 def footnote_score(parser: Column, marker: Column, same_page: Column, gap: Column, reading: Column, prefix: Column, y1: Column) -> Column:
@@ -69,10 +76,10 @@ def footnote_score(parser: Column, marker: Column, same_page: Column, gap: Colum
 
 
 def mentions(elements: DataFrame) -> DataFrame:
-    """(source_id, kind, number, page_index, section_id) of the labels that texts name; captions name their own."""
+    """(document_id, source_id, kind, number, page_index, section_id) of the labels that texts name; captions name their own."""
     parts = []
     for kind, pattern in LABELS.items():
-        parts.append(elements.where("element_type = 'paragraph'").select(F.col("element_id").alias("source_id"), F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("number"), "page_index", "section_id"))
+        parts.append(elements.where("element_type = 'paragraph'").select(DOC, F.col("element_id").alias("source_id"), F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("number"), "page_index", "section_id"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -81,60 +88,93 @@ def mentions(elements: DataFrame) -> DataFrame:
 
 def resolve_references(found: DataFrame, labels: DataFrame) -> DataFrame:
     """The best target of each mention: same section, priority, page distance, id; null where there is none."""
-    t = labels.select("kind", "number", "target_id", "priority", F.col("page_index").alias("t_page"), F.col("section_id").alias("t_section"))
+    t = labels.select(DOC, "kind", "number", "target_id", "priority", F.col("page_index").alias("t_page"), F.col("section_id").alias("t_section"))
     key = F.struct((F.col("section_id") != F.col("t_section")).cast("int"), -F.col("priority"), F.abs(F.col("page_index") - F.col("t_page")), F.col("target_id"))
-    return found.join(t, ["kind", "number"], "left").groupBy("source_id", "kind", "number").agg(F.min_by("target_id", key).alias("target_id"), F.count("target_id").alias("candidates"))
+    return found.join(t, [DOC, "kind", "number"], "left").groupBy(DOC, "source_id", "kind", "number").agg(F.min_by("target_id", key).alias("target_id"), F.count("target_id").alias("candidates"))
+
+
+def scored_footnotes(elements: DataFrame, targets: DataFrame, parser: DataFrame | None = None, least: float = 0.75) -> DataFrame:
+    """targets(document_id, footnote_id, marker, target_id) -> with score, and whether that confirms it; parser(document_id, footnote_id, target_id): what the parser bound."""
+    side = lambda k, p: elements.select(DOC, F.col("element_id").alias(k), *(F.col(c).alias(f"{p}{c}") for c in ("page_index", "reading_order", "text", *BOX)))
+    met = targets.join(side("footnote_id", "f_"), [DOC, "footnote_id"]).join(side("target_id", "t_"), [DOC, "target_id"])
+    bound = F.lit(False)
+    if parser is not None:
+        met = met.join(parser.select(DOC, "footnote_id", "target_id", F.lit(True).alias("bound")), [DOC, "footnote_id", "target_id"], "left")
+        bound = F.coalesce("bound", F.lit(False))
+    prefix = F.startswith(F.ltrim("f_text"), F.col("marker"))
+    score = footnote_score(bound, F.col("marker") != "", F.col("f_page_index") == F.col("t_page_index"), G.v_gap("f_", "t_"), F.abs(F.col("f_reading_order") - F.col("t_reading_order")), prefix, F.col("f_y1"))
+    return met.select(DOC, "footnote_id", "target_id", F.round(score, 6).alias("score"), (score >= least).alias("confirmed"))
 
 
 def table_continuations(elements: DataFrame, least: float = 0.5) -> DataFrame:
-    """The last table of a page with the first of the next, scored by place, columns and header words."""
+    """The last table of a page with the first of the next, scored by place, columns, header words and what the text says. `columns`, where there is one, is a table's number of columns; else its words are counted."""
     tables = elements.where("element_type = 'table'")
-    order = lambda *c: Window.partitionBy("page_index").orderBy(*c)
+    order = lambda *c: Window.partitionBy(DOC, "page_index").orderBy(*c)
     last = tables.withColumn("rn", F.row_number().over(order(F.desc("reading_order")))).where("rn = 1").drop("rn")
     first = tables.withColumn("rn", F.row_number().over(order("reading_order"))).where("rn = 1").drop("rn")
     a, b = sides(last)[0], sides(first)[1]
     words = lambda p: F.array_distinct(F.split(F.lower(f"{p}text"), r"\s+"))
+    columns = lambda p: F.col(f"{p}columns") if "columns" in elements.columns else F.size(F.split(F.trim(f"{p}text"), r"\s+"))
     jaccard = F.size(F.array_intersect(words("a_"), words("b_"))) / F.size(F.array_union(words("a_"), words("b_")))
     alike = (F.abs((F.col("a_x2") - F.col("a_x1")) - (F.col("b_x2") - F.col("b_x1"))) <= 0.1) & (F.abs((F.col("a_x1") + F.col("a_x2")) - (F.col("b_x1") + F.col("b_x2"))) <= 0.2)
-    score = 0.2 + F.when((F.col("a_y2") >= 0.68) & (F.col("b_y1") <= 0.25), 0.1).otherwise(0.0) + F.when(alike, 0.1).otherwise(0.0) + F.when(jaccard >= 0.5, 0.2).otherwise(0.0) + F.when(F.size(words("a_")) == F.size(words("b_")), 0.1).otherwise(0.0)
-    met = a.join(b, F.col("a_page_index") + 1 == F.col("b_page_index")).withColumn("score", F.round(F.least(F.lit(0.9), score), 3))
-    return met.where(F.col("score") >= least).select(F.col("a_element_id").alias("source_id"), F.col("b_element_id").alias("target_id"), "score")
+    said = F.rlike("b_text", F.lit("(?i)continued|续"))
+    rules = (((F.col("a_y2") >= 0.68) & (F.col("b_y1") <= 0.25), 0.1), (alike, 0.1), (jaccard >= 0.5, 0.2), (said, 0.3), (columns("a_") == columns("b_"), 0.1))
+    score = sum((F.when(F.coalesce(rule, F.lit(False)), points).otherwise(0.0) for rule, points in rules), F.lit(0.2))
+    met = a.join(b, (F.col("a_document_id") == F.col("b_document_id")) & (F.col("a_page_index") + 1 == F.col("b_page_index"))).withColumn("score", F.round(F.least(F.lit(0.9), score), 3))
+    return met.where(F.col("score") >= least).select(F.col("a_document_id").alias(DOC), F.col("a_element_id").alias("source_id"), F.col("b_element_id").alias("target_id"), "score")
+
+
+def visual_bridges(elements: DataFrame) -> DataFrame:
+    """Pages with visuals and without running text: (document_id, page_index)."""
+    text = "element_type in ('heading', 'list', 'code') or (element_type = 'paragraph' and length(text) >= 25)"
+    return elements.groupBy(DOC, "page_index").agg(F.count_if(F.expr("element_type in ('figure', 'chart', 'table')")).alias("visual"), F.count_if(F.expr(text)).alias("running")).where("visual > 0 and running = 0").select(DOC, "page_index")
+
+
+def _rx(column: str, pattern: str) -> str:
+    return f"{column} rlike r'{pattern}'"
 
 
 def paragraph_continuations(elements: DataFrame, least: float = 0.55) -> DataFrame:
-    """The best pair of paragraphs of each two pages in a row. Gates of one side filter it before the join."""
+    """The best pair of paragraphs of each two pages in a row, or of two with nothing but visuals between; gates of one side filter it before the join."""
     text = elements.where("element_type = 'paragraph'")
-    a = sides(text.where(open_ended(F.col("text")) & (F.length("text") >= 25)))[0]
-    b = sides(text.where(F.length("text") >= 8))[1]
-    layout = (F.col("a_y2") >= 0.72) & (F.col("b_y1") <= 0.28)
-    seam = F.rlike("a_text", F.lit(r"(?:[,(-]|\b(?:and|or|of|the|to|in|with|for))\s*$")) | lower_start(F.col("b_text"))
-    score = 0.15 + F.when(layout, 0.25).otherwise(0.0) + F.when(F.col("a_section_id") == F.col("b_section_id"), 0.10).otherwise(0.0) + F.when(seam, 0.15).otherwise(0.0) + 0.20 + F.when(G.h_overlap("a_", "b_") >= 0.5, 0.05).otherwise(0.0)
-    met = a.join(b, F.col("a_page_index") + 1 == F.col("b_page_index")).where(layout | lower_start(F.col("b_text"))).withColumn("score", F.round(F.least(F.lit(0.9), score), 3)).where(F.col("score") >= least)
-    key = F.struct(-F.col("score"), -F.col("a_reading_order"), F.col("b_reading_order"))
-    return met.groupBy(F.col("a_page_index").alias("page_index")).agg(F.min_by(F.struct(F.col("a_element_id").alias("source_id"), F.col("b_element_id").alias("target_id"), "score"), key).alias("x")).select("page_index", "x.*")
+    a, b = sides(text.where(open_ended(F.col("text"))))[0], sides(text)[1]
+    offered = a.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("far")).withColumn("at", F.col("a_page_index") + F.col("far"))
+    met = offered.join(b, (F.col("a_document_id") == F.col("b_document_id")) & (F.col("at") == F.col("b_page_index"))).withColumnRenamed("a_document_id", DOC)
+    between = visual_bridges(elements).select(DOC, (F.col("page_index") - 1).alias("a_page_index"), F.lit(True).alias("between"))
+    heads = elements.where("element_type = 'heading'").groupBy(DOC, F.col("page_index").alias("b_page_index")).agg(F.min("reading_order").alias("head"))
+    met = met.join(between, [DOC, "a_page_index"], "left").join(heads, [DOC, "b_page_index"], "left")
+    met = met.selectExpr("*", "coalesce(between, false) as bridged", "coalesce(head < b_reading_order, false) as headed", f"{P.layout()} as layout", f"{P.hyphen(_rx)} as hyphen", f"{P.seam(_rx)} as seam")
+    met = met.withColumn("_overlap", G.h_overlap("a_", "b_")).where(P.gates(_rx))
+    met = met.withColumn("score", F.round(F.least(F.lit(0.9), F.expr(P.score("_overlap", _rx)).cast("double")), 3)).where(F.col("score") >= least)
+    key = F.struct(-F.col("score"), -F.col("a_reading_order"), F.col("b_reading_order"), F.col("a_element_id"), F.col("b_element_id"))
+    best = met.groupBy(DOC, F.col("a_page_index").alias("page_index"), F.col("at").alias("target_page")).agg(F.min_by(F.struct(F.col("a_element_id").alias("source_id"), F.col("b_element_id").alias("target_id"), "score"), key).alias("x"))
+    return best.select(DOC, "page_index", "target_page", "x.*")
 
 
 def later_wins(relations: DataFrame) -> DataFrame:
-    """Of relations that share an id the one of the latest origin."""
-    return relations.groupBy("relation_id").agg(F.max_by(F.struct("source_id", "target_id", "kind", "confidence", "origin"), "origin").alias("x")).select("relation_id", "x.*")
+    """Of a document's relations that share an id the one of the latest origin; what a human set stays whatever came later."""
+    human = F.coalesce(F.col("human"), F.lit(False)) if "human" in relations.columns else F.lit(False)
+    fields = [c for c in relations.columns if c not in (DOC, "relation_id")]
+    return relations.groupBy(DOC, "relation_id").agg(F.max_by(F.struct(*fields), F.struct(human.cast("int"), F.col("origin"))).alias("x")).select(DOC, "relation_id", "x.*")
 
 
 def referential_errors(relations: DataFrame, elements: DataFrame) -> DataFrame:
-    """(relation_id, error) of ends that are no element and of relations with themselves."""
-    known = elements.select(F.col("element_id").alias("id"))
-    ends = [relations.select("relation_id", F.col(f"{k}_id").alias("id"), F.lit(f"unknown_{k}").alias("error")).join(known, "id", "left_anti") for k in ("source", "target")]
-    own = relations.where("source_id = target_id").select("relation_id", F.lit("self_relation").alias("error"))
-    return ends[0].select("relation_id", "error").union(ends[1].select("relation_id", "error")).union(own)
+    """(document_id, relation_id, error): ends that are no element of the document, relations with themselves, confidences beyond [0, 1], null kinds, ids that occur twice."""
+    known = elements.select(DOC, F.col("element_id").alias("id")).distinct()
+    ends = [relations.select(DOC, "relation_id", F.col(f"{k}_id").alias("id"), F.lit(f"unknown_{k}").alias("error")).join(known, [DOC, "id"], "left_anti").select(DOC, "relation_id", "error") for k in ("source", "target")]
+    named = lambda rule, error: relations.where(rule).select(DOC, "relation_id", F.lit(error).alias("error"))
+    twice = relations.groupBy(DOC, "relation_id").agg(F.count("*").alias("n")).where("n > 1").select(DOC, "relation_id", F.lit("repeated_id").alias("error"))
+    out = ends[0].union(ends[1]).union(named("source_id = target_id", "self_relation")).union(twice)
+    return out.union(named("confidence is null or isnan(confidence) or confidence < 0 or confidence > 1", "confidence_range")).union(named("kind is null", "no_kind"))
 
 
 def continuation_closure(relations: DataFrame, least: float = 0.6) -> DataFrame:
-    """relations(source_id, target_id, kind, confidence) -> (source_id, target_id, hops): all that a chain of continuations reaches, by its shortest path."""
-    edges = cut_lineage(relations.where((F.col("kind") == "continues") & (F.col("confidence") >= least)).select("source_id", "target_id").distinct())
+    """relations(document_id, source_id, target_id, kind, confidence) -> (document_id, source_id, target_id, hops): all that a chain of continuations reaches, by its shortest path."""
+    edges = cut_lineage(relations.where((F.col("kind") == "continues") & (F.col("confidence") >= least)).select(DOC, "source_id", "target_id").distinct())
     fresh = now = edges.withColumn("hops", F.lit(1))
     for hops in count(2):
-        step = fresh.select("source_id", F.col("target_id").alias("via")).join(edges.select(F.col("source_id").alias("via"), "target_id"), "via").select("source_id", "target_id").distinct()
-        seen = now.select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
-        fresh = cut_lineage(step.join(seen, F.col("source_id").eqNullSafe(F.col("s")) & F.col("target_id").eqNullSafe(F.col("t")), "left_anti").withColumn("hops", F.lit(hops)))
+        step = fresh.select(DOC, "source_id", F.col("target_id").alias("via")).join(edges.select(DOC, F.col("source_id").alias("via"), "target_id"), [DOC, "via"]).select(DOC, "source_id", "target_id").distinct()
+        fresh = cut_lineage(step.join(now.select(DOC, "source_id", "target_id"), [DOC, "source_id", "target_id"], "left_anti").withColumn("hops", F.lit(hops)))
         if fresh.isEmpty():
             return now
         now = cut_lineage(now.unionByName(fresh))

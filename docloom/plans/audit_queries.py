@@ -58,17 +58,21 @@ def batch_health_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.batch_health(frame(spark, "fx_scores"))
 
 
-@query("select * from (values ('g1', 1), ('g1', 2), ('g1', 3), ('g2', 8), ('g2', 9), ('g3', 2), ('g3', 3), ('g3', 4), ('g4', 1), ('g4', 3), ('g4', 5), ('g5', 7), ('g6', 1), ('g6', 2), ('g6', 3), ('g6', 4), ('g6', 5), ('g6', 6), ('g6', 7), ('g6', 8), ('g6', 9)) v(question_id, page_number)")
+@query(f"""with {cte('fx_scopes')}, s as (select question_id, pages, lower(scope) as s from fx_scopes), x as (select *, regexp_matches(s, 'whole document') as all_, try_cast(regexp_extract(s, 'first ([0-9]+)', 1) as int) as f, try_cast(regexp_extract(s, 'last ([0-9]+)', 1) as int) as l,
+        try_cast(regexp_extract(s, 'pages? ([0-9]+)\\s*(?:-|to)\\s*[0-9]+', 1) as int) as lo, try_cast(regexp_extract(s, 'pages? [0-9]+\\s*(?:-|to)\\s*([0-9]+)', 1) as int) as hi, list_transform(regexp_extract_all(regexp_extract(s, '(pages? [0-9]+(?:(?:\\s*,\\s*|\\s+and\\s+)[0-9]+)*)', 1), '[0-9]+'), lambda v: v::int) as named from s)
+    select question_id, p::int as page_number from x, range(1, 1000) r(p) where p <= pages and case when all_ then true when f is not null then p <= f when l is not null then p > pages - l when lo <= hi then p between lo and hi else list_contains(named, p::int) end""")
 def scope_pages_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.scope_pages(frame(spark, "fx_scopes"), 9)
+    return A.scope_pages(frame(spark, "fx_scopes"))
 
 
-@query(f"""with {cte('fx_pages')}, m(label) as (values ('1'), ('6'), ('2'), ('ii'), ('99'))
-    select label, coalesce((select min(page_id) from fx_pages p where p.label = m.label), (select page_id from fx_pages p where p.page_index + 1 = try_cast(m.label as bigint))) as page_id,
-        case when exists (select 1 from fx_pages p where p.label = m.label) then 'printed' when exists (select 1 from fx_pages p where p.page_index + 1 = try_cast(m.label as bigint)) then 'physical' else 'unresolved' end as "by",
-        (select count(distinct page_id) from fx_pages p where p.label = m.label) as printed from m""")
+_MENTIONED = "(values ('dA', '1'), ('dA', '6'), ('dA', '2'), ('dA', 'ii'), ('dA', '99'), ('dB', '1'), ('dB', 'ii'), ('dB', '3')) m(document_id, label)"
+
+
+@query(f"""with {cte('fx_pages')}, m as (select * from {_MENTIONED}), a as (select m.*, (select min(page_id) from fx_pages p where p.document_id = m.document_id and p.label = m.label) as printed_id, (select page_id from fx_pages p where p.document_id = m.document_id and p.page_index + 1 = try_cast(m.label as bigint)) as counted_id,
+        (select count(distinct page_id) from fx_pages p where p.document_id = m.document_id and p.label = m.label) as printed from m)
+    select document_id, label, coalesce(printed_id, counted_id) as page_id, case when printed_id is not null then 'printed' when counted_id is not null then 'physical' else 'unresolved' end as "by", printed from a""")
 def page_resolution_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.page_of_label(spark.createDataFrame([("1",), ("6",), ("2",), ("ii",), ("99",)], "label string"), frame(spark, "fx_pages"))
+    return A.page_of_label(spark.sql(f"select * from {_MENTIONED}"), frame(spark, "fx_pages"))
 
 
 @query()

@@ -12,34 +12,80 @@ from docloom.operators.elements import elements
 from docloom.plans.fixtures import cte, frame
 from docloom.plans.registry import query, read
 from docloom.plans.retrieval_queries import SQL_ELEMENTS
+from docloom.plans.structure_queries import _ON_PAGE
 
 
-@query(f"""with {cte('fx_elements')}, p as (select c.element_id as caption_id, v.element_id as member from fx_elements c join fx_elements v on c.page_index = v.page_index and c.element_type = 'caption' and v.element_type in ('figure', 'chart', 'table')
-    where greatest(0, v.y1 - c.y2, c.y1 - v.y2) <= 0.10 and greatest(0, least(c.x2, v.x2) - greatest(c.x1, v.x1)) / least(c.x2 - c.x1, v.x2 - v.x1) >= 0.20)
-    select caption_id, list(member order by member) as members from p group by caption_id having count(*) >= 2""")
+@query(f"with {_ON_PAGE}, m as (select document_id, a_element_id as caption_id, b_element_id as member from p where a_element_type = 'caption' and b_element_type in ('figure', 'chart', 'table') and vg <= 0.10 and ho / least(aw, bw) >= 0.20) select document_id, caption_id, list(member order by member) as members from m group by all having count(*) >= 2")
 def caption_groups_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.caption_groups(frame(spark, "fx_elements"))
 
 
-@query()
+_PRIMARY = "(values ('dB', 'g11', 'g09'), ('dA', 'e04', 'e03')) v(document_id, caption_id, target_id)"
+
+
+@query(f"""with {_ON_PAGE}, pr as (select * from {_PRIMARY}), r as (select document_id, a_element_id as target_id, b_element_id as member_id from p where a_element_type in ('figure', 'chart') and b_element_type in ('figure', 'chart') and vo / least(ah, bh) >= 0.65),
+    c as (select document_id, a_element_id as caption_id, b_element_id as member_id from p where a_element_type = 'caption' and vg <= 0.08 and ho / least(aw, bw) >= 0.25) select document_id, caption_id, member_id from pr join r using (document_id, target_id) join c using (document_id, caption_id, member_id)""")
+def panel_members_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels of a caption's row beside its first target."""
+    return C.panel_members(frame(spark, "fx_elements"), spark.sql(f"select * from {_PRIMARY}"))
+
+
+_ANCHORED = "(values ('dA', 'e08', 'e07'), ('dB', 'g05', 'g04'), ('dB', 'g17', 'g09')) v(document_id, footnote_id, target_id)"
+
+
+@query(f"""with {_ON_PAGE}, an as (select * from {_ANCHORED}), m as (select p.document_id, a_element_id as footnote_id, target_id, row_number() over (partition by p.document_id, a_element_id order by b_y2 desc, b_element_id desc) as k from p join an on an.document_id = p.document_id and an.footnote_id = b_element_id
+        where a_element_type = 'footnote' and b_element_type = 'footnote' and b_y2 <= a_y1 + 1e-9 and vg <= 0.035 and ho / least(aw, bw) >= 0.60 and (p.document_id, a_element_id) not in (select (document_id, footnote_id) from an))
+    select document_id, footnote_id, target_id from m where k = 1""")
+def markerless_notes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.markerless_notes(frame(spark, "fx_elements"), spark.sql(f"select * from {_ANCHORED}"))
+
+
+@query(f"""with {_ON_PAGE}, an as (select * from {_ANCHORED}), v as (select * from fx_elements where element_type in ('figure', 'chart', 'table')),
+    r as (select document_id, a_element_id as target_id, b_element_id as member_id, b_x1 as x1, b_x2 as x2 from p where a_element_type in ('figure', 'chart', 'table') and b_element_type in ('figure', 'chart', 'table') and vo / least(ah, bh) >= 0.70 and greatest(aw, bw) / least(aw, bw) <= 1.8 union all select document_id, element_id, element_id, x1, x2 from v),
+    g as (select document_id, footnote_id, list(member_id) as members, min(r.x1) as lo, max(r.x2) as hi, any_value(f.x1) as n1, any_value(f.x2) as n2 from an join r using (document_id, target_id) join fx_elements f on f.document_id = an.document_id and f.element_id = footnote_id group by document_id, footnote_id)
+    select document_id, footnote_id, unnest(members) as member_id from g where len(members) >= 2 and (least(hi, n2) - greatest(lo, n1)) / (hi - lo) >= 0.80""".replace("join r using (document_id, target_id) join fx_elements f on f.document_id = an.document_id", "join r using (document_id, target_id) join fx_elements f using (document_id)").replace("using (document_id) and f.element_id = footnote_id", "using (document_id) where f.element_id = footnote_id"))
+def shared_notes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visuals in a row that share the note below them."""
+    return C.shared_note_members(frame(spark, "fx_elements"), spark.sql(f"select * from {_ANCHORED}"))
+
+
+_CODE_WORDS = "list_distinct(string_split_regex(lower({c}), '\\W+'))"
+
+
+@query(f"""with {_ON_PAGE} select distinct document_id, b_element_id as element_id, a_element_id as same_as from p where a_element_type = 'code' and b_element_type = 'code' and a_reading_order < b_reading_order and ho * vo / (aw * ah + bw * bh - ho * vo) >= 0.45
+    and 2 * len(list_intersect({_CODE_WORDS.format(c='a_text')}, {_CODE_WORDS.format(c='b_text')})) / (len({_CODE_WORDS.format(c='a_text')}) + len({_CODE_WORDS.format(c='b_text')})) >= 0.72""")
+def duplicate_code_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.duplicate_code(frame(spark, "fx_elements"))
+
+
+_FOUND = """k(kind, pattern) as (values ('figure', '(?i)\\b(?:figure|fig\\.?)\\s*([0-9]+(?:\\.[0-9]+)*[a-z]?|[IVX]+)\\b'), ('table', '(?i)\\b(?:table|tab\\.)\\s*([0-9]+(?:\\.[0-9]+)*[a-z]?|[IVX]+)\\b'), ('section', '(?i)\\b(?:section|sec\\.)\\s*([0-9]+(?:\\.[0-9]+)*)\\b')),
+    m as (select distinct document_id, element_id as source_id, kind, page_index, section_id, reading_order, unnest(regexp_extract_all(text, pattern, 1)) as number from fx_elements, k where element_type = 'paragraph')"""
+
+
+@query(f"""with {cte('fx_elements')}, {cte('fx_labels')}, {_FOUND}, l as (select * from fx_labels where kind <> 'figure'),
+    r as (select document_id, source_id, kind, number, arg_min(target_id, (case when m.section_id <> l.section_id then 1 else 0 end) * 1000000 + (100 - priority) * 1000 + abs(m.page_index - l.page_index)) as target_id from m left join l using (document_id, kind, number) group by all),
+    t as (select m.document_id, source_id, kind, number, min(e.element_id) as target_id, count(*) as c from m join fx_elements e on e.document_id = m.document_id and e.page_index = m.page_index and e.element_type in ('figure', 'chart') and e.y2 - e.y1 >= 0.25 and e.reading_order > m.reading_order
+        where (m.document_id, source_id, kind, number) not in (select (document_id, source_id, kind, number) from r where target_id is not null) group by all)
+    select document_id, source_id, kind, number, target_id from t where c = 1 union all select * from r""")
 def composite_fallback_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions that no label answers, by the one tall visual that follows on the page."""
     rows = frame(spark, "fx_elements")
     found = X.mentions(rows)
     resolved = X.resolve_references(found, frame(spark, "fx_labels").where("kind <> 'figure'"))
-    return C.composite_fallback(found, rows, resolved).unionByName(resolved.select("source_id", "kind", "number", "target_id"))
+    return C.composite_fallback(found, rows, resolved).unionByName(resolved.select("document_id", "source_id", "kind", "number", "target_id"))
 
 
-@query(f"""with {cte('fx_pages')}, l as (select page_index, try_cast(label as bigint) as number from fx_pages)
-    select distinct 'd' as doc, a.page_index, a.number from l a join l b on abs(b.page_index - a.page_index) between 1 and 2 where (b.number - a.number) / (b.page_index - a.page_index) between 1 and 2""")
+@query(f"""with {cte('fx_pages')}, l as (select document_id as doc, page_index, try_cast(label as bigint) as number, x from fx_pages)
+    select distinct a.doc, a.page_index, a.number from l a join l b on a.doc = b.doc and abs(b.page_index - a.page_index) between 1 and 2 where (b.number - a.number) / (b.page_index - a.page_index) between 1 and 2 and abs(a.x - b.x) <= 0.20""")
 def page_label_support_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, "fx_pages").select(F.lit("d").alias("doc"), "page_index", F.expr("try_cast(label as bigint)").alias("number"), F.lit(0.5).alias("x")).where("number is not null")
+    rows = frame(spark, "fx_pages").select(F.col("document_id").alias("doc"), "page_index", F.expr("try_cast(label as bigint)").alias("number"), "x").where("number is not null")
     return C.sequence_support(rows)
 
 
-@query("select * from (values ('d', 0, [1, 2]), ('d', 1, [3, 4]), ('d', 2, [5, 6])) v(doc, page_index, numbers)")
+@query(f"""with {cte('fx_pages')}, l as (select document_id as doc, page_index, try_cast(label as bigint) as number from fx_pages), k as (select *, lead(page_index) over w as np, lead(number) over w as nn from l where number is not null window w as (partition by doc order by page_index))
+    select doc, page_index + i as page_index, [number + 2 * i, number + 2 * i + 1] as numbers from k, range(0, 100) x(i) where nn - number = 2 * (np - page_index) and i < np - page_index""")
 def page_spreads_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.spread_labels(spark.createDataFrame([("d", 0, 1), ("d", 3, 7), ("d", 4, 8)], "doc string, page_index long, number long"))
+    return C.spread_labels(frame(spark, "fx_pages").select(F.col("document_id").alias("doc"), "page_index", F.expr("try_cast(label as bigint)").alias("number")).where("number is not null"))
 
 
 @query(f"with {SQL_ELEMENTS}, s as (select doc_id, pos, " + " + ".join(f"(regexp_matches(line, '{p}'))::int" for p in (r"^\s*(?:def|class|function|public|private|static|import|from|#include|package)\b", r"[{}];?\s*$", r";\s*$", r"\b(?:if|for|while|switch)\s*\(", r"(?:==|!=|&&|\|\||->|=>|:=|\+=)", r"\b[A-Za-z_]\w*\([^)]*\)\s*[;{:]", r"^\s{4,}\S", r"^\s*(?://|#|--)\s")) + " as score from e) select doc_id, sum(score)::bigint as signs, count(*) filter (score >= 2) as code_lines from s group by doc_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import paragraphs as P
+from docloom.operators import continuation as C
 from docloom.operators import elements as E
 from docloom.operators import relations as X
 from docloom.operators import structure as S
@@ -72,20 +74,20 @@ def outline_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.outline_lines(frame(spark, "fx_headings"))
 
 
-_NUMBERED = f"{cte('fx_pages')}, n as (select 'd' as doc, page_index, try_cast(label as bigint) as number from fx_pages)"
+_NUMBERED = f"{cte('fx_pages')}, n as (select document_id as doc, page_index, try_cast(label as bigint) as number from fx_pages)"
 
 
 def _pages(spark: SparkSession) -> DataFrame:
-    return frame(spark, "fx_pages").select(F.lit("d").alias("doc"), "page_index", F.expr("try_cast(label as bigint)").alias("number"))
+    return frame(spark, "fx_pages").select(F.col("document_id").alias("doc"), "page_index", F.expr("try_cast(label as bigint)").alias("number"))
 
 
-@query(f"""with {_NUMBERED}, k as (select *, lead(page_index) over (order by page_index) as np, lead(number) over (order by page_index) as nn from n where number is not null)
+@query(f"""with {_NUMBERED}, k as (select *, lead(page_index) over w as np, lead(number) over w as nn from n where number is not null window w as (partition by doc order by page_index))
     select doc, p as page_index, number + p - page_index as number from k, range(1, 100) x(p) where p > page_index and p < np and np - page_index <= 12 and nn - number = np - page_index""")
 def page_label_interpolation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.interpolate_labels(_pages(spark))
 
 
-_RUNS = f"{_NUMBERED}, i as (select *, page_index - row_number() over (order by page_index) as island, number - page_index as o from n where number is not null), r as (select doc, island, o as \"offset\", min(page_index) as first_page, max(page_index) as last_page, min(number) as first_number, count(*) as length from i group by all having count(*) >= 3)"
+_RUNS = f"{_NUMBERED}, i as (select *, page_index - row_number() over (partition by doc order by page_index) as island, number - page_index as o from n where number is not null), r as (select doc, island, o as \"offset\", min(page_index) as first_page, max(page_index) as last_page, min(number) as first_number, count(*) as length from i group by all having count(*) >= 3)"
 
 
 @query(f"with {_RUNS} select * from r")
@@ -93,66 +95,120 @@ def page_label_runs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.label_runs(_pages(spark))
 
 
-@query(f"""with {_RUNS}, s as (select doc, first_page, first_number, coalesce((select max(page_index) from n where number is not null and page_index < first_page), -1) as q from r)
+@query(f"""with {_RUNS}, s as (select doc, first_page, first_number, coalesce((select max(page_index) from n where n.doc = r.doc and number is not null and page_index < first_page), -1) as q from r)
     select doc, p as page_index, first_number - first_page + p as number from s, range(0, 100) x(p) where p >= greatest(q + 1, first_page - first_number + 1) and p < first_page""")
 def page_label_backward_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.extrapolate_backward(_pages(spark), S.label_runs(_pages(spark)))
 
 
-_PAIRS = f"{cte('fx_elements')}, p as (select a.element_id as a_element_id, b.element_id as b_element_id, a.x1 as ax1, a.y1 as ay1, a.x2 as ax2, a.y2 as ay2, b.x1, b.y1, b.x2, b.y2 from fx_elements a join fx_elements b on a.page_index = b.page_index and a.element_id <> b.element_id)"
+# Pairs of elements of a page (p), or of a page and the next (n), with the geometry that the rules ask for.
+_GEOMETRY = """greatest(0, b.x1 - a.x2, a.x1 - b.x2) as hg, greatest(0, b.y1 - a.y2, a.y1 - b.y2) as vg, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) as ho, greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as vo,
+    a.x2 - a.x1 as aw, b.x2 - b.x1 as bw, a.y2 - a.y1 as ah, b.y2 - b.y1 as bh"""
+_PAIRS = f"{cte('fx_elements')}, p as (select a.document_id, a.page_index, {{columns}}, {_GEOMETRY} from fx_elements a join fx_elements b on a.document_id = b.document_id and a.page_index = b.page_index and a.element_id <> b.element_id)"
+_ENDS = ", ".join(f"{t}.{c} as {t}_{c}" for t in "ab" for c in ("element_id", "reading_order", "element_type", "text", "x1", "y1", "x2", "y2", "section_id"))
+_ON_PAGE = _PAIRS.format(columns=_ENDS)
+_NEXT = f"{cte('fx_elements')}, n as (select a.document_id, a.page_index, b.page_index - a.page_index as far, {_ENDS}, {_GEOMETRY} from fx_elements a join fx_elements b on a.document_id = b.document_id and b.page_index between a.page_index + 1 and a.page_index + 2)"
 
 
-@query(f"""with {_PAIRS}, g as (select *, greatest(0, x1 - ax2, ax1 - x2) as hg, greatest(0, y1 - ay2, ay1 - y2) as vg, greatest(0, least(ax2, x2) - greatest(ax1, x1)) as ho, greatest(0, least(ay2, y2) - greatest(ay1, y1)) as vo from p)
-    select a_element_id, b_element_id, round(sqrt(hg * hg + vg * vg), 6) as distance, sqrt(hg * hg + vg * vg) <= 0.1 as nearby, y2 <= ay1 as above, y1 >= ay2 as below, ho / least(ax2 - ax1, x2 - x1) >= 0.5 as same_column, ho * vo > 0 as overlapping from g""")
+@query(f"""with {_ON_PAGE} select document_id, a_element_id, b_element_id, round(sqrt(hg * hg + vg * vg), 6) as distance, sqrt(hg * hg + vg * vg) <= 0.1 as nearby, b_y2 <= a_y1 as above, b_y1 >= a_y2 as below, ho / least(aw, bw) >= 0.5 as same_column, ho * vo > 0 as overlapping from p""")
 def spatial_neighbours_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.neighbours(frame(spark, "fx_elements")).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""with {cte('fx_elements')}, c as (select *, case when regexp_matches(lower(text), '^(table|tab)') then 'table' else 'figure' end as kind from fx_elements where element_type = 'caption'),
     t as (select *, case when element_type = 'table' then 'table' else 'figure' end as kind from fx_elements where element_type in ('table', 'figure', 'chart')),
-    m as (select c.element_id as caption_id, t.element_id as target_id, t.page_index = c.page_index as same, row_number() over (partition by c.element_id order by t.page_index <> c.page_index, t.reading_order > c.reading_order, abs(t.reading_order - c.reading_order), t.element_id) as r
-        from c join t on c.kind = t.kind and abs(c.page_index - t.page_index) <= 1)
-    select caption_id, target_id, case when same then 0.95 else 0.78 end::double as confidence from m where r = 1""")
+    m as (select c.document_id, c.element_id as caption_id, t.element_id as target_id, t.page_index = c.page_index as same, row_number() over (partition by c.document_id, c.element_id order by t.page_index <> c.page_index, t.reading_order > c.reading_order, abs(t.reading_order - c.reading_order), t.element_id) as r
+        from c join t on c.document_id = t.document_id and c.kind = t.kind and abs(c.page_index - t.page_index) <= 1)
+    select document_id, caption_id, target_id, case when same then 0.95 else 0.78 end::double as confidence from m where r = 1""")
 def caption_targets_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, "fx_elements")
     return X.nearest_target(rows.where("element_type = 'caption'"), rows.where("element_type in ('table', 'figure', 'chart')"))
 
 
-@query(f"""with {cte('fx_elements')}, n as (select element_id as footnote_id, page_index, reading_order as o, regexp_extract(text, '^\\s*(\\*+|[0-9]{{1,2}}|[a-z]\\))', 1) as marker from fx_elements where element_type = 'footnote')
-    select footnote_id, marker, arg_max(e.element_id, e.reading_order) as target_id from n join fx_elements e on e.page_index = n.page_index and e.reading_order < o and contains(e.text, marker) where marker <> '' and e.element_type <> 'footnote' group by all""")
+_MARKERS = f"""{cte('fx_elements')}, m as (select document_id, element_id as footnote_id, page_index, reading_order as o, regexp_extract(text, '^\\s*(\\*+|[0-9]{{1,2}}|[a-z]\\))', 1) as marker from fx_elements where element_type = 'footnote'),
+    t as (select m.document_id, footnote_id, marker, arg_max(e.element_id, e.reading_order) as target_id from m join fx_elements e on e.document_id = m.document_id and e.page_index = m.page_index and e.reading_order < o and contains(e.text, marker) where marker <> '' and e.element_type <> 'footnote' group by all)"""
+
+
+@query(f"with {_MARKERS} select * from t")
 def footnote_targets_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.marker_targets(frame(spark, "fx_elements"))
 
 
+@query(f"""with {_MARKERS}, j as (select t.*, f.page_index = e.page_index as same_page, greatest(0, f.y1 - e.y2, e.y1 - f.y2) as gap, abs(f.reading_order - e.reading_order) as reading, f.y1
+        from t join fx_elements f on f.document_id = t.document_id and f.element_id = footnote_id join fx_elements e on e.document_id = t.document_id and e.element_id = target_id),
+    s as (select *, least(0.98, 0.45 + case when same_page then 0.15 else 0 end + case when gap <= 0.08 then 0.15 when gap <= 0.18 then 0.08 else 0 end + case when reading <= 2 then 0.10 when reading <= 5 then 0.05 else 0 end + 0.10 + case when y1 >= 0.70 then 0.05 else 0 end) as score from j)
+    select document_id, footnote_id, target_id, round(score, 6) as score, score >= 0.75 as confirmed from s""")
+def footnote_scores_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footnotes with the target that their marker names, scored by all signals."""
+    rows = frame(spark, "fx_elements")
+    return X.scored_footnotes(rows, X.marker_targets(rows))
+
+
 @query(f"""with {cte('fx_elements')}, {cte('fx_labels')}, k(kind, pattern) as (values ('figure', '(?i)\\b(?:figure|fig\\.?)\\s*([0-9]+(?:\\.[0-9]+)*[a-z]?|[IVX]+)\\b'), ('table', '(?i)\\b(?:table|tab\\.)\\s*([0-9]+(?:\\.[0-9]+)*[a-z]?|[IVX]+)\\b'), ('section', '(?i)\\b(?:section|sec\\.)\\s*([0-9]+(?:\\.[0-9]+)*)\\b')),
-    m as (select distinct element_id as source_id, kind, page_index, section_id, unnest(regexp_extract_all(text, pattern, 1)) as number from fx_elements, k where element_type = 'paragraph')
-    select source_id, kind, number, arg_min(target_id, (case when m.section_id <> l.section_id then 1 else 0 end) * 1000000 + (100 - priority) * 1000 + abs(m.page_index - l.page_index)) as target_id, count(target_id) as candidates from m left join fx_labels l using (kind, number) group by all""")
+    m as (select distinct document_id, element_id as source_id, kind, page_index, section_id, unnest(regexp_extract_all(text, pattern, 1)) as number from fx_elements, k where element_type = 'paragraph')
+    select document_id, source_id, kind, number, arg_min(target_id, (case when m.section_id <> l.section_id then 1 else 0 end) * 1000000 + (100 - priority) * 1000 + abs(m.page_index - l.page_index)) as target_id, count(target_id) as candidates from m left join fx_labels l using (document_id, kind, number) group by all""")
 def reference_resolution_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.resolve_references(X.mentions(frame(spark, "fx_elements")), frame(spark, "fx_labels"))
 
 
-@query()
+_WORDS = "list_distinct(string_split_regex(lower({c}), '\\s+'))"
+_SHARED = f"len(list_intersect({_WORDS.format(c='a_text')}, {_WORDS.format(c='b_text')})) / len(list_distinct(list_concat({_WORDS.format(c='a_text')}, {_WORDS.format(c='b_text')})))"
+_ALIKE = "abs(aw - bw) <= 0.1 and abs(a_x1 + a_x2 - b_x1 - b_x2) <= 0.2"
+_BOUNDARY = "edge as (select *, row_number() over (partition by document_id, page_index, element_type order by reading_order) as up, row_number() over (partition by document_id, page_index, element_type order by reading_order desc) as down from fx_elements)"
+_AT_EDGE = "(document_id, a_element_id) in (select (document_id, element_id) from edge where down = 1) and (document_id, b_element_id) in (select (document_id, element_id) from edge where up = 1) and far = 1"
+
+
+@query(f"""with {_NEXT}, {_BOUNDARY}, s as (select document_id, a_element_id as source_id, b_element_id as target_id, round(least(0.9, 0.2 + case when a_y2 >= 0.68 and b_y1 <= 0.25 then 0.1 else 0 end + case when {_ALIKE} then 0.1 else 0 end
+        + case when {_SHARED} >= 0.5 then 0.2 else 0 end + case when regexp_matches(b_text, '(?i)continued|续') then 0.3 else 0 end + case when len(string_split_regex(trim(a_text), '\\s+')) = len(string_split_regex(trim(b_text), '\\s+')) then 0.1 else 0 end), 3) as score
+        from n where a_element_type = 'table' and b_element_type = 'table' and {_AT_EDGE}) select * from s where score >= 0.5""")
 def table_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table_continuations(frame(spark, "fx_elements"))
 
 
-@query()
+@query(f"""with {_NEXT}, {_BOUNDARY}, s as (select document_id, a_element_id as source_id, b_element_id as target_id, round(least(0.9, 0.10 + case when a_y2 >= 0.72 and b_y1 <= 0.30 then 0.25 else 0 end + case when a_section_id = b_section_id then 0.15 else 0 end
+        + case when regexp_matches(a_text, '[,;:]\\s*$') then 0.20 else 0 end + case when regexp_matches(b_text, '^\\s*\\p{{Ll}}') then 0.15 else 0 end
+        + case when regexp_matches(a_text, '(?i)^\\s*(?:\\[[0-9]+\\]|[0-9]+\\.\\s).*\\b(?:19|20)[0-9]{{2}}\\b') and regexp_matches(b_text, '(?i)^\\s*(?:\\[[0-9]+\\]|[0-9]+\\.\\s).*\\b(?:19|20)[0-9]{{2}}\\b') then 0.15 else 0 end), 3) as score
+        from n where a_element_type = 'list' and b_element_type = 'list' and {_AT_EDGE}) select * from s where score >= 0.65""")
+def list_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.list_continuations(frame(spark, "fx_elements"))
+
+
+@query(f"""with {_NEXT}, {_BOUNDARY}, s as (select document_id, a_element_id as source_id, b_element_id as target_id, round(least(0.9, 0.25 + case when a_y2 >= 0.80 then 0.15 else 0 end + case when b_y1 <= 0.25 then 0.15 else 0 end + case when a_section_id = b_section_id then 0.05 else 0 end
+        + case when abs(aw - bw) <= 0.1 and abs(a_x1 - b_x1) <= 0.1 then 0.15 else 0 end + case when not regexp_matches(a_text, '(?:[}};]|\\bend\\b|\\breturn\\b[^\\n]*)\\s*$') then 0.10 else 0 end + case when contains(lower(b_text), 'continued') then 0.15 else 0 end
+        - case when regexp_matches(b_text, '^\\s*(?:def|class|function|public|private|import|from|#include|package)\\b') then 0.10 else 0 end), 3) as score
+        from n where a_element_type = 'code' and b_element_type = 'code' and {_AT_EDGE}) select * from s where score >= 0.60""")
+def code_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.code_continuations(frame(spark, "fx_elements"))
+
+
+_RX_SQL = lambda c, p: f"regexp_matches({c}, '{p}')"
+_PAIR_SQL = ["document_id", "page_index", "far", *(f"{t}_{c}" for t in "ab" for c in ("element_id", "reading_order", "element_type", "text", "x1", "y1", "x2", "y2", "section_id"))]
+
+
+@query(f"""with {_NEXT}, bridge as (select document_id, page_index from fx_elements group by all having count(*) filter (element_type in ('figure', 'chart', 'table')) > 0 and count(*) filter (element_type in ('heading', 'list', 'code') or element_type = 'paragraph' and length(text) >= 25) = 0),
+    w as (select n.*, exists (select 1 from bridge g where g.document_id = n.document_id and g.page_index = n.page_index + 1) as bridged,
+        exists (select 1 from fx_elements h where h.document_id = n.document_id and h.page_index = n.page_index + n.far and h.element_type = 'heading' and h.reading_order < b_reading_order) as headed,
+        {P.layout()} as layout, {P.hyphen(_RX_SQL)} as hyphen, {P.seam(_RX_SQL)} as seam from n where a_element_type = 'paragraph' and b_element_type = 'paragraph'),
+    s as (select *, round(least(0.9, {P.score("ho / least(aw, bw)", _RX_SQL)}), 3) as score from w where {P.gates(_RX_SQL)}),
+    r as (select *, row_number() over (partition by document_id, page_index, far order by score desc, a_reading_order desc, b_reading_order, a_element_id, b_element_id) as k from s where score >= 0.55)
+    select document_id, page_index, page_index + far as target_page, a_element_id as source_id, b_element_id as target_id, score from r where k = 1""")
 def paragraph_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.paragraph_continuations(frame(spark, "fx_elements"))
 
 
-@query(f"with {cte('fx_relations')} select relation_id, source_id, target_id, kind, confidence, origin from (select *, row_number() over (partition by relation_id order by origin desc) as r from fx_relations) where r = 1")
+@query(f"with {cte('fx_relations')} select * exclude (r) from (select *, row_number() over (partition by document_id, relation_id order by origin desc) as r from fx_relations) where r = 1")
 def relation_union_later_wins_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.later_wins(frame(spark, "fx_relations"))
 
 
-@query(f"""with {cte('fx_relations')}, {cte('fx_elements')} select relation_id, 'unknown_source' as error from fx_relations where source_id not in (select element_id from fx_elements)
-    union all select relation_id, 'unknown_target' from fx_relations where target_id not in (select element_id from fx_elements) union all select relation_id, 'self_relation' from fx_relations where source_id = target_id""")
+@query(f"""with {cte('fx_relations')}, {cte('fx_elements')}, x as (select document_id, element_id from fx_elements) select document_id, relation_id, 'unknown_source' as error from fx_relations where (document_id, source_id) not in (select (document_id, element_id) from x)
+    union all select document_id, relation_id, 'unknown_target' from fx_relations where (document_id, target_id) not in (select (document_id, element_id) from x) union all select document_id, relation_id, 'self_relation' from fx_relations where source_id = target_id
+    union all select document_id, relation_id, 'repeated_id' from fx_relations group by all having count(*) > 1 union all select document_id, relation_id, 'confidence_range' from fx_relations where confidence not between 0 and 1""")
 def referential_validation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.referential_errors(frame(spark, "fx_relations"), frame(spark, "fx_elements"))
 
 
-_REACH = "with recursive {cte}, reach as (select source_id, target_id, 1 as hops from fx_relations where kind = 'continues' and confidence >= 0.6 union select r.source_id, f.target_id, r.hops + 1 from reach r join fx_relations f on f.source_id = r.target_id and f.kind = 'continues' and f.confidence >= 0.6 where r.hops < 8) select source_id, target_id, min(hops) as hops from reach group by all"
+_REACH = "with recursive {cte}, f as (select * from fx_relations where kind = 'continues' and confidence >= 0.6), reach as (select document_id, source_id, target_id, 1 as hops from f union select r.document_id, r.source_id, f.target_id, r.hops + 1 from reach r join f on f.document_id = r.document_id and f.source_id = r.target_id where r.hops <= (select count(*) from f)) select document_id, source_id, target_id, min(hops) as hops from reach group by all"
 
 
 @query(_REACH.format(cte=cte("fx_relations")))

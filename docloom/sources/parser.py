@@ -26,12 +26,18 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("doc_id", F.col("p.page_idx").alias("page_index"), F.coalesce("p.page_number", F.col("p.page_idx") + 1).alias("page_number"), F.col("p.page_size")[0].alias("width"), F.col("p.page_size")[1].alias("height"))
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(page_index, block_index, type, bbox, block) of a content file: pages of blocks; a block stays a variant, for its content differs by type."""
-    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    pages = text.select(F.posexplode(F.expr("variant_get(v, '$', 'array<array<variant>>')")).alias("page_index", "blocks"))
-    blocks = pages.select("page_index", F.posexplode("blocks").alias("block_index", "block"))
-    return blocks.select("page_index", "block_index", F.expr("try_variant_get(block, '$.type', 'string')").alias("type"), F.expr("try_variant_get(block, '$.bbox', 'array<double>')").alias("bbox"), "block")
+def read_blocks(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
+    """(doc_id, page_index, block_index, type, bbox, block) of content files: pages of blocks; a block stays a variant, for its content differs by type.
+
+    A document is named by doc_id, or by its file: what stands before "_content" or the ending in the file's name, or its folder's name where that is nothing.
+    """
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*)/([^/]*)$", 2)
+    own = F.regexp_replace(name, r"(?:_?content(?:_list)?(?:_v[0-9]+)?)?\.json$", "")
+    key = F.lit(doc_id) if doc_id is not None else F.when(own != "", own).otherwise(F.regexp_extract(F.input_file_name(), r"([^/]*)/[^/]*$", 1))
+    text = spark.read.text(path, wholetext=True).select(key.alias("doc_id"), F.try_parse_json("value").alias("v"))
+    pages = text.select("doc_id", F.posexplode(F.expr("variant_get(v, '$', 'array<array<variant>>')")).alias("page_index", "blocks"))
+    blocks = pages.select("doc_id", "page_index", F.posexplode("blocks").alias("block_index", "block"))
+    return blocks.select("doc_id", "page_index", "block_index", F.expr("try_variant_get(block, '$.type', 'string')").alias("type"), F.expr("try_variant_get(block, '$.bbox', 'array<double>')").alias("bbox"), "block")
 
 
 def spans_text(name: str) -> Column:
@@ -53,10 +59,10 @@ def elements(blocks: DataFrame, layout: DataFrame) -> DataFrame:
         part(F.col("element_type"), F.coalesce(*texts, get("content.content", "string")), get("content.html", "string"), F.col("bbox"), 1),
         *(part(F.lit(kind), spans_text(f"{v}_{kind}"), none, get(f"content.{kind}_bbox", box), order) for v in ("table", "image", "chart") for kind, order in (("caption", 0), ("footnote", 2))),
     )
-    rows = own.select("page_index", "block_index", "type", F.explode(parts).alias("e")).where("e.part = 1 or e.text is not null")
-    rows = rows.select("page_index", "block_index", "type", "e.*", *(F.col("e.bbox")[i].alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))))
-    placed = rows.join(layout, "page_index", "left").withColumn("box", normalized("", F.col("width"), F.col("height"))).drop("x1", "y1", "x2", "y2", "bbox")
-    order = F.row_number().over(Window.partitionBy("page_index").orderBy("block_index", "part")) - 1
+    rows = own.select("doc_id", "page_index", "block_index", "type", F.explode(parts).alias("e")).where("e.part = 1 or e.text is not null")
+    rows = rows.select("doc_id", "page_index", "block_index", "type", "e.*", *(F.col("e.bbox")[i].alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))))
+    placed = rows.join(layout, ["doc_id", "page_index"], "left").withColumn("box", normalized("", F.col("width"), F.col("height"))).drop("x1", "y1", "x2", "y2", "bbox")
+    order = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("block_index", "part")) - 1
     placed = placed.withColumn("reading_order", order)
     visual = F.col("element_type").isin("figure", "chart", "table")
     available = F.when(visual & (F.col("text").isNotNull() | F.col("html").isNotNull()) & (F.col("element_type") != "table"), "mixed").when(F.col("html").isNotNull(), "structured").when(F.col("text").isNotNull(), "text_only").when(visual, "visual_only").otherwise("unavailable")
@@ -64,20 +70,20 @@ def elements(blocks: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def warnings(blocks: DataFrame, rows: DataFrame) -> DataFrame:
-    """(page_index, block_index, warning): unknown block types, unknown fields, boxes that are none."""
-    unknown = blocks.where(~F.col("type").isin(*BLOCK_TYPES, *IGNORED)).select("page_index", "block_index", F.concat(F.lit("unknown_type:"), "type").alias("warning"))
+    """(doc_id, page_index, block_index, warning): unknown block types, unknown fields, boxes that are none."""
+    unknown = blocks.where(~F.col("type").isin(*BLOCK_TYPES, *IGNORED)).select("doc_id", "page_index", "block_index", F.concat(F.lit("unknown_type:"), "type").alias("warning"))
     keys = F.expr("map_keys(variant_get(block, '$', 'map<string,variant>'))")
-    fields = blocks.select("page_index", "block_index", F.explode(F.array_except(keys, F.array(*(F.lit(k) for k in KNOWN_KEYS)))).alias("k")).select("page_index", "block_index", F.concat(F.lit("unknown_field:"), "k").alias("warning"))
-    boxes = rows.where("box is null").select("page_index", "block_index", F.lit("no_box").alias("warning"))
+    fields = blocks.select("doc_id", "page_index", "block_index", F.explode(F.array_except(keys, F.array(*(F.lit(k) for k in KNOWN_KEYS)))).alias("k")).select("doc_id", "page_index", "block_index", F.concat(F.lit("unknown_field:"), "k").alias("warning"))
+    boxes = rows.where("box is null").select("doc_id", "page_index", "block_index", F.lit("no_box").alias("warning"))
     return unknown.union(fields).union(boxes)
 
 
 def align(layout_blocks: DataFrame, content_blocks: DataFrame) -> DataFrame:
     """Blocks of two files matched within page and type by their order."""
-    nth = lambda d, i: d.withColumn("nth", F.row_number().over(Window.partitionBy("page_index", "type").orderBy(i)))
-    a = nth(content_blocks.select("page_index", "type", "block_index"), "block_index")
-    b = nth(layout_blocks.select("page_index", "type", F.col("block_index").alias("layout_index")), "layout_index")
-    return a.join(b, ["page_index", "type", "nth"], "left").select("page_index", "block_index", "layout_index")
+    nth = lambda d, i: d.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "page_index", "type").orderBy(i)))
+    a = nth(content_blocks.select("doc_id", "page_index", "type", "block_index"), "block_index")
+    b = nth(layout_blocks.select("doc_id", "page_index", "type", F.col("block_index").alias("layout_index")), "layout_index")
+    return a.join(b, ["doc_id", "page_index", "type", "nth"], "left").select("doc_id", "page_index", "block_index", "layout_index")
 
 
 def missing_embeddings(wanted: DataFrame, cache: DataFrame) -> DataFrame:

@@ -115,8 +115,9 @@ def test_quota_backfill_and_late_interaction(spark):
 
 
 def test_continuations(spark):
-    assert [(r.source_id, r.target_id) for r in X.table_continuations(frame(spark, "fx_elements")).collect()] == [("e13", "e14")]
-    assert [(r.source_id, r.target_id) for r in X.paragraph_continuations(frame(spark, "fx_elements")).collect()] == [("e07", "e09")]
+    assert sorted((r.source_id, r.target_id) for r in X.table_continuations(frame(spark, "fx_elements")).collect()) == [("e13", "e14"), ("g07", "g08")]
+    # the second pair goes over a page of nothing but pictures
+    assert sorted((r.source_id, r.target_id) for r in X.paragraph_continuations(frame(spark, "fx_elements")).collect()) == [("e07", "e09"), ("g19", "g21")]
 
 
 def test_profiles(spark):
@@ -134,12 +135,18 @@ def test_parser_source(spark, tmp_path):
     ]
     (tmp_path / "content.json").write_text(json.dumps(blocks))
     (tmp_path / "layout.json").write_text(json.dumps({"doc_id": "d", "pdf_info": [{"page_idx": 0, "page_number": 1, "page_size": [1000, 1400]}, {"page_idx": 1, "page_number": 2, "page_size": [1000, 1400]}]}))
-    b = parser.read_blocks(spark, str(tmp_path / "content.json"))
+    b = parser.read_blocks(spark, str(tmp_path / "content.json"), "d")
     e = parser.elements(b, parser.read_layout(spark, str(tmp_path / "layout.json")))
     rows = e.orderBy("page_index", "reading_order").collect()
     assert [(r.page_index, r.element_type, r.text) for r in rows] == [(0, "heading", "1 Intro"), (0, "caption", "Figure 1. Scheme"), (0, "figure", "A scheme."), (1, "table", None)]
     assert rows[0].box.x1 == pytest.approx(0.08) and rows[0].box.y2 == pytest.approx(0.1) and rows[3].box is None
     assert {r.warning for r in parser.warnings(b, e).collect()} == {"unknown_type:mystery", "unknown_field:extra", "no_box"}
+    # two documents side by side keep their own pages
+    (tmp_path / "other_content_list_v2.json").write_text(json.dumps(blocks[:1]))
+    two = b.unionByName(parser.read_blocks(spark, str(tmp_path / "other_content_list_v2.json")))
+    assert sorted({r.doc_id for r in two.collect()}) == ["d", "other"]
+    both = parser.elements(two, parser.read_layout(spark, str(tmp_path / "layout.json")))
+    assert both.count() == 7 and both.where("doc_id = 'other' and box is not null").count() == 0
     assert parser.align(b, b).where("block_index = layout_index").count() == 5
     parser.write_document({"elements": e.drop("box")}, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/elements")).count() == 4
@@ -191,8 +198,8 @@ def test_long_chains_and_cycles(spark):
     known = spark.createDataFrame([("e00", "s1")], "element_id string, section_id string")
     got = {r.element_id: (r.section_id, r.round) for r in SE.inherit_along(spark.createDataFrame(chain, "a string, b string"), known).collect()}
     assert got == {f"e{i:02}": ("s1", i) for i in range(21)}
-    rows = [(a, b, "continues", 0.9) for a, b in chain] + [("e20", "e00", "continues", 0.9), ("e05", "x", "continues", 0.5), ("e05", "y", "caption_of", 0.9)]
-    reach = {(r.source_id, r.target_id): r.hops for r in R.continuation_closure(spark.createDataFrame(rows, "source_id string, target_id string, kind string, confidence double")).collect()}
+    rows = [("d", a, b, "continues", 0.9) for a, b in chain] + [("d", "e20", "e00", "continues", 0.9), ("d", "e05", "x", "continues", 0.5), ("d", "e05", "y", "caption_of", 0.9)]
+    reach = {(r.source_id, r.target_id): r.hops for r in R.continuation_closure(spark.createDataFrame(rows, "document_id string, source_id string, target_id string, kind string, confidence double")).collect()}
     assert reach == {(f"e{i:02}", f"e{j:02}"): (j - i) % 21 or 21 for i in range(21) for j in range(21)}
     asked = [(f"q{i}", f"q{(i + 1) % 20}") for i in range(20)] + [("p", "q0"), ("r", "r"), ("t", "gone"), ("u", "")]
     errors = {(r.question_id, r.error) for r in V.graph_errors(spark.createDataFrame(asked, "question_id string, depends_on string")).collect()}
@@ -221,7 +228,7 @@ def test_sections_and_state(spark):
     assert [x[0] for x in ranges.select(A.match_scope(F.col("r"), F.lit(4), F.lit(9))).collect()] == ["content", "metadata", "mixed", "unknown"]
 
 
-BLOCK = "element_id string, page_index long, reading_order long, element_type string, text string, x1 double, y1 double, x2 double, y2 double, section_id string"
+BLOCK = "document_id string, element_id string, page_index long, reading_order long, element_type string, text string, x1 double, y1 double, x2 double, y2 double, section_id string"
 
 
 def test_layout_continuations(spark):
@@ -232,12 +239,13 @@ def test_layout_continuations(spark):
         ("c2", 2, 0, "code", "    return y", 0.1, 0.05, 0.9, 0.2, "s"), ("c3", 3, 0, "code", "import os", 0.1, 0.5, 0.9, 0.6, "s"), ("c4", 3, 1, "code", "import os", 0.1, 0.5, 0.9, 0.62, "s"), ("n1", 3, 7, "footnote", "* one", 0.1, 0.90, 0.9, 0.92, "s"), ("n2", 3, 8, "footnote", "goes on", 0.1, 0.93, 0.9, 0.95, "s"),
         ("v1", 4, 0, "figure", None, 0.1, 0.1, 0.45, 0.4, "s"), ("v2", 4, 1, "figure", None, 0.55, 0.1, 0.9, 0.4, "s"), ("k1", 4, 2, "caption", "Figure 1: both", 0.1, 0.42, 0.9, 0.45, "s"),
     ]
-    e = spark.createDataFrame(rows, BLOCK)
-    pairs = lambda d: [tuple(r)[:2] for r in d.collect()]
+    # a second document with the same boxes and other ids must not be paired with the first
+    e = spark.createDataFrame([("d", *r) for r in rows] + [("z", f"z{r[0]}", *r[1:]) for r in rows if r[0] in ("l2", "c2", "n1", "v2", "c4")], BLOCK)
+    pairs = lambda d: [tuple(r)[1:3] for r in d.collect()]
     assert pairs(CO.list_continuations(e)) == [("l1", "l2")] and pairs(CO.code_continuations(e)) == [("c1", "c2")]
     assert pairs(CO.duplicate_code(e)) == [("c4", "c3")]
-    assert pairs(CO.markerless_notes(e, spark.createDataFrame([("n1", "t9")], "footnote_id string, target_id string"))) == [("n2", "t9")]
-    assert pairs(CO.panel_members(e, spark.createDataFrame([("k1", "v1")], "caption_id string, target_id string"))) == [("k1", "v2")]
+    assert pairs(CO.markerless_notes(e, spark.createDataFrame([("d", "n1", "t9")], "document_id string, footnote_id string, target_id string"))) == [("n2", "t9")]
+    assert pairs(CO.panel_members(e, spark.createDataFrame([("d", "k1", "v1")], "document_id string, caption_id string, target_id string"))) == [("k1", "v2")]
     heads = spark.createDataFrame([("g", 0, ["A"]), ("g", 1, None)], "group_id string, fragment_index int, headers array<string>")
     assert [r.headers for r in CO.inherited_headers(heads).collect()] == [["A"], ["A"]]
     found = {(r.group_id, r.fragment_index): (r.row_start, r.row_end, r.header_rows) for r in QUERIES["table_fragments_fx"](spark, "").collect()}
@@ -250,7 +258,7 @@ def test_normalisation(spark):
     code = spark.createDataFrame([("Algorithm 3 Sort",), ("for (i = 0; i < n; i++) {\n  f(i);\n}",), ("Click the button in the menu",), ("user: tell me",), ("A plain sentence about things.",)], "t string")
     assert [r[0] for r in code.select(N.code_kind(F.col("t"), F.lit(None).cast("string"))).collect()] == ["algorithm", "code", "figure", "code", "paragraph"]
     rows = [("t", 0, 0, "table", "x"), ("a", 0, 1, "paragraph", "a) first"), ("b", 0, 2, "paragraph", "b) second"), ("q1", 1, 0, "paragraph", "1. Why?"), ("q2", 1, 1, "list", "2. How?"), ("z", 1, 2, "paragraph", "end")]
-    e = spark.createDataFrame(rows, "element_id string, page_index long, reading_order long, element_type string, text string")
+    e = spark.createDataFrame([("d", *r) for r in rows] + [("y", "yt", 0, 0, "table", "x"), ("y", "ya", 0, 1, "paragraph", "b) second"), ("y", "yq", 1, 0, "paragraph", "1. Why?")], "document_id string, element_id string, page_index long, reading_order long, element_type string, text string")
     assert [(r.table_id, r.element_id) for r in N.lettered_notes(e).orderBy("element_id").collect()] == [("t", "a"), ("t", "b")]
     assert [(r.page_index, r.blocks) for r in N.question_runs(e).collect()] == [(1, 2)]
     units = N.numbered_units(spark.createDataFrame([("i", "1. One\n2. Two\nstill two")], "element_id string, text string")).collect()
