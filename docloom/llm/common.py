@@ -38,15 +38,15 @@ def texts_of(column: pa.Array) -> pa.Array:
     return column.fill_null("")
 
 
-def steps(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about STEP_BYTES of text each, of one row at least."""
+def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most so many bytes of text each, of one row at least."""
     if not len(column):
         return
     size = np.cumsum(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), np.int64))
     at = 0
     while at < len(column):
         before = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, before + STEP_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
         yield at, to
         at = to
 

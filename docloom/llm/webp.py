@@ -43,6 +43,8 @@ _NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), k
 #: The longest back-reference, and the farthest.
 _LONGEST, _FARTHEST = 4096, (1 << 20) - 120
 _TOP = 15
+#: Bytes of texts that are coded at a time, and that are read back at a time.
+CODED, READ = 1 << 20, 4 << 20
 _U = np.uint64
 _REV = np.zeros(1 << _TOP, np.int64)
 for _k in range(_TOP):
@@ -934,7 +936,7 @@ def features(pixels: np.ndarray) -> str:
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = texts_of(batch.column("text")).cast(pa.large_binary())
-        for a, b in steps(text):
+        for a, b in steps(text, CODED):
             raw = text[a:b].to_pylist()
             padded = [payload(x) for x in raw]
             yield pa.RecordBatch.from_arrays(
@@ -943,14 +945,30 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _examined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about READ bytes of payload."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
+        wide = batch.column("payload_bytes")
+        for a, b in steps(batch.column("media"), READ):
+            held.append(batch.slice(a, b - a))
+            size += pa.compute.sum(wide[a:b]).as_py() or 0
+            if size >= READ:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _examined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    for batch in _together(batches):
         rows = []
         stored = batch.column("media").to_pylist()
         for size, media, pixels in zip(batch.column("payload_bytes").to_pylist(), stored, decode_many(stored), strict=True):
             back = np.ascontiguousarray(pixels[:, :, :3]).tobytes()[:size]
             rows.append((hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pixels)))
-        kinds = {"payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
         cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(k) for k in ("doc_id", "n_bytes", "payload_bytes")), *(pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True))],
