@@ -3,65 +3,88 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-THRESHOLD, SIZE, OVERLAP, EARLIEST = 256, 256, 32, 0.65
+# A text of more tokens than the first is cut into windows of the second that share the third; a window may end early at a line break, but not before this part of it.
+WHOLE, WINDOW, SHARED, EARLIEST = 256, 256, 32, 0.65
+# Tokens are ASCII words with inner joints, single CJK characters, and runs of other letters.
 _TOKEN = re.compile(r"[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*|[㐀-䶿一-鿿]|[^\W\d_]+")
-_CJK = re.compile(r"[㐀-䶿一-鿿]")
 
 
 def token_spans(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m.group().casefold()) for m in _TOKEN.finditer(text)]
 
 
-def search_spans(text: str) -> list[tuple[int, int, str]]:
-    """Tokens and pairs of CJK characters that touch, by place."""
-    base = token_spans(text)
-    pairs = [(a[0], b[1], a[2] + b[2]) for a, b in zip(base, base[1:], strict=False) if a[1] == b[0] and _CJK.fullmatch(a[2]) and _CJK.fullmatch(b[2])]
-    return sorted(base + pairs)
+def is_cjk(token: str) -> bool:
+    return len(token) == 1 and ("\u3400" <= token <= "\u4dbf" or "\u4e00" <= token <= "\u9fff")
 
 
-def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    part = text[start:end]
-    return start + len(part) - len(part.lstrip()), end - len(part) + len(part.rstrip())
+def search_spans(text: str) -> list[tuple[int, int, str]]:
+    """Tokens, and as terms of their own the pairs of CJK characters that touch, by place."""
+    spans = token_spans(text)
+    if len(spans) < 2:
+        return spans
+    begin, end = (np.array([s[k] for s in spans]) for k in (0, 1))
+    cjk = np.array([is_cjk(s[2]) for s in spans])
+    first = np.flatnonzero(cjk[:-1] & cjk[1:] & (end[:-1] == begin[1:]))
+    return sorted(spans + [(spans[k][0], spans[k + 1][1], spans[k][2] + spans[k + 1][2]) for k in first])
+
+
+def windows(n: int, stops: list[int], size: int, shared: int, earliest: float) -> list[tuple[int, int]]:
+    """Windows [begin, end) over n tokens. stops are the sorted places between tokens at which a window had rather end: it takes the last one in its late part."""
+    out: list[tuple[int, int]] = []
+    begin = 0
+    while not out or out[-1][1] < n:
+        end = min(n, begin + size)
+        if end < n:
+            k = bisect_right(stops, end) - 1
+            if k >= 0 and stops[k] >= begin + max(1, int(earliest * (end - begin))):
+                end = stops[k]
+        out.append((begin, end))
+        begin = max(begin + 1, end - shared)
+    return out
 
 
-def chunk_ranges(text: str, threshold: int = THRESHOLD, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Character ranges of the parts of a text; a window ends at the last line break in its late part, if there is one."""
+def chunk_ranges(text: str, whole: int = WHOLE, size: int = WINDOW, shared: int = SHARED) -> list[tuple[int, int]]:
+    """Character ranges of the parts of a text, without white space at their ends; a blank text has none."""
     spans = token_spans(text)
-    if len(spans) <= threshold:
-        return [trimmed(text, 0, len(text))] if text.strip() else []
-    out, at = [], 0
-    while at < len(spans):
-        end = min(len(spans), at + size)
-        if end < len(spans):
-            floor = at + max(1, int(EARLIEST * (end - at)))
-            end = next((e for e in range(end, floor - 1, -1) if "\n" in text[spans[e - 1][1] : spans[e][0]]), end)
-        stop = spans[end][0] if end < len(spans) else len(text)
-        out.append(trimmed(text, 0 if at == 0 else spans[at][0], stop))
-        if end == len(spans):
-            break
-        at = max(at + 1, end - overlap)
+    begins = [0] + [s[0] for s in spans[1:]] + [len(text)]
+    if len(spans) <= whole:
+        cuts = [(0, len(text))] if text.strip() else []
+    else:
+        lines = [k for k, c in enumerate(text) if c == "\n"]
+        stops = [k for k in range(1, len(spans)) if bisect_left(lines, begins[k]) > bisect_left(lines, spans[k - 1][1])]
+        cuts = [(begins[a], begins[b]) for a, b in windows(len(spans), stops, size, shared, EARLIEST)]
+    out = []
+    for a, b in cuts:
+        part = text[a:b]
+        out.append((a + len(part) - len(part.lstrip()), a + len(part.rstrip())))
     return out
 
 
-def segment_ranges(text: str, count: Callable[[str], list[tuple[int, int]]], budget: int = 480, overlap: int = 48) -> list[tuple[int, int]]:
-    """Windows of at most `budget` model tokens that overlap and leave no character of a token out."""
+def segment_ranges(text: str, count: Callable[[str], list[tuple[int, int]]], budget: int = 480, overlap: int = 48, hard: int = 512) -> list[tuple[int, int]]:
+    """Windows of at most `budget` model tokens that overlap and leave no character out; one of more than `hard` tokens by its own count is an error."""
     spans = count(text)
     if len(spans) <= budget:
-        return [(0, len(text))]
-    out, at = [], 0
-    while True:
-        end = min(len(spans), at + budget)
-        out.append((0 if at == 0 else spans[at][0], len(text) if end == len(spans) else spans[end - 1][1]))
-        if end == len(spans):
-            return out
-        at = end - overlap
+        out = [(0, len(text))]
+    else:
+        cuts = windows(len(spans), [], budget, overlap, 1.0)
+        out = [(0 if a == 0 else spans[a][0], len(text) if b == len(spans) else spans[b - 1][1]) for a, b in cuts]
+    reached = 0
+    for a, b in out:
+        if text[reached:a].strip() or len(count(text[a:b])) > hard:
+            raise ValueError("segments leave something out or are too long")
+        reached = max(reached, b)
+    if text[reached:].strip():
+        raise ValueError("segments leave something out")
+    return out
 
 
 def explode_texts(rows: DataFrame, keys: list[str], text: str, each: Callable[[str], list[tuple]], columns: str) -> DataFrame:
@@ -165,30 +188,124 @@ def row_relevance(terms: set[str], cells: list[str]) -> float:
     return total
 
 
-# Fixed patterns of anchors: kind and how the number is written.
-_LABEL = r"([0-9]+(?:\s*\(\s*[A-Za-z]\s*\)|[A-Za-z])?|(?-i:[IVXLCDM]+)(?:\s*\(\s*[A-Za-z]\s*\))?)(?![A-Za-z0-9_]|\.[0-9])"
-ANCHORS = (
-    ("page", re.compile(r"(?i)(?<!\w)(?:page|p\.)\s*\(?\s*([0-9]+)\s*\)?(?![0-9]|\.[0-9])")),
-    ("page", re.compile(r"第\s*([0-9]+)\s*页")),
-    ("slide", re.compile(r"(?i)(?<!\w)slide\s*\(?\s*([0-9]+)\s*\)?(?![0-9]|\.[0-9])")),
-    ("figure", re.compile(r"(?i)(?<!\w)(?:figure|fig\.?)\s*" + _LABEL)),
-    ("figure", re.compile(r"图\s*([0-9]+[A-Za-z]?)(?![A-Za-z0-9_]|\.[0-9])")),
-    ("table", re.compile(r"(?i)(?<!\w)table\s*" + _LABEL)),
-    ("table", re.compile(r"表\s*([0-9]+[A-Za-z]?)(?![A-Za-z0-9_]|\.[0-9])")),
-    ("section", re.compile(r"(?i)(?<!\w)section\s*([0-9]+(?:\.[0-9]+)*)(?=$|[^\d.]|\.(?!\d))")),
-    ("section", re.compile(r"第\s*([0-9]+(?:\.[0-9]+)*)\s*节")),
-)
+# The words that name a place in a document, and how each kind writes its label.
+ANCHOR_WORDS = {"page": "page", "p.": "page", "slide": "slide", "figure": "figure", "fig.": "figure", "fig": "figure", "table": "table", "section": "section", "图": "figure", "表": "table", "第": "ordinal"}
+ORDINAL_UNITS = {"页": "page", "节": "section"}
+_KEYWORD = re.compile("|".join(re.escape(w) for w in sorted(ANCHOR_WORDS, key=len, reverse=True)), re.IGNORECASE)
+_EXAMPLE = re.compile(r"(?i)(?:\be\.g\.|\bfor example\b|\bfor instance\b|\bin the (?:form|format) (?:of|like)\b)[^.;)\n]*(?:\.(?=\d)[^.;)\n]*)*")
+_ROMAN = frozenset("IVXLCDM")
+
+
+class _Scanner:
+    """Reads labels at a place of a text: numbers with sub-labels, numerals, numbers in parts, numbers in parentheses."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.at = text, at
+
+    def peek(self, far: int = 0) -> str:
+        return self.text[self.at + far : self.at + far + 1]
+
+    def spaces(self) -> None:
+        while self.peek().isspace():
+            self.at += 1
+
+    def take(self, of: Callable[[str], bool]) -> str:
+        begin = self.at
+        while self.peek() and of(self.peek()):
+            self.at += 1
+        return self.text[begin : self.at]
+
+    def digits(self) -> str:
+        return self.take(lambda c: c in "0123456789")
+
+    def letter(self) -> str:
+        """A sub-label: a letter, bare or in parentheses; nothing is taken where there is none."""
+        begin = self.at
+        self.spaces()
+        if self.peek() == "(":
+            self.at += 1
+            self.spaces()
+            found = self.peek() if self.peek().isascii() and self.peek().isalpha() else ""
+            self.at += 1
+            self.spaces()
+            if found and self.peek() == ")":
+                self.at += 1
+                return found
+        self.at = begin
+        if self.peek().isascii() and self.peek().isalpha():
+            self.at += 1
+            return self.text[self.at - 1]
+        return ""
+
+    def ends(self) -> bool:
+        """Whether a label may end here: no letter, digit or underscore follows, nor a further part of a number."""
+        c = self.peek()
+        return not (c == "_" or (c.isascii() and c.isalnum()) or (c == "." and self.peek(1).isdigit()))
+
+    def label(self, kind: str) -> str:
+        """The label of a kind, lower case, or nothing."""
+        self.spaces()
+        if kind == "section":
+            parts = [self.digits()]
+            while parts[-1] and self.peek() == "." and self.peek(1).isdigit():
+                self.at += 1
+                parts.append(self.digits())
+            return ".".join(parts) if parts[0] and not (self.peek().isascii() and self.peek().isdigit()) else ""
+        if kind in ("page", "slide"):
+            held = self.peek() == "("
+            self.at += held
+            self.spaces()
+            found = self.digits()
+            end = self.at
+            self.spaces()
+            self.at = self.at + 1 if held and self.peek() == ")" else end
+            return found if found and not (self.peek() == "." and self.peek(1).isdigit()) else ""
+        found = self.digits()
+        if not found:
+            found = self.take(lambda c: c in _ROMAN)
+            if not found:
+                return ""
+            end, sub = self.at, self.letter()
+            if sub and self.text[end : self.at].strip()[:1] != "(":
+                return ""
+        else:
+            sub = self.letter()
+        return (found + sub).lower() if self.ends() else ""
 
 
 def anchor_mentions(text: str) -> list[tuple[str, str, int, int]]:
-    """(kind, label, start, end): of mentions that overlap the longer, of equal ones the first, in the order of the text."""
-    found = [(kind, re.sub(r"[\s()]", "", m.group(1)).lower(), *m.span()) for kind, p in ANCHORS for m in p.finditer(text)]
-    kept: list[tuple[str, str, int, int]] = []
-    for f in sorted(found, key=lambda f: (f[2] - f[3], f[2])):
-        if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
+    """(kind, label, start, end) of the places that a text names, each once, in order; what stands in an example of an answer's form is none."""
+    examples = [m.span() for m in _EXAMPLE.finditer(text)]
+    found: list[tuple[str, str, int, int]] = []
+    for m in _KEYWORD.finditer(text):
+        word, kind = m.group(), ANCHOR_WORDS[m.group().lower()]
+        before = text[m.start() - 1 : m.start()]
+        if word.isascii() and (before == "_" or before.isalnum()):
+            continue
+        scan = _Scanner(text, m.end())
+        if kind == "ordinal":
+            label = scan.label("section")
+            scan.spaces()
+            kind = ORDINAL_UNITS.get(scan.peek(), "") if label else ""
+            scan.at += 1
+            if kind == "page" and "." in label:
+                kind = ""
+        else:
+            label = scan.label(kind)
+        if label and kind and not any(a <= m.start() < b for a, b in examples):
+            found.append((kind, label, m.start(), scan.at))
+    # of mentions that overlap the longer stands
+    free, kept = 0, []
+    for f in sorted(found, key=lambda f: (f[2], -f[3])):
+        if f[2] >= free or not kept:
             kept.append(f)
-    seen: set[tuple[str, str]] = set()
-    return [f for f in sorted(kept, key=lambda f: f[2]) if not (f[:2] in seen or seen.add(f[:2]))]
+        elif f[3] - f[2] > kept[-1][3] - kept[-1][2]:
+            kept[-1] = f
+        free = kept[-1][3]
+    first: dict[tuple[str, str], tuple[str, str, int, int]] = {}
+    for f in kept:
+        first.setdefault(f[:2], f)
+    return list(first.values())
 
 
 def expand_labels(value: str, most: int = 32) -> list[str]:
@@ -225,27 +342,42 @@ def uncovered(line: str, texts: list[str], least: int = 4) -> list[str]:
     return [p.strip() for p in parts]
 
 
-# Headings whose text says their level: numbers, appendices, parts, chapters, items.
-_ARABIC = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+\S")
-_APPENDIX_WORD = re.compile(r"(?i)^appendix\s+[a-z](?:\.(\d+(?:\.\d+)*))?\b")
-_APPENDIX = re.compile(r"^[A-Z]\.(\d+(?:\.\d+)*)?\s*\S")
-_PART = re.compile(r"(?i)^part\s+(?:[ivxlcdm]+|\d+)\b")
-_CHAPTER = re.compile(r"(?i)^chapter\s+(?:[ivxlcdm]+|\d+)\b")
-_ITEM = re.compile(r"(?i)^item\s+\d+[a-z]?\b")
+# Headings of the highest level by name, and by their first word; what a numbered kind's level starts from.
 KNOWN_TOP = frozenset("abstract introduction background conclusion conclusions references bibliography acknowledgements acknowledgments contents index summary discussion results methods".split())
+LEVEL_WORDS = {"appendix": 1, "part": 1, "chapter": 1, "item": 1}
+_NUMERAL = re.compile(r"(?i)[ivxlcdm]+|\d+")
+
+
+def _number(token: str) -> list[str] | None:
+    """The parts of '2.3.1', 'B.2' or 'A.': each a number, the first may be a capital; else nothing."""
+    parts = token.removesuffix(".").split(".")
+    first = parts[0].isdecimal() or (len(parts[0]) == 1 and parts[0].isascii() and parts[0].isupper())
+    return parts if first and all(p.isdecimal() for p in parts[1:]) else None
 
 
 def explicit_level(text: str, has_part: bool = False, most: int = 6) -> int | None:
-    clean = " ".join(text.split())
-    if m := _APPENDIX_WORD.match(clean) or _APPENDIX.match(clean):
-        return min(most, m.group(1).count(".") + 2 if m.group(1) else 1)
-    if m := _ARABIC.match(clean):
-        return min(most, m.group(1).count(".") + 1)
-    if _PART.match(clean) or _CHAPTER.match(clean) or clean.lower().rstrip(":") in KNOWN_TOP:
+    """The level that a heading's own words say: by the parts of its number, by its first word, or by name."""
+    tokens = text.split()
+    if not tokens:
+        return None
+    word, rest = tokens[0].lower().rstrip(".:"), tokens[1:]
+    if word in LEVEL_WORDS and rest:
+        label = rest[0].rstrip(".:,")
+        if word == "appendix":
+            parts = _number(label.upper()) if len(label.split(".")[0]) == 1 else None
+            return min(most, LEVEL_WORDS[word] + len(parts) - 1) if parts else None
+        if word == "item":
+            return LEVEL_WORDS[word] + has_part if re.fullmatch(r"\d+[A-Za-z]?", label) else None
+        return LEVEL_WORDS[word] if _NUMERAL.fullmatch(label) else None
+    if " ".join(tokens).lower().rstrip(":") in KNOWN_TOP:
         return 1
-    if _ITEM.match(clean):
-        return 2 if has_part else 1
-    return None
+    parts = _number(tokens[0])
+    if not parts or not rest:
+        return None
+    if parts[0].isdecimal() or len(parts) > 1:
+        return min(most, len(parts))
+    # a capital alone numbers an appendix where a title follows it: 'A Proofs', 'B. More'
+    return 1 if len(tokens) <= 8 and rest[0][:1].isupper() and (tokens[0].endswith(".") or tokens[0] != "I") else None
 
 
 def heading_levels(headings: DataFrame, most: int = 6) -> DataFrame:
@@ -256,7 +388,7 @@ def heading_levels(headings: DataFrame, most: int = 6) -> DataFrame:
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos", kind="stable")
-        has_part = any(_PART.match(" ".join(t.split())) for t in frame["text"])
+        has_part = any(t.split()[:1] and t.split()[0].lower() == "part" and explicit_level(t) == 1 for t in frame["text"])
         said = [explicit_level(t, has_part, most) for t in frame["text"]]
         styles: dict[str, set[int]] = {}
         for s, level in zip(frame["style"], said, strict=True):

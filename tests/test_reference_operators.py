@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import duckdb
 import pytest
@@ -57,6 +58,26 @@ def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def plain_chunks(text):
+    """Chunks by trying each end of a window from its last."""
+    spans, out, i = C.token_spans(text), [], 0
+    if len(spans) <= 256:
+        return [(len(text) - len(text.lstrip()), len(text.rstrip()))] if text.strip() else []
+    while i < len(spans):
+        raw = end = min(len(spans), i + 256)
+        if raw < len(spans):
+            for e in range(raw, i + max(1, int(0.65 * (raw - i))) - 1, -1):
+                if "\n" in text[spans[e - 1][1] : spans[e][0]]:
+                    end = e
+                    break
+        a, b = (0 if i == 0 else spans[i][0]), (spans[end][0] if end < len(spans) else len(text))
+        out.append((a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())))
+        if end == len(spans):
+            break
+        i = max(i + 1, end - 32)
+    return out
+
+
 def test_tokens_and_chunks(spark):
     text = "Naïve straße A-1.b 中文字 x_y 12%"
     assert [t for _, _, t in C.token_spans(text)] == ["na", "ïve", "stra", "sse", "a-1.b", "中", "文", "字", "x_y", "12"]
@@ -68,6 +89,11 @@ def test_tokens_and_chunks(spark):
     broken = " ".join(f"w{i}" for i in range(200)) + "\n" + " ".join(f"v{i}" for i in range(200))
     assert broken[slice(*C.chunk_ranges(broken)[0])].endswith("w199")
     assert C.chunk_ranges("  one two  ") == [(2, 9)] and C.chunk_ranges(" \n") == []
+    assert C.windows(10, [3, 6], 5, 2, 0.6) == [(0, 3), (1, 6), (4, 9), (7, 10)]
+    r = random.Random(5)
+    for _ in range(60):
+        t = "".join(r.choice(["word ", "a.b ", "\n", "中", " ", "x-\n"]) for _ in range(r.randint(0, 1200)))
+        assert C.chunk_ranges(t) == plain_chunks(t)
     covered = set()
     for a, b in C.segment_ranges(words, lambda t: [(s, e) for s, e, _ in C.token_spans(t)], 100, 10):
         covered |= set(range(a, b))
@@ -87,8 +113,14 @@ def test_tables_and_rows():
 def test_anchors_and_headings(spark):
     found = C.anchor_mentions("See Figure 2(a), fig. IV and Table 3 on page 12; Section 1.2. Figure 2(a) again. Slide 4, 图3")
     assert [f[:2] for f in found] == [("figure", "2a"), ("figure", "iv"), ("table", "3"), ("page", "12"), ("section", "1.2"), ("slide", "4"), ("figure", "3")]
+    named = lambda t: [f[:2] for f in C.anchor_mentions(t)]
+    assert named("图 3(b)，表2a，第 12 页，第3.1节，第3章") == [("figure", "3b"), ("table", "2a"), ("page", "12"), ("section", "3.1")]
+    assert named("page (7), p. 8, Fig 2 b, Table II(c), Figure 1.5, table3x, prefigure 3, Section 4., FIG. 9") == [("page", "7"), ("page", "8"), ("figure", "2"), ("table", "iic"), ("section", "4"), ("figure", "9")]
+    assert named("Name the table (e.g. Table 5 or Figure 6), see Table 7") == [("table", "7")]
+    for text in ("Figure 2(a", "fig", "page (", "第", "Section .", "Table " * 500, "("):
+        assert all(text[s:e] for _, _, s, e in C.anchor_mentions(text))
     assert C.expand_labels("1-4") == ["1", "2", "3", "4"] and C.expand_labels("1, 3 and 5") == ["1", "3", "5"] and C.expand_labels("1-99") == []
-    assert [C.explicit_level(t) for t in ("1 Intro", "2.3.1 Deep", "Appendix B.2 More", "Chapter II", "References", "Plain")] == [1, 3, 2, 1, 1, None]
+    assert [C.explicit_level(t) for t in ("1 Intro", "2.3.1 Deep", "Appendix B.2 More", "Chapter II", "References", "Plain", "U.S. economy", "A Proofs", "B.1 Lemmas", "C. Data", "A dog", "Item 7A Risks", "2019", "1.2.", "Part of it", "Appendix")] == [1, 3, 2, 1, 1, None, None, 1, 2, 1, None, 1, None, None, None, None]
     rows = [("d", 0, "1 Intro", "big"), ("d", 1, "Free", "big"), ("d", 2, "2.1 Sub", "mid"), ("d", 3, "Other", "odd")]
     out = C.heading_levels(spark.createDataFrame(rows, "doc string, pos long, text string, style string")).orderBy("pos").collect()
     assert [(r.level, r.method) for r in out] == [(1, "numbering"), (1, "style"), (2, "numbering"), (2, "previous")]
