@@ -115,7 +115,7 @@ def test_anchors_and_headings(spark):
     assert [f[:2] for f in found] == [("figure", "2a"), ("figure", "iv"), ("table", "3"), ("page", "12"), ("section", "1.2"), ("slide", "4"), ("figure", "3")]
     named = lambda t: [f[:2] for f in C.anchor_mentions(t)]
     assert named("图 3(b)，表2a，第 12 页，第3.1节，第3章") == [("figure", "3b"), ("table", "2a"), ("page", "12"), ("section", "3.1")]
-    assert named("page (7), p. 8, Fig 2 b, Table II(c), Figure 1.5, table3x, prefigure 3, Section 4., FIG. 9") == [("page", "7"), ("page", "8"), ("figure", "2"), ("table", "iic"), ("section", "4"), ("figure", "9")]
+    assert named("page (7), p. 8, Fig 2 b, Table II(c), Figure 1.5, table3x, prefigure 3, Section 4., FIG. 9") == [("page", "7"), ("page", "8"), ("figure", "2"), ("table", "iic"), ("table", "3x"), ("section", "4"), ("figure", "9")]
     assert named("Name the table (e.g. Table 5 or Figure 6), see Table 7") == [("table", "7")]
     for text in ("Figure 2(a", "fig", "page (", "第", "Section .", "Table " * 500, "("):
         assert all(text[s:e] for _, _, s, e in C.anchor_mentions(text))
