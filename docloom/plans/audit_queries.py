@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import chunking as C
@@ -20,19 +20,50 @@ def floating_sections_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.resolve_by_references(frame(spark, "fx_references"))
 
 
-@query()
-def continuation_inheritance_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = frame(spark, "fx_relations").where("kind = 'continues'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    return S.inherit_along(edges, spark.createDataFrame([("e07", "s1"), ("e13", "s2")], "element_id string, section_id string"))
+_KNOWN = "(values ('dA', 'e07', 's1'), ('dA', 'e13', 's2'), ('dB', 'g07', 't1')) k(document_id, element_id, section_id)"
 
 
-@query("""with c as (select page_id as doc, regexp_extract(html, '<h1>([^<]*)', 1) as text from pages), w as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from c)
-    select doc, case when t = '' then 'empty' when len(list_filter(string_split(t, ' '), lambda x: x <> '')) >= 4 and regexp_matches(t, '[.!?]$') then 'functional_sentence' end as reason from w where regexp_matches(t, '^[^0-9@:/+]*$')""")
+@query(f"""with recursive {cte('fx_relations')}, k as (select * from {_KNOWN}), b as (select document_id || '/' || source_id as a, document_id || '/' || target_id as b from fx_relations where kind = 'continues' union select document_id || '/' || target_id, document_id || '/' || source_id from fx_relations where kind = 'continues'),
+    d as (select document_id || '/' || element_id as element_id, section_id, 0 as round from k union select b.b, d.section_id, d.round + 1 from d join b on b.a = d.element_id where d.round < (select count(*) from b)),
+    m as (select element_id, section_id, min(round) as round from d group by all), f as (select element_id, min(round) as round from m group by all)
+    select m.element_id, min(m.section_id) as section_id, m.round from m join f using (element_id, round) group by m.element_id, m.round having count(distinct m.section_id) = 1""")
+def continuation_inheritance_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements are named by document and id, so that chains of documents stay apart."""
+    name = lambda c: F.concat_ws("/", "document_id", c)
+    edges = frame(spark, "fx_relations").where("kind = 'continues'").select(name("source_id").alias("a"), name("target_id").alias("b"))
+    return S.inherit_along(edges, spark.sql(f"select concat_ws('/', document_id, element_id) as element_id, section_id from {_KNOWN}"))
+
+
+_REASONS = """h as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from heads), w as (select *, len(list_filter(string_split(t, ' '), lambda x: x <> '')) as words from h), n as (select doc, lower(t) as low, count(distinct page) as pages from w group by all),
+    r as (select w.*, case when is_furniture then 'running_header_footer' when t = '' then 'empty' when regexp_matches(t, '(?i)https?://|www\\.|@[a-z0-9-]+\\.|^\\+?[0-9()\\s.-]{7,}$') then 'contact_or_url'
+        when regexp_matches(t, '^[$€£]?[0-9][0-9.,]*\\s*(?:%|million|billion|k)?$') then 'local_statistic' when regexp_matches(t, '(?i)^step\\s+[0-9]+\\b') then 'procedure_step' when regexp_matches(t, '(?i)^(?:signed|signature|sincerely|/s/)') then 'signature'
+        when words >= 4 and regexp_matches(t, '[.!?]$') then 'functional_sentence' when after_table and regexp_matches(t, '(?i)^notes?:?$') then 'table_notes'
+        when words <= 4 and pages >= 3 and lower(t) not in ('abstract', 'introduction', 'background', 'conclusion', 'conclusions', 'references', 'results', 'discussion', 'methods', 'appendix') and not regexp_matches(t, '^[0-9]') then 'repeated_local_label' end as reason
+        from w join n on n.doc = w.doc and n.low = lower(w.t))"""
+
+
+@query(f"""with b as (select page_id as page, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as doc, pos, regexp_extract(block, '<([a-z0-9]+)>', 1) as tag, trim(regexp_replace(block, '<[^>]*>', '', 'g')) as text
+        from (select page_id, url, unnest(regexp_extract_all(html, '(?s)<(?:h[1-6]|p|li)>[^<]*')) as block, generate_subscripts(regexp_extract_all(html, '(?s)<(?:h[1-6]|p|li)>[^<]*'), 1) - 1 as pos from pages)),
+    e as (select *, lag(tag) over (partition by page order by pos) as before, row_number() over (partition by page order by pos) = 1 or row_number() over (partition by page order by pos desc) = 1 as at_edge from b),
+    f as (select doc, lower(text) as low, count(distinct page) as on_pages from e where at_edge group by all),
+    heads as (select e.doc, e.page, e.pos, e.text, at_edge and coalesce(on_pages, 0) >= 3 as is_furniture, coalesce(before = 'table', false) as after_table from e left join f on f.doc = e.doc and f.low = lower(e.text) where tag like 'h_'), {_REASONS}
+    select doc, page, pos, reason from r""")
 def heading_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The title heading of each page; titles with digits or addresses are left to the unit tests."""
-    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.col("page_id").alias("page"), F.lit(0).alias("pos"), F.regexp_extract("html", "<h1>([^<]*)", 1).alias("text"), F.lit(False).alias("is_furniture"), F.lit(False).alias("after_table"))
-    plain = F.trim(F.regexp_replace("text", r"\s+", " ")).rlike("^[^0-9@:/+]*$")
-    return S.eligibility(rows).where(plain).select("doc", "reason")
+    """All headings of all pages, with the first reason against each; a document is a site. What begins or ends three pages of a site is furniture."""
+    site = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("doc")
+    pages = read(spark, sf_dir, "pages")
+    order = Window.partitionBy("page_id").orderBy("pos")
+    rows = html_blocks(pages).withColumn("before", F.lag("tag").over(order)).withColumn("at_edge", F.lag("pos").over(order).isNull() | F.lead("pos").over(order).isNull()).join(pages.select("page_id", site), "page_id")
+    often = rows.where("at_edge").groupBy("doc", F.lower("text").alias("low")).agg(F.countDistinct("page_id").alias("on_pages"))
+    heads = rows.where("tag like 'h_'").withColumn("low", F.lower("text")).join(often, ["doc", "low"], "left")
+    heads = heads.select("doc", F.col("page_id").alias("page"), "pos", "text", (F.col("at_edge") & (F.coalesce("on_pages", F.lit(0)) >= 3)).alias("is_furniture"), F.coalesce(F.col("before") == "table", F.lit(False)).alias("after_table"))
+    return S.eligibility(heads).select("doc", "page", "pos", "reason")
+
+
+@query(f"with {cte('fx_titles')}, heads as (select doc, page, pos, text, is_furniture, after_table from fx_titles), {_REASONS} select doc, page, pos, reason, reason is null as eligible from r")
+def heading_eligibility_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reason of the chain, in two documents."""
+    return S.eligibility(frame(spark, "fx_titles")).select("doc", "page", "pos", "reason", "eligible")
 
 
 @query(f"""with {cte('fx_firings')}, d as (select rule_id, element_id, row_number() over (partition by rule_id order by document_id, element_id) as n from (select distinct rule_id, document_id, element_id from fx_firings)),
@@ -48,7 +79,8 @@ def example_audit_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.example_audit(frame(spark, "fx_calls"))
 
 
-@query()
+@query(f"""with {cte('fx_calls')}, m as (select *, row_number() over (partition by example_id order by session, step) as k from fx_calls where valid and accepted)
+    select example_id, '{{"session":"' || session || '","step":' || step || ',"action":"' || action || '"' || coalesce(',"target":"' || target || '"', '') || '}}' as target_text from m where k = 1""")
 def accepted_examples_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.accepted_examples(frame(spark, "fx_calls"))
 
@@ -75,7 +107,15 @@ def page_resolution_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.page_of_label(spark.sql(f"select * from {_MENTIONED}"), frame(spark, "fx_pages"))
 
 
-@query()
+@query(f"""with recursive {cte('fx_deltas')}, d as (select *, row_number() over (partition by session order by step) as n from fx_deltas),
+    f as (select session, 0::bigint as n, map([]::varchar[], []::varchar[]) as held, 0 as rejected from (select distinct session from d)
+        union all select d.session, d.n, case when op = 'add' and not list_contains(map_keys(held), evidence_id) then map(list_append(map_keys(held), evidence_id), list_append(map_values(held), observation_id))
+                when op = 'replace' and list_contains(map_keys(held), evidence_id) then map_from_entries(list_append(list_filter(map_entries(held), lambda x: x.key <> evidence_id), {{'key': evidence_id, 'value': observation_id}}))
+                when op = 'remove' and list_contains(map_keys(held), evidence_id) then map_from_entries(list_filter(map_entries(held), lambda x: x.key <> evidence_id)) else held end,
+            rejected + case when (op = 'add') = list_contains(map_keys(held), evidence_id) then 1 else 0 end from f join d on d.session = f.session and d.n = f.n + 1),
+    l as (select *, row_number() over (partition by session order by n desc) as k from f)
+    select session, e.key as evidence_id, e.value as observation_id, rejected from (select session, unnest(map_entries(held)) as e, rejected from l where k = 1)
+    union all select session, null, null, rejected from l where k = 1 and len(map_entries(held)) = 0""")
 def evidence_fold_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.evidence_fold(frame(spark, "fx_deltas"))
 

@@ -70,6 +70,14 @@ TABLES: dict[str, tuple[list[tuple[str, str]], list[tuple]]] = {
         [("doc", "string"), ("pos", "bigint"), ("level", "bigint"), ("title", "string")],
         [("d1", 0, 1, "One"), ("d1", 3, 2, "One A"), ("d1", 5, 3, "One A i"), ("d1", 8, 2, "One B"), ("d1", 9, 1, "Two"), ("d1", 12, 3, "Two i"), ("d2", 1, 2, "Alone"), ("d2", 4, 2, "Next")],
     ),
+    "fx_titles": (
+        [("doc", "string"), ("page", "bigint"), ("pos", "bigint"), ("text", "string"), ("is_furniture", "boolean"), ("after_table", "boolean")],
+        [
+            ("d1", 0, 0, "Annual Report", True, False), ("d1", 0, 1, "  ", False, False), ("d1", 0, 2, "see www.example.com", False, False), ("d1", 0, 3, "+1 (555) 010-9999", False, False), ("d1", 1, 0, "$12.5 million", False, False), ("d1", 1, 1, "Step 3 of the way", False, False),
+            ("d1", 1, 2, "Sincerely, the board", False, False), ("d1", 1, 3, "This is how it works.", False, False), ("d1", 2, 0, "Notes:", False, True), ("d1", 2, 1, "Notes:", False, False), ("d1", 0, 4, "Our View", False, False), ("d1", 1, 4, "our  view", False, False), ("d1", 2, 2, "Our View", False, False),
+            ("d1", 3, 0, "Results", False, False), ("d1", 4, 0, "Results", False, False), ("d1", 5, 0, "Results", False, False), ("d2", 0, 0, "Our View", False, False), ("d2", 0, 1, "1 Scope", False, False), ("d2", 1, 0, "1 Scope", False, False), ("d2", 2, 0, "1 Scope", False, False), ("d2", 3, 0, "a@b.example", False, False),
+        ],
+    ),
     "fx_references": (
         [("target_id", "string"), ("section_id", "string"), ("confidence", "double"), ("pages", "bigint"), ("side", "string")],
         [("f1", "s1", 0.95, 0, "before"), ("f1", "s2", 0.95, 1, "before"), ("f2", "s1", 0.9, 1, "before"), ("f2", "s2", 0.9, 1, "before"), ("f3", "s3", 0.9, 3, "before"), ("f4", "s3", 0.9, 1, "after"), ("f4", "s4", 0.8, 2, "before"), ("f5", "s5", 0.7, 2, "after")],

@@ -34,10 +34,10 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.repeated_lines(rows, ["text"])
 
 
-@query(f"""with {SQL_ELEMENTS}, l as (select trim(lower(line)) as text, doc_id from e where length(line) > 20)
+@query(f"""with {SQL_ELEMENTS}, l as (select trim(lower(line)) as text, doc_id from e)
     select text, count(*) as times, count(distinct doc_id) as documents from l group by text having count(*) >= 3""")
 def repeated_lines_across_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.elements(read(spark, sf_dir, "documents")).where("length(line) > 20").select(F.trim(F.lower("line")).alias("text"), "doc_id")
+    rows = E.elements(read(spark, sf_dir, "documents")).select(F.trim(F.lower("line")).alias("text"), "doc_id")
     per = rows.groupBy("text", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("text").agg(F.sum("n").alias("times"), F.count("*").alias("documents")).where("times >= 3")
 
