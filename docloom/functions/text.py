@@ -10,13 +10,22 @@ TOKEN = r"[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*|[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff
 CJK = r"^[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]$"
 
 
+#: Letters whose folding holds ASCII letters or several characters: folded before tokens are cut, they would move a token's ends.
+_FOLDS_WIDE = "[ßẞİKſŉǰΐΰևẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆﬓﬔﬕﬖﬗ]"
+
+
 def casefold(c: Column) -> Column:
-    """Lower case with sharp s as ss; other folding pairs do not occur in tokens."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Lower case with sharp s as ss, long s as s, final sigma as sigma, and ligatures as their letters."""
+    c = F.lower(c)
+    for wide, plain in (("ß", "ss"), ("ſ", "s"), ("ς", "σ"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        c = F.replace(c, F.lit(wide), F.lit(plain))
+    return c
 
 
 def base_tokens(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), casefold)
+    """Folded tokens. A text without letters that fold wide is folded as a whole, which no token's ends depend on; else each token by itself."""
+    cut = lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
+    return F.when(F.rlike(c, F.lit(_FOLDS_WIDE)), F.transform(cut(c), casefold)).otherwise(cut(F.replace(F.lower(c), F.lit("ς"), F.lit("σ"))))
 
 
 def search_terms(c: Column) -> Column:

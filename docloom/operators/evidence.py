@@ -12,33 +12,55 @@ from docloom.lineage import cut_lineage
 FREE_ACTIONS = ("initialize", "recheck", "finalize")
 
 
+#: The column that names the set a question belongs to: ids are those of a set.
+SET = "set_id"
+
+
 def dependencies(questions: DataFrame) -> DataFrame:
-    """questions(question_id, depends_on 'a,b') -> (question_id, needs)."""
+    """questions(set_id, question_id, depends_on 'a,b') -> (set_id, question_id, needs)."""
     needs = F.filter(F.split("depends_on", ","), lambda x: x != "")
-    return questions.select("question_id", F.explode(needs).alias("needs"))
+    return questions.select(SET, "question_id", F.explode(needs).alias("needs"))
 
 
-def graph_errors(questions: DataFrame) -> DataFrame:
-    """(question_id, error): unknown or own dependencies, and members of cycles of any length."""
+def graph_errors(questions: DataFrame, most: int | None = None, depth: int | None = None) -> DataFrame:
+    """(set_id, question_id, error): unknown or own dependencies, members of cycles of any length, and, where limits are given, questions beyond the number or the depth of a set."""
     edges = dependencies(questions)
-    unknown = edges.join(questions.select(F.col("question_id").alias("needs")), "needs", "left_anti").select("question_id", F.lit("unknown_dependency").alias("error"))
-    own = edges.where("question_id = needs").select("question_id", F.lit("self_dependency").alias("error"))
+    unknown = edges.join(questions.select(SET, F.col("question_id").alias("needs")), [SET, "needs"], "left_anti").select(SET, "question_id", F.lit("unknown_dependency").alias("error"))
+    own = edges.where("question_id = needs").select(SET, "question_id", F.lit("self_dependency").alias("error"))
     reach = cut_lineage(edges.where("question_id <> needs").distinct())
     before, now = 0, reach.count()
     while now > before:  # each round doubles the length of the paths
-        further = reach.select("question_id", F.col("needs").alias("via")).join(reach.select(F.col("question_id").alias("via"), "needs"), "via").select("question_id", "needs")
+        further = reach.select(SET, "question_id", F.col("needs").alias("via")).join(reach.select(SET, F.col("question_id").alias("via"), "needs"), [SET, "via"]).select(SET, "question_id", "needs")
         reach = cut_lineage(reach.union(further).distinct())
         before, now = now, reach.count()
-    cycles = reach.where("question_id = needs").select("question_id", F.lit("cycle").alias("error"))
-    return unknown.union(own).union(cycles).distinct()
+    out = unknown.union(own).union(reach.where("question_id = needs").select(SET, "question_id", F.lit("cycle").alias("error")))
+    if most is not None:
+        order = Window.partitionBy(SET).orderBy("position", "question_id")
+        out = out.union(questions.withColumn("k", F.row_number().over(order)).where(F.col("k") > most).select(SET, "question_id", F.lit("too_many").alias("error")))
+    if depth is not None:
+        out = out.union(question_depths(questions).where(F.col("depth") > depth).select(SET, "question_id", F.lit("too_deep").alias("error")))
+    return out.distinct()
+
+
+def question_depths(questions: DataFrame) -> DataFrame:
+    """(set_id, question_id, depth): 1 without dependencies, else one more than the deepest of them; members of cycles and what needs them have none."""
+    edges = dependencies(questions).join(questions.select(SET, F.col("question_id").alias("needs")), [SET, "needs"], "left_semi")
+    done = cut_lineage(questions.select(SET, "question_id").join(edges, [SET, "question_id"], "left_anti").withColumn("depth", F.lit(1)))
+    while True:
+        met = edges.join(done.select(SET, F.col("question_id").alias("needs"), "depth"), [SET, "needs"], "left").join(done.select(SET, "question_id"), [SET, "question_id"], "left_anti")
+        fresh = cut_lineage(met.groupBy(SET, "question_id").agg(F.count_if(F.col("depth").isNull()).alias("open"), (F.max("depth") + 1).alias("depth")).where("open = 0").drop("open"))
+        if fresh.isEmpty():
+            return done
+        done = cut_lineage(done.unionByName(fresh))
 
 
 def runnable(questions: DataFrame) -> DataFrame:
-    """Open questions whose dependencies are all done, with their order; the first is the next to run."""
-    status = questions.select(F.col("question_id").alias("needs"), F.col("status").alias("needed"))
-    blocked = dependencies(questions).join(status, "needs", "left").where("needed is null or needed <> 'done'").select("question_id")
-    free = questions.where("status <> 'done'").join(blocked, "question_id", "left_anti")
-    return free.withColumn("turn", F.row_number().over(Window.orderBy("position")))
+    """Open questions of each set whose dependencies are all done, with their order; the first of a set is its next to run."""
+    key = [SET, "question_id"]
+    status = questions.select(SET, F.col("question_id").alias("needs"), F.col("status").alias("needed"))
+    blocked = dependencies(questions).join(status, [SET, "needs"], "left").where("needed is null or needed <> 'done'").select(*key)
+    free = questions.where("status <> 'done'").join(blocked, key, "left_anti")
+    return free.withColumn("turn", F.row_number().over(Window.partitionBy(SET).orderBy("position", "question_id")))
 
 
 def recall(observations: DataFrame, query: str, k: int = 3) -> DataFrame:
@@ -96,10 +118,15 @@ def answer_scores(rows: DataFrame) -> DataFrame:
 
 
 def percentile_at(rows: DataFrame, group: str, value: str, fraction: float) -> DataFrame:
-    """The value at index round((n - 1) * fraction), halves to even, of each group's sorted values."""
-    ordered = Window.partitionBy(group).orderBy(value)
-    ranked = rows.select(group, value, F.row_number().over(ordered).alias("rn"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    return ranked.where(F.col("rn") == F.bround((F.col("n") - 1) * F.lit(fraction), 0) + 1).select(group, F.col(value).alias("percentile"))
+    """The value at index round((n - 1) * fraction), halves to even, of each group's sorted values.
+
+    Rows are counted by value first, with map-side combine, so that a window sees each value of a group once.
+    """
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    totals = counts.withColumns({"upto": upto, "n": F.sum("times").over(Window.partitionBy(group))})
+    at = F.bround((F.col("n") - 1) * F.lit(fraction), 0) + 1
+    return totals.where((F.col("upto") >= at) & (F.col("upto") - F.col("times") < at)).select(group, F.col(value).alias("percentile"))
 
 
 def coverage_fold(rows: DataFrame) -> DataFrame:
@@ -110,10 +137,19 @@ def coverage_fold(rows: DataFrame) -> DataFrame:
 
 
 def split_of(key: Column, shares: dict[str, float]) -> Column:
-    """A stable split by the hash of a key; shares are taken in their order."""
-    point = F.pmod(F.crc32(F.concat(F.lit("split:"), key.cast("string"))), F.lit(10000))
+    """A stable split by the hash of a key; shares are taken in their order. A null key has none."""
+    point = F.conv(F.substring(F.md5(F.concat(F.lit("split:"), key.cast("string"))), 1, 8), 16, 10).cast("long") % 10000
     out, at = F.when(F.lit(False), F.lit("")), 0
     for name, share in shares.items():
         at += round(10000 * share)
         out = out.when(point < at, F.lit(name))
     return out
+
+
+def split_errors(rows: DataFrame, key: str, least: dict[str, int]) -> DataFrame:
+    """rows(key, split): (error, subject, n) of keys that stand in several splits, and of splits with fewer rows than wanted."""
+    sizes = rows.groupBy("split").agg(F.count("*").alias("n"))
+    wanted = rows.sparkSession.createDataFrame(list(least.items()), "split string, least long")
+    small = wanted.join(sizes, "split", "left").where("coalesce(n, 0) < least").select(F.lit("too_small").alias("error"), F.col("split").alias("subject"), F.coalesce("n", F.lit(0)).alias("n"))
+    shared = rows.select(key, "split").distinct().groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("shared_key").alias("error"), F.col(key).alias("subject"), "n")
+    return small.unionByName(shared)

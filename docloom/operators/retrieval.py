@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import base_tokens
+from docloom.lineage import cut_lineage
 
 K1, B = 1.2, 0.75
 RRF_K, BM25_WEIGHT, DENSE_WEIGHT, VISUAL_WEIGHT = 20, 1.0, 1.25, 1.0
@@ -30,16 +31,25 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def count_terms(units: DataFrame, query: list[str], keys: list[str]) -> DataFrame:
+    """units with terms and length -> keys, length, tf0, tf1 ...: how often each has the query's terms. Terms hold no spaces, so they are counted in the spaced text."""
+    spaced = F.concat(F.lit(" "), F.array_join("terms", "  "), F.lit(" "))
+    rows = units.select(*keys, "length", spaced.alias("_spaced"))
+    count = lambda t: ((F.octet_length("_spaced") - F.octet_length(F.replace("_spaced", F.lit(f" {t} "), F.lit("")))) / F.octet_length(F.lit(f" {t} "))).cast("int")
+    return rows.select(*keys, "length", *(count(t).alias(f"tf{i}") for i, t in enumerate(query)))
+
+
 def bm25(units: DataFrame, query: list[str], keys: list[str], scope: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """Scores of the units that hold a query term: keys, score, matched.
 
-    units: with terms and length; scope: the columns within which units are counted (none: the corpus).
-    Only query terms are counted, inside each unit's array, so no posting of another term is ever shuffled: one aggregate
-    gives the statistics of a scope, which is joined to the few units that match.
+    units: with terms and length; scope: the columns within which units are counted (none: the corpus). A query without terms finds nothing.
+    Texts are read once: a unit's length and its counts of the query's terms are written as a table of a few numbers a unit, from which come the
+    statistics of a scope and the units that match. No posting of another term is ever shuffled.
     """
     query = sorted(set(query))
-    count = lambda t: F.size(F.filter("terms", lambda x: x == t))
-    counted = units.select(*keys, "length", *(count(F.lit(t)).alias(f"tf{i}") for i, t in enumerate(query)))
+    if not query:
+        return units.select(*keys, F.lit(0.0).alias("score"), F.lit(0).alias("matched")).where("false")
+    counted = cut_lineage(count_terms(units, query, keys))
     stats = counted.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     hits = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(query))))
     # without a scope the statistics are one row
@@ -50,6 +60,25 @@ def bm25(units: DataFrame, query: list[str], keys: list[str], scope: list[str],
     return hits.select(*keys, score.alias("score"), matched.alias("matched"))
 
 
+def index_postings(units: DataFrame, keys: list[str]) -> DataFrame:
+    """An inverted index: (keys, term, tf, length, positions), one row a unit and term; units without terms have one row of a null term, for they count in the average."""
+    found = units.select(*keys, "length", F.posexplode_outer("terms").alias("position", "term"))
+    return found.groupBy(*keys, "length", "term").agg(F.count("position").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+
+
+def search_index(index: DataFrame, query: list[str], keys: list[str], scope: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 over an index that index_postings() made: keys, score, and the matched terms with their positions. Only the query's postings are shuffled; lengths come from one aggregate."""
+    terms = sorted(set(query))
+    sizes = index.select(*keys, "length").distinct()
+    stats = sizes.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    own = index.where(F.col("term").isin(terms)) if terms else index.where("false")
+    df = own.groupBy(*scope, "term").agg(F.count("*").alias("df"))
+    met = own.join(df, [*scope, "term"])
+    met = met.join(stats, scope) if scope else met.crossJoin(F.broadcast(stats))
+    part = idf(F.col("n"), F.col("df")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return met.groupBy(*keys).agg(F.sum(part).alias("score"), F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("matches"))
+
+
 def best_part(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group by a total order."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -12,21 +12,30 @@ from docloom.plans.fixtures import cte, frame
 from docloom.plans.registry import query, read
 from docloom.plans.retrieval_queries import SQL_ELEMENTS
 
-_EDGES = f"{cte('fx_questions')}, e as (select question_id, unnest(list_filter(string_split(depends_on, ','), lambda x: x <> '')) as needs from fx_questions)"
+_EDGES = f"{cte('fx_questions')}, e as (select set_id, question_id, unnest(list_filter(string_split(depends_on, ','), lambda x: x <> '')) as needs from fx_questions), ids as (select set_id, question_id from fx_questions)"
 
 
-@query(f"""with recursive {_EDGES}, reach as (select question_id, needs, 1 as hops from e where question_id <> needs union all select r.question_id, e.needs, r.hops + 1 from reach r join e on e.question_id = r.needs and e.question_id <> e.needs where r.hops < 16 and r.needs <> r.question_id)
-    select distinct question_id, 'unknown_dependency' as error from e where needs not in (select question_id from fx_questions) union all select question_id, 'self_dependency' from e where question_id = needs union all select distinct question_id, 'cycle' from reach where question_id = needs""")
+@query(f"""with recursive {_EDGES}, reach as (select set_id, question_id, needs, 1 as hops from e where question_id <> needs union select r.set_id, r.question_id, e.needs, r.hops + 1 from reach r join e on e.set_id = r.set_id and e.question_id = r.needs and e.question_id <> e.needs where r.hops <= (select count(*) from ids) and r.needs <> r.question_id),
+    deep as (select set_id, question_id, 1 as depth from ids where (set_id, question_id) not in (select (set_id, question_id) from e where (set_id, needs) in (select (set_id, question_id) from ids)) union select e.set_id, e.question_id, d.depth + 1 from deep d join e on e.set_id = d.set_id and e.needs = d.question_id)
+    select distinct set_id, question_id, 'unknown_dependency' as error from e where (set_id, needs) not in (select (set_id, question_id) from ids) union all select set_id, question_id, 'self_dependency' from e where question_id = needs union all select distinct set_id, question_id, 'cycle' from reach where question_id = needs
+    union all select set_id, question_id, 'too_many' from (select set_id, question_id, row_number() over (partition by set_id order by position) as k from fx_questions) where k > 8
+    union all select set_id, question_id, 'too_deep' from deep group by all having max(depth) > 4""")
 def question_graph_errors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.graph_errors(frame(spark, "fx_questions"))
+    return V.graph_errors(frame(spark, "fx_questions"), 8, 4)
 
 
-@query(f"with {_EDGES}, b as (select e.question_id from e left join fx_questions q on e.needs = q.question_id where q.status is null or q.status <> 'done') select question_id, row_number() over (order by position) as turn from fx_questions where status <> 'done' and question_id not in (select question_id from b)")
+@query(f"with {_EDGES}, b as (select e.set_id, e.question_id from e left join fx_questions q on e.set_id = q.set_id and e.needs = q.question_id where q.status is null or q.status <> 'done') select set_id, question_id, row_number() over (partition by set_id order by position) as turn from fx_questions where status <> 'done' and (set_id, question_id) not in (select (set_id, question_id) from b)")
 def runnable_questions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.runnable(frame(spark, "fx_questions")).select("question_id", F.col("turn").cast("long").alias("turn"))
+    return V.runnable(frame(spark, "fx_questions")).select("set_id", "question_id", F.col("turn").cast("long").alias("turn"))
 
 
-@query()
+_STOPPED = "['the', 'a', 'an', 'of', 'in', 'and', 'or', 'to', 'is', 'are', 'was', 'were', 'what', 'which', 'how', 'many', 'for', 'on', 'by', 'with']"
+_RECALLED = "list_filter(list_distinct(list_transform(regexp_extract_all({c}, '[0-9]+(?:[.,][0-9]+)*%?|[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))), lambda x: not list_contains(" + _STOPPED + ", x))"
+
+
+@query(f"""with {cte('fx_observations')}, q as (select {_RECALLED.format(c="'What were total costs in 2020?'")} as t), o as (select source_id, claim, min(stored) as stored, arg_min(observation_id, stored) as observation_id from fx_observations group by all),
+    s as (select o.*, list_intersect({_RECALLED.format(c='claim')}, t) as both_ from o, q), r as (select *, 4 * len(both_) + 3 * len(list_filter(both_, lambda x: regexp_matches(x, '^[0-9]'))) as score from s)
+    select observation_id, score from r where score > 0 order by score desc, stored, observation_id limit 3""")
 def recall_top3_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.recall(frame(spark, "fx_observations"), "What were total costs in 2020?").select("observation_id", "score")
 
@@ -87,15 +96,25 @@ def coverage_fold_over_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.coverage_fold(rows)
 
 
-_SPLIT = "case when (crc % 10000) < 7000 then 'train' when (crc % 10000) < 8500 then 'dev' else 'test' end"
+_POINT = "(('0x' || substring(md5('split:' || {c}), 1, 8))::bigint % 10000)"
 
 
-@query()
+@query(f"select doc_id, case when p < 7000 then 'train' when p < 8500 then 'dev' else 'test' end as split from (select doc_id, {_POINT.format(c='doc_id')} as p from documents)")
 def document_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents to splits by the hash of their source and id."""
+    """Documents to splits by the hash of their id."""
     return read(spark, sf_dir, "documents").select("doc_id", V.split_of(F.col("doc_id"), {"train": 0.7, "dev": 0.15, "test": 0.15}).alias("split"))
 
 
+@query(f"""with s as (select doc_id, source, case when p < 7000 then 'train' when p < 8500 then 'dev' else 'test' end as split from (select doc_id, source, {_POINT.format(c='doc_id')} as p from documents)),
+    l(split, least) as (values ('train', 1), ('dev', 1), ('test', 1), ('extra', 1)), n as (select split, count(*) as documents from s group by split)
+    select 'too_small' as error, l.split as subject, coalesce(documents, 0) as n from l left join n using (split) where coalesce(documents, 0) < least
+    union all select 'shared_key', source, count(distinct split) from s group by source having count(distinct split) > 1""")
+def split_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose documents fall into several splits, and splits that are wanted but empty."""
+    rows = read(spark, sf_dir, "documents").select("source", V.split_of(F.col("doc_id"), {"train": 0.7, "dev": 0.15, "test": 0.15}).alias("split"))
+    return V.split_errors(rows, "source", {"train": 1, "dev": 1, "test": 1, "extra": 1})
+
+
 @query("select lang, source, count(*) as documents, sum(n_chars)::bigint as chars, grouping(lang)::bigint as g_lang, grouping(source)::bigint as g_source from documents group by grouping sets ((lang, source), (lang), ())")
 def split_summary_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents")

@@ -34,8 +34,11 @@ TABLES: dict[str, tuple[list[tuple[str, str]], list[tuple]]] = {
         [("dA", "figure", "1", "e03", 100, 0, "s1"), ("dA", "figure", "2", "e05", 100, 0, "s1"), ("dA", "figure", "2", "e06", 70, 0, "s1"), ("dA", "table", "1", "e11", 100, 1, "s2"), ("dA", "table", "2", "e13", 100, 1, "s2"), ("dA", "table", "2", "e14", 90, 2, "s2"), ("dA", "section", "1", "e01", 100, 0, "s1"), ("dB", "figure", "1", "g03", 100, 0, "t1"), ("dB", "table", "1", "g07", 100, 1, "t1")],
     ),
     "fx_questions": (
-        [("question_id", "string"), ("position", "bigint"), ("status", "string"), ("depends_on", "string")],
-        [("q0", 0, "done", ""), ("q1", 1, "done", "q0"), ("q2", 2, "open", "q1"), ("q3", 3, "open", "q1,q2"), ("q4", 4, "open", "q0"), ("q5", 5, "open", "q6"), ("q6", 6, "open", "q5"), ("q7", 7, "open", "q9"), ("q8", 8, "open", "q8")],
+        [("set_id", "string"), ("question_id", "string"), ("position", "bigint"), ("status", "string"), ("depends_on", "string")],
+        [
+            ("u", "q0", 0, "done", ""), ("u", "q1", 1, "done", "q0"), ("u", "q2", 2, "open", "q1"), ("u", "q3", 3, "open", "q1,q2"), ("u", "q4", 4, "open", "q0"), ("u", "q5", 5, "open", "q6"), ("u", "q6", 6, "open", "q5"), ("u", "q7", 7, "open", "q9"), ("u", "q8", 8, "open", "q8"),
+            ("v", "q0", 0, "open", ""), ("v", "q1", 1, "open", "q0"), ("v", "q2", 2, "done", ""), ("v", "q3", 3, "open", "q2"), ("v", "q4", 4, "open", "q3"), ("v", "q5", 5, "open", "q4"), ("v", "q6", 6, "open", "q5"), ("v", "q9", 7, "open", "q2,q6"),
+        ],
     ),
     "fx_observations": (
         [("observation_id", "string"), ("stored", "bigint"), ("source_id", "string"), ("claim", "string")],

@@ -125,9 +125,11 @@ def collect_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_set("lang")).alias("langs"), F.countDistinct("lang").alias("n_langs"), F.max("n_chars").alias("longest"), F.max_by("doc_id", F.col("n_chars") * 1000000 - F.col("doc_id")).alias("longest_id"))
 
 
-@query("select lang, sum((source = 'src0')::int)::bigint as src0, sum((source = 'src1')::int)::bigint as src1, sum((source = 'src2')::int)::bigint as src2 from documents group by lang")
+@query("select lang, sum((source = 'src0')::int)::bigint as src0, sum((source = 'src1')::int)::bigint as src1, sum((source = 'src2')::int)::bigint as src2, sum((coalesce(source, '') not in ('src0', 'src1', 'src2'))::int)::bigint as other from documents group by lang")
 def pivot_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.count(F.lit(1))).na.fill(0)
+    named = ["src0", "src1", "src2"]
+    rows = read(spark, sf_dir, "documents").select("lang", F.when(F.col("source").isin(*named), F.col("source")).otherwise("other").alias("source"))
+    return rows.groupBy("lang").pivot("source", [*named, "other"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("select event_id, date_trunc('day', ts) as day, extract(dow from ts) + 1 as dow, datediff('day', timestamp '2024-01-01', ts) as days from events")

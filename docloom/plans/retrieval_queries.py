@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import TOKEN, base_tokens
+from docloom.lineage import cut_lineage
 from docloom.operators import retrieval as R
 from docloom.operators.elements import elements
 from docloom.plans.registry import query, read
@@ -44,6 +45,18 @@ def bm25_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", rank.cast("long")).where("rank <= 5")
 
 
+@query(f"""with {SQL_TERMS},
+    o as (select doc_id, pos, term, list(i - 1 order by i) as positions from (select doc_id, pos, unnest(terms) as term, generate_subscripts(terms, 1) as i from t) where term in ({_IN}) group by all),
+    s as (select count(*) as n, avg(len(terms)) as mean from t), d as (select term, count(*) as df from p group by term)
+    select doc_id, pos, round(sum({_PART}), 6) as score, string_agg(term || ':' || array_to_string(positions, ','), ';' order by term) as matches
+    from p join o using (doc_id, pos, term) join d using (term) join t using (doc_id, pos), s group by doc_id, pos""")
+def bm25_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores from an inverted index with places, read back from its table; all units that match."""
+    index = cut_lineage(R.index_postings(R.with_terms(elements(read(spark, sf_dir, "documents"))), ["doc_id", "pos"]))
+    return R.search_index(index, TERMS, ["doc_id", "pos"], []).select(
+        "doc_id", "pos", F.round("score", 6).alias("score"), F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["term"], F.array_join(m["positions"].cast("array<string>"), ","))), ";").alias("matches"))
+
+
 @query(f"""with {SQL_ELEMENTS}, t as (select distinct doc_id, pos, unnest(list_transform(regexp_extract_all(line, '{TOKEN}'), lambda x: replace(lower(x), 'ß', 'ss'))) as term from e)
     select term, count(*) as df, count(distinct doc_id) as documents from t group by term""")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +82,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors by cosine with vector 0, which is looked up as the query."""
     rows = read(spark, sf_dir, "embeddings")
     first = rows.where("vec_id = 0").first()
-    return R.cosine_scores(rows, list(first["embedding"]))
+    # without a vector 0 there is no query, and nothing is found
+    return R.cosine_scores(rows, list(first["embedding"])) if first else rows.where("false").withColumn("score", F.lit(None).cast("double"))
 
 
 _COS = "list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])))"

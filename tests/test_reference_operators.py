@@ -234,7 +234,9 @@ def test_long_chains_and_cycles(spark):
     reach = {(r.source_id, r.target_id): r.hops for r in R.continuation_closure(spark.createDataFrame(rows, "document_id string, source_id string, target_id string, kind string, confidence double")).collect()}
     assert reach == {(f"e{i:02}", f"e{j:02}"): (j - i) % 21 or 21 for i in range(21) for j in range(21)}
     asked = [(f"q{i}", f"q{(i + 1) % 20}") for i in range(20)] + [("p", "q0"), ("r", "r"), ("t", "gone"), ("u", "")]
-    errors = {(r.question_id, r.error) for r in V.graph_errors(spark.createDataFrame(asked, "question_id string, depends_on string")).collect()}
+    # ids are those of a set: what one set lacks is not found in another
+    both = [("u", *a) for a in asked] + [("v", "gone", "")]
+    errors = {(r.question_id, r.error) for r in V.graph_errors(spark.createDataFrame(both, "set_id string, question_id string, depends_on string")).collect()}
     assert errors == {(f"q{i}", "cycle") for i in range(20)} | {("r", "self_dependency"), ("t", "unknown_dependency")}
 
 
