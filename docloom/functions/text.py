@@ -149,3 +149,25 @@ QUESTION_FEATURES = {
 
 def question_features(c: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.rlike(c, F.lit(p)), F.lit(k)) for k, p in QUESTION_FEATURES.items())))
+
+
+def short_independent(c: Column) -> Column:
+    """A short sentence of its own: a capital first, an end mark last."""
+    return (F.length(c) < 60) & F.rlike(c, F.lit(r"^\s*[A-Z].*[.!?]\s*$"))
+
+
+def checklist_item(c: Column) -> Column:
+    return F.rlike(c, F.lit(r"^\s*(?:[☐☑✓□]|\[[ xX]\])"))
+
+
+def external_reference(c: Column) -> Column:
+    """A section of a law rather than of the document: a legal word shortly before it."""
+    return F.rlike(c, F.lit(r"(?i)\b(?:act|code|statute|regulation|u\.s\.c|cfr)\b[^.]{0,60}\bsection\s+[0-9]"))
+
+
+def low_information(c: Column) -> Column:
+    return F.rlike(F.trim(c), F.lit(r"(?i)^(?:yes|no|n/a|[-–—•.]+|[0-9]{1,3})$"))
+
+
+def meaningful(c: Column) -> Column:
+    return F.rlike(c, F.lit(r"[A-Za-zÀ-ÿ]{2,}|[0-9]{2,}"))
