@@ -300,3 +300,65 @@ def test_normalisation(spark):
     notes = spark.createDataFrame([("Source: X", "report", False), ("1 Note", "report", True), ("Call us", "report", False), ("plain note", "report", False)], "t string, p string, h boolean")
     kinds = notes.select(N.footnote_kind(F.col("t"), F.col("p"), F.array(F.lit("paragraph")), F.lit(0.0), F.col("h")).alias("x")).select("x.*").collect()
     assert [(r.kind, r.confidence, r.resolved) for r in kinds] == [("footnote", 0.97, True), ("footnote", 0.98, True), ("paragraph", 0.94, True), ("footnote", 0.70, False)]
+
+
+def test_tables_in_and_out(spark, tmp_path):
+    from docloom.operators import audit as A
+    from docloom.sources import tables as TB
+
+    blocks = [[{"type": "page_number", "bbox": [480, 1350, 520, 1380], "content": {"page_number_content": [{"type": "text", "content": " 7 "}]}}, {"type": "page_number", "bbox": [10, 700, 20, 720], "content": {}}, {"type": "page_number", "bbox": [480, 700, 520, 720], "content": {"content": "x"}}]]
+    (tmp_path / "content.json").write_text(json.dumps(blocks))
+    layout = spark.createDataFrame([("d", 0, 1, 1000.0, 1400.0), ("e", 0, 1, 10.0, 10.0)], "doc_id string, page_index int, page_number int, width double, height double")
+    rows = TB.page_label_signals(parser.read_blocks(spark, str(tmp_path / "content.json"), "d"), layout).collect()
+    assert sorted((r.text, r.marginal) for r in rows) == [("7", True), ("x", False)]
+    e = spark.createDataFrame([("d", "e1", 0, 0, "paragraph", "t", 0.1, 0.1, 0.2, 0.2, None)], TB.SCHEMAS["elements"])
+    parser.write_document({"elements": e}, str(tmp_path / "doc"))
+    back = TB.load_document(spark, str(tmp_path / "doc"))
+    assert back["elements"].collect() == e.collect() and back["relations"].count() == 0 and set(back) == set(TB.SCHEMAS)
+    runs = lambda v: spark.createDataFrame(v, "run_id string, component string, case_id string, n int")
+    TB.write_run(runs([("r1", "reader", "c1", 1), ("r2", "reader", "c1", 2)]), str(tmp_path / "runs"))
+    TB.write_run(runs([("r2", "reader", "c1", 3)]), str(tmp_path / "runs"))
+    read = lambda r: [tuple(x) for x in TB.read_run(spark, str(tmp_path / "runs"), r, "case_id string, n int").collect()]
+    assert read("r1") == [("c1", 1, "r1", "reader")] and read("r2") == [("c1", 3, "r2", "reader")] and read("r3") == []
+    rules = A.rule_coverage(frame(spark, "fx_firings"))
+    text = TB.coverage_markdown(rules)
+    assert text.count("\n") == 4 and "| caption.nearest | 2 | 1 | confirmed | e3 |" in text
+    TB.write_coverage(rules, str(tmp_path / "coverage"))
+    assert spark.read.json(str(tmp_path / "coverage/rules")).count() == 2 and spark.read.text(str(tmp_path / "coverage/markdown"), wholetext=True).first().value == text
+    for kind in ("parquet", "orc", "json", "csv"):
+        runs([("r", "c", "x", 1)]).write.format(kind).save(str(tmp_path / kind))
+        assert [tuple(r) for r in TB.read_table(spark, str(tmp_path / kind), kind, "run_id string, component string, case_id string, n int").collect()] == [("r", "c", "x", 1)]
+
+
+def test_late_rows_and_other_windows(spark, tmp_path):
+    """A row that comes after the watermark has passed it changes nothing; sliding and session windows and the fold agree with batches."""
+    import datetime as dt
+    import time
+
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    files = [[(1, at(10, 0), 1, "a", 1.0, "")], [(2, at(14, 0), 1, "b", 2.0, ""), (2, at(14, 0), 1, "b", 2.0, "")], [(4, at(14, 20), 2, "a", 1.0, "")], [(3, at(10, 30), 1, "late", 9.0, "")], [(5, at(20, 0), 1, "a", 1.0, "")]]
+    source = str(tmp_path / "late")
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)
+    run = lambda name, f, mode: (EV.run_once(f(EV.read_events(spark, source, 1)), name, str(tmp_path / name), mode), spark.table(name).collect())[1]
+    got = {(r.start.hour, r.event_type): r.n for r in run("late_tumbling", EV.tumbling, "append")}
+    assert got == {(10, "a"): 1, (14, "b"): 2, (14, "a"): 1}
+    assert sorted(r.event_id for r in run("late_unique", EV.deduplicated, "append")) == [1, 2, 4, 5]
+    slides = {(r.start.hour, r.start.minute): r.n for r in run("late_sliding", EV.sliding, "append")}
+    assert slides[10, 0] == 1 and slides[14, 0] == 3 and slides[13, 15] == 2 and slides[13, 30] == 3 and (10, 15) not in slides
+    held = {(r.user_id, r.start.hour): r.n for r in run("late_sessions", EV.sessions, "append")}
+    assert held == {(1, 10): 1, (1, 14): 2, (2, 14): 1}
+
+
+def test_stateful_fold_over_batches(spark, sf, tmp_path):
+    source = str(tmp_path / "events")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        EV.run_once(EV.fold(EV.read_events(spark, source, 1)), "folded", str(tmp_path / "fold"), "update")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    last = {r.user_id: (r.actions, r.n) for r in spark.table("folded").groupBy("user_id").agg(F.max("actions").alias("actions"), F.max("n").alias("n")).collect()}
+    assert last == {r.user_id: (r.a, r.n) for r in spark.read.parquet(source).groupBy("user_id").agg(F.countDistinct("event_type").alias("a"), F.count("*").alias("n")).collect()}
