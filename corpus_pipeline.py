@@ -1,6 +1,11 @@
 """The corpus pipeline over documents: quality, near-duplicates, secrets, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents.
+
+Defined results: null texts are scored, compared, searched and packed as empty ones, and stay null until they are packed; documents
+without words are taken by no mix, so they end there; rows with a null doc_id are never near copies of others, and are mixed and packed
+like the rest; of rows that repeat an id and a text one stays; ties go to the smallest doc_id; an empty table gives an empty result; columns
+beyond those of documents are kept until the mix, whatever their names but those that begin with "_mix_" or "_minhash_".
 """
 
 from __future__ import annotations
