@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import lower, mix, steps, text_bytes, texts_of, word_hashes, words
+from docloom.llm.common import lower, map_batches, mix, steps, text_bytes, texts_of, word_hashes, words
 
 PASSAGE = 64
 #: Labelled rows that the model is fitted on, at most.
@@ -185,7 +185,7 @@ def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in batches:
             found = [np.ones(len(bag) - 1) if model is None else model.forward(x, bag)["s"] for x, bag in passages(batch.column("text"))]
             scores = pa.array(np.concatenate(found) if found else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "_score" if "score" in batch.schema.names else "score"])
 
     return score
 
@@ -203,13 +203,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     model = train(docs, labels, sample)
-    kept = [f for f in docs.schema.fields]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _scorer(model)(batches):
             keep = pa.compute.greater_equal(batch.column(batch.num_columns - 1), THRESHOLD)
             yield batch.select(list(range(batch.num_columns - 1))).filter(keep)
 
-    from pyspark.sql.types import StructType
-
-    return docs.mapInArrow(choose, StructType(kept))
+    return map_batches(docs, choose)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import texts_of
+from docloom.llm.common import map_batches, texts_of
 
 MASK = "[SECRET]"
 CUT = 0.5
@@ -335,5 +335,5 @@ def redact(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(out, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    out = docs.mapInArrow(redacted, docs.schema)
+    out = map_batches(docs, redacted)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

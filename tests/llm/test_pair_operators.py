@@ -364,3 +364,26 @@ def test_pipeline(spark, sf):
     assert all(got.count(i) == n for i, n in times.items())
     e = stages["packing"](spark, d, sf).groupBy("doc_id").sum("length").collect()
     assert len(e) == sum(n > 0 for n in times.values())
+
+
+def test_pipeline_edge_rows(spark, sf):
+    """Nulls in any column, empty and very long texts, repeated rows, ties, columns of clashing names, and empty tables go through every stage."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, size long, component_id long, sequence_id string, `a b.c` string"
+    prose = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(6).collect()]
+    more = (0.5, 1, 2, 3, "x", "y")
+    rows = [(k, t, "en", "s", len(t), *more) for k, t in enumerate(prose)] + [(7, prose[0], "en", None, None, *[None] * 6), (1, prose[1], "en", "s", len(prose[1]), *more), (None, prose[2], None, None, None, *more), (20, None, None, None, None, *[None] * 6), (21, "", "en", "s", 0, *more), (22, " ".join(prose) * 200, "en", "t", None, *more)]
+    frame = spark.createDataFrame(rows, schema)
+    for docs_ in (frame, frame.where("false")):
+        now = docs_
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, sf)
+            if name != "packing":
+                assert now.columns == frame.columns, name
+            found = now.collect()
+            now = spark.createDataFrame(found, now.schema)
+            if name == "near_dedup" and docs_ is frame:
+                ids = sorted(-1 if r.doc_id is None else r.doc_id for r in found)
+                assert 7 not in ids and ids.count(1) <= 1 and len(ids) == len(set(ids))
+        assert (len(found) > 0) == (docs_ is frame) and all(0 < r.length <= 4096 for r in found)
