@@ -45,7 +45,7 @@ _NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), k
 _LONGEST, _FARTHEST = 4096, (1 << 20) - 120
 _TOP = 15
 #: Bytes of texts that are coded at a time, and that are read back at a time.
-CODED, READ = 1 << 20, 4 << 20
+CODED, READ = 1 << 20, 12 << 20
 _U = np.uint64
 _REV = np.zeros(1 << _TOP, np.int64)
 for _k in range(_TOP):
@@ -560,22 +560,28 @@ def _depths(row: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _lengths(counts: np.ndarray, limit: int) -> np.ndarray:
-    """Code lengths of at most `limit` for each row of counts; 0 for what doesn't occur, 1 for a symbol that is alone."""
-    n = len(counts)
-    out = np.zeros(counts.shape, np.int64)
-    row, symbol = np.nonzero(counts)
-    count = counts[row, symbol]
+def _lengths(tables: list[np.ndarray], limit: int) -> list[np.ndarray]:
+    """Code lengths of at most `limit` for each row of tables of counts, all rows in step; 0 for what doesn't occur, 1 for a symbol that is alone."""
+    out = [np.zeros(t.shape, np.int64) for t in tables]
+    first = np.cumsum([0] + [len(t) for t in tables])
+    found = [np.nonzero(t) for t in tables]
+    table = np.repeat(np.arange(len(tables)), [len(f[0]) for f in found])
+    row = np.concatenate([f[0] + k for f, k in zip(found, first, strict=False)])
+    symbol = np.concatenate([f[1] for f in found])
+    count = np.concatenate([t[f] for t, f in zip(tables, found, strict=True)])
     while len(row):
-        depth = _depths(row, count, n)
-        long = np.zeros(n, bool)
+        depth = _depths(row, count, int(first[-1]))
+        long = np.zeros(first[-1], bool)
         long[row[depth > limit]] = True
         fine = ~long[row]
-        out[row[fine], symbol[fine]] = depth[fine]
+        for k, own in enumerate(out):
+            i = np.flatnonzero(fine & (table == k))
+            own[row[i] - first[k], symbol[i]] = depth[i]
         # flatter counts give shorter codes
-        row, symbol, count = row[~fine], symbol[~fine], (count[~fine] + 3) // 2
-    alone = np.flatnonzero((counts > 0).sum(1) == 1)
-    out[alone, counts[alone].argmax(1)] = 1
+        table, row, symbol, count = table[~fine], row[~fine], symbol[~fine], (count[~fine] + 3) // 2
+    for own, t in zip(out, tables, strict=True):
+        alone = np.flatnonzero((t > 0).sum(1) == 1)
+        own[alone, t[alone].argmax(1)] = 1
     return out
 
 
@@ -623,10 +629,9 @@ class _Entries:
         return [(raw[8 * b : 8 * (b + w)], int(t)) for b, w, t in zip(begin, words, total, strict=True)]
 
 
-def _put_codes(to: _Entries, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Writes a prefix code for each row of counts, and gives the codes and their bits."""
+def _put_codes(to: _Entries, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a prefix code for each row of counts, by its lengths, and gives the codes and their bits."""
     used = (counts > 0).sum(1)
-    lengths = _lengths(counts, _TOP)
     # one or two low symbols have a short form; a symbol that is alone and high gets a neighbour
     high = np.flatnonzero((used == 1) & (counts[:, 256:].sum(1) > 0))
     lengths[high, counts[high].argmax(1) - 1] = 1
@@ -660,7 +665,7 @@ def _put_codes(to: _Entries, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         seen = _histograms(of, token, len(normal), 19)
         lone = np.flatnonzero((seen > 0).sum(1) == 1)
         seen[lone, np.where(seen[lone].argmax(1) == 0, 1, 0)] = 1
-        small = _lengths(seen, 7)
+        small = _lengths([seen], 7)[0]
         code, bits = _codes(small)
         head = np.full(len(normal), 15 << 1, np.int64)
         for k, s in enumerate(_LENGTH_ORDER):
@@ -767,6 +772,7 @@ def _code_images(images: list[np.ndarray], widths: list[int], top: bool) -> list
     counts = [_histograms(of, values[0], n, 280 + (1 << int(bits.max()) if bits.any() else 0)), *(_histograms(of[literal], v[literal], n, 256) for v in values[1:]), _histograms(doc[at], ds, n, 256)]
     # alphabets end with the image's own cache
     books = []
+    lengths = _lengths(counts, _TOP)
     for k, count in enumerate(counts):
         if k == 0:
             code, used = np.zeros(count.shape, np.int64), np.zeros(count.shape, np.int64)
@@ -774,11 +780,11 @@ def _code_images(images: list[np.ndarray], widths: list[int], top: bool) -> list
                 own = np.flatnonzero(bits == b)
                 part = _Entries()
                 wide = 280 + (1 << int(b) if b else 0)
-                code[own, :wide], used[own, :wide] = _put_codes(part, count[own, :wide])
+                code[own, :wide], used[own, :wide] = _put_codes(part, count[own, :wide], lengths[0][own, :wide])
                 for r, v, m in zip(part.rows, part.values, part.sizes, strict=True):
                     to.add(own[r], v, m)
         else:
-            code, used = _put_codes(to, count[:, : _SIZES[k]])
+            code, used = _put_codes(to, count[:, : _SIZES[k]], lengths[k][:, : _SIZES[k]])
         books.append((code, used))
     value, number = books[0][0][of, symbol], books[0][1][of, symbol]
     for k in (1, 2, 3):
