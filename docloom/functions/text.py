@@ -171,3 +171,20 @@ def low_information(c: Column) -> Column:
 
 def meaningful(c: Column) -> Column:
     return F.rlike(c, F.lit(r"[A-Za-zÀ-ÿ]{2,}|[0-9]{2,}"))
+
+
+def compact_heading(text: str) -> str:
+    """Letters and digits of the compatibility form, ASCII only, lower case."""
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFKD", text or "").lower() if c.isascii() and c.isalnum())
+
+
+def heading_match(a: str, b: str) -> float:
+    """1 for headings that are equal when compacted, .98 where one of six characters or more begins the other, else the likeness of their characters."""
+    from difflib import SequenceMatcher
+
+    x, y = sorted((compact_heading(a), compact_heading(b)), key=len)
+    if not x:
+        return 0.0
+    return 1.0 if x == y else 0.98 if len(x) >= 6 and y.startswith(x) else SequenceMatcher(None, x, y, autojunk=False).ratio()

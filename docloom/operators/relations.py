@@ -178,3 +178,26 @@ def continuation_closure(relations: DataFrame, least: float = 0.6) -> DataFrame:
         if fresh.isEmpty():
             return now
         now = cut_lineage(now.unionByName(fresh))
+
+
+def declared_captions(elements: DataFrame, declared: DataFrame, furniture: DataFrame) -> DataFrame:
+    """declared(document_id, caption_id, target_id), furniture(document_id, element_id): the parser's captions, each with its confidence or the reason why it doesn't stand.
+
+    A caption that says "table" fits tables, one that says "figure" or "chart" fits figures and charts, one without a label fits any visual.
+    """
+    kind = F.lower(F.regexp_extract("text", r"(?i)^\s*(table|tab|figure|fig|chart)\b", 1))
+    side = elements.select(DOC, F.col("element_id").alias("caption_id"), kind.alias("_kind"))
+    target = elements.select(DOC, F.col("element_id").alias("target_id"), F.col("element_type").alias("_type"))
+    bars = furniture.select(DOC, F.col("element_id").alias("caption_id"), F.lit(True).alias("_bar")).distinct()
+    met = declared.join(side, [DOC, "caption_id"], "left").join(target, [DOC, "target_id"], "left").join(bars, [DOC, "caption_id"], "left")
+    fits = F.when(F.col("_kind").startswith("tab"), F.col("_type") == "table").when(F.col("_kind") != "", F.col("_type").isin("figure", "chart")).otherwise(F.col("_type").isin("figure", "chart", "table"))
+    reason = F.when(F.col("_bar"), "running_header").when(F.col("_type").isNull(), "unknown_target").when(~fits, "other_kind")
+    return met.select(DOC, "caption_id", "target_id", F.when(reason.isNull(), 1.0).alias("confidence"), reason.alias("reason"))
+
+
+def repaired_captions(elements: DataFrame, wrong: DataFrame) -> DataFrame:
+    """wrong(document_id, caption_id): captions of tables that were given something else: the nearest table of the page by vertical gap, then reading order and id, at .96."""
+    pairs = same_page_pairs(elements).where("b_element_type = 'table'").withColumnRenamed("a_document_id", DOC)
+    met = pairs.join(wrong.select(DOC, F.col("caption_id").alias("a_element_id")), [DOC, "a_element_id"]).where(F.rlike("a_text", F.lit(r"(?i)^\s*tab(?:le)?\b")))
+    key = F.struct(G.v_gap("a_", "b_"), F.abs(F.col("a_reading_order") - F.col("b_reading_order")), F.col("b_element_id"))
+    return met.groupBy(DOC, F.col("a_element_id").alias("caption_id")).agg(F.min_by("b_element_id", key).alias("target_id")).withColumn("confidence", F.lit(0.96))

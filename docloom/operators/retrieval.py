@@ -198,3 +198,14 @@ def metrics(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("gold"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     return per.withColumn("ndcg_10", F.col("dcg") / ideal).drop("dcg")
+
+
+def required_vectors(shards: DataFrame, required: DataFrame, key: str = "sha256") -> DataFrame:
+    """The vectors whose key is asked for, each once; where a key has several, the one of the last shard."""
+    own = shards.join(required.select(key).distinct(), key, "left_semi")
+    return best_part(own, [key], [F.desc("shard")])
+
+
+def visible(rows: DataFrame, hidden: tuple[str, ...] = ("score", "rank", "best_rank", "route", "bm25_rank", "dense_rank")) -> DataFrame:
+    """Rows without what a policy must not see: scores, ranks and routes."""
+    return rows.drop(*hidden)

@@ -65,3 +65,12 @@ def eligibility(headings: DataFrame) -> DataFrame:
         .when((words >= 4) & clean.rlike(r"[.!?]$"), "functional_sentence").when(F.col("after_table") & clean.rlike(r"(?i)^notes?:?$"), "table_notes").when((words <= 4) & (pages >= 3) & ~known & ~clean.rlike(r"^[0-9]"), "repeated_local_label")
     )
     return headings.withColumn("reason", reason).withColumn("eligible", F.col("reason").isNull())
+
+
+def group_sections(groups: DataFrame, anchored: DataFrame) -> DataFrame:
+    """groups(document_id, caption_id, member_id), anchored(document_id, element_id, section_id): members of a caption with several targets get the one section that any of them has; two sections give none."""
+    doc = "document_id"
+    many = groups.groupBy(doc, "caption_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    own = groups.join(many, [doc, "caption_id"]).join(anchored.select(doc, F.col("element_id").alias("member_id"), "section_id"), [doc, "member_id"], "left")
+    one = own.groupBy(doc, "caption_id").agg(F.min("section_id").alias("section_id"), F.max("section_id").alias("_other")).where("section_id = _other").drop("_other")
+    return groups.join(one, [doc, "caption_id"]).select(doc, "caption_id", "member_id", "section_id")

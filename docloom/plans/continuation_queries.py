@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import continuation as C
 from docloom.operators import normalize as N
 from docloom.operators import relations as X
+from docloom.operators import sections as SE
 from docloom.operators.elements import elements
 from docloom.plans.fixtures import cte, frame
 from docloom.plans.registry import query, read
@@ -106,3 +107,31 @@ def table_fragments_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = ["h", "a", "b", "c", "d"]
     rows = [("g", 0, ["h", "a", "b"], whole), ("g", 1, ["h", "c", "d"], whole), ("k", 0, ["h", "a"], whole), ("k", 1, ["x"], whole)]
     return C.fragment_positions(spark.createDataFrame(rows, "group_id string, fragment_index int, rows array<string>, whole array<string>"))
+
+
+_DECLARED = "(values ('dA', 'e04', 'e03'), ('dA', 'e10', 'e13'), ('dA', 'e12', 'e03'), ('dB', 'g02', 'e03'), ('dB', 'g11', 'g09'), ('dB', 'g17', 'g10'), ('dA', 'e06', 'e05')) v(document_id, caption_id, target_id)"
+_BARS = "(values ('dA', 'e06'), ('dB', 'e04')) v(document_id, element_id)"
+_STANDING = f"""x as (select d.*, lower(regexp_extract(c.text, '(?i)^\\s*(table|tab|figure|fig|chart)\\b', 1)) as kind, t.element_type as type, b.element_id is not null as bar from (select * from {_DECLARED}) d left join fx_elements c on c.document_id = d.document_id and c.element_id = d.caption_id left join fx_elements t on t.document_id = d.document_id and t.element_id = d.target_id left join (select * from {_BARS}) b on b.document_id = d.document_id and b.element_id = d.caption_id),
+    st as (select document_id, caption_id, target_id, case when bar then 'running_header' when type is null then 'unknown_target' when not (case when kind like 'tab%' then type = 'table' when kind <> '' then type in ('figure', 'chart') else type in ('figure', 'chart', 'table') end) then 'other_kind' end as reason from x)"""
+
+
+@query(f"with {cte('fx_elements')}, {_STANDING} select document_id, caption_id, target_id, case when reason is null then 1.0 end::double as confidence, reason from st")
+def declared_captions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.declared_captions(frame(spark, "fx_elements"), spark.sql(f"select * from {_DECLARED}"), spark.sql(f"select * from {_BARS}"))
+
+
+@query(f"""with {_ON_PAGE}, {_STANDING}, m as (select p.document_id, a_element_id as caption_id, b_element_id as target_id, row_number() over (partition by p.document_id, a_element_id order by vg, abs(a_reading_order - b_reading_order), b_element_id) as k from p join st on st.document_id = p.document_id and st.caption_id = a_element_id and reason = 'other_kind' where b_element_type = 'table' and regexp_matches(a_text, '(?i)^\\s*tab(?:le)?\\b'))
+    select document_id, caption_id, target_id, 0.96::double as confidence from m where k = 1""")
+def repaired_captions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, "fx_elements")
+    return X.repaired_captions(rows, X.declared_captions(rows, spark.sql(f"select * from {_DECLARED}"), spark.sql(f"select * from {_BARS}")).where("reason = 'other_kind'"))
+
+
+_PANELS = "(values ('d', 'c1', 'v1'), ('d', 'c1', 'v2'), ('d', 'c2', 'v3'), ('d', 'c3', 'v4'), ('d', 'c3', 'v5'), ('e', 'c1', 'v1'), ('e', 'c1', 'v9')) v(document_id, caption_id, member_id)"
+_PLACED = "(values ('d', 'v1', 's1'), ('d', 'v3', 's2'), ('d', 'v4', 's1'), ('d', 'v5', 's2'), ('e', 'v7', 's9')) v(document_id, element_id, section_id)"
+
+
+@query(f"""with g as (select * from {_PANELS}), a as (select * from {_PLACED}), o as (select g.document_id, caption_id, min(section_id) as section_id from g left join a on a.document_id = g.document_id and a.element_id = g.member_id group by all having count(*) > 1 and count(distinct section_id) = 1)
+    select g.document_id, g.caption_id, member_id, o.section_id from g join o on o.document_id = g.document_id and o.caption_id = g.caption_id""")
+def caption_group_sections_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SE.group_sections(spark.sql(f"select * from {_PANELS}"), spark.sql(f"select * from {_PLACED}"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import audit as A
+from docloom.operators import retrieval as R
 from docloom.operators import session as S
-from docloom.plans.registry import query
+from docloom.plans.registry import query, read
 from docloom.plans.retrieval_queries import _TWO, SQL_RANKINGS, _rankings, _sql_rrf
 
 _UNITS = """(values ('dA', 'u1', 0, 'heading', 'Costs', null, null, false, 's2'), ('dA', 'u2', 0, 'paragraph', 'All  costs' || chr(10) || chr(10) || 'rose. ', null, null, false, 's2'), ('dA', 'u3', 0, 'figure', 'a made text', null, 'Figure 1', true, 's2'), ('dA', 'u4', 0, 'figure', 'Axis: year', null, 'Figure 2', false, 's2'),
@@ -135,3 +136,17 @@ _VISIBLE = "(values ('x', 1, 'e1'), ('x', 2, 'e3'), ('x', 1, 'e3'), ('y', 2, 'e1
 @query(f"with a as (select action_id, session, step, unnest(string_split(ids, ',')) as id from {_ACTIONS}) select action_id, id from a where (session, step, id) not in (select (session, step, id) from {_VISIBLE})")
 def visible_id_errors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.visible_errors(spark.sql(f"select action_id, session, step, split(ids, ',') as ids from {_ACTIONS}"), spark.sql(f"select * from {_VISIBLE}"))
+
+
+@query("select label as sha256, vec_id as shard, len(embedding) as dimensions from (select *, row_number() over (partition by label order by vec_id desc) as k from embeddings where label % 3 = 0) where k = 1")
+def required_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the vectors of each asked label the one of the last shard."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("sha256"), F.col("vec_id").alias("shard"), "embedding")
+    asked = rows.where("sha256 % 3 = 0").select("sha256")
+    return R.required_vectors(rows, asked).select("sha256", "shard", F.size("embedding").cast("long").alias("dimensions"))
+
+
+@query(f"with {SQL_RANKINGS}, {_sql_rrf(_TWO)} select query_id, element_id, page_number, position from g where position <= 5")
+def visible_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a policy may see of each query's first batch."""
+    return R.visible(R.rrf(_rankings(spark, sf_dir), _TWO)).where("position <= 5").withColumn("position", F.col("position").cast("long"))

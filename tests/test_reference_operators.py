@@ -362,3 +362,8 @@ def test_stateful_fold_over_batches(spark, sf, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     last = {r.user_id: (r.actions, r.n) for r in spark.table("folded").groupBy("user_id").agg(F.max("actions").alias("actions"), F.max("n").alias("n")).collect()}
     assert last == {r.user_id: (r.a, r.n) for r in spark.read.parquet(source).groupBy("user_id").agg(F.countDistinct("event_type").alias("a"), F.count("*").alias("n")).collect()}
+
+
+def test_heading_matches():
+    assert T.compact_heading("Ⅲ. Résumé & Ziele") == "iiiresumeziele"
+    assert T.heading_match("Risk Factors", "risk-factors") == 1 and T.heading_match("Risk Factors", "Risk Factors and more") == 0.98 and T.heading_match("Risk", "Risks") > 0.8 and T.heading_match("", "x") == 0
