@@ -59,9 +59,9 @@ def entity_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEEN = "(values ('d', 0, '1', 0.9, 0.95), ('d', 0, '7', 0.9, 0.10), ('d', 0, '3', 0.5, 0.01), ('d', 1, '2', 0.4, 0.9), ('e', 0, 'i', 0.6, 0.9), ('e', 0, 'ii', 0.6, 0.1)) v(document_id, page_index, label, confidence, y)"
 
 
-@query(f"with k as (select *, row_number() over (partition by document_id, page_index order by confidence desc, least(y, 1 - y), label) as k from {_SEEN}) select document_id, page_index, label, confidence, y from k where k = 1")
+@query(f"with k as (select *, row_number() over (partition by document_id, page_index order by confidence desc, least(y, 1 - y), label) as k from {_SEEN}) select document_id, page_index, label, confidence::double as confidence, y::double as y from k where k = 1")
 def best_observations_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.best_observations(spark.sql(f"select * from {_SEEN}"))
+    return I.best_observations(spark.sql(f"select document_id, page_index, label, double(confidence) as confidence, double(y) as y from {_SEEN}"))
 
 
 _TOP = "select set_id, item, value from (select user_id as set_id, event_id::varchar as item, value, row_number() over (partition by user_id order by value {d}, event_id::varchar) as k from events where value is not null) where k <= {k}"

@@ -137,7 +137,7 @@ def footnote_targets_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_MARKERS}, j as (select t.*, f.page_index = e.page_index as same_page, greatest(0, f.y1 - e.y2, e.y1 - f.y2) as gap, abs(f.reading_order - e.reading_order) as reading, f.y1
         from t join fx_elements f on f.document_id = t.document_id and f.element_id = footnote_id join fx_elements e on e.document_id = t.document_id and e.element_id = target_id),
     s as (select *, least(0.98, 0.45 + case when same_page then 0.15 else 0 end + case when gap <= 0.08 then 0.15 when gap <= 0.18 then 0.08 else 0 end + case when reading <= 2 then 0.10 when reading <= 5 then 0.05 else 0 end + 0.10 + case when y1 >= 0.70 then 0.05 else 0 end) as score from j)
-    select document_id, footnote_id, target_id, round(score, 6) as score, score >= 0.75 as confirmed from s""")
+    select document_id, footnote_id, target_id, round(score, 6)::double as score, score >= 0.75 as confirmed from s""")
 def footnote_scores_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footnotes with the target that their marker names, scored by all signals."""
     rows = frame(spark, "fx_elements")
@@ -159,7 +159,7 @@ _AT_EDGE = "(document_id, a_element_id) in (select (document_id, element_id) fro
 
 
 @query(f"""with {_NEXT}, {_BOUNDARY}, s as (select document_id, a_element_id as source_id, b_element_id as target_id, round(least(0.9, 0.2 + case when a_y2 >= 0.68 and b_y1 <= 0.25 then 0.1 else 0 end + case when {_ALIKE} then 0.1 else 0 end
-        + case when {_SHARED} >= 0.5 then 0.2 else 0 end + case when regexp_matches(b_text, '(?i)continued|续') then 0.3 else 0 end + case when len(string_split_regex(trim(a_text), '\\s+')) = len(string_split_regex(trim(b_text), '\\s+')) then 0.1 else 0 end), 3) as score
+        + case when {_SHARED} >= 0.5 then 0.2 else 0 end + case when regexp_matches(b_text, '(?i)continued|续') then 0.3 else 0 end + case when len(string_split_regex(trim(a_text), '\\s+')) = len(string_split_regex(trim(b_text), '\\s+')) then 0.1 else 0 end), 3)::double as score
         from n where a_element_type = 'table' and b_element_type = 'table' and {_AT_EDGE}) select * from s where score >= 0.5""")
 def table_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table_continuations(frame(spark, "fx_elements"))
@@ -167,7 +167,7 @@ def table_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_NEXT}, {_BOUNDARY}, s as (select document_id, a_element_id as source_id, b_element_id as target_id, round(least(0.9, 0.10 + case when a_y2 >= 0.72 and b_y1 <= 0.30 then 0.25 else 0 end + case when a_section_id = b_section_id then 0.15 else 0 end
         + case when regexp_matches(a_text, '[,;:]\\s*$') then 0.20 else 0 end + case when regexp_matches(b_text, '^\\s*\\p{{Ll}}') then 0.15 else 0 end
-        + case when regexp_matches(a_text, '(?i)^\\s*(?:\\[[0-9]+\\]|[0-9]+\\.\\s).*\\b(?:19|20)[0-9]{{2}}\\b') and regexp_matches(b_text, '(?i)^\\s*(?:\\[[0-9]+\\]|[0-9]+\\.\\s).*\\b(?:19|20)[0-9]{{2}}\\b') then 0.15 else 0 end), 3) as score
+        + case when regexp_matches(a_text, '(?i)^\\s*(?:\\[[0-9]+\\]|[0-9]+\\.\\s).*\\b(?:19|20)[0-9]{{2}}\\b') and regexp_matches(b_text, '(?i)^\\s*(?:\\[[0-9]+\\]|[0-9]+\\.\\s).*\\b(?:19|20)[0-9]{{2}}\\b') then 0.15 else 0 end), 3)::double as score
         from n where a_element_type = 'list' and b_element_type = 'list' and {_AT_EDGE}) select * from s where score >= 0.65""")
 def list_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.list_continuations(frame(spark, "fx_elements"))
@@ -175,7 +175,7 @@ def list_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_NEXT}, {_BOUNDARY}, s as (select document_id, a_element_id as source_id, b_element_id as target_id, round(least(0.9, 0.25 + case when a_y2 >= 0.80 then 0.15 else 0 end + case when b_y1 <= 0.25 then 0.15 else 0 end + case when a_section_id = b_section_id then 0.05 else 0 end
         + case when abs(aw - bw) <= 0.1 and abs(a_x1 - b_x1) <= 0.1 then 0.15 else 0 end + case when not regexp_matches(a_text, '(?:[}};]|\\bend\\b|\\breturn\\b[^\\n]*)\\s*$') then 0.10 else 0 end + case when contains(lower(b_text), 'continued') then 0.15 else 0 end
-        - case when regexp_matches(b_text, '^\\s*(?:def|class|function|public|private|import|from|#include|package)\\b') then 0.10 else 0 end), 3) as score
+        - case when regexp_matches(b_text, '^\\s*(?:def|class|function|public|private|import|from|#include|package)\\b') then 0.10 else 0 end), 3)::double as score
         from n where a_element_type = 'code' and b_element_type = 'code' and {_AT_EDGE}) select * from s where score >= 0.60""")
 def code_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.code_continuations(frame(spark, "fx_elements"))
@@ -189,7 +189,7 @@ _PAIR_SQL = ["document_id", "page_index", "far", *(f"{t}_{c}" for t in "ab" for
     w as (select n.*, exists (select 1 from bridge g where g.document_id = n.document_id and g.page_index = n.page_index + 1) as bridged,
         exists (select 1 from fx_elements h where h.document_id = n.document_id and h.page_index = n.page_index + n.far and h.element_type = 'heading' and h.reading_order < b_reading_order) as headed,
         {P.layout()} as layout, {P.hyphen(_RX_SQL)} as hyphen, {P.seam(_RX_SQL)} as seam from n where a_element_type = 'paragraph' and b_element_type = 'paragraph'),
-    s as (select *, round(least(0.9, {P.score("ho / least(aw, bw)", _RX_SQL)}), 3) as score from w where {P.gates(_RX_SQL)}),
+    s as (select *, round(least(0.9, {P.score("ho / least(aw, bw)", _RX_SQL)}), 3)::double as score from w where {P.gates(_RX_SQL)}),
     r as (select *, row_number() over (partition by document_id, page_index, far order by score desc, a_reading_order desc, b_reading_order, a_element_id, b_element_id) as k from s where score >= 0.55)
     select document_id, page_index, page_index + far as target_page, a_element_id as source_id, b_element_id as target_id, score from r where k = 1""")
 def paragraph_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
