@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut_lineage, lower, mix, release, steps, text_bytes, texts_of, word_hashes, words
+from docloom.llm.common import Arrow, cut_lineage, lean, lower, mix, release, steps, text_bytes, texts_of, word_hashes, words
 from docloom.llm.components import components
 
 MANTISSA = 10
@@ -132,11 +132,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-_Arrow = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _SKETCH = {"n_shingles": pa.int64(), "digest": pa.binary(), "c1": pa.int32(), "s1": pa.binary(), "c2": pa.int32(), "s2": pa.binary()}
 
 
-def _sketcher(rule: Rule) -> _Arrow:
+def _sketcher(rule: Rule) -> Arrow:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in _SKETCH}
@@ -154,7 +153,7 @@ def _sketcher(rule: Rule) -> _Arrow:
     return sketch
 
 
-def _bander(rule: Rule) -> _Arrow:
+def _bander(rule: Rule) -> Arrow:
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, n, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "c"))
@@ -168,7 +167,7 @@ def _bander(rule: Rule) -> _Arrow:
     return band
 
 
-def _setter(rule: Rule) -> _Arrow:
+def _setter(rule: Rule) -> Arrow:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [g.tobytes() for g in shingle_sets(batch.column("text"), rule.width)]
@@ -177,7 +176,7 @@ def _setter(rule: Rule) -> _Arrow:
     return sets
 
 
-def _liker(rule: Rule) -> _Arrow:
+def _liker(rule: Rule) -> Arrow:
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -190,7 +189,7 @@ def _liker(rule: Rule) -> _Arrow:
     return likely
 
 
-def _confirmer(rule: Rule) -> _Arrow:
+def _confirmer(rule: Rule) -> Arrow:
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True)
@@ -237,7 +236,7 @@ def _tiler(rule: Rule) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def near_duplicates(docs: DataFrame, rule: Rule = THREE_85) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_shingles, component_id, kept)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = cut_lineage(docs.mapInArrow(_sketcher(rule), "doc_id long, n_shingles long, digest binary, c1 int, s1 binary, c2 int, s2 binary"))
+    feats = cut_lineage(docs.mapInArrow(lean(_sketcher(rule)), "doc_id long, n_shingles long, digest binary, c1 int, s1 binary, c2 int, s2 binary"))
     groups = feats.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     nodes = feats.where("c1 is not null").join(groups.where("rep is not null").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     sketches = nodes.select(
@@ -247,7 +246,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = THREE_85) -> DataFrame:
     sketches = cut_lineage(sketches)
 
     # a bucket's pivot is a member by hash, so that the buckets of one group have many pivots; all buffers are of fixed width and hash-aggregated
-    bands = sketches.mapInArrow(_bander(rule), "key long, rep long, meta long")
+    bands = sketches.mapInArrow(lean(_bander(rule)), "key long, rep long, meta long")
     order = F.xxhash64("rep", "key")
     pivots = bands.groupBy("key").agg(
         F.count("*").alias("members"), F.sum(F.floor(F.col("meta") / _CLASS)).alias("size"), F.min_by("rep", order).alias("pivot"), F.min_by("meta", order).alias("pivot_meta"),
@@ -267,12 +266,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = THREE_85) -> DataFrame:
         .groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nn").alias("nn"), F.min("c").alias("c")).withColumn("nb", F.col("nn") - F.col("na"))
     )
     side = lambda x: sketches.select(F.col("rep").alias(x), "c", F.col("s").alias(f"s{x}"))
-    likely = cut_lineage(pairs.join(side("a"), ["a", "c"]).join(side("b"), ["b", "c"]).mapInArrow(_liker(rule), "a long, b long"))
+    likely = cut_lineage(pairs.join(side("a"), ["a", "c"]).join(side("b"), ["b", "c"]).mapInArrow(lean(_liker(rule)), "a long, b long"))
     crowded = members.where("members > 2")
     asked = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(crowded.select("rep")).distinct()
-    sets = cut_lineage(docs.join(asked, "doc_id", "left_semi").mapInArrow(_setter(rule), "rep long, grams binary"))
+    sets = cut_lineage(docs.join(asked, "doc_id", "left_semi").mapInArrow(lean(_setter(rule)), "rep long, grams binary"))
     half = lambda x: sets.select(F.col("rep").alias(x), F.col("grams").alias(f"g{x}"))
-    links = cut_lineage(likely.join(half("a"), "a").join(half("b"), "b").mapInArrow(_confirmer(rule), "a long, b long"))
+    links = cut_lineage(likely.join(half("a"), "a").join(half("b"), "b").mapInArrow(lean(_confirmer(rule)), "a long, b long"))
     release(likely)
     joined = components(links)
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut_lineage, steps, texts_of
+from docloom.llm.common import cut_lineage, forgets, lean, steps, texts_of
 
 WINDOW = 4096
 OPEN = 64
@@ -39,6 +39,7 @@ _TAIL = b".,!?%$#*&|;:"
 _PLAIN = re.compile(b"[a-z]+").fullmatch
 
 _encoders: dict[str, Encoder] = {}
+forgets.append(_encoders.clear)
 
 
 class Encoder:
@@ -104,7 +105,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One a worker process, kept between tasks."""
+    """One a worker process, kept between tasks of packing."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -205,7 +206,7 @@ def _merger(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def pack(docs: DataFrame, tokenizer: str, size: int = WINDOW, open_windows: int = OPEN, merged: int = MERGED) -> DataFrame:
     """docs(doc_id, text) -> one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = cut_lineage(docs.mapInArrow(_packer(tokenizer, size, open_windows), _DDL))
+    pieces = cut_lineage(docs.mapInArrow(lean(_packer(tokenizer, size, open_windows), forget=False), _DDL))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     sequence = lambda left: (F.col("part") * 2 + left).cast("long") * (1 << 32) + F.col("window")
     done = pieces.where("not left").select(*columns, sequence(0).alias("sequence_id"), "offset")

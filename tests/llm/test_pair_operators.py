@@ -387,3 +387,41 @@ def test_pipeline_edge_rows(spark, sf):
                 ids = sorted(-1 if r.doc_id is None else r.doc_id for r in found)
                 assert 7 not in ids and ids.count(1) <= 1 and len(ids) == len(set(ids))
         assert (len(found) > 0) == (docs_ is frame) and all(0 < r.length <= 4096 for r in found)
+
+
+def test_workers_give_memory_back(spark, sf):
+    """What a task of one stage has freed or remembers in a worker does not add to the memory of the stages after it."""
+    from docloom.llm import common, packing
+    from docloom.llm.queries import tokenizer_path
+
+    def spent(batches):
+        for batch in batches:
+            own = [bytes(2000) for _ in range(50_000)]
+            pins.append(own[-1])  # what lies above it keeps the heap from shrinking
+            del own
+            yield batch
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) / 1024
+
+    pins = []
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    common.give_back()
+    before = held()
+    assert sum(b.num_rows for b in common.lean(spent)(iter([batch]))) == 1 and held() < before + 30
+
+    def remembered(batches):
+        import sys
+
+        there = sys.modules.get("docloom.llm.packing")
+        n = -1 if there is None else sum(len(e.known) for e in there._encoders.values())
+        for b in batches:
+            yield b.set_column(0, "n", pa.array([n] * b.num_rows, pa.int64()))
+
+    given = spark.read.parquet(f"{sf}/documents.parquet").repartition(8)
+    assert packing.pack(given, tokenizer_path()).count() >= given.count()
+    look = spark.range(0, 64, 1, 16).withColumnRenamed("id", "n")
+    assert any(r.n > 0 for r in look.mapInArrow(remembered, "n long").collect())
+    found = [r.n for r in common.map_batches(look, remembered).collect()]
+    assert len(found) == 64 and 0 in found and max(found) == 0
