@@ -74,34 +74,28 @@ class Encoder:
         return (stem, word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
 
     def _learn(self, fresh: set[bytes]) -> None:
-        parts = {w: self._stem(w) if self.folds else (w, b"") for w in fresh}
-        units = [u for u in {u for p in parts.values() for u in p if u} if u not in self.known]
+        parts = [self._stem(w) for w in fresh] if self.folds else [(w, b"") for w in fresh]
+        units = {stem for stem, _ in parts}.union(tail for _, tail in parts if tail).difference(self.known)
         plain = [u for u in units if _PLAIN(u)]
         other = [u for u in units if not _PLAIN(u)]
         for tokenizer, own in ((self.bare, plain), (self.tokenizer, other)):
             for u, e in zip(own, tokenizer.encode_batch_fast([u.decode() for u in own], add_special_tokens=False), strict=True):
                 self.known[u] = np.array(e.ids, "<u4").tobytes()
-        for w, (stem, tail) in parts.items():
-            self.known[w] = self.known[stem] + (self.known[tail] if tail else b"")
+        for w, (stem, tail) in zip(fresh, parts, strict=True):
+            self.known[w] = self.known[stem] + self.known[tail] if tail else self.known[stem]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        rows = []
-        fresh: set[bytes] = set()
-        for t in texts:
-            found = list(map(self.known.get, words := t.split()))
-            try:
-                rows.append((b"".join(found), None))
-            except TypeError:  # a word that isn't known is None
-                fresh.update(w for w, ids in zip(words, found, strict=True) if ids is None)
-                rows.append((None, words))
+        rows = [t.split() for t in texts]
+        used: set[bytes] = set().union(*rows)
+        fresh = used.difference(self.known)
         if fresh and len(self.known) + len(fresh) > REMEMBERED:  # forget, and learn what these texts hold
             self.known.clear()
-            fresh = {w for _, words in rows if words for w in words}
+            fresh = used
         if fresh:
             self._learn(fresh)
-        for ids, words in rows:
-            yield ids if words is None else b"".join(map(self.known.__getitem__, words))
+        for words in rows:
+            yield b"".join(map(self.known.__getitem__, words))
 
 
 def encoder(path: str) -> Encoder:
