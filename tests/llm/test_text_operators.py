@@ -67,6 +67,25 @@ def test_packing_ids_are_the_tokenizers():
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
+def test_packing_learns_a_stem_once_and_keeps_control_strings():
+    """Words that differ by case and punctuation share a stem; upper-case control strings are none; letters of Latin-1 next to all that may follow."""
+    from tokenizers import Tokenizer
+
+    tokenizer, ids_of = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    ids = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = ["Haus, haus. HAUS!!", "", " \x0b\x0c ", "haus été. été!!  été"]
+    assert list(ids_of.encode([t.encode() for t in texts])) == ids(texts)
+    assert len(ids_of.known) == len({"haus", "été", ",", ".", "!!", ""})
+    part = pa.array(["DAS", "Été"] + texts)[2:]
+    assert list(ids_of.encode(part.cast(pa.large_string()))) == list(ids_of.encode(part)) == ids(texts)
+    texts = ["<|ENDOFTEXT|> a", "x <|StartOfText|>.", "<|endoftext|>. B"]
+    assert list(ids_of.encode([t.encode() for t in texts])) == ids(texts)
+    assert [list(ids_of.encode([t.encode()]))[0] for t in texts] == ids(texts)
+    letters = [chr(c) for c in range(0xC0, 0x100)]
+    texts = [a + c + b for c in letters for a in ("", "b", "É", "z\u0301") for b in ("", ".", "$$$", "'s!", "\u0301,", "\u0327\u0301", "é.", "1;")]
+    assert list(ids_of.encode([t.encode() for t in texts])) == ids(texts)
+
+
 def test_packing_pads_little(spark, sf):
     rows = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer_path()).groupBy("sequence_id").sum("length").collect()
     assert sum(r[1] for r in rows) > 0.97 * 4096 * len(rows)
