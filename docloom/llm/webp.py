@@ -2,8 +2,8 @@
 
 decode() reads any lossless WebP file: simple and normal prefix codes, several code groups, back-references,
 colour cache, and the predictor, cross-colour, subtract-green and palette transforms. decode_many() reads many files
-in step, one pixel of each at a time as array operations; what is left when few files still have pixels, and files of several
-code groups, is read pixel by pixel.
+in step, one code length and then one pixel of each at a time as array operations; what is left when few files still have pixels, and
+files of several code groups, is read pixel by pixel.
 
 encode_many() writes such files, again many at a time. For each image it takes the transform (none, subtract green, predictor from the
 left or from above, palette) whose channels have the least entropy; repeated runs of pixels become back-references, repeated single
@@ -32,9 +32,11 @@ from docloom.llm.common import steps, texts_of
 
 BLOCK = 192
 SIDE = 64
+#: Of each column the one left of it, of the first the last.
+_LEFT = np.arange(-1, SIDE - 1)
 _MOST = 16384
 #: With fewer images than this in step, pixel by pixel is faster.
-IN_STEP = 64
+IN_STEP = 128
 # Fixed values of the format: order of code length codes, the multiplier of the colour cache, and sizes of the five alphabets without cache.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 _CACHE_HASH = 0x1E35A7BD
@@ -50,6 +52,7 @@ _U = np.uint64
 _REV = np.zeros(1 << _TOP, np.int64)
 for _k in range(_TOP):
     _REV |= ((np.arange(1 << _TOP) >> _k) & 1) << (_TOP - 1 - _k)
+_REVS = _REV.tolist()
 
 
 class _Reader:
@@ -69,24 +72,26 @@ class _Code:
 
     __slots__ = ("symbols", "lengths", "_table", "shift")
 
-    def __init__(self, symbols: list[int], lengths: list[int]):
+    def __init__(self, symbols: list[int] | np.ndarray, lengths: list[int] | np.ndarray):
         self.symbols, self.lengths = symbols, lengths
         self._table: list[int] | None = None
         self.shift = _TOP
 
     def table(self) -> list[int]:
         """By the next _TOP bits, first bit highest, less the lowest `shift` ones: the symbol and below it in four bits its length."""
-        if self._table is None:
+        if self._table is None and len(self.symbols) == 1:
+            self._table = [int(self.symbols[0]) << 4]
+        elif self._table is None:
             t, at = _tables([self])
-            self._table, self.shift = t.tolist(), _TOP - (max(self.lengths) if len(self.symbols) > 1 else 0)
+            self._table, self.shift = t.tolist(), _TOP - int(max(self.lengths))
         return self._table
 
 
 def _tables(codes: list[_Code]) -> tuple[np.ndarray, np.ndarray]:
     """The tables of many codes end to end, and where each begins, with the end of the last."""
     each = np.array([len(c.symbols) for c in codes])
-    symbols = np.fromiter((s for c in codes for s in c.symbols), np.int64, int(each.sum()))
-    n = np.fromiter((k for c in codes for k in c.lengths), np.int64, len(symbols))
+    symbols = np.concatenate([c.symbols for c in codes], dtype=np.int64)
+    n = np.concatenate([c.lengths for c in codes], dtype=np.int64)
     of = np.repeat(np.arange(len(codes)), each)
     n[(each == 1)[of]] = 0
     order = np.argsort(of << 4 | n, kind="stable")
@@ -94,10 +99,12 @@ def _tables(codes: list[_Code]) -> tuple[np.ndarray, np.ndarray]:
     wide = 1 << (most[of] - n)
     if (np.bincount(of, wide, minlength=len(codes)).astype(np.int64) != 1 << most).any():
         raise ValueError("a prefix code isn't complete")
-    return np.repeat((symbols << 4 | n).astype(np.int32)[order], wide[order]), np.concatenate([[0], np.cumsum(1 << most)])
+    return np.repeat((symbols << 4 | n).astype(np.uint16)[order], wide[order]), np.concatenate([[0], np.cumsum(1 << most)])
 
 
 _REV_7 = (_REV[:128] >> 8).tolist()
+#: Extra bits and the shortest runs of symbols 16 to 18 of code length codes.
+_MORE, _LEAST = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
 
 
 def _read_code(r: _Reader, size: int) -> _Code:
@@ -162,9 +169,9 @@ def _read_code(r: _Reader, size: int) -> _Code:
 
 
 class _Image:
-    """An entropy-coded image up to its pixels."""
+    """An entropy-coded image up to its pixels, or if it waits and has one code group, up to its codes."""
 
-    def __init__(self, r: _Reader, width: int, height: int, top: bool):
+    def __init__(self, r: _Reader, width: int, height: int, top: bool, waits: bool = False):
         self.r, self.width, self.n = r, width, width * height
         self.cache_bits = r.bits(4) if r.bits(1) else 0
         if self.cache_bits > 11:
@@ -178,8 +185,13 @@ class _Image:
             meta = _Image(r, self.across, -(-height >> self.tile), False).pixels()
             self.which = ((meta >> 8) & 0xFFFF).tolist()
             groups = max(self.which) + 1
-        sizes = (_SIZES[0] + (1 << self.cache_bits if self.cache_bits else 0), *_SIZES[1:])
-        self.groups = [[_read_code(r, size) for size in sizes] for _ in range(groups)]
+        self.sizes = (_SIZES[0] + (1 << self.cache_bits if self.cache_bits else 0), *_SIZES[1:])
+        self.groups: list[list[_Code]] = []
+        if not waits or self.which is not None:
+            self.read_codes(groups)
+
+    def read_codes(self, groups: int = 1) -> None:
+        self.groups = [[_read_code(self.r, size) for size in self.sizes] for _ in range(groups)]
 
     def pixels(self, done: np.ndarray | None = None, left: int = 0, far: int = 0, cache: list[int] | None = None) -> np.ndarray:
         """All pixels as 0xAARRGGBB, one after the other, from where those that are done end."""
@@ -190,7 +202,7 @@ class _Image:
         padded = data + b"\0" * 8
         v = np.ndarray(len(data), "<u8", padded, 0, (1,))[p >> 3 :].tolist()
         first = p >> 3 << 3
-        rev = _REV.tolist()
+        rev = _REVS
         groups = [[(c.table(), c.shift) for c in g] for g in self.groups]
         which, tile, across = self.which, self.tile, self.across
         (tg, sg), (tr, sr), (tb, sb), (ta, sa), (td, sd) = groups[0]
@@ -271,6 +283,98 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+def _read_codes(images: list[_Image]) -> None:
+    """The codes of images that wait for them, a code length of every image at a time; as _read_code reads them."""
+    data = b"".join(i.r.data for i in images) + b"\0" * 16
+    v = np.ndarray(len(data) - 8, "<u8", data, 0, (1,))
+    sizes = np.cumsum([0] + [len(i.r.data) for i in images])
+    p = sizes[:-1] * 8 + np.array([i.r.at for i in images])
+    # a broken file stays inside its own padding; that it ended early shows at the end
+    stop = sizes[1:] * 8 - 64
+    every = np.arange(len(images))
+    window = lambda p: (v[p >> 3] >> (p & 7).astype(_U)).view(np.int64)
+    for k in range(len(_SIZES)):
+        size = np.array([i.sizes[k] for i in images])
+        own = np.zeros((len(images), max(256, int(size.max()))), np.uint8)
+        x = window(p)
+        simple = (x & 1) > 0
+        i, y = every[simple], x[simple] >> 1
+        two, first_bits = y & 1, np.where(y & 2, 8, 1)
+        own[i, y >> 2 & ((1 << first_bits) - 1)] = 1
+        second = y >> (2 + first_bits) & 255
+        own[i[two > 0], second[two > 0]] = 1
+        p[i] += 3 + first_bits + 8 * two
+
+        i = every[~simple]
+        given = 4 + (x[i] >> 1 & 15)
+        y = window(p[i] + 5)
+        lengths = np.zeros((len(i), 19), np.int64)
+        for j, symbol in enumerate(_LENGTH_ORDER):
+            lengths[:, symbol] = np.where(j < given, y >> 3 * j & 7, 0)
+        p[i] += 5 + 3 * given
+        table = _short_tables(lengths).ravel()
+        x = window(p[i])
+        bits = np.where(x & 1, 2 + 2 * (x >> 1 & 7), 0)
+        left = np.where(x & 1, 2 + (x >> 4 & ((1 << bits) - 1)), size[i])
+        p[i] += np.where(x & 1, 4 + bits, 1)
+
+        q, last, at, to, until, begin = np.minimum(p[i], stop[i]), np.full(len(i), 8), np.zeros(len(i), np.int64), size[i], stop[i], np.arange(len(i)) * 128
+        while len(i):
+            x = window(q)
+            e = table[begin + (x & 127)]
+            n, s = e & 7, e >> 3
+            q += n
+            plain = s < 16
+            own[i, at] = np.where(plain, s, 0)
+            at += 1
+            c = np.flatnonzero(~plain)
+            if len(c):
+                more = _MORE[s[c]]
+                run = _LEAST[s[c]] + (x[c] >> n[c] & ((1 << more) - 1))
+                for j in np.flatnonzero(s[c] == 16).tolist():
+                    a = int(at[c[j]]) - 1
+                    own[i[c[j]], a : a + int(run[j])] = last[c[j]]
+                q[c] += more
+                at[c] += run - 1
+            last = np.where(plain & (s > 0), s, last)
+            left -= 1
+            q = np.minimum(q, until)
+            on = (at < to) & (left > 0)
+            if not on.all():
+                p[i[~on]] = q[~on]
+                if (at > to).any():
+                    raise ValueError("too many code lengths")
+                i, q, last, at, to, until, begin, left = (a[on] for a in (i, q, last, at, to, until, begin, left))
+        p = np.minimum(p, stop)
+        own[~own.any(1), 0] = 1
+        row, symbol = np.nonzero(own)
+        length = own[row, symbol]
+        bounds = np.searchsorted(row, np.arange(len(images) + 1)).tolist()
+        for image, a, b in zip(images, bounds, bounds[1:], strict=False):
+            image.groups = image.groups or [[]]
+            image.groups[0].append(_Code(symbol[a:b], length[a:b]))
+    for image, at in zip(images, (p - sizes[:-1] * 8).tolist(), strict=True):
+        image.r.at = at
+        if at > image.r.end:
+            raise ValueError("the file ends early")
+
+
+def _short_tables(lengths: np.ndarray) -> np.ndarray:
+    """Of each row of lengths of code length codes, by the next 7 bits: the symbol and below it in three bits its length."""
+    used = lengths > 0
+    lone = used.sum(1) <= 1
+    weight = np.where(used, 128 >> lengths, 0)
+    weight[lone] = 0
+    weight[lone, lengths[lone].argmax(1)] = 128
+    if (weight.sum(1) != 128).any():
+        raise ValueError("a prefix code isn't complete")
+    symbol = np.arange(19)
+    entry = symbol << 3 | np.where(lone[:, None], 0, lengths)
+    order = np.argsort(lengths << 5 | symbol, 1)
+    flat = np.repeat(np.take_along_axis(entry, order, 1).ravel(), np.take_along_axis(weight, order, 1).ravel())
+    return flat.reshape(-1, 128)[:, _REV_7]
+
+
 def _in_step(images: list[_Image]) -> list[np.ndarray]:
     """Pixels of images of one code group each, a pixel of every image at a time while there are IN_STEP that have one."""
     order = sorted(range(len(images)), key=lambda k: -images[k].n)
@@ -278,7 +382,7 @@ def _in_step(images: list[_Image]) -> list[np.ndarray]:
     n = np.array([i.n for i in own])
     base = np.concatenate([[0], np.cumsum(n)])
     data = b"".join(i.r.data for i in own) + b"\0" * 16
-    v = np.ndarray(len(data) - 8, "<u8", data, 0, (1,))
+    v = np.ndarray(len(data) - 8, "<i8", data, 0, (1,))  # shifts repeat the sign, so 57 bits count
     sizes = np.cumsum([0] + [len(i.r.data) for i in own])
     p = sizes[:-1] * 8 + np.array([i.r.at for i in own])
     # a broken file stays inside its own padding; that it ended early shows at the end
@@ -297,15 +401,16 @@ def _in_step(images: list[_Image]) -> list[np.ndarray]:
     near = {w: np.array([0] + [_distance(k, w) for k in range(1, 121)]) for w in {i.width for i in own}}
     aside = np.array([near[i.width] for i in own])
     left, far = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-    out = np.zeros(base[-1], np.int64)
+    out = np.zeros(base[-1], np.uint32)
     until = int(n[IN_STEP - 1]) if len(own) >= IN_STEP else 0
     alive = len(n) - np.searchsorted(n[::-1], np.arange(until), side="right")
     busy = False
 
     def window(p: np.ndarray) -> np.ndarray:
-        return (v[p >> 3] >> (p & 7).astype(_U)).astype(np.int64)
+        return v[p >> 3] >> (p & 7)
 
     def prefixed(s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = s.astype(np.int64)
         more = np.where(s < 4, 0, (s - 2) >> 1)
         x = window(p) & ((1 << more) - 1)
         return np.where(s < 4, s + 1, ((2 + (s & 1)) << more) + x + 1), p + more
@@ -313,35 +418,38 @@ def _in_step(images: list[_Image]) -> list[np.ndarray]:
     for step in range(until):
         k = int(alive[step])
         here = p[:k]
-        x = (v[here >> 3] >> (here & 7).astype(_U)).view(np.int64) & ((1 << 57) - 1)
+        x = window(here)
         e = t[at[0, :k] + (_REV[x & 0x7FFF] >> shift[0, :k])]
-        used = e & 15
+        first = e & 15
         s = e >> 4
-        x >>= used
+        x >>= first
         e = t[at[1, :k] + (_REV[x & 0x7FFF] >> shift[1, :k])]
         f = e & 15
         x >>= f
-        used += f
+        used = first + f
         g = t[at[2, :k] + (_REV[x & 0x7FFF] >> shift[2, :k])]
         used += g & 15
-        pixel = ((e >> 4 << 16) | (s << 8) | (g >> 4)) | opaque[:k]
+        pixel = np.left_shift(e >> 4, 16, dtype=np.int64) | (s << 8 | g >> 4) | opaque[:k]
         if alpha:
             h = t[at[3, :k] + (_REV[window(here + used) & 0x7FFF] >> shift[3, :k])]
             used += h & 15
             pixel = (pixel & 0xFFFFFF) | (h.astype(np.int64) >> 4 << 24)
         now = here + used
         if busy:  # what goes on copying reads nothing
-            c = np.flatnonzero(left[:k])
+            c = left[:k].nonzero()[0]
             s[c] = 0
             now[c] = here[c]
-        i = np.flatnonzero(s > 255)
+        i = (s > 255).nonzero()[0]
         if len(i):
-            q, so = here[i], s[i]
-            q = q + (t[at[0, i] + (_REV[window(q) & 0x7FFF] >> shift[0, i])] & 15)
-            hit = so >= 280
-            pixel[i[hit]] = cache[slots[i[hit]] + so[hit] - 280]
+            so = s[i]
+            q = here[i] + first[i]
             now[i] = q
-            c = np.flatnonzero(~hit)
+            hit = so >= 280
+            c = hit.nonzero()[0]
+            if len(c):
+                h = i[c]
+                pixel[h] = cache[slots[h] + so[c] - 280]
+            c = (~hit).nonzero()[0]
             if len(c):
                 i = i[c]
                 length, q = prefixed(so[c] - 256, q[c])
@@ -355,10 +463,11 @@ def _in_step(images: list[_Image]) -> list[np.ndarray]:
                 busy = True
         p[:k] = np.minimum(now, last[:k])
         if busy:
-            c = np.flatnonzero(left[:k])
+            c = left[:k].nonzero()[0]
             pixel[c] = out[base[c] + step - far[c]]
-            left[c] -= 1
-            busy = bool((left[c] > 0).any())
+            rest = left[c] - 1
+            left[c] = rest
+            busy = bool(rest.any())
         out[base[:k] + step] = pixel
         if cached:
             cache[slots[:k] + ((pixel * _CACHE_HASH & 0xFFFFFFFF) >> down[:k])] = pixel
@@ -367,7 +476,7 @@ def _in_step(images: list[_Image]) -> list[np.ndarray]:
         i.r.at = int(p[k] - sizes[k] * 8)
         if i.r.at > i.r.end:
             raise ValueError("the file ends early")
-        done = out[base[k] : base[k] + min(until, i.n)].astype(np.uint32)
+        done = out[base[k] : base[k] + min(until, i.n)].copy()
         result[order[k]] = done if i.n <= until else i.pixels(done, int(left[k]), int(far[k]), cache[slots[k] : slots[k + 1]].tolist())
     return result
 
@@ -441,7 +550,7 @@ def _bytes(pixels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]]
 
 
-def _open(data: bytes) -> _File:
+def _open(data: bytes, waits: bool = False) -> _File:
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("no lossless WebP file")
     r = _Reader(data[20 : 20 + struct.unpack("<I", data[16:20])[0]])
@@ -467,7 +576,7 @@ def _open(data: bytes) -> _File:
             packed = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             transforms.append((kind, now, packed, palette))
             now = -(-now >> packed)
-    return _File(width, height, alpha, transforms, _Image(r, now, height, True))
+    return _File(width, height, alpha, transforms, _Image(r, now, height, True, waits))
 
 
 def _undo(file: _File, pixels: np.ndarray) -> np.ndarray:
@@ -495,7 +604,13 @@ def _undo(file: _File, pixels: np.ndarray) -> np.ndarray:
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """(height, width, 4) RGBA bytes of each lossless WebP file."""
-    opened = [_open(data) for data in files]
+    opened = [_open(data, True) for data in files]
+    waiting = [f.image for f in opened if not f.image.groups]
+    if len(waiting) >= IN_STEP:
+        _read_codes(waiting)
+    else:
+        for image in waiting:
+            image.read_codes()
     one = [k for k, f in enumerate(opened) if f.image.which is None]
     pixels = dict(zip(one, _in_step([opened[k].image for k in one]), strict=True)) if one else {}
     return [_undo(f, pixels[k] if k in pixels else f.image.pixels()) for k, f in enumerate(opened)]
@@ -533,27 +648,33 @@ def _depths(row: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     first = _sums_before(np.bincount(row, minlength=n))
     place = np.arange(len(row)) - first[row[order]]
     far = np.iinfo(np.int64).max // 4
-    leaf, node = np.full((n, most + 1), far), np.full((n, most + 1), far)
-    leaf[rank[row[order]], place] = count[order]
+    wide = most + 2
+    leaf, node = np.full(n * wide, far), np.full(n * wide, far)
+    leaf[rank[row[order]] * wide + place] = count[order]
+    li, ni = np.arange(n) * wide, np.arange(n) * wide
+    leaves = np.zeros((n, max(most - 1, 0)), np.int64)  # how many of the two are leaves
+    at_work = np.searchsorted(-each, -np.arange(1, most), side="left").tolist()
+    for t, k in enumerate(at_work):
+        i, j = li[:k], ni[:k]
+        a, b, c, d = leaf[i], leaf[i + 1], node[j], node[j + 1]
+        both, none = b <= c, d < a
+        node[t : k * wide : wide] = np.where(both, a + b, np.where(none, c + d, a + c))
+        taken = 1 + both - none
+        leaves[:k, t] = taken
+        i += taken
+        j += 2 - taken
+    # leaves and nodes are taken in order
     up = np.zeros((n, 2 * most + 1), np.int64)
-    li, ni = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for t in range(most - 1):
-        k = int(np.searchsorted(-each, -(t + 1), side="left"))
-        r = np.arange(k)
-        total = np.zeros(k, np.int64)
-        for _ in (0, 1):
-            a, b = leaf[r, li[:k]], node[r, ni[:k]]
-            from_leaf = a <= b
-            total += np.where(from_leaf, a, b)
-            up[r, np.where(from_leaf, li[:k], most + ni[:k])] = t
-            li[:k] += from_leaf
-            ni[:k] += ~from_leaf
-        node[:k, t] = total
+    step = np.broadcast_to(np.arange(leaves.shape[1]), leaves.shape)
+    joined = step < each[:, None] - 1
+    for first_of, times in ((0, leaves[joined]), (most, 2 - leaves[joined])):
+        of = np.repeat(np.nonzero(joined)[0], times)
+        up[of, first_of + np.arange(len(of)) - _sums_before(np.bincount(of, minlength=n))[of]] = np.repeat(step[joined], times)
     deep = np.zeros((n, most + 1), np.int64)
+    every = np.arange(n)
     for t in range(most - 3, -1, -1):
-        k = int(np.searchsorted(-each, -(t + 2), side="left"))
-        r = np.arange(k)
-        deep[:k, t] = deep[r, up[:k, most + t]] + 1
+        k = at_work[t + 1]
+        deep[:k, t] = deep[every[:k], up[:k, most + t]] + 1
     out = np.empty(len(row), np.int64)
     rr = rank[row[order]]
     out[order] = deep[rr, up[rr, place]] + 1
@@ -786,11 +907,15 @@ def _code_images(images: list[np.ndarray], widths: list[int], top: bool) -> list
         else:
             code, used = _put_codes(to, count[:, : _SIZES[k]], lengths[k][:, : _SIZES[k]])
         books.append((code, used))
-    value, number = books[0][0][of, symbol], books[0][1][of, symbol]
-    for k in (1, 2, 3):
-        more, m = books[k][0][of, values[k]], books[k][1][of, values[k]]
-        value = np.where(literal, value | more << number, value)
-        number = np.where(literal, number + m, number)
+    value, number = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    for k, (code, used) in enumerate(books[:4]):
+        if not used.any():  # symbols that are alone take no bits
+            continue
+        both = (code << 4 | used).ravel()[of * code.shape[1] + values[k]]
+        if k:
+            both *= literal
+        value |= both >> 4 << number
+        number += both & 15
     c = np.flatnonzero(copied)
     value[c] |= le << number[c]
     number[c] += ln
@@ -931,12 +1056,14 @@ def features(pixels: np.ndarray) -> str:
     """Size, channel means in 1/256, spread in 1/256 and a 64-bit pattern of neighbouring row means."""
     rgb = pixels[:, :, :3]
     n = rgb.shape[0] * rgb.shape[1]
-    total = rgb.sum((0, 1), dtype=np.int64)
-    squares = np.einsum("ijk,ijk->k", rgb.astype(np.float64), rgb.astype(np.float64)).astype(np.int64)
-    columns = rgb[:, :SIDE].sum((0, 2), dtype=np.int64)
-    pattern = np.packbits(columns > np.roll(columns, 1)).tobytes().hex()
-    means = [int(t) * 256 // n for t in total]
-    spread = [(int(q) * n - int(t) ** 2) // (n * n) for q, t in zip(squares, total, strict=True)]
+    exact = rgb.astype(np.float64)  # sums are below 2 ** 53
+    down = exact.sum(0)
+    total = down.sum(0).astype(np.int64).tolist()
+    squares = np.einsum("ijk,ijk->k", exact, exact).astype(np.int64).tolist()
+    columns = down[:SIDE].sum(1)
+    pattern = np.packbits(columns > columns[_LEFT]).tobytes().hex()
+    means = [t * 256 // n for t in total]
+    spread = [(q * n - t**2) // (n * n) for q, t in zip(squares, total, strict=True)]
     return f"{rgb.shape[1]}x{rgb.shape[0]};mean={means};var={spread};cols={pattern}"
 
 

@@ -136,6 +136,46 @@ def test_media_of_many_kinds_in_step():
         assert (webp.decode(files[k]) == webp.decode_many(files)[k]).all()
 
 
+def test_codes_of_many_files_are_read_in_step(monkeypatch):
+    """The codes of files are read together, as one by one: those of the writer, of other writers with repeated lengths, and of broken files."""
+    rng = np.random.default_rng(5)
+    files = webp.store_many([webp.payload(bytes(rng.integers(97, 100 + k % 40, 40 + 30 * k, np.uint8))) for k in range(110)])
+    for k in range(30):
+        w = begin(17, 9 + k, 1)
+        w.put(0, 1)
+        put_pixels(w, packed(picture(17, 9 + k, k)), 17, True, k % 8)
+        files.append(finish(w))
+    alone = [webp.decode(f) for f in files]
+    calls, read = [], webp._read_code
+    monkeypatch.setattr(webp, "_read_code", lambda r, size: calls.append(size) or read(r, size))
+    assert all((a == b).all() for a, b in zip(alone, webp.decode_many(files), strict=True))
+    other = sum(5 for f in files for kind in (t[0] for t in webp._open(f, True).transforms) if kind != 2)
+    assert len(calls) == 2 * other < 5 * len(files)
+
+    def found(data, together):
+        try:
+            image = webp._open(data, True).image
+            webp._read_codes([image]) if together else image.read_codes()
+        except (ValueError, struct.error):
+            return "broken"
+        return image.r.at, [(list(c.symbols), list(c.lengths)) for c in image.groups[0]]
+
+    broken = 0
+    for k in range(600):
+        data = bytearray(files[k % len(files)][: None if k % 3 else 30 + k % 90])
+        for at in rng.integers(26, min(len(data), 90), 1 + k % 2):
+            data[at] ^= 1 << int(rng.integers(0, 8))
+        try:
+            several = webp._open(bytes(data), True).image.groups
+        except (ValueError, struct.error):
+            continue
+        if not several:
+            want = found(bytes(data), False)
+            broken += want == "broken"
+            assert found(bytes(data), True) == want
+    assert broken > 50
+
+
 def test_media_query_reads_what_the_writer_makes(spark, monkeypatch):
     """Files of the query hold caches, references and transforms, so without their decoding it fails."""
     rows = [(1, "one two three four five six seven, " * 40), (2, "lorem " * 300 + "ipsum " * 300), (3, ""), (4, "x")]
