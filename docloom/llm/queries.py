@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, embeddings, html, licenses, mixing, packing, patterns, quality, secrets, webp, whitening
+from docloom.llm import chat, embeddings, html, licenses, mixing, packing, patterns, quality, secrets, trie, webp, whitening
 from docloom.llm.common import table
 from docloom.llm.minhash import near_duplicates
 
@@ -65,6 +65,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -87,4 +91,20 @@ def oracle_sql() -> dict[str, str]:
                 sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
                 sum(length(r) + length(x) + 23)::bigint as formatted_chars
             from e group by conv_id""",
+        "op12_conversation_trie": r"""
+            with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i from conversations where conv_id is not null),
+            c as (select conv_id, list({'role': role, 'text': text} order by i) as own from t group by conv_id),
+            -- the unsigned checksum of the decimal id: 8 steps of the reflected polynomial for each character
+            h as (select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 4 as h from c),
+            r as (select h.conv_id, list_concat(coalesce(s.own[1:h.h], []), coalesce(h.own[h.h + 1:], [])) as turns from h left join c s on s.conv_id = h.conv_id - h.conv_id % 20),
+            m as (select conv_id, d, turns[1:d] as k, d = len(turns) as ends from (select *, unnest(range(len(turns) + 1)) as d from r)),
+            n as (select k, d, min(conv_id) as conv_id, count(*) as n_convs, case when d = 0 then 0 else (count(*) - 1) * len(regexp_extract_all(k[d].text, '[^\x20\x09-\x0D]+')) end as saved,
+                    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from m group by k, d),
+            p as (select n.*, up.conv_id as parent_conv_id from n left join n up on up.d = n.d - 1 and up.k = n.k[1:n.d - 1]),
+            kids as (select k[1:d - 1] as k, count(*) as n_children from n where d > 0 group by 1),
+            l as (select p.*, coalesce(n_children, 0) as n_children from p left join kids using (k)),
+            sub as (select k[1:a] as k, sum((n_children = 0)::int)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from (select *, unnest(range(d + 1)) as a from l) group by 1)
+            select conv_id, d as depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from l join sub using (k)""",
     }
