@@ -47,8 +47,9 @@ def event_log(messages: DataFrame) -> DataFrame:
     ).withColumn("redone", F.pmod(F.xxhash64("conv_id"), "n") + 1)
     event = lambda kind, text, role=None: F.struct(F.lit(kind).alias("kind"), (F.col("role") if role is None else role).alias("role"), text.alias("text"))
     nobody = F.lit(None).cast("string")
-    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / DELTA).cast("int"))
-    deltas = F.transform(starts, lambda k: event("delta", F.substring("text", k * DELTA + 1, F.lit(DELTA)), nobody))
+    # one walk over the text; an empty one is one empty delta
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
+    deltas = F.transform(F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit(""))), lambda x: event("delta", x, nobody))
     streamed = F.concat(F.array(event("message", F.lit(""))), deltas)
     said = F.when(F.col("role").eqNullSafe(MASKED_ROLE), streamed).otherwise(F.array(event("message", F.col("text"))))
     # a draft, and once more what it was meant to be; the turn after it is begun too early and must go
@@ -75,7 +76,9 @@ def reconstruct(events: DataFrame) -> DataFrame:
     # a null turn stands before all others
     known = events.where(F.col("kind").isin(*_KINDS)).select("conv_id", "seq", "turn", F.coalesce("turn", F.lit(-(1 << 63))).alias("_turn"), kind.alias("_kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     replaces = F.when(F.col("_kind").between(2, 3), F.col("_turn"))
-    later = Window.partitionBy("conv_id").orderBy("seq", "_kind", "_turn", "text", "role").rowsBetween(1, Window.unboundedFollowing)
+    # from the last event to the first, so that the frame grows by an event a row
+    back = [F.col(c).desc() for c in ("seq", "_kind", "_turn", "text", "role")]
+    later = Window.partitionBy("conv_id").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
     standing = known.withColumn("_cut", F.min(replaces).over(later)).where("_cut is null or _turn < _cut")
     parts = F.sort_array(F.collect_list(F.struct("seq", "_kind", "text", "role")))
     return (

@@ -2,14 +2,18 @@
 
 The documents of each source are shuffled by a hash and queued REPEATS times over. The virtual finish time of a copy of a
 document is the number of its source's words up to and with it, divided by the source's weight. All copies are range-sorted
-by finish time; the words of the range partitions, summed up in order, show in which of them the budget ends, and a running
-total inside that one gives the copy at which the queue is truncated. A document is taken as often as its copies come up
-to there. So every source gets words by weight until it has no more, and those that run out leave their share to the others.
-Then each source takes, FILLS times, the one further document that brings it nearest to its target, if one does.
+by finish time; the words of the range partitions, summed up in order, show in which of them the budget ends, which is range-sorted
+once more, and a running total inside one partition of that gives the copy at which the queue is truncated. A document is taken as often as its
+copies come up to there. So every source gets words by weight until it has no more, and those that run out leave their share to the others.
 
 A source's target is min(REPEATS * words, level * weight), where the targets add up to the budget; the level rises until no
-further source is above its cap. Cumulative words come from two levels of sums: SLICES slices of a source by hash, then the
-documents inside a slice; joins are by source and slice. So a source with a third of all rows is spread over as many tasks.
+further source is above its cap. Where a large copy ends beyond the truncation, its source is short of its target and others are above theirs. So
+what was served is settled: a source gives back the copies that finish above its target; then, HALVINGS times at most, it takes in its
+queue's order what is left of documents of at most half its gap, as far as the gap goes, which halves the gap each time; then, FILLS times,
+the one document that brings it nearest to its target, if one does.
+
+Cumulative words come from two levels of sums: SLICES slices of a source by hash, then the documents inside a slice; joins are
+by source and slice. So a source with a third of all rows is spread over as many tasks.
 
 Defined results: null text has size 0; documents of size 0 are taken 0 times; a null source is one source,
 the last; repeated rows count each, ties in the shuffle go by doc_id and size; an empty table gives an
@@ -27,8 +31,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
 SLICES = 1024
-#: Rounds in which a source takes one more document.
+#: Rounds in which a source takes one more document; without any, nothing is settled after the truncation.
 FILLS = 3
+#: Rounds in which a source takes what half its gap holds, at most; they end when all gaps are below NEAR of their targets.
+HALVINGS = 12
+NEAR = 0.001
 _P = "_mix_"
 _SOURCE, _SLICE, _BEFORE, _COPIES, _WORDS, _WEIGHT, _TARGET, _PART = (f"{_P}{k}" for k in ("source", "slice", "before", "copies", "words", "weight", "target", "part"))
 
@@ -72,24 +79,98 @@ def _finish(copy: Column) -> Column:
     return (copy * F.col(_WORDS) + F.col(_BEFORE) + F.col("size")) / F.col(_WEIGHT)
 
 
-def _truncation(placed: DataFrame, budget: float) -> tuple[float, str] | None:
-    """Finish time and source of the last copy that the budget holds, by a global range sort of all copies."""
-    copies = placed.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias(f"{_P}copy"))
-    queue = _parts(copies.select(_finish(F.col(f"{_P}copy")).alias(f"{_P}finish"), _SOURCE, "size"), f"{_P}finish", _SOURCE)
-    sums = _sums(queue, "size")
+def _last(queue: DataFrame, budget: float, again: bool = True) -> tuple[float, str] | None:
+    """Finish time and source of the last copy that the budget holds."""
+    order = (f"{_P}finish", _SOURCE)
+    parts = _parts(queue, *order)
+    sums = _sums(parts, "size")
     served = sums.where(F.col(f"{_P}lo") <= budget).agg(F.max_by(_PART, f"{_P}lo").alias("part"), F.max(f"{_P}lo").alias("lo")).first()
     last = None
     if served.part is not None:
         # inside the one range partition in which the budget ends
-        running = F.sum("size").over(Window.orderBy(f"{_P}finish", _SOURCE)) + F.lit(served.lo)
-        ends = queue.where(F.col(_PART) == served.part).withColumn(f"{_P}upto", running).where(F.col(f"{_P}upto") <= budget)
-        last = ends.agg(F.max(F.struct(f"{_P}finish", _SOURCE)).alias("x")).first().x
+        inside = parts.where(F.col(_PART) == served.part)
+        if again:
+            last = _last(inside.drop(_PART), budget - served.lo, again=False)
+        else:
+            upto = inside.withColumn(f"{_P}upto", F.sum("size").over(Window.orderBy(*order)) + F.lit(served.lo)).where(F.col(f"{_P}upto") <= budget)
+            last = upto.agg(F.max(F.struct(*order)).alias("x")).first().x
         if last is None:  # the budget ends with the partition before
-            last = queue.where(F.col(_PART) < served.part).agg(F.max(F.struct(f"{_P}finish", _SOURCE)).alias("x")).first().x
-    release(queue)
+            last = parts.where(F.col(_PART) < served.part).agg(F.max(F.struct(*order)).alias("x")).first().x
+    release(parts)
     return last and (last[0], last[1])
 
 
+def _truncation(placed: DataFrame, budget: float) -> tuple[float, str] | None:
+    """Finish time and source of the last copy that the budget holds, by a global range sort of all copies."""
+    copies = placed.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias(f"{_P}copy"))
+    return _last(copies.select(_finish(F.col(f"{_P}copy")).alias(f"{_P}finish"), _SOURCE, "size"), budget)
+
+
+def _gaps(placed: DataFrame, slices: DataFrame) -> DataFrame:
+    """What each source lacks to its target, a row for each of its slices."""
+    taken = placed.groupBy(_SOURCE).agg(F.sum(F.col(_COPIES) * F.col("size")).alias(f"{_P}taken"))
+    return slices.join(taken, _SOURCE).select(_SOURCE, _SLICE, _TARGET, (F.col(_TARGET) - F.col(f"{_P}taken")).alias(f"{_P}gap"))
+
+
+def _halved(placed: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Each source takes once more, in its queue's order, documents of at most half its gap, as far as the gap goes."""
+    half = F.when((F.col(_COPIES) < REPEATS) & (F.col("size") * 2 <= F.col(f"{_P}gap")), F.col("size")).otherwise(0)
+    of_slice = placed.join(gaps, [_SOURCE, _SLICE]).groupBy(_SOURCE, _SLICE, f"{_P}gap").agg(F.sum(half).alias(f"{_P}halves"))
+    along = Window.partitionBy(_SOURCE).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    of_slice = of_slice.withColumn(f"{_P}lo", F.coalesce(F.sum(f"{_P}halves").over(along), F.lit(0))).drop(f"{_P}halves")
+    inside = Window.partitionBy(_SOURCE, _SLICE).orderBy(_BEFORE, "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.join(of_slice, [_SOURCE, _SLICE]).withColumn(f"{_P}upto", F.col(f"{_P}lo") + F.sum(half).over(inside))
+    more = F.when((half > 0) & (F.col(f"{_P}upto") <= F.col(f"{_P}gap")), 1).otherwise(0)
+    return cut_lineage(rows.withColumn(_COPIES, F.col(_COPIES) + more).select(*placed.columns))
+
+
+def _fill(placed: DataFrame, slices: DataFrame) -> DataFrame:
+    """One document for each source, the one that brings it nearest to its target: (source, slice, before, 1)."""
+    gap = F.col(f"{_P}gap")
+    fit = F.abs(F.col("size") - gap)
+    return (
+        placed.where((F.col(_COPIES) < REPEATS) & (F.col("size") > 0)).join(_gaps(placed, slices), [_SOURCE, _SLICE]).where(fit < F.abs(gap)).groupBy(_SOURCE)
+        .agg(F.min(F.struct(fit.alias("fit"), F.col(_BEFORE).alias("at"), F.col(_SLICE).alias("slice"))).alias("x"))
+        .select(_SOURCE, F.col("x.slice").alias(_SLICE), F.col("x.at").alias(_BEFORE), F.lit(1).alias(f"{_P}more"))
+    )
+
+
+def _with_fills(placed: DataFrame, fills: list[DataFrame]) -> DataFrame:
+    """placed, with the documents that fills took once more."""
+    if not fills:
+        return placed
+    taken = fills[0]
+    for f in fills[1:]:
+        taken = taken.union(f)
+    taken = taken.groupBy(_SOURCE, _SLICE, _BEFORE).agg(F.sum(f"{_P}more").alias(f"{_P}more"))
+    # documents of no words share the place of the one that follows them
+    more = F.when(F.col("size") > 0, F.coalesce(f"{_P}more", F.lit(0))).otherwise(0)
+    return placed.join(taken, [_SOURCE, _SLICE, _BEFORE], "left").withColumn(_COPIES, F.col(_COPIES) + more).select(*placed.columns)
+
+
+def _settled(placed: DataFrame, slices: DataFrame) -> DataFrame:
+    """What the truncation served, brought near each source's target."""
+    own = sum((((F.lit(c) * F.col(_WORDS) + F.col(_BEFORE) + F.col("size")) <= F.col(_TARGET)).cast("long") for c in range(1, REPEATS)), (F.col(_BEFORE) + F.col("size") <= F.col(_TARGET)).cast("long"))
+    held = placed = cut_lineage(placed.withColumn(_COPIES, F.least(F.col(_COPIES), own)))
+    before = None
+    for _ in range(HALVINGS):
+        gaps = cut_lineage(_gaps(placed, slices))
+        seen = gaps.agg(F.sum(f"{_P}gap").alias("all"), F.max(F.when(F.col(_TARGET) > 0, F.col(f"{_P}gap") / F.col(_TARGET))).alias("most")).first()
+        done = seen.most is None or seen.most <= NEAR or seen["all"] == before
+        before = seen["all"]
+        if not done:
+            placed = _halved(placed, gaps)
+            release(held)
+            held = placed
+        release(gaps)
+        if done:
+            break
+    fills: list[DataFrame] = []
+    for _ in range(FILLS):
+        fills.append(cut_lineage(_fill(_with_fills(placed, fills), slices)))
+    return _with_fills(placed, fills)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, seed: int = 17, more: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, source) -> a row for each: doc_id, size, source_size, target, taken, times, finish (of the first copy) and lap, with the columns named in more."""
     size, hash_ = F.col("size"), f"{_P}hash"
@@ -112,29 +193,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     release(light)
 
     budget = (sources.agg(F.sum(_WORDS)).first()[0] or 0) * share
-    held, last = placed, _truncation(placed, budget)
+    last = _truncation(placed, budget)
     if last is None:
         served = F.lit(0)
     else:
         up_to = lambda c: (_finish(F.lit(c)) < last[0]) | ((_finish(F.lit(c)) == last[0]) & (F.col(_SOURCE) <= last[1]))
         served = F.when(size > 0, sum((up_to(c).cast("int") for c in range(1, REPEATS)), up_to(0).cast("int"))).otherwise(0)
     placed = placed.withColumn(_COPIES, served.cast("long"))
-
-    # what the truncation leaves of a target is filled by the documents that fit it best, one each round
-    for _ in range(FILLS):
-        taken = placed.groupBy(_SOURCE).agg(F.sum(F.col(_COPIES) * size).alias(f"{_P}taken"))
-        gaps = slices.join(taken, _SOURCE).select(_SOURCE, _SLICE, (F.col(_TARGET) - F.col(f"{_P}taken")).alias(f"{_P}gap"))
-        fit = F.abs(size - F.col(f"{_P}gap"))
-        extra = (
-            placed.where((F.col(_COPIES) < REPEATS) & (size > 0)).select(_SOURCE, _SLICE, size, _BEFORE)
-            .join(gaps, [_SOURCE, _SLICE]).where(fit < F.abs(f"{_P}gap")).groupBy(_SOURCE)
-            .agg(F.min(F.struct(fit.alias("fit"), F.col(_BEFORE).alias("at"), F.col(_SLICE).alias("slice"))).alias("x"))
-            .select(_SOURCE, F.col("x.slice").alias(_SLICE), F.col("x.at").alias(_BEFORE), F.lit(1).alias(f"{_P}more"))
-        )
-        one = F.when((size > 0) & (F.col(_COPIES) < REPEATS), F.coalesce(f"{_P}more", F.lit(0))).otherwise(0)
-        placed = cut_lineage(placed.join(extra, [_SOURCE, _SLICE, _BEFORE], "left").withColumn(_COPIES, F.col(_COPIES) + one).drop(f"{_P}more"))
-        release(held)
-        held = placed
+    if FILLS:
+        placed = _settled(placed, slices)
     times = F.col(_COPIES)
     return placed.select(
         "doc_id", *more, "size", F.col(_WORDS).alias("source_size"), F.col(_TARGET).alias("target"), (times * size).alias("taken"), times.alias("times"),

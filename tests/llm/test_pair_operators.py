@@ -248,6 +248,47 @@ def test_mixing_is_the_truncated_queue_of_finish_times(spark, monkeypatch):
                 assert abs(x.finish - at * x.lap / x.source_size) < 1e-6 * at
 
 
+LUMPS = {
+    # one document as large as three sources together beside them
+    "one large": [(k, 20, "abc"[k // 1000]) for k in range(3000)] + [(5000, 60_000, "d")],
+    # several large documents inside sources of small ones, and a source of two large ones
+    "eight sources": [(k, 20 + k * 7919 % 1981, "abcdefgh"[k % 8]) for k in range(320)] + [(900, 100_000, "h"), (901, 30_000, "b"), (902, 45_000, "b"), (903, 9_000, "i"), (904, 8_000, "i")],
+    "all alike": [(k, 1000, "ab"[k % 3 == 0]) for k in range(60)],
+    "small and single": [(1, 5, "a"), (2, 7, "b"), (3, 1, None)],
+}
+
+
+def subset_gap(sizes, target):
+    """The least distance to the target that up to three of each size can reach."""
+    reach = 1
+    for n in sizes:
+        for _ in range(3):
+            reach |= reach << n
+    near = [d for d in range(int(target) + 2) if any(x >= 0 and reach >> x & 1 for x in (int(target) - d, int(target) + d))]
+    return near[0] + 1
+
+
+@pytest.mark.parametrize("case", LUMPS)
+def test_mixing_of_lumpy_sources(spark, case):
+    """Sources with single large documents end near their targets, and so do the others; the best that any choice of copies could reach is the measure."""
+    rows = [(i, "w " * n, s) for i, n, s in LUMPS[case]]
+    out = mixing.mix(docs(spark, rows).repartition(4)).collect()
+    source, sizes, taken = {i: s for i, _, s in LUMPS[case]}, {}, {}
+    for x in out:
+        sizes.setdefault(source[x.doc_id], []).append(x.size)
+        taken[source[x.doc_id]] = taken.get(source[x.doc_id], 0) + x.taken
+        assert x.taken in (0, x.size, 2 * x.size, 3 * x.size)
+    target = wanted_targets({s: sum(n) for s, n in sizes.items()})
+    for s, n in sizes.items():
+        fits = [x for x in n if x <= target[s]]
+        gap = abs(taken[s] - target[s])
+        assert gap <= max(subset_gap(n, target[s]), max(fits, default=0) / 2), (s, taken[s], target[s])
+        if len(n) > 30:
+            assert gap <= max(25, 0.01 * target[s])
+    # the budget is kept but for sources that one document makes or breaks
+    assert abs(sum(taken.values()) - sum(target.values())) <= sum(max(subset_gap(n, target[s]), 0.002 * target[s]) for s, n in sizes.items())
+
+
 def test_mixed_documents_holds_each_as_often_as_taken(spark):
     rows = [(i, f"text {i} " + "w " * (i % 17), "ab"[i % 3 == 0]) for i in range(120)] + [(500, "equal rows", "a")] * 5 + [(None, "no id", None)]
     frame = docs(spark, rows).repartition(3)
