@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree. Scripts, styles, forms, menus and the like are left out by tag, role and hiding attributes. Names of
-classes and ids that speak of menus, adverts, comments and so on leave a block out too, unless it holds an article of the page
-or most of its plain text. Every paragraph (a block with text of its own) has points for its length and its commas and passes them to its
+classes and ids that speak of menus, adverts, comments and so on (by their last word, but for words of layout) leave a container out too, unless it holds an article of the page
+or most of its plain text. Inside the article they do so only where the container looks the part: it has a form, is short or mostly links, or its class
+names an advert or the like; an id that begins the container's first heading is a slug. On headings names mean nothing, on other
+text blocks only classes outside the article do. Every paragraph (a block with text of its own) has points for its length and its commas and passes them to its
 parent in full, to its grandparent by half and to those above by a third less each step. A container's
 points are discounted by the share of its text that stands in links. The best container is kept, or the article or main element
 around it, and with it those of its siblings that score alike or are blocks of mostly plain text. Sums go up the tree and
@@ -30,10 +32,16 @@ _HEAD = frozenset("base basefont bgsound link meta title style script noscript t
 _OUT = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea input label dialog menu audio video map search title".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
 _COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
-_OUT_WORDS = _COMMENTS | frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner sidebar widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar "
-    "cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login pagination pager toolbar notice recommended recommendations".split()
-)
+#: Names that are hardly ever given to a part of an article.
+_ALIEN = frozenset("ad ads advert adverts advertisement advertisements adsense sponsored promo promos sidebar navbar breadcrumb breadcrumbs consent gdpr popup modal overlay newsletter signup login pagination pager".split())
+_OUT_WORDS = _COMMENTS | _ALIEN | frozenset("advertising sponsor sponsors promotion promotions banner widget widgets nav navigation menu menus footer header masthead topbar cookie cookies subscribe toolbar notice recommended recommendations".split())
+#: Words of layout that may follow the word that a name turns on.
+_LAYOUT = frozenset("box block wrapper wrap container area item items list section top bottom left right inner outer slot unit bar row column col module panel text image link links content body form collapse group holder area zone main primary secondary".split())
+#: Containers, whose names count.
+_CONTAINERS = frozenset("div section article aside ul ol dl table figure details fieldset center hgroup".split())
+_FORM_PARTS = frozenset("form input button select textarea".split())
+#: Plain characters of a container that is short.
+SHORT = 200
 #: Words that speak of such things only alone or with one of the words beside them.
 _WITH = {
     "related": frozenset("posts post articles article stories links content news items entries topics reading pages".split()), "share": frozenset("buttons button bar links icons this tools".split()),
@@ -52,26 +60,30 @@ _ENDS = {
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
 }
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_SLUG = re.compile(r"[^\W_]+")
 
 
-def named(names: str, inside: bool) -> tuple[bool, bool]:
-    """Whether names of classes and ids speak of something beside the article, and of comments."""
-    out = comments = False
+def named(names: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether names speak of something beside the article, of comments, and of adverts and the like."""
+    out = comments = alien = False
     for name in names.split():
         parts = [p.lower() for p in _PARTS.findall(name)]
         if not parts or parts[0] in _NOT:
             continue
         own = set(parts)
-        if "header" in own and (inside or own & _BODY_WORDS):
-            own.discard("header")
-        if (own & _OUT_WORDS) or any(k in own and (own == {k} or own & more) for k, more in _WITH.items()):
-            out = True
-        comments = comments or bool(own & _COMMENTS)
-    return out, comments
+        while len(parts) > 1 and (parts[-1] in _LAYOUT or len(parts[-1]) == 1):
+            parts.pop()
+        head = parts[-1]
+        if head == "header" and (inside or own & _BODY_WORDS):
+            continue
+        out = out or head in _OUT_WORDS or any(k in own and (own == {k} or own & more) for k, more in _WITH.items())
+        comments = comments or head in _COMMENTS
+        alien = alien or head in _ALIEN
+    return out, comments, alien
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "depth", "inside", "within", "out", "soft", "comments", "cue", "chars", "linked", "own", "passed", "article", "kept", "menu", "gone", "block")
+    __slots__ = ("tag", "parent", "children", "depth", "inside", "within", "out", "soft", "comments", "alien", "slug", "form", "first", "cue", "chars", "linked", "own", "passed", "article", "kept", "menu", "gone", "block")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str | None]):
         self.tag, self.parent, self.children = tag, parent, []
@@ -79,7 +91,10 @@ class Node:
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}" if attrs else ""
         self.out = tag in _OUT or (tag == "header" and not self.inside)
-        self.soft = self.comments = False
+        self.soft = self.comments = self.alien = self.form = False
+        self.slug: list[str] = []  # the words of an id that would leave the node out
+        self.first: list[str] | None = None  # the words of the first heading
+        self.within = parent is not None and (parent.within or (parent.cue > 0 and parent.tag not in ("html", "body")))
         self.cue = int(tag in ("article", "main"))
         if attrs:
             self.out = (
@@ -87,11 +102,17 @@ class Node:
                 or (attrs.get("aria-hidden") or "").lower() == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style") or ""))
             )
             if names.strip():
-                if (tag in _BLOCKS or "-" in tag) and tag not in ("html", "body", "main"):
-                    self.soft, self.comments = named(names, self.inside)
+                own = self.inside or self.within
+                if tag in _CONTAINERS or "-" in tag:
+                    self.soft, self.comments, self.alien = named(attrs.get("class") or "", self.inside)
+                    by_id, comments, _ = named(attrs.get("id") or "", self.inside)
+                    if by_id and not self.soft:
+                        self.slug = [x.lower() for x in _SLUG.findall(attrs["id"])]
+                    self.soft, self.comments = self.soft or by_id, self.comments or comments
+                elif tag in _TEXT_BLOCKS and tag not in _HEADINGS and not own:
+                    self.soft, self.comments, self.alien = named(attrs.get("class") or "", False)
                 if not self.cue and set(re.split(r"[\s_-]+", names.lower())) & _BODY_WORDS:
                     self.cue = 1
-        self.within = parent is not None and (parent.within or (parent.cue > 0 and parent.tag not in ("html", "body")))
         self.chars = self.linked = 0
         self.own = self.passed = 0.0
         self.article = tag == "main" or (tag == "article" and not self.comments)
@@ -212,18 +233,34 @@ def _sum(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
             up.passed += node.own / 2 + node.passed * 2 / 3
 
 
-def _cut(nodes: list[Node]) -> bool:
+def _looks_the_part(node: Node) -> bool:
+    """Whether a container inside the article that is named like something beside it is that."""
+    if node.comments or node.alien or node.form:
+        return True
+    if node.slug and node.first and node.first[: len(node.slug)] == node.slug:
+        return False
+    return node.chars <= SHORT or 2 * node.linked > node.chars
+
+
+def _cut(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> bool:
     """Leaves out what is named as something beside the article; whether there is any."""
+    for block, text, _ in blocks:
+        if block.tag in _HEADINGS and block.first is None:
+            block.first = [x.lower() for x in _SLUG.findall(text)]
     for node in reversed(nodes):
-        if node.article and not node.out and node.parent is not None:
-            node.parent.article = True
+        if (up := node.parent) is None:
+            continue
+        if node.article and not node.out:
+            up.article = True
+        up.form |= node.form or node.tag in _FORM_PARTS
+        up.first = node.first if node.first is not None else up.first
     plain = nodes[0].chars - nodes[0].linked
     some = False
     # comments go where there is anything else; of the others, what holds most of the rest stays
     for comments in (True, False):
         gone = 0
         for node in nodes:
-            if node.soft and node.comments is comments and not node.out:
+            if node.soft and node.comments is comments and not node.out and (not (node.inside or node.within) or _looks_the_part(node)):
                 own = node.chars - node.linked
                 node.out = not (node.article or (own == plain if comments else 2 * own > plain))
                 some |= node.out
@@ -240,7 +277,7 @@ def main_text(page: str) -> str:
     nodes = tree.nodes
     blocks = _blocks(tree.root)
     _sum(nodes, blocks)
-    if _cut(nodes):
+    if _cut(nodes, blocks):
         blocks = _blocks(tree.root)
         _sum(nodes, blocks)
     if not blocks:

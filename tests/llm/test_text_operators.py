@@ -1,6 +1,7 @@
 """Packing, media, quality, secrets, licenses and HTML: exact round trips, brute force and edge cases."""
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -837,6 +838,37 @@ def test_html_keeps_what_belongs(page, text):
     assert html.main_text(page) == text
 
 
+SUBJECTS = [
+    '<h2 id="cookies">Baking cookies</h2>', '<h2 id="navigation">Stars and ships</h2>', '<h2 id="footer-design">Feet of pages</h2>', '<h3 class="menu-item">Soup</h3>', '<p id="menu-planning">Plan it, now</p>', '<p id="share">Share of it</p>',
+    '<p id="subscribe">Call it</p>', '<blockquote class="promotion">He was, at last</blockquote>', '<section id="advertising-history"><h2>Signs</h2><p>Old, and long</p></section>', '<section id="cookies"><h2>Cookies</h2><p>Butter, sugar</p></section>',
+    '<section id="subscribe"><h3>Subscribe to events</h3><p>With a name</p></section>', '<div class="elementor-widget-editor"><p>Built, so</p></div>', '<ul><li class="menu">Soup<li id="ads">Ads, old</ul>', '<table><tr><td class="header">A<td id="footer">B</table>',
+    '<section class="navigation"><h2>By stars</h2><p>' + "Old ships went by stars, and by the sun. " * 6 + "</p></section>", '<pre class="widget">w = 1</pre>',
+]
+BESIDE = [
+    '<div class="ad">Buy, buy, and buy again</div>', '<div id="share">Share this</div>', '<div class="share-buttons"><a href="/">One</a></div>', '<section id="newsletter"><h3>Newsletter</h3><p>All news, weekly</p><input><button>Go</button></section>', '<ul class="menu"><li><a href="/">A</a><li>B</ul>',
+    '<div class="comments"><h3>Comments</h3><p>' + "So nice, so good, so long. " * 20 + "</p></div>", '<div class="post-navigation"><a href="/">Next one, of many</a></div>', '<div class="nyt-sidebar-inner"><p>' + "Other things, here. " * 20 + "</p></div>", '<aside>Aside</aside>', '<div class="sponsored-content">Of ours</div>',
+]
+
+
+def test_html_names_are_no_cue_in_the_article():
+    """Ids of headings and names of text blocks are subjects; those of containers count where these look the part."""
+    import random
+
+    r = random.Random(13)
+    plain = lambda x: html.main_text(re.sub(r" (class|id)=\"[^\"]*\"", "", x))
+    for shell in ("<article>{}</article>", "<main>{}</main>", '<div id="content">{}</div>', '<div class="layout no-sidebar"><article class="post">{}</article></div>'):
+        filler = ["<p>" + "Words of it, and more of them, as they come, so that it is long. " * 8 + "</p>"] * 2
+        for x in SUBJECTS:
+            page = shell.format(filler[0] + x + filler[1])
+            assert html.main_text(page) == plain(shell.format(filler[0] + x + filler[1])) and plain(x) in html.main_text(page), x
+        for x in BESIDE:
+            assert html.main_text(shell.format(filler[0] + x + filler[1])) == html.main_text(shell.format("".join(filler))), x
+        for _ in range(40):
+            mixed = [(x, True) for x in r.sample(SUBJECTS, 4)] + [(x, False) for x in r.sample(BESIDE, 3)] + [(x, True) for x in filler * 3]
+            r.shuffle(mixed)
+            assert html.main_text(shell.format("".join(x for x, _ in mixed))) == plain(shell.format("".join(x for x, own in mixed if own))), mixed
+
+
 def test_html_time_is_linear():
     import time
 
