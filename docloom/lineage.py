@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of the shared one for tables that a job writes itself; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
+
+
 def cut_lineage(rows: DataFrame) -> DataFrame:
     """The rows, written as a table to the shared folder and read back; the shuffle files of the job that made them go at its end.
 

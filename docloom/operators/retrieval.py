@@ -60,25 +60,6 @@ def bm25(units: DataFrame, query: list[str], keys: list[str], scope: list[str],
     return hits.select(*keys, score.alias("score"), matched.alias("matched"))
 
 
-def index_postings(units: DataFrame, keys: list[str]) -> DataFrame:
-    """An inverted index: (keys, term, tf, length, positions), one row a unit and term; units without terms have one row of a null term, for they count in the average."""
-    found = units.select(*keys, "length", F.posexplode_outer("terms").alias("position", "term"))
-    return found.groupBy(*keys, "length", "term").agg(F.count("position").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-
-
-def search_index(index: DataFrame, query: list[str], keys: list[str], scope: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 over an index that index_postings() made: keys, score, and the matched terms with their positions. Only the query's postings are shuffled; lengths come from one aggregate."""
-    terms = sorted(set(query))
-    sizes = index.select(*keys, "length").distinct()
-    stats = sizes.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    own = index.where(F.col("term").isin(terms)) if terms else index.where("false")
-    df = own.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    met = own.join(df, [*scope, "term"])
-    met = met.join(stats, scope) if scope else met.crossJoin(F.broadcast(stats))
-    part = idf(F.col("n"), F.col("df")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return met.groupBy(*keys).agg(F.sum(part).alias("score"), F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("matches"))
-
-
 def best_part(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group by a total order."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -1,4 +1,4 @@
 """Queries by name, each with its SQL where SQL can express it."""
 
-from docloom.plans import audit_queries, continuation_queries, evidence_queries, inventory_queries, label_queries, reading_queries, relational_queries, retrieval_queries, session_queries, structure_queries  # noqa: F401
+from docloom.plans import audit_queries, continuation_queries, evidence_queries, inventory_queries, label_queries, reading_queries, relational_queries, retrieval_queries, search_queries, session_queries, structure_queries  # noqa: F401
 from docloom.plans.registry import QUERIES, SQL  # noqa: F401

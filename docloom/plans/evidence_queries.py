@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import evidence as V
 from docloom.operators.elements import elements
+from docloom.operators.search import holding
 from docloom.plans.fixtures import cte, frame
 from docloom.plans.registry import query, read
 from docloom.plans.retrieval_queries import SQL_ELEMENTS
@@ -147,18 +148,5 @@ def question_features_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")
 def benchmark_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage word by word: met by the first five words of the passage, confirmed on the whole.
-
-    The passages' opening words are keys of an equi-join with the same stretches of the documents, so no pair is tried in vain.
-    """
-    words = lambda c: F.split(c, " ")
-    key = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(5)), " "))
-    long = read(spark, sf_dir, "benchmark").where(F.size(words("text")) > 6).select("item_id", F.col("text").alias("passage"), key(F.slice(words("text"), F.lit(2), F.lit(5)), F.lit(1)).alias("key"))
-    short = read(spark, sf_dir, "benchmark").where(F.size(words("text")) <= 6).select("item_id", F.col("text").alias("passage"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    w = docs.select("doc_id", words("text").alias("w"))
-    spots = w.where(F.size("w") >= 5).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: key(F.col("w"), i)))).alias("key"))
-    met = spots.join(long, "key").select("doc_id", "item_id", "passage").distinct()
-    found = met.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    # passages of a few words have no such key; those are compared with each text
-    return found.unionByName(docs.join(short, F.contains("text", "passage")).select("item_id", "doc_id"))
+    """Documents that hold a passage word by word."""
+    return holding(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

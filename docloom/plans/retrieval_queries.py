@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import TOKEN, base_tokens
-from docloom.lineage import cut_lineage
+from docloom.lineage import new_folder
+from docloom.operators import index as I
 from docloom.operators import retrieval as R
 from docloom.operators.elements import elements
 from docloom.plans.registry import query, read
@@ -51,10 +52,12 @@ def bm25_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, pos, round(sum({_PART}), 6) as score, string_agg(term || ':' || array_to_string(positions, ','), ';' order by term) as matches
     from p join o using (doc_id, pos, term) join d using (term) join t using (doc_id, pos), s group by doc_id, pos""")
 def bm25_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same scores from an inverted index with places, read back from its table; all units that match."""
-    index = cut_lineage(R.index_postings(R.with_terms(elements(read(spark, sf_dir, "documents"))), ["doc_id", "pos"]))
-    return R.search_index(index, TERMS, ["doc_id", "pos"], []).select(
-        "doc_id", "pos", F.round("score", 6).alias("score"), F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["term"], F.array_join(m["positions"].cast("array<string>"), ","))), ";").alias("matches"))
+    """The same scores from the index by buckets of terms, with places; all units that match."""
+    path = new_folder(spark)
+    I.add_batch(R.with_terms(elements(read(spark, sf_dir, "documents"))).select("doc_id", "pos", "terms"), path, ["doc_id", "pos"])
+    terms = spark.createDataFrame([(0, t) for t in TERMS], "query_id int, term string")
+    shown = F.transform("matches", lambda m: F.concat_ws(":", m["term"], F.array_join(m["positions"].cast("array<string>"), ",")))
+    return I.search(spark, path, terms, ["doc_id", "pos"], None).select("doc_id", "pos", "score", F.array_join(shown, ";").alias("matches"))
 
 
 @query(f"""with {SQL_ELEMENTS}, t as (select distinct doc_id, pos, unnest(list_transform(regexp_extract_all(line, '{TOKEN}'), lambda x: replace(lower(x), 'ß', 'ss'))) as term from e)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docloom.functions.text import base_tokens
+from docloom.operators.index import grow
 
 LATE = "1 hour"
 
@@ -62,13 +63,8 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def grow_index(documents: DataFrame, path: str, checkpoint: str) -> None:
-    """Appends the postings of new documents to an index table; a batch that is tried again writes over its own part."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        terms = batch.select("doc_id", F.explode(base_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-        terms.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Adds the terms of new documents to an index that operators.index searches; a batch that is tried again writes over its own part."""
+    grow(documents, path, checkpoint, lambda d: d.select("doc_id", base_tokens(F.coalesce("text", F.lit(""))).alias("terms")), ["doc_id"])
 
 
 def run_once(frame: DataFrame, name: str, checkpoint: str, mode: str = "append", each: Callable | None = None) -> None:
