@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
 from docloom.operators.relations import DOC, same_page_pairs, sides
+from docloom.operators.sections import _document
 
 
 def _points(*rules: tuple[Column, float]) -> Column:
@@ -106,38 +109,43 @@ def duplicate_code(elements: DataFrame, ratio: float = 0.72) -> DataFrame:
     return pairs.where(alike >= ratio).select(F.col("b_document_id").alias(DOC), F.col("b_element_id").alias("element_id"), F.col("a_element_id").alias("same_as")).distinct()
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for table, (fragments, whole) in enumerate(zip(batch.column("fragments").to_pylist(), batch.column("whole").to_pylist(), strict=True)):
+            at, whole = 0, whole or []
+            for fragment in fragments:
+                i, rows, found = fragment["fragment_index"], fragment["rows"] or [], None
+                for skip in range(4 if i else 1):
+                    part = rows[skip:]
+                    if skip and rows[:skip] != whole[:skip] or not part:
+                        break
+                    places = [k for k in range(at, len(whole) - len(part) + 1) if whole[k : k + len(part)] == part]
+                    if len(places) == 1:
+                        found = (places[0], places[0] + len(part), skip)
+                        break
+                out.append((table, i, *(found or (None, None, None))))
+                at = found[1] if found else at
+        rows = list(zip(*out, strict=True)) or [()] * 5
+        own = [batch.column(c).take(pa.array(rows[0], pa.int64())) for c in batch.schema.names if c not in ("fragments", "whole")]
+        yield pa.RecordBatch.from_arrays(own + [pa.array(c, pa.int32()) for c in rows[1:]], [*(c for c in batch.schema.names if c not in ("fragments", "whole")), "fragment_index", "row_start", "row_end", "header_rows"])
+
+
 def fragment_positions(fragments: DataFrame) -> DataFrame:
-    """fragments(group_id, fragment_index, rows array, whole array): where each fragment's rows stand in the whole table.
+    """fragments(document_id, group_id, fragment_index, rows array, whole array): where each fragment's rows stand in the whole table.
 
     A fragment must stand at exactly one place at or after the end of the one before; up to three repeated header rows are left out.
-    A group's fragments are placed in order, for each begins where the last one ended.
+    A table's fragments are placed in order, for each begins where the last one ended; many tables go through Python together.
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        at, out = 0, []
-        for i, rows, whole in frame.sort_values("fragment_index")[["fragment_index", "rows", "whole"]].itertuples(index=False):
-            rows, whole, found = list(rows), list(whole), None
-            for skip in range(0, 4 if i else 1):
-                part = rows[skip:]
-                if skip and rows[:skip] != whole[:skip] or not part:
-                    break
-                places = [k for k in range(at, len(whole) - len(part) + 1) if whole[k : k + len(part)] == part]
-                if len(places) == 1:
-                    found = (places[0], places[0] + len(part), skip)
-                    break
-            if found is None:
-                out.append((i, None, None, None))
-                continue
-            out.append((i, *found))
-            at = found[1]
-        return pd.DataFrame(out, columns=["fragment_index", "row_start", "row_end", "header_rows"]).assign(group_id=frame["group_id"].iloc[0]).astype({"row_start": "Int32", "row_end": "Int32", "header_rows": "Int32"})
-
-    return fragments.groupBy("group_id").applyInPandas(lambda f: one(f), "fragment_index int, row_start int, row_end int, header_rows int, group_id string")
+    key = [*_document(fragments), "group_id"]
+    tables = fragments.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("fragment_index", "rows"))).alias("fragments"), F.first("whole").alias("whole"))
+    kept = ", ".join(f"{c} string" for c in key)
+    return tables.select(*(F.col(c).cast("string").alias(c) for c in key), "fragments", "whole").mapInArrow(_placed, f"{kept}, fragment_index int, row_start int, row_end int, header_rows int")
 
 
 def inherited_headers(fragments: DataFrame) -> DataFrame:
-    """fragments(group_id, fragment_index, headers): a fragment without headers takes those of the first that has some."""
-    w = Window.partitionBy("group_id").orderBy("fragment_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """fragments(document_id, group_id, fragment_index, headers): a fragment without headers takes those of the first that has some."""
+    w = Window.partitionBy(*_document(fragments), "group_id").orderBy("fragment_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return fragments.withColumn("headers", F.coalesce("headers", F.first("headers", ignorenulls=True).over(w)))
 
 

@@ -121,9 +121,9 @@ def preview_text(elements: DataFrame, captions: DataFrame) -> DataFrame:
 
 
 def follow(relations: DataFrame, starts: DataFrame) -> DataFrame:
-    """starts(document_id, element_id, kind): the other ends of its relations of a kind, in both directions."""
+    """starts(document_id, element_id, kind): the other ends of its relations of a kind, in both directions; a relation of an element with itself goes out only."""
     both = relations.select(DOC, "kind", F.col("source_id").alias("element_id"), F.col("target_id").alias("other_id"), F.lit("out").alias("direction")).unionByName(
-        relations.select(DOC, "kind", F.col("target_id").alias("element_id"), F.col("source_id").alias("other_id"), F.lit("in").alias("direction")))
+        relations.where("source_id <> target_id").select(DOC, "kind", F.col("target_id").alias("element_id"), F.col("source_id").alias("other_id"), F.lit("in").alias("direction")))
     return starts.join(both, [DOC, "element_id", "kind"]).select(DOC, "element_id", "kind", "direction", "other_id").distinct()
 
 

@@ -18,29 +18,37 @@ def reference_strength(confidence: Column, pages: Column, side: Column) -> Colum
     return F.when(side == "before", before).otherwise(F.when(pages <= AFTER_PAGES, confidence - 0.10 - 0.05 * pages))
 
 
+def _document(*tables: DataFrame) -> list[str]:
+    """The document's key, where all tables have one: ids are told apart by document then."""
+    return ["document_id"] if all("document_id" in t.columns for t in tables) else []
+
+
 def resolve_by_references(references: DataFrame) -> DataFrame:
-    """references(target_id, section_id, confidence, pages, side): the section of the strongest vote, or ambiguous on a tie."""
+    """references(document_id, target_id, section_id, confidence, pages, side): the section of the strongest vote, or ambiguous on a tie."""
+    target = [*_document(references), "target_id"]
     votes = references.withColumn("strength", F.round(reference_strength(F.col("confidence"), F.col("pages"), F.col("side")), 6)).where("strength is not null")
-    best = votes.groupBy("target_id", "section_id").agg(F.max("strength").alias("strength"))
-    top = best.withColumn("top", F.max("strength").over(Window.partitionBy("target_id"))).where("strength = top")
-    return top.groupBy("target_id").agg(F.when(F.count("*") == 1, F.min("section_id")).alias("section_id"), F.min("strength").alias("strength"), F.when(F.count("*") == 1, "resolved").otherwise("ambiguous").alias("status"))
+    best = votes.groupBy(*target, "section_id").agg(F.max("strength").alias("strength"))
+    top = best.withColumn("top", F.max("strength").over(Window.partitionBy(*target))).where("strength = top")
+    return top.groupBy(*target).agg(F.when(F.count("*") == 1, F.min("section_id")).alias("section_id"), F.min("strength").alias("strength"), F.when(F.count("*") == 1, "resolved").otherwise("ambiguous").alias("status"))
 
 
 def inherit(relations: DataFrame, resolved: DataFrame, kinds: tuple[str, ...] = ("caption_of", "footnote_of")) -> DataFrame:
     """Captions and footnotes get the section of their target."""
-    return relations.where(F.col("kind").isin(*kinds)).join(resolved.select(F.col("target_id"), "section_id"), "target_id").select(F.col("source_id").alias("element_id"), "section_id")
+    doc = _document(relations, resolved)
+    return relations.where(F.col("kind").isin(*kinds)).join(resolved.select(*doc, "target_id", "section_id"), [*doc, "target_id"]).select(*doc, F.col("source_id").alias("element_id"), "section_id")
 
 
 def inherit_along(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """edges(a, b) undirected, known(element_id, section_id): what a chain of confirmed continuations hands on.
+    """edges(document_id, a, b) undirected, known(document_id, element_id, section_id): what a chain of confirmed continuations hands on.
 
     Each round reaches one edge further, until a round reaches nothing new; an element that two sections reach at once gets none.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = known.select("element_id", "section_id", F.lit(0).alias("round"))
+    doc = _document(edges, known)
+    both = cut_lineage(edges.select(*doc, "a", "b").union(edges.select(*doc, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = known.select(*doc, "element_id", "section_id", F.lit(0).alias("round"))
     for i in count(1):
-        reached = both.join(now.select(F.col("element_id").alias("a"), "section_id"), "a").select(F.col("b").alias("element_id"), "section_id").join(now, "element_id", "left_anti")
-        fresh = cut_lineage(reached.groupBy("element_id").agg(F.min("section_id").alias("section_id"), F.max("section_id").alias("other")).where("section_id = other").select("element_id", "section_id", F.lit(i).alias("round")))
+        reached = both.join(now.select(*doc, F.col("element_id").alias("a"), "section_id"), [*doc, "a"]).select(*doc, F.col("b").alias("element_id"), "section_id").join(now, [*doc, "element_id"], "left_anti")
+        fresh = cut_lineage(reached.groupBy(*doc, "element_id").agg(F.min("section_id").alias("section_id"), F.max("section_id").alias("other")).where("section_id = other").select(*doc, "element_id", "section_id", F.lit(i).alias("round")))
         if fresh.isEmpty():
             return now
         now = cut_lineage(now.unionByName(fresh))

@@ -74,11 +74,11 @@ def identity_errors(results: DataFrame, fields: tuple[str, ...] = ("question_id"
 
 
 def candidate_errors(candidates: DataFrame, units: DataFrame) -> DataFrame:
-    """candidates(element_id, document_id, page_index, element_type) against units of the same: (element_id, error)."""
-    own = units.select("element_id", *(F.col(c).alias(f"_{c}") for c in (DOC, "page_index", "element_type"))).distinct()
-    met = candidates.join(own, "element_id", "left")
-    rules = [F.when(F.col("_document_id").isNull(), "unknown_unit")] + [F.when(F.col(f"_{c}") != F.col(c), f"other_{c}") for c in (DOC, "page_index", "element_type")]
-    return met.select("element_id", F.explode(F.array_compact(F.array(*rules))).alias("error"))
+    """candidates(document_id, element_id, page_index, element_type) against units of the same: (document_id, element_id, error); elements are told apart by document."""
+    own = units.select(DOC, "element_id", *(F.col(c).alias(f"_{c}") for c in ("page_index", "element_type")), F.lit(True).alias("_known")).distinct()
+    met = candidates.join(own, [DOC, "element_id"], "left")
+    rules = [F.when(F.col("_known").isNull(), "unknown_unit")] + [F.when(F.col(f"_{c}") != F.col(c), f"other_{c}") for c in ("page_index", "element_type")]
+    return met.select(DOC, "element_id", F.explode(F.array_compact(F.array(*rules))).alias("error"))
 
 
 def table_preview(rows: DataFrame, labels: int = 6) -> DataFrame:

@@ -53,7 +53,7 @@ def label_runs(pages: DataFrame, least: int = 3) -> DataFrame:
 def extrapolate_backward(pages: DataFrame, runs: DataFrame) -> DataFrame:
     """Unlabelled pages right before a run get the numbers that lead to it, down to 1."""
     labelled = pages.where("number is not null").select("doc", F.col("page_index").alias("q"))
-    before = runs.join(labelled, "doc", "left").where("q is null or q < first_page").groupBy("doc", "first_page", "first_number").agg(F.coalesce(F.max("q"), F.lit(-1)).alias("q"))
+    before = runs.join(labelled, "doc", "left").groupBy("doc", "first_page", "first_number").agg(F.coalesce(F.max(F.when(F.col("q") < F.col("first_page"), F.col("q"))), F.lit(-1)).alias("q"))
     start = F.greatest(F.col("q") + 1, F.col("first_page") - F.col("first_number") + 1)
     rows = before.withColumn("start", start).where("start < first_page")
     return rows.select("doc", F.explode(F.sequence("start", F.col("first_page") - 1)).alias("page_index"), "first_page", "first_number").select("doc", "page_index", (F.col("first_number") - F.col("first_page") + F.col("page_index")).alias("number"))

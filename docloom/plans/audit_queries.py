@@ -9,18 +9,18 @@ from docloom.functions import chunking as C
 from docloom.operators import audit as A
 from docloom.operators import sections as S
 from docloom.operators.elements import elements, html_blocks
-from docloom.plans.fixtures import cte, frame
+from docloom.plans.derived import cte, frame, select, sub
 from docloom.plans.registry import query, read
 
 
 @query(f"""with {cte('fx_references')}, v as (select *, round(case when side = 'before' then case when pages <= 2 then confidence - 0.05 * pages end else case when pages <= 1 then confidence - 0.10 - 0.05 * pages end end, 6) as strength from fx_references),
-    b as (select target_id, section_id, max(strength) as strength from v where strength is not null group by all), t as (select *, max(strength) over (partition by target_id) as top from b)
-    select target_id, case when count(*) = 1 then min(section_id) end as section_id, min(strength) as strength, case when count(*) = 1 then 'resolved' else 'ambiguous' end as status from t where strength = top group by target_id""")
+    b as (select document_id, target_id, section_id, max(strength) as strength from v where strength is not null group by all), t as (select *, max(strength) over (partition by document_id, target_id) as top from b)
+    select document_id, target_id, case when count(*) = 1 then min(section_id) end as section_id, min(strength) as strength, case when count(*) = 1 then 'resolved' else 'ambiguous' end as status from t where strength = top group by document_id, target_id""")
 def floating_sections_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.resolve_by_references(frame(spark, "fx_references"))
+    return S.resolve_by_references(frame(spark, sf_dir, "fx_references"))
 
 
-_KNOWN = "(values ('dA', 'e07', 's1'), ('dA', 'e13', 's2'), ('dB', 'g07', 't1')) k(document_id, element_id, section_id)"
+_KNOWN = sub("known_sections", "k")
 
 
 @query(f"""with recursive {cte('fx_relations')}, k as (select * from {_KNOWN}), b as (select document_id || '/' || source_id as a, document_id || '/' || target_id as b from fx_relations where kind = 'continues' union select document_id || '/' || target_id, document_id || '/' || source_id from fx_relations where kind = 'continues'),
@@ -30,8 +30,8 @@ _KNOWN = "(values ('dA', 'e07', 's1'), ('dA', 'e13', 's2'), ('dB', 'g07', 't1'))
 def continuation_inheritance_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements are named by document and id, so that chains of documents stay apart."""
     name = lambda c: F.concat_ws("/", "document_id", c)
-    edges = frame(spark, "fx_relations").where("kind = 'continues'").select(name("source_id").alias("a"), name("target_id").alias("b"))
-    return S.inherit_along(edges, spark.sql(f"select concat_ws('/', document_id, element_id) as element_id, section_id from {_KNOWN}"))
+    edges = frame(spark, sf_dir, "fx_relations").where("kind = 'continues'").select(name("source_id").alias("a"), name("target_id").alias("b"))
+    return S.inherit_along(edges, select(spark, sf_dir, "select concat_ws('/', document_id, element_id) as element_id, section_id from @known_sections@"))
 
 
 _REASONS = """h as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from heads), w as (select *, len(list_filter(string_split(t, ' '), lambda x: x <> '')) as words from h), n as (select doc, lower(t) as low, count(distinct page) as pages from w group by all),
@@ -63,48 +63,48 @@ def heading_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {cte('fx_titles')}, heads as (select doc, page, pos, text, is_furniture, after_table from fx_titles), {_REASONS} select doc, page, pos, reason, reason is null as eligible from r")
 def heading_eligibility_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reason of the chain, in two documents."""
-    return S.eligibility(frame(spark, "fx_titles")).select("doc", "page", "pos", "reason", "eligible")
+    return S.eligibility(frame(spark, sf_dir, "fx_titles")).select("doc", "page", "pos", "reason", "eligible")
 
 
 @query(f"""with {cte('fx_firings')}, d as (select rule_id, element_id, row_number() over (partition by rule_id order by document_id, element_id) as n from (select distinct rule_id, document_id, element_id from fx_firings)),
     s as (select rule_id, list(element_id order by n) as samples from d where n <= 3 group by rule_id)
     select rule_id, count(*) as firings, count(distinct document_id) as documents, list_sort(list_distinct(list(status))) as statuses, any_value(samples) as samples from fx_firings join s using (rule_id) group by rule_id""")
 def rule_coverage_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.rule_coverage(frame(spark, "fx_firings"))
+    return A.rule_coverage(frame(spark, sf_dir, "fx_firings"))
 
 
 @query(f"""with {cte('fx_calls')}, m as (select *, coalesce(action = lag(action) over w and target is not distinct from lag(target) over w, false) as again, row_number() over (partition by example_id order by session, step) as nth from fx_calls window w as (partition by session order by step))
     select count(*) as examples, count(*) filter (valid) as valid, round(avg(valid::int), 6) as valid_rate, count(*) filter (accepted) as accepted, count(*) filter (again) as repeats, count(*) filter (nth > 1) as duplicate_ids, count(distinct session) as sessions from m""")
 def example_audit_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.example_audit(frame(spark, "fx_calls"))
+    return A.example_audit(frame(spark, sf_dir, "fx_calls"))
 
 
 @query(f"""with {cte('fx_calls')}, m as (select *, row_number() over (partition by example_id order by session, step) as k from fx_calls where valid and accepted)
     select example_id, '{{"session":"' || session || '","step":' || step || ',"action":"' || action || '"' || coalesce(',"target":"' || target || '"', '') || '}}' as target_text from m where k = 1""")
 def accepted_examples_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.accepted_examples(frame(spark, "fx_calls"))
+    return A.accepted_examples(frame(spark, sf_dir, "fx_calls"))
 
 
 @query(f"with {cte('fx_scores')} select count(*) filter (status = 'ready') as succeeded, count(*) filter (status in ('stopped_incomplete', 'budget_exhausted')) as degraded, count(*) filter (status is null) as failed from fx_scores")
 def batch_health_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.batch_health(frame(spark, "fx_scores"))
+    return A.batch_health(frame(spark, sf_dir, "fx_scores"))
 
 
 @query(f"""with {cte('fx_scopes')}, s as (select question_id, pages, lower(scope) as s from fx_scopes), x as (select *, regexp_matches(s, 'whole document') as all_, try_cast(regexp_extract(s, 'first ([0-9]+)', 1) as int) as f, try_cast(regexp_extract(s, 'last ([0-9]+)', 1) as int) as l,
         try_cast(regexp_extract(s, 'pages? ([0-9]+)\\s*(?:-|to)\\s*[0-9]+', 1) as int) as lo, try_cast(regexp_extract(s, 'pages? [0-9]+\\s*(?:-|to)\\s*([0-9]+)', 1) as int) as hi, list_transform(regexp_extract_all(regexp_extract(s, '(pages? [0-9]+(?:(?:\\s*,\\s*|\\s+and\\s+)[0-9]+)*)', 1), '[0-9]+'), lambda v: v::int) as named from s)
     select question_id, p::int as page_number from x, range(1, 1000) r(p) where p <= pages and case when all_ then true when f is not null then p <= f when l is not null then p > pages - l when lo <= hi then p between lo and hi else list_contains(named, p::int) end""")
 def scope_pages_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.scope_pages(frame(spark, "fx_scopes"))
+    return A.scope_pages(frame(spark, sf_dir, "fx_scopes"))
 
 
-_MENTIONED = "(values ('dA', '1'), ('dA', '6'), ('dA', '2'), ('dA', 'ii'), ('dA', '99'), ('dB', '1'), ('dB', 'ii'), ('dB', '3')) m(document_id, label)"
+_MENTIONED = sub("mentioned", "m")
 
 
 @query(f"""with {cte('fx_pages')}, m as (select * from {_MENTIONED}), a as (select m.*, (select min(page_id) from fx_pages p where p.document_id = m.document_id and p.label = m.label) as printed_id, (select page_id from fx_pages p where p.document_id = m.document_id and p.page_index + 1 = try_cast(m.label as bigint)) as counted_id,
         (select count(distinct page_id) from fx_pages p where p.document_id = m.document_id and p.label = m.label) as printed from m)
     select document_id, label, coalesce(printed_id, counted_id) as page_id, case when printed_id is not null then 'printed' when counted_id is not null then 'physical' else 'unresolved' end as "by", printed from a""")
 def page_resolution_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.page_of_label(spark.sql(f"select * from {_MENTIONED}"), frame(spark, "fx_pages"))
+    return A.page_of_label(select(spark, sf_dir, "select * from @mentioned@"), frame(spark, sf_dir, "fx_pages"))
 
 
 @query(f"""with recursive {cte('fx_deltas')}, d as (select *, row_number() over (partition by session order by step) as n from fx_deltas),
@@ -117,7 +117,7 @@ def page_resolution_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     select session, e.key as evidence_id, e.value as observation_id, rejected from (select session, unnest(map_entries(held)) as e, rejected from l where k = 1)
     union all select session, null, null, rejected from l where k = 1 and len(map_entries(held)) = 0""")
 def evidence_fold_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.evidence_fold(frame(spark, "fx_deltas"))
+    return A.evidence_fold(frame(spark, sf_dir, "fx_deltas"))
 
 
 @query()
@@ -129,7 +129,7 @@ def search_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def anchor_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that the literal elements name."""
-    return C.explode_texts(frame(spark, "fx_elements"), ["element_id"], "text", C.anchor_mentions, "kind string, label string, start int, stop int")
+    return C.explode_texts(frame(spark, sf_dir, "fx_elements"), ["element_id"], "text", C.anchor_mentions, "kind string, label string, start int, stop int")
 
 
 @query()

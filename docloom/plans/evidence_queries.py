@@ -9,25 +9,31 @@ from docloom.functions import text as T
 from docloom.operators import evidence as V
 from docloom.operators.elements import elements
 from docloom.operators.search import holding
-from docloom.plans.fixtures import cte, frame
+from docloom.plans.derived import cte, frame
 from docloom.plans.registry import query, read
 from docloom.plans.retrieval_queries import SQL_ELEMENTS
 
 _EDGES = f"{cte('fx_questions')}, e as (select set_id, question_id, unnest(list_filter(string_split(depends_on, ','), lambda x: x <> '')) as needs from fx_questions), ids as (select set_id, question_id from fx_questions)"
 
 
-@query(f"""with recursive {_EDGES}, reach as (select set_id, question_id, needs, 1 as hops from e where question_id <> needs union select r.set_id, r.question_id, e.needs, r.hops + 1 from reach r join e on e.set_id = r.set_id and e.question_id = r.needs and e.question_id <> e.needs where r.hops <= (select count(*) from ids) and r.needs <> r.question_id),
-    deep as (select set_id, question_id, 1 as depth from ids where (set_id, question_id) not in (select (set_id, question_id) from e where (set_id, needs) in (select (set_id, question_id) from ids)) union select e.set_id, e.question_id, d.depth + 1 from deep d join e on e.set_id = d.set_id and e.needs = d.question_id)
+#: What a question needs by way of others, and the depth of questions that need no cycle: 1 without known needs.
+_DEPTHS = """k as (select * from e where (set_id, needs) in (select (set_id, question_id) from ids)),
+    far as (select set_id, question_id, needs from k union select f.set_id, f.question_id, k.needs from far f join k on k.set_id = f.set_id and k.question_id = f.needs),
+    bad as (select set_id, question_id from far where (set_id, needs) in (select (set_id, question_id) from far where question_id = needs)),
+    deep as (select set_id, question_id, 1 as depth from ids where (set_id, question_id) not in (select (set_id, question_id) from k) union select k.set_id, k.question_id, d.depth + 1 from deep d join k on k.set_id = d.set_id and k.needs = d.question_id where (k.set_id, k.question_id) not in (select (set_id, question_id) from bad))"""
+
+
+@query(f"""with recursive {_EDGES}, {_DEPTHS}, o as (select * from e where question_id <> needs), reach as (select set_id, question_id, needs from o union select r.set_id, r.question_id, o.needs from reach r join o on o.set_id = r.set_id and o.question_id = r.needs)
     select distinct set_id, question_id, 'unknown_dependency' as error from e where (set_id, needs) not in (select (set_id, question_id) from ids) union all select set_id, question_id, 'self_dependency' from e where question_id = needs union all select distinct set_id, question_id, 'cycle' from reach where question_id = needs
     union all select set_id, question_id, 'too_many' from (select set_id, question_id, row_number() over (partition by set_id order by position) as k from fx_questions) where k > 8
     union all select set_id, question_id, 'too_deep' from deep group by all having max(depth) > 4""")
 def question_graph_errors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.graph_errors(frame(spark, "fx_questions"), 8, 4)
+    return V.graph_errors(frame(spark, sf_dir, "fx_questions"), 8, 4)
 
 
 @query(f"with {_EDGES}, b as (select e.set_id, e.question_id from e left join fx_questions q on e.set_id = q.set_id and e.needs = q.question_id where q.status is null or q.status <> 'done') select set_id, question_id, row_number() over (partition by set_id order by position) as turn from fx_questions where status <> 'done' and (set_id, question_id) not in (select (set_id, question_id) from b)")
 def runnable_questions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.runnable(frame(spark, "fx_questions")).select("set_id", "question_id", F.col("turn").cast("long").alias("turn"))
+    return V.runnable(frame(spark, sf_dir, "fx_questions")).select("set_id", "question_id", F.col("turn").cast("long").alias("turn"))
 
 
 _STOPPED = "['the', 'a', 'an', 'of', 'in', 'and', 'or', 'to', 'is', 'are', 'was', 'were', 'what', 'which', 'how', 'many', 'for', 'on', 'by', 'with']"
@@ -38,13 +44,13 @@ _RECALLED = "list_filter(list_distinct(list_transform(regexp_extract_all({c}, '[
     s as (select o.*, list_intersect({_RECALLED.format(c='claim')}, t) as both_ from o, q), r as (select *, 4 * len(both_) + 3 * len(list_filter(both_, lambda x: regexp_matches(x, '^[0-9]'))) as score from s)
     select observation_id, score from r where score > 0 order by score desc, stored, observation_id limit 3""")
 def recall_top3_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.recall(frame(spark, "fx_observations"), "What were total costs in 2020?").select("observation_id", "score")
+    return V.recall(frame(spark, sf_dir, "fx_observations"), "What were total costs in 2020?").select("observation_id", "score")
 
 
 @query(f"""with {cte('fx_evidence')}, {cte('fx_observations')}, {cte('fx_questions')} select evidence_id, 'unknown_observation' as error from fx_evidence where observation_id not in (select observation_id from fx_observations)
     union all select evidence_id, 'unknown_question' from fx_evidence where question_id not in (select question_id from fx_questions)""")
 def evidence_references_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.missing_references(frame(spark, "fx_evidence"), frame(spark, "fx_observations"), frame(spark, "fx_questions"))
+    return V.missing_references(frame(spark, sf_dir, "fx_evidence"), frame(spark, sf_dir, "fx_observations"), frame(spark, sf_dir, "fx_questions"))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +82,12 @@ _NA = "(" + _CLEAN + " in ('not answerable', 'unanswerable', 'none', 'n/a', ''))
     a as (select count(*) as cases, count(*) filter (ok) as correct, count(*) filter (ok and able) as hits, count(*) filter (ans) as answered, count(*) filter (able) as answerable, count(*) filter (status = 'ready') as ready, count(*) filter (ok and status = 'ready') as ready_correct from s),
     r as (select *, correct / cases as accuracy, hits / answered as precision, hits / answerable as recall, ready_correct / ready as ready_accuracy from a) select *, 2 * precision * recall / (precision + recall) as f1 from r""")
 def answer_scores_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.answer_scores(frame(spark, "fx_scores"))
+    return V.answer_scores(frame(spark, sf_dir, "fx_scores"))
 
 
 @query(f"with {cte('fx_scores')} select case_id, {_CLEAN.format(c='gold')} as gold, {_CLEAN.format(c='prediction')} as prediction from fx_scores")
 def answer_cleaning_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, "fx_scores").select("case_id", T.clean_answer(F.col("gold")).alias("gold"), T.clean_answer(F.col("prediction")).alias("prediction"))
+    return frame(spark, sf_dir, "fx_scores").select("case_id", T.clean_answer(F.col("gold")).alias("gold"), T.clean_answer(F.col("prediction")).alias("prediction"))
 
 
 @query("""with r as (select source, n_chars, row_number() over (partition by source order by n_chars) as rn, count(*) over (partition by source) as n from documents)
@@ -143,7 +149,7 @@ def line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {cte('fx_questions_text')} select question_id, list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{k}' end" for k, p in T.QUESTION_FEATURES.items()) + "], lambda x: x is not null) as features from fx_questions_text")
 def question_features_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, "fx_questions_text").select("question_id", T.question_features(F.col("text")).alias("features"))
+    return frame(spark, sf_dir, "fx_questions_text").select("question_id", T.question_features(F.col("text")).alias("features"))
 
 
 @query("select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")

@@ -9,14 +9,13 @@ from docloom.functions import text as T
 from docloom.operators import audit as A
 from docloom.operators import retrieval as R
 from docloom.operators import session as S
+from docloom.plans.derived import select, sub
 from docloom.plans.registry import query, read
 from docloom.plans.retrieval_queries import _TWO, SQL_RANKINGS, _rankings, _sql_rrf
 
-_UNITS = """(values ('dA', 'u1', 0, 'heading', 'Costs', null, null, false, 's2'), ('dA', 'u2', 0, 'paragraph', 'All  costs' || chr(10) || chr(10) || 'rose. ', null, null, false, 's2'), ('dA', 'u3', 0, 'figure', 'a made text', null, 'Figure 1', true, 's2'), ('dA', 'u4', 0, 'figure', 'Axis: year', null, 'Figure 2', false, 's2'),
-    ('dA', 'u5', 1, 'table', null, '<tr><td>a</td><td>b</td></tr>', 'Table 1', false, 's1'), ('dA', 'u6', 1, 'table', ' ', '', 'Table 2', false, 's1'), ('dA', 'u7', 1, 'figure', 'made', null, null, true, 's1'), ('dA', 'u8', 1, 'chart', null, null, ' ', false, 's1'), ('dA', 'u9', 1, 'paragraph', null, null, null, false, 's1'),
-    ('dA', 'v1', 7, 'paragraph', 'lost', null, null, false, 's1'), ('dB', 'u1', 0, 'paragraph', 'Other', null, null, false, 's1'), ('dB', 'u2', 0, 'paragraph', 'Setting', null, null, false, null)) u(document_id, element_id, page_index, element_type, text, html, label, generated, section_id)"""
-_PATHS = "(values ('dA', 's1', 'Intro'), ('dA', 's2', 'Intro>Costs'), ('dB', 's1', 'Other')) p(document_id, section_id, path)"
-_PAGES = "(values ('dA', 0), ('dA', 1), ('dB', 0)) g(document_id, page_index)"
+_UNITS = sub("units", "u")
+_PATHS = sub("paths", "p")
+_PAGES = sub("pages_known", "g")
 _NORM = "array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce({c}, ''), '  +', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
 _BOTH = "array_to_string(list_filter([{a}, {b}], lambda x: x <> ''), chr(10))"
 
@@ -30,19 +29,19 @@ _BOTH = "array_to_string(list_filter([{a}, {b}], lambda x: x <> ''), chr(10))"
     select document_id, element_id, content, case when skipped is null then array_to_string(kept, chr(10)) end as search_text, skipped from o""")
 def search_unit_texts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is searched of each element, and why some are left out."""
-    units = spark.sql(f"select * from {_UNITS}".replace("chr(10)", "char(10)")).withColumn("page_index", F.col("page_index").cast("long"))
-    paths = spark.sql(f"select document_id, section_id, split(path, '>') as path from {_PATHS}")
-    return S.search_texts(units, paths, spark.sql(f"select * from {_PAGES}"))
+    units = select(spark, sf_dir, "select * from @units@").withColumn("page_index", F.col("page_index").cast("long"))
+    paths = select(spark, sf_dir, "select document_id, section_id, split(path, '>') as path from @paths@")
+    return S.search_texts(units, paths, select(spark, sf_dir, "select * from @pages_known@"))
 
 
-_LINES = "(values (1, '中文字 and 日本'), (2, 'Straße A-1.b 12%'), (3, ''), (4, '文')) v(id, line)"
+_LINES = sub("texts", "v")
 
 
 @query(f"""with c as (select id, i, substring(line, i, 2) as two from {_LINES}, range(1, 40) r(i) where i < length(line)), p as (select id, list(two order by i) as pairs from c where regexp_matches(two, '^[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]{{2}}$') group by id)
     select v.id, array_to_string(list_concat(list_transform(regexp_extract_all(line, '{T.TOKEN}'), lambda x: replace(lower(x), 'ß', 'ss')), coalesce(pairs, [])), ' ') as terms from {_LINES} left join p on p.id = v.id""")
 def search_terms_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and pairs of CJK characters."""
-    return spark.sql(f"select * from {_LINES}").select("id", F.array_join(T.search_terms(F.col("line")), " ").alias("terms"))
+    return select(spark, sf_dir, "select * from @texts@").select("id", F.array_join(T.search_terms(F.col("line")), " ").alias("terms"))
 
 
 _KEY = """substring(sha256('["' || query_id || '","' || element_id || '"]'), 1, 12)"""
@@ -67,75 +66,75 @@ def session_first_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_RESULTS = "(values ('x', 'bm25', 'q1', 'd1', 'v1'), ('x', 'dense', 'q1', 'd1', 'v1'), ('y', 'bm25', 'q1', 'd1', 'v1'), ('y', 'dense', 'q2', 'd1', 'v2'), ('z', 'bm25', 'q1', 'd1', null), ('z', 'exact', 'q1', 'd2', 'v1')) v(session, route, question_id, document_id, index_version)"
+_RESULTS = sub("results", "v")
 
 
 @query(f"""with x as (select session, 'question_id' as field, question_id as v from {_RESULTS} union all select session, 'document_id', document_id from {_RESULTS} union all select session, 'index_version', index_version from {_RESULTS})
     select session, field, string_agg(distinct coalesce(v, 'null'), ',' order by coalesce(v, 'null')) as "values" from x group by all having count(distinct coalesce(v, 'null')) > 1""")
 def session_identity_errors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.identity_errors(spark.sql(f"select * from {_RESULTS}"))
+    return S.identity_errors(select(spark, sf_dir, "select * from @results@"))
 
 
-_CANDIDATES = "(values ('e1', 'dA', 0, 'table'), ('e2', 'dA', 0, 'figure'), ('e3', 'dA', 1, 'table'), ('e9', 'dA', 0, 'table')) v(element_id, document_id, page_index, element_type)"
-_KNOWN = "(values ('e1', 'dA', 0, 'table'), ('e2', 'dB', 0, 'chart'), ('e3', 'dA', 2, 'table')) v(element_id, document_id, page_index, element_type)"
+_CANDIDATES = sub("candidates", "v")
+_KNOWN = sub("known_elements", "v")
 
 
-@query(f"""with k as (select * from {_KNOWN}), m as (select c.*, k.document_id as kd, k.page_index as kp, k.element_type as kt from (select * from {_CANDIDATES}) c left join k using (element_id))
-    select element_id, 'unknown_unit' as error from m where kd is null union all select element_id, 'other_document_id' from m where kd <> document_id union all select element_id, 'other_page_index' from m where kp <> page_index union all select element_id, 'other_element_type' from m where kt <> element_type""")
+@query(f"""with k as (select *, true as known from {_KNOWN}), m as (select c.*, k.known, k.page_index as kp, k.element_type as kt from (select * from {_CANDIDATES}) c left join k using (document_id, element_id))
+    select document_id, element_id, 'unknown_unit' as error from m where known is null union all select document_id, element_id, 'other_page_index' from m where kp <> page_index union all select document_id, element_id, 'other_element_type' from m where kt <> element_type""")
 def candidate_errors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.candidate_errors(spark.sql(f"select * from {_CANDIDATES}"), spark.sql(f"select * from {_KNOWN}"))
+    return S.candidate_errors(select(spark, sf_dir, "select * from @candidates@"), select(spark, sf_dir, "select * from @known_elements@"))
 
 
-_ROWS = "(values ('q', 't', 0, 'Year|Cost', true, 0), ('q', 't', 1, '2019|  4', false, 0), ('q', 't', 2, '2020|5', false, 3), ('q', 't', 3, '2021|6', false, 3), ('q', 't', 4, '2022|7', false, 1), ('q', 's', 0, 'a|b|c', false, 0), ('q', 's', 1, 'd|e', false, 2), ('q', 'h', 0, 'A|B|C', true, 0), ('q', 'h', 1, 'x|y', false, 1)) v(query_id, table_id, r, line, header, relevance)"
+_ROWS = sub("table_rows", "v")
 
 
 @query(f"""with v as (select * replace (array_to_string(list_transform(string_split(line, '|'), lambda x: trim(x)), ' | ') as line), string_split(line, '|')[1] as label, len(string_split(line, '|')) as n from {_ROWS}),
     h as (select query_id, table_id, arg_min(line, r) as header, arg_min(n, r) as hn from v where header group by all), b as (select *, lag(line) over w as before, lead(line) over w as after from v where not header window w as (partition by query_id, table_id order by r)),
     k as (select *, row_number() over (partition by query_id, table_id order by relevance desc, r) as k from b), o as (select * from k where k = 1)
-    select o.query_id, o.table_id, h.header, o.r as row, o.before, o.line as best, o.after, coalesce((select string_agg(label, ', ' order by r) from b where b.query_id = o.query_id and b.table_id = o.table_id and abs(b.r - o.r) > 1), '') as others,
+    select o.query_id, o.table_id, h.header, o.r as row, o.before, o.line as best, o.after, coalesce((select array_to_string((list(label order by r))[1:6], ', ') from b where b.query_id = o.query_id and b.table_id = o.table_id and abs(b.r - o.r) > 1), '') as others,
         coalesce((select bool_and(b.n = h.hn) from b where b.query_id = o.query_id and b.table_id = o.table_id), true) as aligned from o left join h on h.query_id = o.query_id and h.table_id = o.table_id""")
 def table_preview_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header, best row and its neighbours of each table."""
-    return S.table_preview(spark.sql(f"select query_id, table_id, r, split(line, '\\\\|') as cells, header, relevance from {_ROWS}"))
+    return S.table_preview(select(spark, sf_dir, "select query_id, table_id, r, split(line, '\\\\|') as cells, header, relevance from @table_rows@"))
 
 
 @query(f"""with t as (select *, max(relevance) over (partition by query_id, table_id) as top from {_ROWS} where relevance > 0), k as (select *, row_number() over (partition by query_id, table_id order by r) as place from t where relevance = top) select query_id, table_id, r, line, relevance as overlap, place from k where place <= 3""")
 def row_hints_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.row_hints(spark.sql(f"select query_id, table_id, r, line, relevance as overlap from {_ROWS}")).select("query_id", "table_id", "r", "line", "overlap", F.col("place").cast("long").alias("place"))
+    return S.row_hints(select(spark, sf_dir, "select query_id, table_id, r, line, relevance as overlap from @table_rows@")).select("query_id", "table_id", "r", "line", "overlap", F.col("place").cast("long").alias("place"))
 
 
-_SCOPES = "(values ('p', 'bm25', 1, 'content'), ('p', 'bm25', 2, 'metadata'), ('p', 'bm25', 6, 'metadata'), ('p', 'dense', 1, 'mixed'), ('q', 'bm25', 1, 'metadata'), ('q', 'dense', 5, 'metadata')) v(query_id, route, rank, scope)"
+_SCOPES = sub("scopes", "v")
 
 
 @query(f"select route, count(*) as shown, count(*) filter (scope = 'metadata') as metadata, count(distinct query_id) filter (scope = 'metadata') as queries from {_SCOPES} where rank <= 5 group by route")
 def scope_audit_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.scope_audit(spark.sql(f"select * from {_SCOPES}"))
+    return S.scope_audit(select(spark, sf_dir, "select * from @scopes@"))
 
 
-_SHARES = "(values (1, 'content', 'metadata', 0.1, 0.9), (2, 'metadata', 'mixed', 0.9, 0.1), (3, 'content', 'content', 0.2, 0.3), (4, 'metadata', 'metadata', 0.3, 0.2), (5, 'unknown', null, 0.1, null), (6, null, 'content', null, 0.4)) v(id, bm25, dense, bs, ds)"
+_SHARES = sub("shares", "v")
 
 
 @query(f"select id, case when coalesce(bm25 in ('content', 'mixed'), false) and not coalesce(dense in ('content', 'mixed'), false) then 'bm25' when coalesce(dense in ('content', 'mixed'), false) and not coalesce(bm25 in ('content', 'mixed'), false) then 'dense' when ds > bs then 'dense' else 'bm25' end as route from {_SHARES}")
 def preview_routes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"select * from {_SHARES}").select("id", A.preview_route(F.col("bm25"), F.col("dense"), F.col("bs"), F.col("ds")).alias("route"))
+    return select(spark, sf_dir, "select * from @shares@").select("id", A.preview_route(F.col("bm25"), F.col("dense"), F.col("bs"), F.col("ds")).alias("route"))
 
 
-_RANGES = "(values (1, 5, 8), (2, 0, 2), (3, 0, 2), (3, 6, 7), (4, null, null), (5, 3, 5)) v(id, start, stop)"
+_RANGES = sub("ranges", "v")
 
 
 @query(f"with v as (select id, start >= 4 and stop <= 9 as inside from {_RANGES}) select id, case when count(inside) = 0 then 'unknown' when bool_and(inside) then 'content' when bool_or(inside) then 'mixed' else 'metadata' end as scope from v group by id")
 def match_scopes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"select id, collect_list(case when start is not null then struct(start, stop) end) as ranges from {_RANGES} group by id")
+    rows = select(spark, sf_dir, "select id, collect_list(case when start is not null then struct(start, stop) end) as ranges from @ranges@ group by id")
     return rows.select("id", A.match_scope(F.col("ranges"), F.lit(4), F.lit(9)).alias("scope"))
 
 
-_ACTIONS = "(values ('a1', 'x', 1, 'e1,e2'), ('a2', 'x', 2, 'e3'), ('a3', 'y', 1, 'e1')) v(action_id, session, step, ids)"
-_VISIBLE = "(values ('x', 1, 'e1'), ('x', 2, 'e3'), ('x', 1, 'e3'), ('y', 2, 'e1')) v(session, step, id)"
+_ACTIONS = sub("actions", "v")
+_VISIBLE = sub("visible_ids", "v")
 
 
 @query(f"with a as (select action_id, session, step, unnest(string_split(ids, ',')) as id from {_ACTIONS}) select action_id, id from a where (session, step, id) not in (select (session, step, id) from {_VISIBLE})")
 def visible_id_errors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.visible_errors(spark.sql(f"select action_id, session, step, split(ids, ',') as ids from {_ACTIONS}"), spark.sql(f"select * from {_VISIBLE}"))
+    return S.visible_errors(select(spark, sf_dir, "select action_id, session, step, split(ids, ',') as ids from @actions@"), select(spark, sf_dir, "select * from @visible_ids@"))
 
 
 @query("select label as sha256, vec_id as shard, len(embedding) as dimensions from (select *, row_number() over (partition by label order by vec_id desc) as k from embeddings where label % 3 = 0) where k = 1")

@@ -10,7 +10,7 @@ from docloom.operators import continuation as C
 from docloom.operators import elements as E
 from docloom.operators import relations as X
 from docloom.operators import structure as S
-from docloom.plans.fixtures import cte, frame
+from docloom.plans.derived import cte, frame
 from docloom.plans.registry import query, read
 from docloom.plans.retrieval_queries import SQL_ELEMENTS
 
@@ -66,25 +66,25 @@ def sections_last_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {cte('fx_headings')} select doc, pos, level, title, (select max(pos) from fx_headings p where p.doc = h.doc and p.pos < h.pos and p.level < h.level
     and not exists (select 1 from fx_headings m where m.doc = h.doc and m.pos > p.pos and m.pos < h.pos and m.level < h.level)) as parent_pos from fx_headings h""")
 def heading_parents_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.parent_headings(frame(spark, "fx_headings"))
+    return E.parent_headings(frame(spark, sf_dir, "fx_headings"))
 
 
 @query(f"with {cte('fx_headings')} select doc, string_agg(repeat('  ', (level - 1)::int) || '- ' || title, chr(10) order by pos) as outline from fx_headings group by doc")
 def outline_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.outline_lines(frame(spark, "fx_headings"))
+    return S.outline_lines(frame(spark, sf_dir, "fx_headings"))
 
 
 _NUMBERED = f"{cte('fx_pages')}, n as (select document_id as doc, page_index, try_cast(label as bigint) as number from fx_pages)"
 
 
-def _pages(spark: SparkSession) -> DataFrame:
-    return frame(spark, "fx_pages").select(F.col("document_id").alias("doc"), "page_index", F.expr("try_cast(label as bigint)").alias("number"))
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "fx_pages").select(F.col("document_id").alias("doc"), "page_index", F.expr("try_cast(label as bigint)").alias("number"))
 
 
 @query(f"""with {_NUMBERED}, k as (select *, lead(page_index) over w as np, lead(number) over w as nn from n where number is not null window w as (partition by doc order by page_index))
     select doc, p as page_index, number + p - page_index as number from k, range(1, 100) x(p) where p > page_index and p < np and np - page_index <= 12 and nn - number = np - page_index""")
 def page_label_interpolation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.interpolate_labels(_pages(spark))
+    return S.interpolate_labels(_pages(spark, sf_dir))
 
 
 _RUNS = f"{_NUMBERED}, i as (select *, page_index - row_number() over (partition by doc order by page_index) as island, number - page_index as o from n where number is not null), r as (select doc, island, o as \"offset\", min(page_index) as first_page, max(page_index) as last_page, min(number) as first_number, count(*) as length from i group by all having count(*) >= 3)"
@@ -92,13 +92,13 @@ _RUNS = f"{_NUMBERED}, i as (select *, page_index - row_number() over (partition
 
 @query(f"with {_RUNS} select * from r")
 def page_label_runs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.label_runs(_pages(spark))
+    return S.label_runs(_pages(spark, sf_dir))
 
 
 @query(f"""with {_RUNS}, s as (select doc, first_page, first_number, coalesce((select max(page_index) from n where n.doc = r.doc and number is not null and page_index < first_page), -1) as q from r)
     select doc, p as page_index, first_number - first_page + p as number from s, range(0, 100) x(p) where p >= greatest(q + 1, first_page - first_number + 1) and p < first_page""")
 def page_label_backward_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.extrapolate_backward(_pages(spark), S.label_runs(_pages(spark)))
+    return S.extrapolate_backward(_pages(spark, sf_dir), S.label_runs(_pages(spark, sf_dir)))
 
 
 # Pairs of elements of a page (p), or of a page and the next (n), with the geometry that the rules ask for.
@@ -112,7 +112,7 @@ _NEXT = f"{cte('fx_elements')}, n as (select a.document_id, a.page_index, b.page
 
 @query(f"""with {_ON_PAGE} select document_id, a_element_id, b_element_id, round(sqrt(hg * hg + vg * vg), 6) as distance, sqrt(hg * hg + vg * vg) <= 0.1 as nearby, b_y2 <= a_y1 as above, b_y1 >= a_y2 as below, ho / least(aw, bw) >= 0.5 as same_column, ho * vo > 0 as overlapping from p""")
 def spatial_neighbours_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.neighbours(frame(spark, "fx_elements")).withColumn("distance", F.round("distance", 6))
+    return X.neighbours(frame(spark, sf_dir, "fx_elements")).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""with {cte('fx_elements')}, c as (select *, case when regexp_matches(lower(text), '^(table|tab)') then 'table' else 'figure' end as kind from fx_elements where element_type = 'caption'),
@@ -121,7 +121,7 @@ def spatial_neighbours_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         from c join t on c.document_id = t.document_id and c.kind = t.kind and abs(c.page_index - t.page_index) <= 1)
     select document_id, caption_id, target_id, case when same then 0.95 else 0.78 end::double as confidence from m where r = 1""")
 def caption_targets_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, "fx_elements")
+    rows = frame(spark, sf_dir, "fx_elements")
     return X.nearest_target(rows.where("element_type = 'caption'"), rows.where("element_type in ('table', 'figure', 'chart')"))
 
 
@@ -131,7 +131,7 @@ _MARKERS = f"""{cte('fx_elements')}, m as (select document_id, element_id as foo
 
 @query(f"with {_MARKERS} select * from t")
 def footnote_targets_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.marker_targets(frame(spark, "fx_elements"))
+    return X.marker_targets(frame(spark, sf_dir, "fx_elements"))
 
 
 @query(f"""with {_MARKERS}, j as (select t.*, f.page_index = e.page_index as same_page, greatest(0, f.y1 - e.y2, e.y1 - f.y2) as gap, abs(f.reading_order - e.reading_order) as reading, f.y1
@@ -140,15 +140,15 @@ def footnote_targets_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     select document_id, footnote_id, target_id, round(score, 6)::double as score, score >= 0.75 as confirmed from s""")
 def footnote_scores_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footnotes with the target that their marker names, scored by all signals."""
-    rows = frame(spark, "fx_elements")
+    rows = frame(spark, sf_dir, "fx_elements")
     return X.scored_footnotes(rows, X.marker_targets(rows))
 
 
 @query(f"""with {cte('fx_elements')}, {cte('fx_labels')}, k(kind, pattern) as (values ('figure', '(?i)\\b(?:figure|fig\\.?)\\s*([0-9]+(?:\\.[0-9]+)*[a-z]?|[IVX]+)\\b'), ('table', '(?i)\\b(?:table|tab\\.)\\s*([0-9]+(?:\\.[0-9]+)*[a-z]?|[IVX]+)\\b'), ('section', '(?i)\\b(?:section|sec\\.)\\s*([0-9]+(?:\\.[0-9]+)*)\\b')),
     m as (select distinct document_id, element_id as source_id, kind, page_index, section_id, unnest(regexp_extract_all(text, pattern, 1)) as number from fx_elements, k where element_type = 'paragraph')
-    select document_id, source_id, kind, number, arg_min(target_id, (case when m.section_id <> l.section_id then 1 else 0 end) * 1000000 + (100 - priority) * 1000 + abs(m.page_index - l.page_index)) as target_id, count(target_id) as candidates from m left join fx_labels l using (document_id, kind, number) group by all""")
+    select document_id, source_id, kind, number, (list(target_id order by (m.section_id <> l.section_id)::int, priority desc, abs(m.page_index - l.page_index), target_id))[1] as target_id, count(target_id) as candidates from m left join fx_labels l using (document_id, kind, number) group by all""")
 def reference_resolution_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.resolve_references(X.mentions(frame(spark, "fx_elements")), frame(spark, "fx_labels"))
+    return X.resolve_references(X.mentions(frame(spark, sf_dir, "fx_elements")), frame(spark, sf_dir, "fx_labels"))
 
 
 _WORDS = "list_distinct(string_split_regex(lower({c}), '\\s+'))"
@@ -162,7 +162,7 @@ _AT_EDGE = "(document_id, a_element_id) in (select (document_id, element_id) fro
         + case when {_SHARED} >= 0.5 then 0.2 else 0 end + case when regexp_matches(b_text, '(?i)continued|续') then 0.3 else 0 end + case when len(string_split_regex(trim(a_text), '\\s+')) = len(string_split_regex(trim(b_text), '\\s+')) then 0.1 else 0 end), 3)::double as score
         from n where a_element_type = 'table' and b_element_type = 'table' and {_AT_EDGE}) select * from s where score >= 0.5""")
 def table_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table_continuations(frame(spark, "fx_elements"))
+    return X.table_continuations(frame(spark, sf_dir, "fx_elements"))
 
 
 @query(f"""with {_NEXT}, {_BOUNDARY}, s as (select document_id, a_element_id as source_id, b_element_id as target_id, round(least(0.9, 0.10 + case when a_y2 >= 0.72 and b_y1 <= 0.30 then 0.25 else 0 end + case when a_section_id = b_section_id then 0.15 else 0 end
@@ -170,7 +170,7 @@ def table_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         + case when regexp_matches(a_text, '(?i)^\\s*(?:\\[[0-9]+\\]|[0-9]+\\.\\s).*\\b(?:19|20)[0-9]{{2}}\\b') and regexp_matches(b_text, '(?i)^\\s*(?:\\[[0-9]+\\]|[0-9]+\\.\\s).*\\b(?:19|20)[0-9]{{2}}\\b') then 0.15 else 0 end), 3)::double as score
         from n where a_element_type = 'list' and b_element_type = 'list' and {_AT_EDGE}) select * from s where score >= 0.65""")
 def list_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.list_continuations(frame(spark, "fx_elements"))
+    return C.list_continuations(frame(spark, sf_dir, "fx_elements"))
 
 
 @query(f"""with {_NEXT}, {_BOUNDARY}, s as (select document_id, a_element_id as source_id, b_element_id as target_id, round(least(0.9, 0.25 + case when a_y2 >= 0.80 then 0.15 else 0 end + case when b_y1 <= 0.25 then 0.15 else 0 end + case when a_section_id = b_section_id then 0.05 else 0 end
@@ -178,7 +178,7 @@ def list_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         - case when regexp_matches(b_text, '^\\s*(?:def|class|function|public|private|import|from|#include|package)\\b') then 0.10 else 0 end), 3)::double as score
         from n where a_element_type = 'code' and b_element_type = 'code' and {_AT_EDGE}) select * from s where score >= 0.60""")
 def code_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.code_continuations(frame(spark, "fx_elements"))
+    return C.code_continuations(frame(spark, sf_dir, "fx_elements"))
 
 
 _RX_SQL = lambda c, p: f"regexp_matches({c}, '{p}')"
@@ -193,19 +193,19 @@ _PAIR_SQL = ["document_id", "page_index", "far", *(f"{t}_{c}" for t in "ab" for
     r as (select *, row_number() over (partition by document_id, page_index, far order by score desc, a_reading_order desc, b_reading_order, a_element_id, b_element_id) as k from s where score >= 0.55)
     select document_id, page_index, page_index + far as target_page, a_element_id as source_id, b_element_id as target_id, score from r where k = 1""")
 def paragraph_continuation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.paragraph_continuations(frame(spark, "fx_elements"))
+    return X.paragraph_continuations(frame(spark, sf_dir, "fx_elements"))
 
 
 @query(f"with {cte('fx_relations')} select * exclude (r) from (select *, row_number() over (partition by document_id, relation_id order by origin desc) as r from fx_relations) where r = 1")
 def relation_union_later_wins_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.later_wins(frame(spark, "fx_relations"))
+    return X.later_wins(frame(spark, sf_dir, "fx_relations"))
 
 
 @query(f"""with {cte('fx_relations')}, {cte('fx_elements')}, x as (select document_id, element_id from fx_elements) select document_id, relation_id, 'unknown_source' as error from fx_relations where (document_id, source_id) not in (select (document_id, element_id) from x)
     union all select document_id, relation_id, 'unknown_target' from fx_relations where (document_id, target_id) not in (select (document_id, element_id) from x) union all select document_id, relation_id, 'self_relation' from fx_relations where source_id = target_id
     union all select document_id, relation_id, 'repeated_id' from fx_relations group by all having count(*) > 1 union all select document_id, relation_id, 'confidence_range' from fx_relations where confidence not between 0 and 1""")
 def referential_validation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.referential_errors(frame(spark, "fx_relations"), frame(spark, "fx_elements"))
+    return X.referential_errors(frame(spark, sf_dir, "fx_relations"), frame(spark, sf_dir, "fx_elements"))
 
 
 _REACH = "with recursive {cte}, f as (select * from fx_relations where kind = 'continues' and confidence >= 0.6), reach as (select document_id, source_id, target_id, 1 as hops from f union select r.document_id, r.source_id, f.target_id, r.hops + 1 from reach r join f on f.document_id = r.document_id and f.source_id = r.target_id where r.hops <= (select count(*) from f)) select document_id, source_id, target_id, min(hops) as hops from reach group by all"
@@ -214,13 +214,13 @@ _REACH = "with recursive {cte}, f as (select * from fx_relations where kind = 'c
 @query(_REACH.format(cte=cte("fx_relations")))
 def continuation_closure_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a continuation reaches, over any number of edges."""
-    return X.continuation_closure(frame(spark, "fx_relations"))
+    return X.continuation_closure(frame(spark, sf_dir, "fx_relations"))
 
 
 @query(f"""with {cte('fx_cells')} select table_id, r + i as row, c + j as col, count(*) as anchors, min(text) as text from fx_cells, range(0, 10) a(i), range(0, 10) b(j) where i < rowspan and j < colspan group by all""")
 def table_occupancy_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid that anchors with spans cover; a place with two anchors is an overlap."""
-    cells = frame(spark, "fx_cells").select("table_id", "text", F.explode(F.sequence("r", F.col("r") + F.col("rowspan") - 1)).alias("row"), "c", "colspan")
+    cells = frame(spark, sf_dir, "fx_cells").select("table_id", "text", F.explode(F.sequence("r", F.col("r") + F.col("rowspan") - 1)).alias("row"), "c", "colspan")
     return cells.select("table_id", "text", "row", F.explode(F.sequence("c", F.col("c") + F.col("colspan") - 1)).alias("col")).groupBy("table_id", "row", "col").agg(F.count("*").alias("anchors"), F.min("text").alias("text"))
 
 

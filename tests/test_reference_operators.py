@@ -248,6 +248,16 @@ def test_sections_and_state(spark):
     known = spark.createDataFrame([("a", "s1"), ("e", "s2")], "element_id string, section_id string")
     got = {r.element_id: r.section_id for r in SE.inherit_along(edges, known).collect()}
     assert got == {"a": "s1", "e": "s2", "b": "s1", "d": "s2"}  # c is reached from both sides at once
+    # documents with the same ids stay apart
+    two = lambda rows: [(d, *r) for d, own in rows.items() for r in own]
+    linked = spark.createDataFrame(two({"d": [("a", "b")], "z": [("b", "c")]}), "document_id string, a string, b string")
+    placed = spark.createDataFrame(two({"d": [("a", "s1")], "z": [("c", "s9"), ("a", "s8")]}), "document_id string, element_id string, section_id string")
+    assert sorted((r.document_id, r.element_id, r.section_id) for r in SE.inherit_along(linked, placed).collect()) == [("d", "a", "s1"), ("d", "b", "s1"), ("z", "a", "s8"), ("z", "b", "s9"), ("z", "c", "s9")]
+    votes = spark.createDataFrame(two({"d": [("f", "s1", 0.9, 0, "before"), ("f", "s2", 0.8, 0, "before")], "z": [("f", "s2", 0.95, 0, "before")]}), "document_id string, target_id string, section_id string, confidence double, pages int, side string")
+    resolved = SE.resolve_by_references(votes)
+    assert sorted((r.document_id, r.section_id) for r in resolved.collect()) == [("d", "s1"), ("z", "s2")]
+    bound = spark.createDataFrame(two({"d": [("c", "f", "caption_of")], "z": [("c", "f", "caption_of"), ("k", "f", "contains")]}), "document_id string, source_id string, target_id string, kind string")
+    assert sorted(tuple(r) for r in SE.inherit(bound, resolved).collect()) == [("d", "c", "s1"), ("z", "c", "s2")]
     heads = [("d", p, 0, t, f, False) for p, t, f in ((0, "Local label", False), (1, "Local label", False), (2, "Local label", False), (0, "", False), (0, "see www.x.com", False), (0, "Top", True), (0, "12%", False), (0, "This is a whole sentence.", False), (0, "Fine Title", False))]
     out = SE.eligibility(spark.createDataFrame(heads, "doc string, page int, pos int, text string, is_furniture boolean, after_table boolean")).collect()
     assert sorted(r.reason or "-" for r in out) == sorted(["repeated_local_label"] * 3 + ["empty", "contact_or_url", "running_header_footer", "local_statistic", "functional_sentence", "-"])
@@ -282,7 +292,13 @@ def test_layout_continuations(spark):
     assert pairs(CO.panel_members(e, spark.createDataFrame([("d", "k1", "v1")], "document_id string, caption_id string, target_id string"))) == [("k1", "v2")]
     heads = spark.createDataFrame([("g", 0, ["A"]), ("g", 1, None)], "group_id string, fragment_index int, headers array<string>")
     assert [r.headers for r in CO.inherited_headers(heads).collect()] == [["A"], ["A"]]
-    found = {(r.group_id, r.fragment_index): (r.row_start, r.row_end, r.header_rows) for r in QUERIES["table_fragments_fx"](spark, "").collect()}
+    whole = ["h", "a", "b", "c", "d"]
+    parts = [("g", 0, ["h", "a", "b"], whole), ("g", 1, ["h", "c", "d"], whole), ("k", 0, ["h", "a"], whole), ("k", 1, ["x"], whole)]
+    # a second document's table of the same name holds other rows
+    parts = [("d", *p) for p in parts] + [("e", "g", 0, ["y"], ["y", "z"]), ("e", "g", 1, ["z"], ["y", "z"])]
+    placed = CO.fragment_positions(spark.createDataFrame(parts, "document_id string, group_id string, fragment_index int, rows array<string>, whole array<string>")).collect()
+    assert [(r.row_start, r.row_end) for r in sorted(placed, key=lambda r: r.fragment_index) if r.document_id == "e"] == [(0, 1), (1, 2)]
+    found = {(r.group_id, r.fragment_index): (r.row_start, r.row_end, r.header_rows) for r in placed if r.document_id == "d"}
     assert found == {("g", 0): (0, 3, 0), ("g", 1): (3, 5, 1), ("k", 0): (0, 2, 0), ("k", 1): (None, None, None)}
 
 
