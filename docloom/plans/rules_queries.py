@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from docloom.lineage import cut_lineage
 from docloom.operators import rules as N
 from docloom.operators.audit import rule_coverage
+from docloom.operators.coverage import recover
 from docloom.operators.normalize import CODE_SIGNS
-from docloom.plans.derived import cte, frame, select, sub
+from docloom.plans.derived import cte, duck, frame, select, sub
 from docloom.plans.registry import query
 
 #: Elements as a parser may have them: some code is an algorithm, some footnotes stand inside figures.
@@ -80,3 +81,24 @@ def normalization_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structure_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section of every element, by all passes in order."""
     return N.structure(*_tables(spark, sf_dir))["sections"]
+
+
+#: Blocks of pages as a parser found them: of three one whole, one by its first half, one not at all; and as they were printed.
+_HALF = "cast(floor(length(text) / 2) as int)"
+_FOUND_BLOCKS = f"""select 'p' || page_id as document_id, 'b' || pos as element_id, cast(floor(pos / 20) as bigint) as page_index, pos as reading_order, 'paragraph' as element_type, case when pos % 3 = 1 then substring(text, 1, {_HALF}) else text end as text,
+    1e-1 as x1, (pos % 20) / 20e0 as y1, 9e-1 as x2, (pos % 20 + 0.9e0) / 20e0 as y2 from @blocks@ as b where pos % 3 > 0"""
+_PRINTED_BLOCKS = "select 'p' || page_id as document_id, cast(floor(pos / 20) as bigint) as page_index, 'l' || pos as line_id, text, 1e-1 as x1, (pos % 20) / 20e0 as y1, 9e-1 as x2, (pos % 20 + 0.9e0) / 20e0 as y2 from @blocks@ as b where text <> ''"
+
+
+@query()
+def recovered_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the printed blocks of pages say beyond the blocks that were found."""
+    return recover(select(spark, sf_dir, _PRINTED_BLOCKS), select(spark, sf_dir, _FOUND_BLOCKS))
+
+
+@query(f"""with b as (select * from {duck('@blocks@')}), p as (select page_id, count(*) filter (pos % 3 = 0 and text <> '') as lost, sum(case when pos % 3 = 0 then len(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) else 0 end) as chars from b group by page_id)
+    select 'p' || page_id as document_id, lost, chars::bigint as chars from p where lost > 0""")
+def recovered_blocks_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that were not found at all, and their letters and digits: all of them come back, once."""
+    rows = recover(select(spark, sf_dir, _PRINTED_BLOCKS), select(spark, sf_dir, _FOUND_BLOCKS)).where("cast(substring(line_id, 2, 9) as int) % 3 = 0")
+    return rows.groupBy("document_id").agg(F.countDistinct("line_id").alias("lost"), F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))).alias("chars"))
