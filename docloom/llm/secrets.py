@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of key characters with a digit, what a name with a naming word is assigned, what follows "bearer", a known shape
-of keys, or a private-key block (to its end line, or where that is missing as far as lines of key characters go). The
+A candidate is a run of key characters with a digit, what a name with a naming word is assigned (in quotes: all up to the closing one on
+its line, spaces too), the password of a URL, what follows "bearer", a known shape of keys, or a private-key block (to its end line, or where that is missing as far as lines of key characters go). The
 forest sees its length, character classes and transitions, entropy, how much of it a dictionary covers, whether it
 looks like a path, URL, UUID or placeholder, and the words next to it. It is trained from labelled findings; the ones
 shipped are generated by labelled_findings() from a fixed seed, others may be given.
@@ -49,6 +49,7 @@ _SHAPE = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{8,}|"
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{8,})"
 )
+_URL = re.compile(r"://[^\s/@:\"'<>]*:([^\s/@\"'<>]{4,})@")
 _BEARER = re.compile(r"(?i:(?<![A-Za-z])bearer)[ \t]+([A-Za-z0-9._~+/=\-]{12,})")
 _PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]*PRIVATE KEY)-----")
 _PEM_LINES = re.compile(r"(?:(?:\s|\\[nr]){0,4}[A-Za-z0-9+/]{16,}={0,2})*")
@@ -94,12 +95,22 @@ def _naming(m: re.Match | None) -> bool:
 def _assigned(text: str) -> Iterator[tuple[int, int, int]]:
     """(start of the name, start, end) of what naming names are assigned; where that is itself an assignment by such a name, its own."""
     done = 0
+    unclosed: set[str] = set()  # quotes of which no further one follows
     for m in _ASSIGN.finditer(text):
         if m.start() < done or not _naming(m):
             continue
         inner = _ASSIGN.match(text, m.end())
         if _naming(inner) and _BEGUN.match(text, inner.end()):
             continue
+        quote = text[m.end() - 1]
+        if quote in "\"'" and quote not in unclosed:
+            end = text.find(quote, m.end())
+            if end < 0:
+                unclosed.add(quote)
+            elif end - m.end() >= 6 and text.find("\n", m.end(), end) < 0 and " " in text[m.end() : end].strip():
+                done = end
+                yield m.start(), m.end(), done
+                continue
         if value := _VALUE.match(text, m.end()):
             done = value.end()
             yield m.start(), value.start(), done
@@ -134,6 +145,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 out.append((s, e, "assigned"))
                 taken += _gaps(name, e, blocks)
         taken.sort()
+    if "://" in text:
+        urls = [m.span(1) for m in _URL.finditer(text)]
+        urls = [c for c in urls if list(_gaps(*c, taken)) == [c]]
+        out += [(*c, "url") for c in urls]
+        taken = sorted(taken + urls)
     shapes = sorted([m.span() for m in _SHAPE.finditer(text)] + [m.span(1) for m in _BEARER.finditer(text)])
     shapes = [c for k, c in enumerate(shapes) if not k or c[0] >= max(x[1] for x in shapes[k - 1 : k])]
     shapes = [c for c in shapes if list(_gaps(*c, taken)) == [c]]
@@ -180,7 +196,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         -sum(c / n * math.log2(c / n) for c in Counter(value).values()), float(all(c in string.hexdigits for c in value)), _dictionary(value),
         value.count("/") / n * 10, value.count(".") / n * 10, float(bool(_UUID.fullmatch(value))), float(bool(_HOLD.search(value))), float(bool(_MADE.search(value))) + 2 * (kind == "private_key"),
         float(bool(_FOR.search(near))), float(bool(_AGAINST.search(near)) or bool(re.match(r"(?i)\W*(?:commit|checksum|revision)", after))), float(bool(re.search(r"[:=]\s*[\"']?$", near))),
-        float(near[-1:] in "\"'" and near != ""), float(value.isdigit()), longest / n, steps_ / n, float(kind == "assigned"), float(bool(re.search(r"(?i)(?:https?:/|www\.|@)\S*$", near)) or "://" in value),
+        float(near[-1:] in "\"'" and near != ""), float(value.isdigit()), longest / n, steps_ / n, float(kind in ("assigned", "url")), float(bool(re.search(r"(?i)(?:https?:/|www\.|@)\S*$", near)) or "://" in value),
     ]
 
 
@@ -196,7 +212,11 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, int,
         lambda: pick(hexa, r.choice((32, 40, 40, 48, 64))), lambda: pick(hexa, r.choice((32, 40, 64))).upper(), lambda: pick(b64, r.choice((24, 32, 40, 44, 64, 88))), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
         lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(string.ascii_letters + string.digits, 24),
         lambda: "eyJ" + pick(b64[:-2], 20) + "." + pick(b64[:-2], 40) + "." + pick(b64[:-2], 43), lambda: pick(string.ascii_letters + string.digits + "!#%&", r.randint(10, 18)), lambda: word().capitalize() + str(r.randint(10, 9999)) + r.choice("!#%") + pick(lower_, 3),
+        lambda: word() + pick(string.digits, r.randint(1, 3)) + word(),
     )
+    schemes = ("postgres", "mysql", "redis", "amqp", "https", "ftp", "mongodb+srv")
+    phrase = lambda: " ".join(word() if r.random() < 0.5 else pick(lower_, r.randint(3, 8)) for _ in range(r.randint(2, 5))) + r.choice(("", "", pick(string.digits, 2), "!"))
+    sentence = lambda: prose(r.randint(6, 14)).capitalize() + r.choice((".", ", " + prose(3) + "."))
     others = (
         lambda: (r.choice(("commit ", "Revision: ", "merged commit ")), pick(hexa, 40)), lambda: (r.choice(("md5: ", "sha1sum ", "checksum = ", "sha256: ", "ETag: ")), pick(hexa, r.choice((32, 40, 64)))),
         lambda: (r.choice(("id=", "uuid: ", "request ", "guid ")), "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))), lambda: ("see https:", "//www." + word() + ".com/" + "/".join(word() for _ in range(3)) + "/" + pick(string.digits, 4)),
@@ -218,6 +238,20 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, int,
                 lead, q, kind = r.choice(("Bearer ", "Authorization: Bearer ", "bearer ")), "", "run"
                 value = r.choice((lambda: pick(string.ascii_letters, r.randint(16, 48)), lambda: pick(b64[:-2] + "-_", r.randint(20, 60))))()
             head, tail = prose(r.randint(0, 8)) + " " + lead + q, q + " " + prose(r.randint(0, 8))
+            rare = r.random()
+            if rare < 0.06:  # a passphrase in quotes
+                q, kind, value = r.choice(('"', "'")), "assigned", phrase()
+                head, tail = prose(r.randint(0, 8)) + " " + r.choice(("password", "passphrase", "db_password", "secret", "DB_PASSWORD")) + r.choice((" = ", "=", ": ")) + q, q + " " + prose(r.randint(0, 8))
+            elif rare < 0.14:  # the password of a URL
+                kind, value = "url", r.choice((lambda: pick(string.ascii_letters + string.digits, r.randint(8, 24)), lambda: word() + pick(string.digits, 2) + word(), lambda: pick(hexa, 32)))()
+                head, tail = prose(r.randint(0, 8)) + " " + r.choice(schemes) + "://" + word() + ":", "@" + word() + r.choice((".example.com", ".local:5432/" + word(), "/" + word()))
+        elif r.random() < 0.08:
+            if r.random() < 0.5:  # a sentence in quotes
+                q, kind, secret, value = '"', "assigned", 0, sentence()
+                head, tail = prose(r.randint(0, 8)) + " " + r.choice(("token", "secret", "password", "credentials")) + r.choice((": ", " = ")) + q, q + " " + prose(r.randint(0, 8))
+            else:  # what stands for a password in a URL
+                kind, secret, value = "url", 0, r.choice(("password", "PASSWORD", "pass", "secret", "passwd", "your_password", "xxxxxxxx", "********", "${DB_PASSWORD}", "changeme", "<password>"[1:-1]))
+                head, tail = prose(r.randint(0, 8)) + " " + r.choice(schemes) + "://" + r.choice(("user", "USER", word())) + ":", "@" + word() + ".example.com"
         else:
             lead, value = r.choice(others)()
             kind, secret = "assigned" if any(_assigned(lead + value)) else "run", 0
