@@ -1,0 +1,33 @@
+"""What built-in functions cannot say, as functions of Spark: a table function of tokens with their places, and an aggregate of grouped values.
+
+    rows.lateralJoin(token_table(F.col("text").outer()))
+    rows.groupBy("k").agg(trimmed_mean("v"))
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+from docloom.functions.chunking import token_spans
+
+
+class _Tokens:
+    def eval(self, text: str) -> Iterator[tuple[str, int, int]]:
+        for start, stop, term in token_spans(text or ""):
+            yield term, start, stop
+
+
+#: (term, start, stop) of each token, in code points; it goes through Arrow.
+token_table = udtf(_Tokens, returnType=StructType([StructField("term", StringType()), StructField("start", IntegerType()), StructField("stop", IntegerType())]), useArrow=True)
+
+
+@pandas_udf(DoubleType())
+def trimmed_mean(values: pd.Series) -> float:
+    """The mean without the lowest and the highest tenth (rounded down) of the values that are not null; null of none."""
+    own = values.dropna().sort_values()
+    cut = len(own) // 10
+    return float(own.iloc[cut : len(own) - cut].mean()) if len(own) else None
