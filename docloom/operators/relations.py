@@ -106,21 +106,61 @@ def scored_footnotes(elements: DataFrame, targets: DataFrame, parser: DataFrame
     return met.select(DOC, "footnote_id", "target_id", F.round(score, 6).alias("score"), (score >= least).alias("confirmed"))
 
 
+_ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
+_TABLE_LABEL = r"(?i)\b(?:table|tab\.)\s*([0-9]+(?:\.[0-9]+)*[a-z]?|[IVX]+)\b"
+_FORM_LABEL = r"(?i)^\s*([0-9]+(?:\.[0-9]+)*)\s*[.)]?\s+.{0,180}?\bTable\b\s*[:.]?"
+
+
+def table_columns(html: Column) -> Column:
+    """Cells of the first row, or null."""
+    n = F.size(F.regexp_extract_all(F.regexp_extract(html, _ROW, 1), F.lit(r"(?i)<t[hd]\b"), F.lit(0)))
+    return F.when(n > 0, n)
+
+
+def table_header_tokens(html: Column) -> Column:
+    """Different words of the first two rows, of two letters or digits at least, folded."""
+    rows = F.slice(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_ROW), F.lit(1)), 1, 2)
+    words = F.regexp_extract_all(F.regexp_replace(F.array_join(rows, " "), r"<[^>]+>", " "), F.lit(r"[A-Za-z0-9]+"), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 1), F.lower))
+
+
+def table_title_label(text: Column) -> Column:
+    """The number of "Table 5", or of a form's "5. ... Table"; null without one."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " "), r"\s+", " "))
+    explicit, form = F.regexp_extract(plain, _TABLE_LABEL, 1), F.regexp_extract(plain, _FORM_LABEL, 1)
+    return F.lower(F.when(explicit != "", explicit).when(form != "", form))
+
+
+def with_table_profiles(elements: DataFrame, captions: DataFrame | None = None) -> DataFrame:
+    """elements(..., html) with columns, header and label of each table; captions(document_id, target_id, text) name tables whose own text does not."""
+    rows = elements.withColumns({"columns": table_columns(F.col("html")), "header": table_header_tokens(F.col("html")), "label": F.coalesce(table_title_label(F.col("text")), table_title_label(F.col("html")))})
+    if captions is None:
+        return rows
+    named = captions.withColumn("_named", table_title_label(F.col("text"))).where("_named is not null").groupBy(DOC, F.col("target_id").alias("element_id")).agg(F.min("_named").alias("_named"))
+    return rows.join(named, [DOC, "element_id"], "left").withColumn("label", F.coalesce("label", "_named")).drop("_named")
+
+
 def table_continuations(elements: DataFrame, least: float = 0.5) -> DataFrame:
-    """The last table of a page with the first of the next, scored by place, columns, header words and what the text says. `columns`, where there is one, is a table's number of columns; else its words are counted."""
+    """The last table of a page with the first of the next, scored by place, columns, header words and what the text says.
+
+    columns, header and label are those of with_table_profiles(), where elements have them; else words of the text are counted and compared. Tables of two different labels are two tables:
+    nothing joins them.
+    """
     tables = elements.where("element_type = 'table'")
     order = lambda *c: Window.partitionBy(DOC, "page_index").orderBy(*c)
     last = tables.withColumn("rn", F.row_number().over(order(F.desc("reading_order")))).where("rn = 1").drop("rn")
     first = tables.withColumn("rn", F.row_number().over(order("reading_order"))).where("rn = 1").drop("rn")
     a, b = sides(last)[0], sides(first)[1]
-    words = lambda p: F.array_distinct(F.split(F.lower(f"{p}text"), r"\s+"))
+    words = lambda p: F.col(f"{p}header") if "header" in elements.columns else F.array_distinct(F.split(F.lower(f"{p}text"), r"\s+"))
     columns = lambda p: F.col(f"{p}columns") if "columns" in elements.columns else F.size(F.split(F.trim(f"{p}text"), r"\s+"))
-    jaccard = F.size(F.array_intersect(words("a_"), words("b_"))) / F.size(F.array_union(words("a_"), words("b_")))
+    jaccard = F.size(F.array_intersect(words("a_"), words("b_"))) / F.greatest(F.size(F.array_union(words("a_"), words("b_"))), F.lit(1))
     alike = (F.abs((F.col("a_x2") - F.col("a_x1")) - (F.col("b_x2") - F.col("b_x1"))) <= 0.1) & (F.abs((F.col("a_x1") + F.col("a_x2")) - (F.col("b_x1") + F.col("b_x2"))) <= 0.2)
     said = F.rlike("b_text", F.lit("(?i)continued|续"))
     rules = (((F.col("a_y2") >= 0.68) & (F.col("b_y1") <= 0.25), 0.1), (alike, 0.1), (jaccard >= 0.5, 0.2), (said, 0.3), (columns("a_") == columns("b_"), 0.1))
     score = sum((F.when(F.coalesce(rule, F.lit(False)), points).otherwise(0.0) for rule, points in rules), F.lit(0.2))
     met = a.join(b, (F.col("a_document_id") == F.col("b_document_id")) & (F.col("a_page_index") + 1 == F.col("b_page_index"))).withColumn("score", F.round(F.least(F.lit(0.9), score), 3))
+    if "label" in elements.columns:
+        met = met.where(F.coalesce(F.col("a_label") == F.col("b_label"), F.lit(True)))
     return met.where(F.col("score") >= least).select(F.col("a_document_id").alias(DOC), F.col("a_element_id").alias("source_id"), F.col("b_element_id").alias("target_id"), "score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import relations as X
 from docloom.operators import tables as T
 from docloom.plans.registry import query, read
 
@@ -51,3 +52,21 @@ def table_view_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = T.cells(T.views(order_tables(spark, sf_dir))).where("not header")
     turn = F.col("cell") - F.min("cell").over(Window.partitionBy("table_id", "r"))
     return found.withColumn("turn", turn).select("table_id", F.col("r").cast("long").alias("r"), F.element_at(F.array(*map(F.lit, ("first", "second", "third"))), (F.col("turn") + 1).cast("int")).alias("kind"), F.least("turn", "c").cast("int").alias("c_min"), F.col("rowspan").cast("long").alias("rowspan"), "text")
+
+
+#: The orders of a customer as tables on pages that follow one another; o tells how many columns one has and whether it says its number.
+_ORDER_PAGES = """select 'c' || o_custkey as document_id, 't' || o as element_id, row_number() over (partition by o_custkey order by o) - 1 as page_index, 0 as reading_order, 'table' as element_type,
+    case o % 5 when 0 then 'Table ' || (o % 3 + 1) || ': lines' when 1 then (o % 3 + 1) || '. The big Table: lines' when 2 then 'continued' else 'lines' end as text,
+    '<table><tr><th>Flag</th><th>' || p || '</th>' || case when o % 2 = 0 then '<th>Part</th>' else '' end || '</tr><tr><td>' || s || '</td><td>x1</td></tr></table>' as html, 1e-1 as x1, case when o % 4 = 0 then 5e-1 else 1e-1 end as y1, case when o % 7 = 0 then 5e-1 else 9e-1 end as x2, 95e-2 as y2
+    from (select o_custkey, o_orderkey as o, o_orderpriority as p, o_orderstatus as s from {0}) as orders_"""
+_WORDS = "list_distinct(list_transform(list_filter(regexp_extract_all('Flag ' || p || case when o % 2 = 0 then ' Part' else '' end || ' ' || s || ' x1', '[A-Za-z0-9]+'), lambda w: length(w) > 1), lambda w: lower(w)))"
+
+
+@query(f"""with e as (select o_custkey as c, o_orderkey as o, o_orderpriority as p, o_orderstatus as s, row_number() over (partition by o_custkey order by o_orderkey) - 1 as page, case when o_orderkey % 5 < 2 then (o_orderkey % 3 + 1)::varchar end as label from orders), w as (select *, {_WORDS} as words from e),
+    m as (select a.c, a.o as oa, b.o as ob, 0.2 + case when b.o % 4 > 0 then 0.1 else 0 end + case when (a.o % 7 = 0) = (b.o % 7 = 0) then 0.1 else 0 end + case when 2 * len(list_intersect(a.words, b.words)) >= len(list_distinct(list_concat(a.words, b.words))) then 0.2 else 0 end
+        + case when b.o % 5 = 2 then 0.3 else 0 end + case when a.o % 2 = b.o % 2 then 0.1 else 0 end as score from w a join w b on a.c = b.c and b.page = a.page + 1 where a.label is null or b.label is null or a.label = b.label)
+    select 'c' || c as document_id, 't' || oa as source_id, 't' || ob as target_id, round(least(0.9, score), 3)::double as score from m where round(least(0.9, score), 3) >= 0.5""")
+def table_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that go on from page to page by their columns, header words and labels; of two numbers nothing goes on."""
+    rows = spark.sql(_ORDER_PAGES.format("{o}"), o=read(spark, sf_dir, "orders"))
+    return X.table_continuations(X.with_table_profiles(rows))

@@ -60,3 +60,22 @@ def test_issues_and_categories(spark):
     assert T.views(spark.createDataFrame([], "table_id string, html string")).count() == 0
     twice = T.cells(T.views(spark.createDataFrame([("t", "<table><tr><td>a</table>")] * 2, "table_id string, html string")))
     assert twice.count() == 2
+
+
+def test_profiles_and_identity(spark):
+    from pyspark.sql import functions as F
+
+    from docloom.operators import relations as X
+
+    cases = [("Table 5: x", "5"), ("see tab. IV", "iv"), ("5.2) The long Table: y", "5.2"), ("5 things", None), ("<b>Table</b> 7", "7"), (None, None), ("tables 3", None)]
+    assert [r[0] for r in spark.createDataFrame([(c,) for c, _ in cases], "t string").select(X.table_title_label(F.col("t"))).collect()] == [n for _, n in cases]
+    html = "<TABLE><TR class=a><th>Year</th><TD>Net cost</TD></TR><tr><td>Year<td>a 12</tr><tr><td>never</tr></TABLE>"
+    got = spark.createDataFrame([(html,), (None,), ("<table></table>",)], "h string").select(X.table_columns(F.col("h")), F.array_sort(X.table_header_tokens(F.col("h")))).collect()
+    assert [tuple(r) for r in got] == [(2, ["12", "cost", "net", "year"]), (None, []), (None, [])]
+    schema = "document_id string, element_id string, page_index long, reading_order long, element_type string, text string, html string, x1 double, y1 double, x2 double, y2 double"
+    page = lambda d, e, p, text: (d, e, p, 0, "table", text, html, 0.1, 0.1, 0.9, 0.9)
+    rows = spark.createDataFrame([page("d", "a", 0, "Table 1"), page("d", "b", 1, "Table 2"), page("d", "c", 2, None), page("d", "e", 3, "Table 2"), page("z", "a", 0, None), page("z", "b", 1, None)], schema)
+    pairs = lambda *c: sorted((r.document_id, r.source_id, r.target_id) for r in X.table_continuations(X.with_table_profiles(rows, *c)).collect())
+    assert pairs() == [("d", "b", "c"), ("d", "c", "e"), ("z", "a", "b")]
+    named = spark.createDataFrame([("d", "c", "Table 9 of it"), ("z", "a", "Figure 1"), ("d", "a", "Table 3")], "document_id string, target_id string, text string")
+    assert pairs(named) == [("z", "a", "b")]
