@@ -5,12 +5,17 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _left: dict[str, SparkSession] = {}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing: dict[str, tuple[int, str | None]] = {}  # session -> writers at work, and the setting before the first
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +38,25 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go at the end of the jobs inside; writers of one session that overlap set this once and put it back once."""
+    key = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _writing.get(key, (0, spark.conf.get(_CLEAN, None)))
+        _writing[key] = (n + 1, before)
+        spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing[key]
+            _writing[key] = (n - 1, before)
+            if n == 1:
+                del _writing[key]
+                spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def cut_lineage(rows: DataFrame) -> DataFrame:
     """The rows, written as a table to the shared folder and read back; the shuffle files of the job that made them go at its end.
 
@@ -40,12 +64,8 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _cleaned(spark):
         rows.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(rows.schema).parquet(path)
     out._cut_path = path
     _left[path] = spark
