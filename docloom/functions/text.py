@@ -130,6 +130,28 @@ def label_numbers(kind: str, c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(LABELS[kind]), F.lit(1)), lambda x: F.lower(x))
 
 
+# Fixed patterns of the numbers that labels have: the number, and a part of it in brackets or behind it. The first one that matches counts.
+_PART = r"[A-Za-z](?:\s*[-\x{2012}\x{2013}\x{2014}]\s*[A-Za-z])?"
+_PARTS = rf"(?:\s*(?:\(\s*({_PART})\s*\)|({_PART})))?(?![A-Za-z0-9_])"
+LABEL_NUMBERS = {
+    "figure": (rf"(?i)(?:Figure|Fig\.?)\s*([0-9]+|(?-i:[IVXLCDM]+)){_PARTS}", rf"(?i)图\s*([0-9]+){_PARTS}"),
+    "table": (rf"(?i)Table\s*([0-9]+|(?-i:[IVXLCDM]+)){_PARTS}", rf"(?i)表\s*([0-9]+){_PARTS}"),
+    "section": (r"^\s*([0-9]+(?:\.[0-9]+)*)(?=$|[^\d.]|\.(?!\d))", r"(?i)^\s*([IVXLCDM]+)(?=$|\s|[:.\-])", r"第\s*([0-9]+(?:\.[0-9]+)*)\s*节"),
+    "listing": (r"(?i)Listing\s*([0-9]+)(?![A-Za-z0-9_])",),
+}
+
+
+def label_number(kind: str, c: Column) -> Column:
+    """The number of the first label of a kind in the text, with its part: "2", "iv", "3a", "3a-c"; null without one."""
+    found = []
+    for pattern in LABEL_NUMBERS[kind]:
+        base = F.lower(F.regexp_extract(c, pattern, 1))
+        part = F.concat(F.regexp_extract(c, pattern, 2), F.regexp_extract(c, pattern, 3)) if kind in ("figure", "table") else F.lit("")
+        part = F.lower(F.regexp_replace(F.regexp_replace(part, r"\s+", ""), r"[\x{2012}\x{2013}\x{2014}]", "-"))
+        found.append(F.when(base != "", F.concat(base, part)))
+    return F.coalesce(*found)
+
+
 def recall_terms(c: Column, stop: tuple[str, ...] = ("the", "a", "an", "of", "in", "and", "or", "to", "is", "are", "was", "were", "what", "which", "how", "many", "for", "on", "by", "with")) -> Column:
     """Distinct folded alphanumerics, decimals and percentages whole, without stop words."""
     found = F.transform(F.regexp_extract_all(c, F.lit(r"[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{N}]+"), F.lit(0)), casefold)

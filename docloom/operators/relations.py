@@ -208,6 +208,35 @@ def referential_errors(relations: DataFrame, elements: DataFrame) -> DataFrame:
     return out.union(named("confidence is null or isnan(confidence) or confidence < 0 or confidence > 1", "confidence_range")).union(named("kind is null", "no_kind"))
 
 
+def document_errors(pages: DataFrame, elements: DataFrame, sections: DataFrame, relations: DataFrame) -> DataFrame:
+    """What the tables of documents name that is not there: (document_id, owner, id, error, missing).
+
+    pages(document_id, page_id, element_ids), elements(document_id, element_id, page_id, section_id), sections(document_id, section_id, heading_id, parent_id, page_ids, element_ids), relations(document_id, relation_id, source_id, target_id).
+    Ends of relations may be elements, pages or sections of their document. Null lists are empty; a null section or parent names nothing, a null page, heading or end is missing.
+    """
+    ids = lambda rows, c: rows.select(DOC, F.col(c).alias("missing")).distinct()
+    known = {"element": ids(elements, "element_id"), "page": ids(pages, "page_id"), "section": ids(sections, "section_id")}
+    anything = known["element"].union(known["page"]).union(known["section"]).distinct()
+
+    def named(rows: DataFrame, owner: str, missing: Column, error: str, optional: bool = False) -> DataFrame:
+        out = rows.select(DOC, F.lit(owner).alias("owner"), F.col(f"{owner}_id").alias("id"), F.lit(error).alias("error"), missing.alias("missing"))
+        return out.where("missing is not null") if optional else out
+
+    held = pages.select(DOC, "page_id", F.explode("element_ids").alias("element_id"))
+    of_section = lambda c: sections.select(DOC, "section_id", F.explode(c).alias("x"))
+    parts = [
+        (named(relations, "relation", F.col("source_id"), "missing_source"), anything), (named(relations, "relation", F.col("target_id"), "missing_target"), anything),
+        (named(held, "page", F.col("element_id"), "missing_element"), known["element"]), (named(elements, "element", F.col("page_id"), "missing_page"), known["page"]), (named(elements, "element", F.col("section_id"), "missing_section", True), known["section"]),
+        (named(sections, "section", F.col("heading_id"), "missing_heading"), known["element"]), (named(sections, "section", F.col("parent_id"), "missing_parent", True), known["section"]),
+        (named(of_section("page_ids"), "section", F.col("x"), "missing_page"), known["page"]), (named(of_section("element_ids"), "section", F.col("x"), "missing_element"), known["element"]),
+    ]
+    other = held.join(elements.select(DOC, "element_id", F.col("page_id").alias("own")).distinct(), [DOC, "element_id"]).where(F.coalesce(F.col("own") != F.col("page_id"), F.lit(True)))
+    out = other.select(DOC, F.lit("element").alias("owner"), F.col("element_id").alias("id"), F.lit("other_page").alias("error"), F.col("page_id").alias("missing"))
+    for rows, there in parts:
+        out = out.unionByName(rows.join(there, [DOC, "missing"], "left_anti"))
+    return out
+
+
 def continuation_closure(relations: DataFrame, least: float = 0.6) -> DataFrame:
     """relations(document_id, source_id, target_id, kind, confidence) -> (document_id, source_id, target_id, hops): all that a chain of continuations reaches, by its shortest path."""
     edges = cut_lineage(relations.where((F.col("kind") == "continues") & (F.col("confidence") >= least)).select(DOC, "source_id", "target_id").distinct())

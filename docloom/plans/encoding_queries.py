@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.udfs import token_table, trimmed_mean
+from docloom.functions.text import label_number
+from docloom.functions.udfs import answer_collection, token_table, trimmed_mean
 from docloom.lineage import new_folder
 from docloom.operators import encoding as N
 from docloom.operators.elements import elements
+from docloom.plans.derived import cte, frame, rows
 from docloom.plans.registry import query, read
 from docloom.plans.retrieval_queries import SQL_ELEMENTS
 
@@ -47,3 +49,25 @@ def tokens_with_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with k as (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events where value is not null) select event_type, round(avg(value), 6) as trimmed from k where r > n // 10 and r <= n - n // 10 group by event_type")
 def trimmed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(trimmed_mean("value"), 6).alias("trimmed"))
+
+
+def _number(label: str) -> str:
+    pattern = rf"(?i){label}\s*([0-9]+)(?:\s*([A-Za-z]))?(?:[^A-Za-z0-9_]|$)"
+    return f"nullif(lower(regexp_extract(text, '{pattern}', 1) || regexp_extract(text, '{pattern}', 2)), '')"
+
+
+@query(f"""with {cte('fx_elements')} select document_id, element_id, {_number('(?:Figure|Fig.?)')} as figure, {_number('Table')} as "table", nullif(regexp_extract(text, '^([0-9]+) ', 1), '') as section from fx_elements where text is not null""")
+def label_numbers_of_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the first figure and table that each element names, and of the section that it begins."""
+    named = frame(spark, sf_dir, "fx_elements").where("text is not null")
+    section = label_number("section", F.col("text"))
+    return named.select("document_id", "element_id", *(label_number(k, F.col("text")).alias(k) for k in ("figure", "table")), F.when(section.rlike("^[0-9]+$"), section).alias("section"))
+
+
+_ANSWERS = "select event_id, user_id, event_type, case event_id % 4 when 0 then '[\"' || event_type || '.\", \"  B  b\", ' || user_id || ']' when 1 then event_type when 2 then '[' || event_type else ' [] ' end as answer from events"
+
+
+@query("select event_id, case event_id % 4 when 0 then array_to_string(list_sort(['b b', user_id::varchar, event_type]), '|') when 3 then '' end as items from events")
+def answer_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that are lists, as sorted clean items; null of other answers."""
+    return rows(spark, sf_dir, _ANSWERS).select("event_id", F.array_join(answer_collection("answer"), "|").alias("items"))

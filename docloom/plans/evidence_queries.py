@@ -134,6 +134,13 @@ def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
 
 
+@query("select doc_id, sha256(text) as sha256, min(doc_id) over (partition by sha256(text)) as first_id from documents where text is not null")
+def content_hash_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stands for its content: the texts of a group are not gathered, and no mapping is lost."""
+    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return rows.join(rows.groupBy("sha256").agg(F.min("doc_id").alias("first_id")), "sha256").select("doc_id", "sha256", "first_id")
+
+
 @query("""select page_id, trim(regexp_replace(lower(trim(url)), '[^a-z0-9._-]+', '-', 'g'), '-') as slug, substring(sha256('["' || page_id || '","page"]'), 1, 12) as digest from pages""")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("slug"), T.digest(F.col("page_id"), F.lit("page")).alias("digest"))

@@ -10,6 +10,7 @@ from docloom.operators import rules as N
 from docloom.operators.audit import rule_coverage
 from docloom.operators.coverage import recover
 from docloom.operators.normalize import CODE_SIGNS
+from docloom.operators.relations import document_errors
 from docloom.plans.derived import cte, duck, frame, select, sub
 from docloom.plans.registry import query
 
@@ -102,3 +103,30 @@ def recovered_blocks_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that were not found at all, and their letters and digits: all of them come back, once."""
     rows = recover(select(spark, sf_dir, _PRINTED_BLOCKS), select(spark, sf_dir, _FOUND_BLOCKS)).where("cast(substring(line_id, 2, 9) as int) % 3 = 0")
     return rows.groupBy("document_id").agg(F.countDistinct("line_id").alias("lost"), F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))).alias("chars"))
+
+
+#: Tables of the reports with some faults: pages name lines of other pages, sections lines and pages that are not there, elements pages and sections likewise.
+_P = "select document_id, 'p' || page_index as page_id, case when page_index % 5 = 4 then 'e' || (page_index * 8 + 9) else 'e' || (page_index * 8) end as one, case when page_index % 7 = 3 then 'x' || page_index else 'e' || (page_index * 8 + 1) end as two from @fx_pages@"
+_E = "select document_id, element_id, 'p' || (page_index + case when length(text) % 13 = 0 then 900 else 0 end) as page_id, case when length(text) % 11 = 0 then 's99' when length(text) % 7 = 0 then null else section_id end as section_id from @fx_elements@"
+_S = "select distinct document_id, 's' || cast(floor(page_index / 2) as bigint) as section_id, 'e' || (cast(floor(page_index / 2) as bigint) * case when length(document_id) % 2 = 0 then 16 else 400 end) as heading_id, case when page_index < 2 then null when page_index < 10 then 's0' else 's77' end as parent_id, 'p' || (cast(floor(page_index / 2) as bigint) * 3) as one, 'e' || (cast(floor(page_index / 2) as bigint) * 30) as two from @fx_pages@"
+
+
+def _with(text: str) -> str:
+    return text.replace("@fx_pages@", "fx_pages").replace("@fx_elements@", "fx_elements")
+
+
+@query(f"""with {cte('fx_pages')}, {cte('fx_elements')}, {cte('fx_relations')}, p as ({_with(_P)}), e as ({_with(_E)}), s as ({_with(_S)}), ke as (select distinct document_id, element_id as id from e), kp as (select distinct document_id, page_id as id from p), ks as (select distinct document_id, section_id as id from s), k as (select * from ke union select * from kp union select * from ks),
+    held as (select document_id, page_id, one as element_id from p union all select document_id, page_id, two from p),
+    m as (select 'any' as place, document_id, 'relation' as owner, relation_id as id, 'missing_source' as error, source_id as missing from fx_relations union all select 'any', document_id, 'relation', relation_id, 'missing_target', target_id from fx_relations
+        union all select 'e', document_id, 'page', page_id, 'missing_element', element_id from held union all select 'p', document_id, 'element', element_id, 'missing_page', page_id from e union all select 's', document_id, 'element', element_id, 'missing_section', section_id from e where section_id is not null
+        union all select 'e', document_id, 'section', section_id, 'missing_heading', heading_id from s union all select 's', document_id, 'section', section_id, 'missing_parent', parent_id from s where parent_id is not null
+        union all select 'p', document_id, 'section', section_id, 'missing_page', one from s union all select 'e', document_id, 'section', section_id, 'missing_element', two from s)
+    select document_id, owner, id, error, missing from m where (document_id, missing) not in (select (document_id, id) from ke) and place = 'e' or (document_id, missing) not in (select (document_id, id) from kp) and place = 'p'
+        or (document_id, missing) not in (select (document_id, id) from ks) and place = 's' or (document_id, missing) not in (select (document_id, id) from k) and place = 'any'
+    union all select h.document_id, 'element', h.element_id, 'other_page', h.page_id from held h join e on e.document_id = h.document_id and e.element_id = h.element_id where e.page_id <> h.page_id""")
+def document_reference_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that pages, elements, sections and relations of the reports name and that is not there."""
+    pages, elements = frame(spark, sf_dir, "fx_pages"), frame(spark, sf_dir, "fx_elements")
+    made = lambda text: spark.sql(text.replace("@fx_pages@", "{p}").replace("@fx_elements@", "{e}"), p=pages, e=elements)
+    sections = made(_S).select("document_id", "section_id", "heading_id", "parent_id", F.array("one").alias("page_ids"), F.array("two").alias("element_ids"))
+    return document_errors(made(_P).select("document_id", "page_id", F.array("one", "two").alias("element_ids")), made(_E), sections, frame(spark, sf_dir, "fx_relations"))

@@ -76,3 +76,41 @@ def test_token_table_and_trimmed_mean(spark):
     out = spark.createDataFrame([("a", v) for v in values] + [("b", None), ("c", 5.0)], "k string, v double").groupBy("k").agg(trimmed_mean("v").alias("m")).collect()
     own = sorted(v for v in values if v is not None)[2:-2]
     assert {r.k: r.m for r in out} == {"a": float(pd.Series(own).mean()), "b": None, "c": 5.0}
+
+
+def test_label_numbers_match_the_patterns(spark):
+    import re
+
+    from docloom.functions.text import LABEL_NUMBERS, label_number
+
+    texts = ["Figure 3: x", "fig. IV", "Fig 2 (a)", "Figure 12b-c and", "figure 3 a \u2013 c.", "Figure 3abc", "FIGURE iv", "图 7 (B)", "Table 2y los", "表3", "2.3.1 Terms", "2.", "2.x", "IV. Part", "iv part", "第 3.2 节", "Listing 4", "listing 4a", "none", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind, patterns in LABEL_NUMBERS.items():
+        got = [r[0] for r in rows.select(label_number(kind, F.col("t"))).collect()]
+        want = []
+        for t in texts:
+            m = next((m for p in patterns if (m := re.search(re.sub(r"\\x\{(\w+)\}", lambda k: chr(int(k[1], 16)), p), t or ""))), None)
+            part = "".join(g or "" for g in m.groups()[1:]) if m else ""
+            want.append(m and m[1].lower() + re.sub("[\u2012\u2013\u2014]", "-", re.sub(r"\s+", "", part)).lower())
+        assert got == want, kind
+
+
+def test_collections():
+    from docloom.functions.udfs import collection
+
+    assert collection("['B. ', \"a  b\", 3]") == ["3", "a b", "b"] and collection("[]") == [] and collection(" [1, 'x'] ") == ["1", "x"]
+    assert collection("x") is None and collection("[x]") is None and collection(None) is None and collection("[1][0]") is None
+
+
+def test_document_errors(spark):
+    from docloom.operators.relations import document_errors
+
+    pages = spark.createDataFrame([("d", "p1", ["e1", "e9"]), ("d", "p2", ["e1"]), ("z", "p1", None)], "document_id string, page_id string, element_ids array<string>")
+    elements = spark.createDataFrame([("d", "e1", "p1", "s1"), ("d", "e2", "p7", None), ("z", "e1", None, "s1")], "document_id string, element_id string, page_id string, section_id string")
+    sections = spark.createDataFrame([("d", "s1", "e1", None, ["p1", "p8"], ["e2"]), ("d", "s2", "e7", "s9", [], ["e8"])], "document_id string, section_id string, heading_id string, parent_id string, page_ids array<string>, element_ids array<string>")
+    relations = spark.createDataFrame([("d", "r1", "e1", "s2"), ("d", "r2", "p2", "q"), ("z", "r1", "s1", "p1")], "document_id string, relation_id string, source_id string, target_id string")
+    got = sorted(tuple(map(str, r)) for r in document_errors(pages, elements, sections, relations).select("document_id", "owner", "id", "error", "missing").collect())
+    assert got == sorted([
+        ("d", "page", "p1", "missing_element", "e9"), ("d", "element", "e1", "other_page", "p2"), ("d", "element", "e2", "missing_page", "p7"), ("z", "element", "e1", "missing_page", "None"), ("z", "element", "e1", "missing_section", "s1"),
+        ("d", "section", "s1", "missing_page", "p8"), ("d", "section", "s2", "missing_heading", "e7"), ("d", "section", "s2", "missing_parent", "s9"), ("d", "section", "s2", "missing_element", "e8"), ("d", "relation", "r2", "missing_target", "q"), ("z", "relation", "r1", "missing_source", "s1"),
+    ])
