@@ -9,6 +9,7 @@ from docloom.lineage import cut_lineage
 from docloom.operators import rules as N
 from docloom.operators.audit import rule_coverage
 from docloom.operators.coverage import recover
+from docloom.operators.floating import resolve as resolve_floating
 from docloom.operators.normalize import CODE_SIGNS
 from docloom.operators.relations import document_errors
 from docloom.plans.derived import cte, duck, frame, select, sub
@@ -130,3 +131,22 @@ def document_reference_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lambda text: spark.sql(text.replace("@fx_pages@", "{p}").replace("@fx_elements@", "{e}"), p=pages, e=elements)
     sections = made(_S).select("document_id", "section_id", "heading_id", "parent_id", F.array("one").alias("page_ids"), F.array("two").alias("element_ids"))
     return document_errors(made(_P).select("document_id", "page_id", F.array("one", "two").alias("element_ids")), made(_E), sections, frame(spark, sf_dir, "fx_relations"))
+
+
+def _floating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = select(spark, sf_dir, "select document_id, section_id, title from @section_titles@")
+    return resolve_floating(frame(spark, sf_dir, "fx_elements"), frame(spark, sf_dir, "fx_references"), select(spark, sf_dir, "select * from @chain@"), frame(spark, sf_dir, "fx_relations"), titles, select(spark, sf_dir, "select * from @panels@"))
+
+
+@query()
+def floating_section_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section of every floating element of the reports, and the step that decided."""
+    return _floating(spark, sf_dir)
+
+
+@query(f"""with {cte('fx_elements')}, {cte('fx_references')}, v as (select *, round(case when side = 'before' then case when pages <= 2 then confidence - 0.05 * pages end else case when pages <= 1 then confidence - 0.10 - 0.05 * pages end end, 6) as strength from fx_references),
+    b as (select document_id, target_id, section_id, max(strength) as strength from v where strength is not null group by all), t as (select *, max(strength) over (partition by document_id, target_id) as top from b), w as (select document_id, target_id, min(section_id) as section_id from t where strength = top group by all having count(*) = 1)
+    select w.document_id, target_id as element_id, e.section_id as base_section_id, w.section_id from w join fx_elements e on e.document_id = w.document_id and e.element_id = w.target_id where element_type in ('figure', 'chart', 'table', 'code', 'algorithm', 'caption', 'footnote', 'equation')""")
+def floating_sections_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those that the first step, the strongest reference, decided."""
+    return _floating(spark, sf_dir).where("step = 'reference'").drop("step", "ambiguous")
