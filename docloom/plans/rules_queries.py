@@ -102,7 +102,7 @@ def recovered_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 'p' || page_id as document_id, lost, chars::bigint as chars from p where lost > 0""")
 def recovered_blocks_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that were not found at all, and their letters and digits: all of them come back, once."""
-    rows = recover(select(spark, sf_dir, _PRINTED_BLOCKS), select(spark, sf_dir, _FOUND_BLOCKS)).where("cast(substring(line_id, 2, 9) as int) % 3 = 0")
+    rows = recover(select(spark, sf_dir, _PRINTED_BLOCKS), select(spark, sf_dir, _FOUND_BLOCKS), least=0).where("cast(substring(line_id, 2, 9) as int) % 3 = 0")
     return rows.groupBy("document_id").agg(F.countDistinct("line_id").alias("lost"), F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))).alias("chars"))
 
 
