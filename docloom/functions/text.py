@@ -141,10 +141,17 @@ LABEL_NUMBERS = {
 }
 
 
-def label_number(kind: str, c: Column) -> Column:
+#: The same in Arabic numbers with at most a letter behind, as the SQL of queries has them; sections stand before a space.
+ARABIC_NUMBERS = {
+    **{k: (rf"(?i)(?:{names})[\t\n\f\r ]*([0-9]+)(?:[\t\n\f\r ]*([A-Za-z]))?()(?:[^A-Za-z0-9_]|$)",) for k, names in (("figure", r"Figure|Fig[^\n]?"), ("table", "Table"))},
+    "section": ("^([0-9]+) ",),
+}
+
+
+def label_number(kind: str, c: Column, patterns: dict[str, tuple[str, ...]] = LABEL_NUMBERS) -> Column:
     """The number of the first label of a kind in the text, with its part: "2", "iv", "3a", "3a-c"; null without one."""
     found = []
-    for pattern in LABEL_NUMBERS[kind]:
+    for pattern in patterns[kind]:
         base = F.lower(F.regexp_extract(c, pattern, 1))
         part = F.concat(F.regexp_extract(c, pattern, 2), F.regexp_extract(c, pattern, 3)) if kind in ("figure", "table") else F.lit("")
         part = F.lower(F.regexp_replace(F.regexp_replace(part, r"\s+", ""), r"[\x{2012}\x{2013}\x{2014}]", "-"))
