@@ -67,8 +67,8 @@ def entity_titles(names: DataFrame, least: int = 2) -> DataFrame:
 
 
 def best_observations(rows: DataFrame) -> DataFrame:
-    """rows(document_id, page_index, label, confidence, y): of a page's labels the surest, then the one nearest to the page's edge."""
-    w = Window.partitionBy(DOC, "page_index").orderBy(F.desc("confidence"), F.least("y", 1 - F.col("y")), "label")
+    """rows(document_id, page_index, label, confidence, y): of a page's labels the surest, then the one nearest to the page's edge; of two alike the upper one."""
+    w = Window.partitionBy(DOC, "page_index").orderBy(F.desc("confidence"), F.least("y", 1 - F.col("y")), "label", "y")
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
