@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,23 +87,20 @@ def evidence_fold(deltas: DataFrame) -> DataFrame:
     """deltas(session, step, op, evidence_id, observation_id): what each session holds in the end, and what was rejected.
 
     add needs an id that is not held, replace and remove one that is; a delta that breaks this changes nothing and is counted.
-    Whether a delta holds depends on all before it, so each session's deltas are folded in order.
+    Whether a delta holds depends only on those before it that name the same id: it is held if the last add or remove was an add.
+    So windows of a session's ids fold all, after one shuffle by session.
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, str] = {}
-        rejected = 0
-        for op, evidence, observation in frame.sort_values("step", kind="stable")[["op", "evidence_id", "observation_id"]].itertuples(index=False):
-            if op == "add" and evidence not in held or op == "replace" and evidence in held:
-                held[evidence] = observation
-            elif op == "remove" and evidence in held:
-                del held[evidence]
-            else:
-                rejected += 1
-        rows = sorted(held.items()) or [(None, None)]
-        return pd.DataFrame({"session": frame["session"].iloc[0], "evidence_id": [r[0] for r in rows], "observation_id": [r[1] for r in rows], "rejected": rejected})
-
-    return deltas.groupBy("session").applyInPandas(lambda f: one(f), "session string, evidence_id string, observation_id string, rejected int")
+    before = Window.partitionBy("session", "evidence_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("op").isin("add", "remove"), F.col("op")), ignorenulls=True).over(before)
+    rows = deltas.select("session", "step", "op", "evidence_id", "observation_id").repartition("session").withColumn("held", F.coalesce(last == "add", F.lit(False)))
+    right = F.coalesce(F.when(F.col("op") == "add", ~F.col("held")).when(F.col("op").isin("replace", "remove"), F.col("held")), F.lit(False))
+    rows = rows.withColumn("right", right)
+    # what an id has is what the last delta that held has given it; a removed one is not among what is kept
+    kept = F.max_by(F.struct("op", "observation_id"), F.when(F.col("right"), F.col("step")))
+    ids = rows.groupBy("session", "evidence_id").agg(kept.alias("x"), F.count_if(~F.col("right")).alias("rejected"))
+    found = F.collect_list(F.when(F.col("x.op") != "remove", F.struct("evidence_id", "x.observation_id")))
+    whole = ids.groupBy("session").agg(F.sum("rejected").cast("int").alias("rejected"), found.alias("found"))
+    return whole.select("session", "rejected", F.explode_outer("found").alias("e")).select("session", "e.evidence_id", "e.observation_id", "rejected")
 
 
 def balanced_pick(features: dict[str, dict[str, int]], size: int, wanted: dict[str, float]) -> list[str]:
