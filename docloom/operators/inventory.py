@@ -5,13 +5,11 @@ Null texts are empty; a document without rows of a kind gives none; equal candid
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
-from docloom.lineage import cut_lineage
+from docloom.functions.walks import walked
 from docloom.operators.relations import DOC
 
 
@@ -129,16 +127,31 @@ def follow(relations: DataFrame, starts: DataFrame) -> DataFrame:
 
 def listing_chains(edges: DataFrame, anchors: DataFrame, least: float = 0.70) -> DataFrame:
     """edges(document_id, source_id, target_id, confidence), anchors(document_id, element_id, section_id): code that candidate continuations tie to an anchored listing gets its section; what two sections reach gets none."""
-    sure = edges.where(F.col("confidence") >= least)
-    both = cut_lineage(sure.select(DOC, F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(sure.select(DOC, F.col("target_id").alias("a"), F.col("source_id").alias("b"))).distinct())
-    now = cut_lineage(anchors.select(DOC, "element_id", "section_id").distinct())
-    for _ in count():
-        step = both.join(now.select(DOC, F.col("element_id").alias("a"), "section_id"), [DOC, "a"]).select(DOC, F.col("b").alias("element_id"), "section_id")
-        fresh = cut_lineage(step.distinct().join(now, [DOC, "element_id", "section_id"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        now = cut_lineage(now.unionByName(fresh))
-    return now.groupBy(DOC, "element_id").agg(F.min("section_id").alias("section_id"), F.count("*").alias("sections")).where("sections = 1").drop("sections")
+    text = lambda c: F.col(c).cast("string")
+    sure = edges.where((F.col("confidence") >= least) & F.col(DOC).isNotNull() & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    rows = sure.select(DOC, F.lit(True).alias("edge"), text("source_id").alias("a"), text("target_id").alias("b")).union(anchors.select(DOC, F.lit(False), text("element_id"), text("section_id")))
+    return walked(rows, DOC, _tied, f"{DOC} {anchors.schema[DOC].dataType.simpleString()}, element_id string, section_id string")
+
+
+def _tied(rows: list[dict]) -> list[tuple]:
+    """Elements of one document that are tied to one section alone."""
+    parent: dict = {}
+
+    def root(x: str | None) -> str | None:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for r in rows:
+        if r["edge"]:
+            parent[root(r["a"])] = root(r["b"])
+    sections: dict = {}
+    for r in rows:
+        if not r["edge"]:
+            sections.setdefault(root(r["a"]), set()).add(r["b"])
+    alone = {x: next(iter(own)) for x, own in sections.items() if len(own) == 1}
+    return [(x, alone[at]) for x in list(parent) if (at := root(x)) in alone]
 
 
 def uncovered_lines(lines: DataFrame, elements: DataFrame) -> DataFrame:

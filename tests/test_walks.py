@@ -3,6 +3,7 @@
 import random
 
 from docloom.operators import audit as A
+from docloom.operators import inventory as I
 
 
 def test_fold_of_windows(spark):
@@ -24,3 +25,12 @@ def test_fold_of_windows(spark):
     got = [tuple(x) for x in found.collect()]
     assert set(got) == want and len(got) == len(want)
     assert "Pandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chains_take_one_shuffle(spark):
+    """A chain of any length is walked at once, and nothing is joined."""
+    edges = [("d", f"e{k}", f"e{k + 1}", 0.9) for k in range(300)] + [("d", "x", "y", 0.9), ("d", "y", "z", 0.1), ("d", None, "x", 0.9), (None, "e0", "q", 0.9)]
+    anchors = [("d", "e150", "s1"), ("d", "x", "s1"), ("d", "y", "s2"), ("f", "e0", "s3"), ("d", "e7", "s1")]
+    found = I.listing_chains(spark.createDataFrame(edges, "document_id string, source_id string, target_id string, confidence double"), spark.createDataFrame(anchors, "document_id string, element_id string, section_id string"))
+    assert sorted(tuple(x) for x in found.collect()) == sorted([("d", f"e{k}", "s1") for k in range(301)] + [("f", "e0", "s3")])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
