@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import clean_answer, is_not_answerable, recall_terms
+from docloom.functions.walks import walked
 from docloom.lineage import cut_lineage
 
 #: Actions that the environment takes by itself; they cost no budget.
@@ -27,31 +28,83 @@ def graph_errors(questions: DataFrame, most: int | None = None, depth: int | Non
     edges = dependencies(questions)
     unknown = edges.join(questions.select(SET, F.col("question_id").alias("needs")), [SET, "needs"], "left_anti").select(SET, "question_id", F.lit("unknown_dependency").alias("error"))
     own = edges.where("question_id = needs").select(SET, "question_id", F.lit("self_dependency").alias("error"))
-    reach = cut_lineage(edges.where("question_id <> needs").distinct())
-    before, now = 0, reach.count()
-    while now > before:  # each round doubles the length of the paths
-        further = reach.select(SET, "question_id", F.col("needs").alias("via")).join(reach.select(SET, F.col("question_id").alias("via"), "needs"), [SET, "via"]).select(SET, "question_id", "needs")
-        reach = cut_lineage(reach.union(further).distinct())
-        before, now = now, reach.count()
-    out = unknown.union(own).union(reach.where("question_id = needs").select(SET, "question_id", F.lit("cycle").alias("error")))
+    walks = cut_lineage(question_walks(questions))
+    out = unknown.union(own).union(walks.where("cyclic").select(SET, "question_id", F.lit("cycle").alias("error")))
     if most is not None:
         order = Window.partitionBy(SET).orderBy("position", "question_id")
         out = out.union(questions.withColumn("k", F.row_number().over(order)).where(F.col("k") > most).select(SET, "question_id", F.lit("too_many").alias("error")))
     if depth is not None:
-        out = out.union(question_depths(questions).where(F.col("depth") > depth).select(SET, "question_id", F.lit("too_deep").alias("error")))
+        out = out.union(walks.where(F.col("depth") > depth).select(SET, "question_id", F.lit("too_deep").alias("error")))
     return out.distinct()
 
 
 def question_depths(questions: DataFrame) -> DataFrame:
     """(set_id, question_id, depth): 1 without dependencies, else one more than the deepest of them; members of cycles and what needs them have none."""
-    edges = dependencies(questions).join(questions.select(SET, F.col("question_id").alias("needs")), [SET, "needs"], "left_semi")
-    done = cut_lineage(questions.select(SET, "question_id").join(edges, [SET, "question_id"], "left_anti").withColumn("depth", F.lit(1)))
-    while True:
-        met = edges.join(done.select(SET, F.col("question_id").alias("needs"), "depth"), [SET, "needs"], "left").join(done.select(SET, "question_id"), [SET, "question_id"], "left_anti")
-        fresh = cut_lineage(met.groupBy(SET, "question_id").agg(F.count_if(F.col("depth").isNull()).alias("open"), (F.max("depth") + 1).alias("depth")).where("open = 0").drop("open"))
-        if fresh.isEmpty():
-            return done
-        done = cut_lineage(done.unionByName(fresh))
+    return question_walks(questions).where("depth is not null").select(SET, "question_id", "depth")
+
+
+def question_walks(questions: DataFrame) -> DataFrame:
+    """(set_id, question_id, depth, cyclic) of each id of a set: its depth, and whether it is a member of a cycle of several questions."""
+    kind = questions.schema[SET].dataType.simpleString()
+    return walked(questions.select(SET, "question_id", "depends_on"), SET, _walk, f"{SET} {kind}, question_id string, depth int, cyclic boolean")
+
+
+def _walk(rows: list[dict]) -> list[tuple]:
+    """(question_id, depth, cyclic) of one set."""
+    needs: dict = {}
+    for r in rows:
+        # null sets and ids meet nothing
+        named = [x for x in (r["depends_on"] or "").split(",") if x] if r[SET] is not None and r["question_id"] is not None else []
+        needs.setdefault(r["question_id"], set()).update(named)
+    needs = {q: [x for x in own if x in needs] for q, own in needs.items()}
+    needed: dict = {q: [] for q in needs}
+    for q, own in needs.items():
+        for x in own:
+            needed[x].append(q)
+    left, depth = {q: len(own) for q, own in needs.items()}, {}
+    ready = [q for q, n in left.items() if not n]
+    for q in ready:  # grows while it is read
+        depth[q] = 1 + max((depth[x] for x in needs[q]), default=0)
+        for x in needed[q]:
+            left[x] -= 1
+            if not left[x]:
+                ready.append(x)
+    cyclic = _cyclic({q: own for q, own in needs.items() if q not in depth}, needed)
+    return [(q, depth.get(q), q in cyclic) for q in needs]
+
+
+def _cyclic(needs: dict, needed: dict) -> set:
+    """Members of cycles of several nodes: of strong components of more than one."""
+    last: list = []
+    seen: set = set()
+    for start in needs:
+        if start in seen:
+            continue
+        seen.add(start)
+        path = [(start, iter(needs[start]))]
+        while path:
+            at, rest = path[-1]
+            x = next((x for x in rest if x in needs and x not in seen), None)
+            if x is None:
+                last.append(at)
+                path.pop()
+            else:
+                seen.add(x)
+                path.append((x, iter(needs[x])))
+    out, taken = set(), set()
+    for start in reversed(last):
+        if start in taken:
+            continue
+        taken.add(start)
+        own = [start]
+        for at in own:  # grows while it is read
+            for x in needed[at]:
+                if x in needs and x not in taken:
+                    taken.add(x)
+                    own.append(x)
+        if len(own) > 1:
+            out.update(own)
+    return out
 
 
 def runnable(questions: DataFrame) -> DataFrame:

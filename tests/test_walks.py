@@ -3,6 +3,7 @@
 import random
 
 from docloom.operators import audit as A
+from docloom.operators import evidence as V
 from docloom.operators import inventory as I
 
 
@@ -34,3 +35,26 @@ def test_chains_take_one_shuffle(spark):
     found = I.listing_chains(spark.createDataFrame(edges, "document_id string, source_id string, target_id string, confidence double"), spark.createDataFrame(anchors, "document_id string, element_id string, section_id string"))
     assert sorted(tuple(x) for x in found.collect()) == sorted([("d", f"e{k}", "s1") for k in range(301)] + [("f", "e0", "s3")])
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_question_graphs_by_plain_search(spark):
+    """Depths and members of cycles of random sets, as paths tell them; a long chain takes no rounds."""
+    r = random.Random(9)
+    rows = [(f"u{s}", f"q{k}", ",".join(f"q{r.randint(0, 7)}" for _ in range(r.choice([0, 0, 1, 1, 2])))) for s in range(60) for k in range(7)]
+    rows += [("long", f"q{k}", f"q{k - 1}" if k else "") for k in range(3000)] + [("null", "q0", None)]
+    found = V.question_walks(spark.createDataFrame(rows, "set_id string, question_id string, depends_on string"))
+    got = {(x.set_id, x.question_id): (x.depth, x.cyclic) for x in found.collect()}
+    assert len(got) == len(rows) and all(got["long", f"q{k}"] == (k + 1, False) for k in range(3000)) and got["null", "q0"] == (1, False)
+    for s in {x[0] for x in rows} - {"long", "null"}:
+        needs = {q: {x for x in d.split(",") if x} for u, q, d in rows if u == s}
+        needs = {q: own & needs.keys() for q, own in needs.items()}
+        reach = {q: set(own) - {q} for q, own in needs.items()}
+        for _ in needs:
+            reach = {q: own | {y for x in own for y in reach[x]} for q, own in reach.items()}
+        whole = {q: set(own) for q, own in needs.items()}
+        for _ in needs:
+            whole = {q: own | {y for x in own for y in whole[x]} for q, own in whole.items()}
+        deep = lambda q: 1 + max(map(deep, needs[q]), default=0)  # noqa: E731, B023
+        for q in needs:
+            endless = any(x in whole[x] for x in whole[q] | {q})
+            assert got[s, q] == (None if endless else deep(q), q in reach[q]), (s, q, needs)
