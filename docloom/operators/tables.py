@@ -9,7 +9,10 @@ and gives no cells; repeated tables are tables of their own rows each; an empty
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_SPAN = 1000
+#: Tables that a task reads together.
+TOGETHER = 2000
 #: The placeholder that stands for a picture which was not kept.
 PLACEHOLDER = r"(?i)(?:&lt;|<)image\s*\d+(?:&gt;|>)"
 _SCHEMA = "table_id string, rows array<struct<r: int, c: int, rowspan: int, colspan: int, header: boolean, text: string, images: array<string>>>, nested int, invalid_spans int, has_rows boolean"
@@ -73,33 +78,79 @@ class _Rows(HTMLParser):
             self.cell[3].append(data)
 
 
-def _placed(rows: list[list[list]]) -> list[dict]:
-    """Cells with their places; `until` says for each column up to which row it is taken."""
+#: A tag without anything odd about it, or the text between two; whatever else a table holds, it is read by HTMLParser.
+_PIECE = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z-]*(?:=(?:"[^"<>]*"|[a-zA-Z0-9]+))?)*)[ \t\n]*>|([^<]+)""")
+_PART = re.compile(r"""([a-zA-Z][a-zA-Z-]*)(?:=(?:"([^"<>]*)"|([a-zA-Z0-9]+)))?""")
+_OWN_RULES = frozenset("script style textarea title xmp iframe noembed noframes plaintext noscript".split())
+
+
+@lru_cache(4096)
+def _attributes(text: str) -> list[tuple[str, str | None]]:
+    return [(m[1].lower(), unescape(v) if (v := m[2] if m[2] is not None else m[3]) is not None else None) for m in _PART.finditer(text)]
+
+
+def _read(html: str) -> _Rows:
+    """The rows of a table; as _Rows reads them by itself, but plain tags are cut by one pattern."""
+    parser, at = _Rows(), 0
+    for m in _PIECE.finditer(html):
+        if m.start() != at:
+            break
+        at = m.end()
+        closing, tag, attributes, text = m.groups()
+        if text is not None:
+            parser.handle_data(unescape(text) if "&" in text else text)
+            continue
+        tag = tag.lower()
+        if tag in _OWN_RULES or closing and attributes:
+            break
+        if closing:
+            parser.handle_endtag(tag)
+        else:
+            parser.handle_starttag(tag, _attributes(attributes) if attributes else [])
+    else:
+        if at == len(html):
+            return parser
+    parser = _Rows()
+    parser.feed(html)
+    parser.close()
+    return parser
+
+
+def _placed(rows: list[list[list]], out: list[list]) -> int:
+    """Adds the cells with their places to the columns of out, and counts them; `until` says for each column up to which row it is taken."""
     until: dict[int, int] = {}
-    out = []
+    n = 0
     for r, row in enumerate(rows):
         c = 0
         for down, across, header, texts, images in row:
-            while (taken := next((k for k in range(c + across - 1, c - 1, -1) if until.get(k, 0) > r), None)) is not None:
-                c = taken + 1
-            out.append({"r": r, "c": c, "rowspan": down, "colspan": across, "header": header, "text": " ".join("".join(texts).split()), "images": images})
-            until.update((k, r + down) for k in range(c, c + across))
+            if across == 1:
+                while until.get(c, 0) > r:
+                    c += 1
+            else:
+                while (taken := next((k for k in range(c + across - 1, c - 1, -1) if until.get(k, 0) > r), None)) is not None:
+                    c = taken + 1
+            for column, x in zip(out, (r, c, down, across, header, " ".join("".join(texts).split()), images), strict=True):
+                column.append(x)
+            for k in range(c, c + across):
+                until[k] = r + down
             c += across
-    return out
+            n += 1
+    return n
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cells, nested, invalid, filled = [], [], [], []
-        for html in batch.column("html").to_pylist():
-            parser = _Rows()
-            parser.feed(html)
-            parser.close()
-            cells.append(_placed(parser.rows))
-            nested.append(parser.nested)
-            invalid.append(parser.invalid)
-            filled.append(bool(parser.rows))
-        yield pa.RecordBatch.from_arrays([batch.column("table_id"), pa.array(cells, pa.list_(_CELL)), pa.array(nested, pa.int32()), pa.array(invalid, pa.int32()), pa.array(filled)], ["table_id", "rows", "nested", "invalid_spans", "has_rows"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, TOGETHER):
+            batch = whole.slice(at, TOGETHER)
+            cells, ends, nested, invalid, filled = [[] for _ in _CELL], [0], [], [], []
+            for html in batch.column("html").to_pylist():
+                parser = _read(html)
+                ends.append(ends[-1] + _placed(parser.rows, cells))
+                nested.append(parser.nested)
+                invalid.append(parser.invalid)
+                filled.append(bool(parser.rows))
+            rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _CELL, strict=True)], fields=list(_CELL))
+            yield pa.RecordBatch.from_arrays([batch.column("table_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows), pa.array(nested, pa.int32()), pa.array(invalid, pa.int32()), pa.array(filled)], ["table_id", "rows", "nested", "invalid_spans", "has_rows"])
 
 
 def views(tables: DataFrame) -> DataFrame:
