@@ -63,11 +63,10 @@ def bm25_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {SQL_ELEMENTS}, t as (select distinct doc_id, pos, unnest(list_transform(regexp_extract_all(line, '{TOKEN}'), lambda x: replace(lower(x), 'ß', 'ss'))) as term from e)
     select term, count(*) as df, count(distinct doc_id) as documents from t group by term""")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a document's lines are counted inside its row; what is shuffled is one row a document and term
+    # a document's lines are counted inside its row, and rows a bounded number of terms at a time
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     terms = F.flatten(F.transform(lines, lambda x: F.array_distinct(base_tokens(x))))
-    per = I.postings(read(spark, sf_dir, "documents").select("doc_id", terms.alias("terms")), ["doc_id"])
-    return per.groupBy("term").agg(F.sum(F.col("tf").cast("long")).alias("df"), F.count("*").alias("documents"))
+    return I.frequencies(read(spark, sf_dir, "documents").select(terms.alias("terms"))).select("term", F.col("times").alias("df"), F.col("units").alias("documents"))
 
 
 @query(f"with {SQL_ELEMENTS} select doc_id, pos, page_index, length(line) as n_chars from e")
