@@ -127,10 +127,11 @@ def _with(text: str) -> str:
     union all select h.document_id, 'element', h.element_id, 'other_page', h.page_id from held h join e on e.document_id = h.document_id and e.element_id = h.element_id where e.page_id <> h.page_id""")
 def document_reference_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that pages, elements, sections and relations of the reports name and that is not there."""
-    pages, elements = frame(spark, sf_dir, "fx_pages"), frame(spark, sf_dir, "fx_elements")
+    # several parts read each of these tables: they are written once
+    pages, elements, relations = cut_lineage(frame(spark, sf_dir, "fx_pages")), frame(spark, sf_dir, "fx_elements"), cut_lineage(frame(spark, sf_dir, "fx_relations"))
     made = lambda text: spark.sql(text.replace("@fx_pages@", "{p}").replace("@fx_elements@", "{e}"), p=pages, e=elements)
     sections = made(_S).select("document_id", "section_id", "heading_id", "parent_id", F.array("one").alias("page_ids"), F.array("two").alias("element_ids"))
-    return document_errors(made(_P).select("document_id", "page_id", F.array("one", "two").alias("element_ids")), made(_E), sections, frame(spark, sf_dir, "fx_relations"))
+    return document_errors(made(_P).select("document_id", "page_id", F.array("one", "two").alias("element_ids")), made(_E), sections, relations)
 
 
 def _floating(spark: SparkSession, sf_dir: str) -> DataFrame:
