@@ -60,7 +60,8 @@ def balanced(items: DataFrame, size: int, targets: dict[str, float], trials: int
 
 def cover(pairs: DataFrame, most: int) -> DataFrame:
     """pairs(item_id, element) -> (round, item_id, gain): items that together cover the elements, `most` of them at most, each by what it adds."""
-    left = cut_lineage(pairs.where("item_id is not null and element is not null").select("item_id", "element").distinct())
+    left = pairs.where("item_id is not null and element is not null").select("item_id", "element").distinct()
+    left, again = (cut_lineage(left), True) if most > 1 else (left, False)  # one round reads them once
     spark, out = pairs.sparkSession, []
     for number in range(most):
         gains = left.groupBy("item_id").agg(F.count("*").alias("gain"))
@@ -68,8 +69,11 @@ def cover(pairs: DataFrame, most: int) -> DataFrame:
         if best is None:
             break
         out.append((number, best.item_id, best.gain))
+        if number + 1 == most:
+            break
         taken = left.where(F.col("item_id") == F.lit(best.item_id)).select("element")
         before, left = left, cut_lineage(left.join(taken, "element", "left_anti").select("item_id", "element"))
         release(before)
-    release(left)
+    if again:
+        release(left)
     return spark.createDataFrame(out, f"round int, item_id {pairs.schema['item_id'].dataType.simpleString()}, gain long")

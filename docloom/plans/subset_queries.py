@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.text import TOKEN, base_tokens
+from docloom.functions.text import TOKEN, casefold
 from docloom.operators import subsets as S
 from docloom.plans.registry import query, read
 
 SHARE = 0.2
 
 
+def words_of_sources(documents: DataFrame) -> DataFrame:
+    """documents(source, text) -> (item_id, element): each folded token of a source, as base_tokens() has them. Tokens are cut from the texts as they are, and each different one of a source is folded once."""
+    cut = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
+    found = documents.select(F.col("source").alias("item_id"), F.explode(F.array_distinct(cut)).alias("element")).distinct()
+    return found.select("item_id", casefold(F.col("element")).alias("element"))
+
+
 @query()
 def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fifth of the reports (ten documents each) that holds a fifth of each language's documents and of all characters, the best of 50,000 trials."""
@@ -24,12 +31,10 @@ def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 0 as round, item_id, gain from g order by gain desc, item_id limit 1""")
 def vocabulary_cover_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source that covers most words."""
-    pairs = read(spark, sf_dir, "documents").select(F.col("source").alias("item_id"), F.explode(F.array_distinct(base_tokens(F.col("text")))).alias("element"))
-    return S.cover(pairs, 1)
+    return S.cover(words_of_sources(read(spark, sf_dir, "documents")), 1)
 
 
 @query()
 def vocabulary_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources one by one, each by the words it adds, until all words are covered or eight are taken."""
-    pairs = read(spark, sf_dir, "documents").select(F.col("source").alias("item_id"), F.explode(F.array_distinct(base_tokens(F.col("text")))).alias("element"))
-    return S.cover(pairs, 8)
+    return S.cover(words_of_sources(read(spark, sf_dir, "documents")), 8)

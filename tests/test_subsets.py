@@ -5,7 +5,11 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from docloom.functions.text import base_tokens
 from docloom.operators import subsets as S
+from docloom.plans.subset_queries import words_of_sources
 
 
 @pytest.mark.parametrize("size", [1, 5, 40])
@@ -44,3 +48,24 @@ def test_cover_matches_plain_rounds(spark):
         left = {k: v - own for k, v in left.items()}
     assert got == want
     assert S.cover(spark.createDataFrame([], "item_id string, element int"), 3).count() == 0
+
+
+def test_a_cover_writes_only_what_a_later_round_reads(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(S, "cut_lineage", lambda rows, cut=S.cut_lineage: written.append(rows) or cut(rows))
+    pairs = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 2), ("b", 3), ("c", 3)], "item_id string, element int")
+    for most, tables, gains in ((1, 0, [("a", 2)]), (2, 2, [("a", 2), ("b", 1)]), (9, 3, [("a", 2), ("b", 1)])):
+        written.clear()
+        got = [(x.item_id, x.gain) for x in sorted(S.cover(pairs, most).collect(), key=lambda x: x.round)]
+        assert (got, len(written)) == (gains, tables)
+
+
+def test_words_are_folded_once_a_source_and_not_once_a_text(spark):
+    texts = ["Straße STRASSE straße ẞ", "ΟΔΟΣ οδος ſo İzmir 300K ŉ", "ﬁn Fin ﬁN", "A-1.b a-1.B 中文", "", None, "Größe größe Größe"]
+    rows = spark.createDataFrame([(s, t) for s in ("x", "y", None) for t in texts * 3], "source string, text string")
+    found = words_of_sources(rows)
+    want = rows.select(F.col("source").alias("item_id"), F.explode(base_tokens(F.col("text"))).alias("element")).distinct()
+    assert sorted(map(tuple, found.distinct().collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    # before folding a token is there once a source, and no text is folded token by token
+    assert found.where("item_id = 'x' and element = 'gr'").count() == 2
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
