@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
+from docloom.lineage import cut_lineage
 from docloom.operators.elements import parent_headings
 from docloom.operators.normalize import code_score
 from docloom.operators.relations import DOC
@@ -52,13 +53,19 @@ VISUAL = ("figure", "chart", "table")
 KEPT = "preserve_parser_type"
 
 
+def uncorrected(text: Column) -> Column:
+    return F.struct(text.alias("text"), F.array().cast("array<struct<rule:string,before:string,after:string>>").alias("corrections"))
+
+
 def corrected(text: Column) -> Column:
     """Struct(text, corrections array<struct<rule, before, after>>): misread figures of slides put right, rule by rule, in order."""
     steps = [text]
     for _, pattern, replacement in OCR:
         steps.append(F.regexp_replace(steps[-1], pattern, replacement))
     made = F.array(*(F.when(before != after, F.struct(F.lit(rule).alias("rule"), before.alias("before"), after.alias("after"))) for (rule, _, _), before, after in zip(OCR, steps, steps[1:], strict=False)))
-    return F.struct(steps[-1].alias("text"), F.array_compact(made).alias("corrections"))
+    # each step holds all steps before it: texts that no pattern meets, as no step changes them, are left alone
+    met = F.rlike(text, F.lit("|".join(f"(?:{pattern})" for _, pattern, _ in OCR)))
+    return F.when(met, F.struct(steps[-1].alias("text"), F.array_compact(made).alias("corrections"))).otherwise(uncorrected(text))
 
 
 def has(pattern: str) -> Column:
@@ -120,23 +127,23 @@ def in_context(elements: DataFrame, targets: DataFrame, profiles: DataFrame) ->
     key = [DOC, "element_id"]
     elements = elements.select(*OWN)
     rows = elements.join(profiles.groupBy(DOC).agg(F.min("profile").alias("profile")), DOC, "left").withColumn("text", F.coalesce("text", F.lit("")))
-    fixed = F.when(F.coalesce(_SLIDES(), F.lit(False)), corrected(F.col("text"))).otherwise(F.struct(F.col("text").alias("text"), F.array().cast("array<struct<rule:string,before:string,after:string>>").alias("corrections")))
+    fixed = F.when(F.coalesce(_SLIDES(), F.lit(False)), corrected(F.col("text"))).otherwise(uncorrected(F.col("text")))
     rows = rows.withColumn("fixed", fixed).withColumns({"text": F.col("fixed.text"), "corrections": F.col("fixed.corrections")}).drop("fixed")
     plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"<[^>]+>", " "), r"\s+", " "))
     along = Window.partitionBy(DOC, "page_index").orderBy("reading_order", "element_id")
     rows = rows.withColumns({"plain": plain, "next_type": F.lead("element_type").over(along), "next_order": F.lead("reading_order").over(along)})
     rows = rows.withColumns({"words": F.when(F.col("plain") == "", 0).otherwise(F.size(F.split("plain", " "))), "signs": code_score(F.col("text"), F.lit(None).cast("string"))})
+    # the nearest visual above a note, on its page
+    notes = rows.where(_SLIDES() & _of("paragraph") & has(VISUAL_NOTE)).select(*key, "page_index", *(F.col(c).alias(f"n_{c}") for c in ("x1", "y1", "x2", "y2")))
+    seen = elements.where(F.col("element_type").isin(*VISUAL)).select(DOC, "page_index", F.col("element_id").alias("above_id"), *(F.col(c).alias(f"v_{c}") for c in ("x1", "y1", "x2", "y2")))
+    met = notes.join(seen, [DOC, "page_index"]).where((F.col("v_y2") <= F.col("n_y1") + 0.02) & (G.v_gap("v_", "n_") <= 0.12))
+    nearest = met.groupBy(*key).agg(F.min_by("above_id", F.struct(G.v_gap("v_", "n_"), -G.h_overlap("v_", "n_"), F.col("above_id"))).alias("above_id"))
     # the one target of each element, and where it lies
     bound = targets.groupBy(*key).agg(F.min("target_id").alias("target_id"))
     box = elements.select(DOC, F.col("element_id").alias("target_id"), *(F.col(c).alias(f"t_{c}") for c in ("element_type", "x1", "y1", "x2", "y2")))
     rows = rows.join(bound.join(box, [DOC, "target_id"]), key, "left")
     shared = F.greatest(F.lit(0.0), F.least("x2", "t_x2") - F.greatest("x1", "t_x1")) * F.greatest(F.lit(0.0), F.least("y2", "t_y2") - F.greatest("y1", "t_y1"))
     rows = rows.withColumns({"inside": shared / ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), "gap": G.v_gap("", "t_"), "across": G.h_overlap("", "t_")})
-    # the nearest visual above a note, on its page
-    notes = rows.where(_SLIDES() & _of("paragraph") & has(VISUAL_NOTE)).select(*key, "page_index", *(F.col(c).alias(f"n_{c}") for c in ("x1", "y1", "x2", "y2")))
-    seen = elements.where(F.col("element_type").isin(*VISUAL)).select(DOC, "page_index", F.col("element_id").alias("above_id"), *(F.col(c).alias(f"v_{c}") for c in ("x1", "y1", "x2", "y2")))
-    met = notes.join(seen, [DOC, "page_index"]).where((F.col("v_y2") <= F.col("n_y1") + 0.02) & (G.v_gap("v_", "n_") <= 0.12))
-    nearest = met.groupBy(*key).agg(F.min_by("above_id", F.struct(G.v_gap("v_", "n_"), -G.h_overlap("v_", "n_"), F.col("above_id"))).alias("above_id"))
     return rows.join(nearest, key, "left")
 
 
@@ -166,7 +173,8 @@ def structure(elements: DataFrame, targets: DataFrame, profiles: DataFrame, pars
 
     decisions; furniture(doc, text); headings(doc, page, pos, text, reason, eligible); tree(doc, pos, level, parent_pos); sections(document_id, element_id, section_pos): the eligible heading at or before each element.
     """
-    decisions = decide(elements, targets, profiles) if parsed else elements.select(*OWN).withColumns({"rule": F.lit(KEPT), "normalized_type": F.col("element_type"), "confidence": F.lit(1.0)})
+    # four passes read the decisions: they are made once
+    decisions = cut_lineage(decide(elements, targets, profiles)) if parsed else elements.select(*OWN).withColumns({"rule": F.lit(KEPT), "normalized_type": F.col("element_type"), "confidence": F.lit(1.0)})
     pos = F.col("page_index") * 100_000 + F.col("reading_order")
     rows = decisions.withColumn("pos", pos).withColumn("text", F.coalesce("text", F.lit("")))
     lines = rows.where("normalized_type in ('heading', 'paragraph') and text <> ''").select(F.col(DOC).alias("doc"), F.col("page_index").alias("page"), F.trim(F.regexp_replace(F.lower("text"), r"[0-9]+", "#")).alias("key"))

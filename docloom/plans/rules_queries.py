@@ -12,7 +12,7 @@ from docloom.operators.coverage import recover
 from docloom.operators.floating import resolve as resolve_floating
 from docloom.operators.normalize import CODE_SIGNS
 from docloom.operators.relations import document_errors
-from docloom.plans.derived import cte, duck, frame, select, sub
+from docloom.plans.derived import TABLES, cte, duck, frame, rows, select, sub
 from docloom.plans.registry import query
 
 #: Elements as a parser may have them: some code is an algorithm, some footnotes stand inside figures.
@@ -23,10 +23,9 @@ _PROFILES = "select distinct document_id, case when length(document_id) % 2 = 0
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    elements = frame(spark, sf_dir, "fx_elements")
-    rows = cut_lineage(spark.sql(PARSED.format("{e}"), e=elements))
+    elements = cut_lineage(spark.sql(PARSED.format("{e}"), e=rows(spark, sf_dir, TABLES["fx_elements"])))
     bound = select(spark, sf_dir, "select document_id, caption_id as element_id, target_id from @declared@").union(select(spark, sf_dir, "select document_id, footnote_id, target_id from @anchored@"))
-    return rows, bound, spark.sql(_PROFILES.format("{e}"), e=elements)
+    return elements, bound, spark.sql(_PROFILES.format("{e}"), e=elements)
 
 
 def _re(column: str, pattern: str) -> str:

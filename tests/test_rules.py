@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import rules as N
+from docloom.plans import derived
 
 ELEMENTS = "document_id string, element_id string, page_index long, reading_order long, element_type string, text string, x1 double, y1 double, x2 double, y2 double, rule string, profile string"
 TARGETS, PROFILES = "document_id string, element_id string, target_id string", "document_id string, profile string"
@@ -103,3 +104,21 @@ def test_structure_passes(spark):
     assert where["d", "f0"] is None and where["d", "p1"] == 1 and where["d", "p2"] == 100_001 and where["d", "p4"] == 200_001 and where["d", "w"] == 200_001 and where["z", "h1"] is None
     kept = N.structure(elements, spark.createDataFrame([], TARGETS), spark.createDataFrame([], PROFILES), parsed=False)
     assert kept["headings"].count() == 3 and {r.rule for r in kept["decisions"].collect()} == {N.KEPT}
+
+
+def test_decisions_are_made_once_for_all_passes(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(N, "cut_lineage", lambda rows, cut=N.cut_lineage: written.append(rows) or cut(rows), raising=False)
+    rows = spark.createDataFrame([("d", "e0", 0, 0, "heading", "1 Costs", *LOW), ("d", "e1", 0, 1, "paragraph", "so it goes", *LOW)], ELEMENTS.removesuffix(", rule string, profile string"))
+    made = N.structure(rows, spark.createDataFrame([], TARGETS), spark.createDataFrame([("d", "slides")], PROFILES))
+    assert len(written) == 1
+    # sections read what was written, and decide nothing anew
+    assert "lead(element_type" not in made["sections"]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, made["sections"].collect())) == [("d", "e0", 0), ("d", "e1", 0)]
+
+
+def test_lines_of_reports_are_cut_before_they_are_numbered(spark, sf):
+    plan = derived.rows(spark, sf, derived.TABLES["fx_elements"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(line" in plan.split("Window", 1)[1]
+    # nothing of it is in the SQL that DuckDB reads
+    assert derived._SHORT_ROWS not in derived.cte("fx_elements") and derived.duck(derived._ROWS) in derived.cte("fx_elements")
