@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import paragraphs as P
+from docloom.lineage import cut_lineage
 from docloom.operators import continuation as C
 from docloom.operators import elements as E
 from docloom.operators import relations as X
 from docloom.operators import structure as S
-from docloom.plans.derived import cte, frame
+from docloom.plans.derived import TABLES, cte, frame, rows
 from docloom.plans.registry import query, read
 from docloom.plans.retrieval_queries import SQL_ELEMENTS
 
@@ -205,7 +206,8 @@ def relation_union_later_wins_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select document_id, relation_id, 'unknown_target' from fx_relations where (document_id, target_id) not in (select (document_id, element_id) from x) union all select document_id, relation_id, 'self_relation' from fx_relations where source_id = target_id
     union all select document_id, relation_id, 'repeated_id' from fx_relations group by all having count(*) > 1 union all select document_id, relation_id, 'confidence_range' from fx_relations where confidence not between 0 and 1""")
 def referential_validation_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.referential_errors(frame(spark, sf_dir, "fx_relations"), frame(spark, sf_dir, "fx_elements"))
+    # several parts read the relations: they are written once; of the elements only the ids count
+    return X.referential_errors(cut_lineage(frame(spark, sf_dir, "fx_relations")), rows(spark, sf_dir, TABLES["fx_elements"]).select("document_id", "element_id"))
 
 
 _REACH = "with recursive {cte}, f as (select * from fx_relations where kind = 'continues' and confidence >= 0.6), reach as (select document_id, source_id, target_id, 1 as hops from f union select r.document_id, r.source_id, f.target_id, r.hops + 1 from reach r join f on f.document_id = r.document_id and f.source_id = r.target_id where r.hops <= (select count(*) from f)) select document_id, source_id, target_id, min(hops) as hops from reach group by all"
