@@ -22,6 +22,20 @@ def casefold(c: Column) -> Column:
     return c
 
 
+_ASCII = {r"\b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", r"\s": r"[\t\n\f\r ]", r"\S": r"[^\t\n\f\r ]"}
+
+
+def by_ascii(pattern: str) -> str:
+    """The pattern with what \\b, \\s and the ends of lines mean in SQL's engine, which knows ASCII words and spaces and \\n alone; Java's \\b takes other letters into words, too."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        pair = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        inside = (inside or pair == "[") and pair != "]"
+        out.append(r"\t\n\f\r " if inside and pair == r"\s" else _ASCII.get(pair, pair))
+        i += len(pair)
+    return "(?d)" + "".join(out)
+
+
 def base_tokens(c: Column) -> Column:
     """Folded tokens. A text without letters that fold wide is folded as a whole, which no token's ends depend on; else each token by itself."""
     cut = lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))

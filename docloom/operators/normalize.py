@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import by_ascii
+
 # Fixed patterns by which code is told from prose, one point each.
 CODE_SIGNS = (
     r"(?m)^\s*(?:def|class|function|public|private|static|import|from|#include|package)\b", r"[{}];?\s*(?m:$)", r"(?m);\s*$", r"\b(?:if|for|while|switch)\s*\(", r"(?:==|!=|&&|\|\||->|=>|:=|\+=)", r"\b[A-Za-z_]\w*\([^)]*\)\s*[;{:]", r"(?m)^\s{4,}\S", r"(?m)^\s*(?://|#|--)\s",
@@ -14,7 +16,7 @@ CODE_SIGNS = (
 def code_score(text: Column, language: Column) -> Column:
     total = F.when(F.coalesce(language, F.lit("")) != "", 2).otherwise(0)
     for pattern in CODE_SIGNS:
-        total = total + F.when(F.rlike(text, F.lit(pattern)), 1).otherwise(0)
+        total = total + F.when(F.rlike(text, F.lit(by_ascii(pattern))), 1).otherwise(0)
     return total
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
+from docloom.functions.text import by_ascii
 from docloom.lineage import cut_lineage
 from docloom.operators.elements import parent_headings
 from docloom.operators.normalize import code_score
@@ -69,7 +70,7 @@ def corrected(text: Column) -> Column:
 
 
 def has(pattern: str) -> Column:
-    return F.rlike("plain", F.lit(pattern))
+    return F.rlike("plain", F.lit(by_ascii(pattern)))
 
 
 @dataclass(frozen=True)
@@ -93,11 +94,11 @@ _UNLABELLED = lambda: _of("caption") & _ON_VISUAL() & ~has(CAPTION_LABEL)  # noq
 _ABOVE = lambda: F.col("y2") <= F.col("t_y1") + 0.01
 
 RULES = (
-    Rule("embedded_section_label_promoted", lambda: (_of("caption") & has(STRUCTURAL_SECTION)) | (_of("paragraph") & (F.regexp_instr("plain", F.lit(STRUCTURAL_SECTION)).between(1, 21))), "heading", 0.99),
+    Rule("embedded_section_label_promoted", lambda: (_of("caption") & has(STRUCTURAL_SECTION)) | (_of("paragraph") & (F.regexp_instr("plain", F.lit(by_ascii(STRUCTURAL_SECTION))).between(1, 21))), "heading", 0.99),
     Rule("slide_visual_note_to_footnote", lambda: _SLIDES() & _of("paragraph") & has(VISUAL_NOTE) & F.col("above_id").isNotNull(), "footnote", 0.97),
     Rule("explicit_numbered_algorithm", lambda: _CODE() & has(EXPLICIT_ALGORITHM), "algorithm", 0.99),
     Rule("ui_screenshot_not_algorithm", lambda: _of("algorithm") & has(UI_TEXT) & (F.col("signs") == 0), "figure", 0.95),
-    Rule("prompt_template_normalized_to_code", lambda: _CODE() & F.rlike("text", F.lit(PROMPT_TEMPLATE)), "code", 0.96),
+    Rule("prompt_template_normalized_to_code", lambda: _CODE() & F.rlike("text", F.lit(by_ascii(PROMPT_TEMPLATE))), "code", 0.96),
     Rule("runnable_or_prompt_code_normalized", lambda: _CODE() & (F.col("signs") >= 2), "code", lambda: F.least(F.lit(0.98), 0.78 + F.col("signs") * 0.04)),
     Rule("short_output_not_algorithm", lambda: _of("algorithm") & (F.col("words") <= 8) & (F.col("signs") == 0), "paragraph", 0.90),
     Rule("preserve_code_like_type", _CODE, None, 0.70),
@@ -129,7 +130,7 @@ def in_context(elements: DataFrame, targets: DataFrame, profiles: DataFrame) ->
     rows = elements.join(profiles.groupBy(DOC).agg(F.min("profile").alias("profile")), DOC, "left").withColumn("text", F.coalesce("text", F.lit("")))
     fixed = F.when(F.coalesce(_SLIDES(), F.lit(False)), corrected(F.col("text"))).otherwise(uncorrected(F.col("text")))
     rows = rows.withColumn("fixed", fixed).withColumns({"text": F.col("fixed.text"), "corrections": F.col("fixed.corrections")}).drop("fixed")
-    plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"<[^>]+>", " "), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"<[^>]+>", " "), by_ascii(r"\s+"), " "))
     along = Window.partitionBy(DOC, "page_index").orderBy("reading_order", "element_id")
     rows = rows.withColumns({"plain": plain, "next_type": F.lead("element_type").over(along), "next_order": F.lead("reading_order").over(along)})
     rows = rows.withColumns({"words": F.when(F.col("plain") == "", 0).otherwise(F.size(F.split("plain", " "))), "signs": code_score(F.col("text"), F.lit(None).cast("string"))})
@@ -156,7 +157,7 @@ def decide(elements: DataFrame, targets: DataFrame, profiles: DataFrame, rules:
         sure = r.confidence() if callable(r.confidence) else F.lit(r.confidence)
         choice = choice.when(F.coalesce(r.when(), F.lit(False)), F.struct(F.lit(r.name).alias("rule"), becomes.alias("type"), sure.alias("confidence")))
     rows = rows.withColumn("x", choice.otherwise(F.struct(F.lit(KEPT).alias("rule"), F.col("element_type").alias("type"), F.lit(1.0).alias("confidence"))))
-    heading = F.trim(F.regexp_extract("plain", STRUCTURAL_SECTION, 0))
+    heading = F.trim(F.regexp_extract("plain", by_ascii(STRUCTURAL_SECTION), 0))
     text = F.when(F.col("x.rule") == RULES[0].name, heading).otherwise(F.col("text"))
     names = [c for c in OWN if c != "text"]
     return rows.select(*names, text.alias("text"), F.col("x.rule").alias("rule"), F.col("x.type").alias("normalized_type"), F.col("x.confidence").alias("confidence"), "corrections", F.coalesce("target_id", "above_id").alias("target_id"))
